@@ -83,3 +83,36 @@ class WordHashes(dict):
 def held_out(doc_id: F.Column | str) -> F.Column:
     """Whether a row is kept from training: crc32 of the id as text, mod 4, is 2. A null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+def join_counted(big: DataFrame, small: DataFrame, key: str, size: str, total: int, share: int = 2000) -> DataFrame:
+    """big joined with small, which has each key once and in `size` how many rows of big have it (of `total`).
+
+    Keys with more than one row in `share` are broadcast, and there can't be more than `share` of them; so no task
+    gets a hot key's rows. The others are joined by an ordinary shuffle. big and small should be cut.
+    """
+    hot = small.where(F.col(size) * share > total)
+    rest = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(small.where(F.col(size) * share <= total), key)
+    return big.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """(node, comp): the smallest node that can be reached over edges (a, b); nodes without edges are left out.
+
+    Smallest labels go over the edges and labels are followed to their own label, until nothing changes. Each round
+    is kept in the shared folder; only its number of changes reaches the driver.
+    """
+    both = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct())
+    total = both.count()
+    lab = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l"), F.count("*").alias("d")))
+    while total:
+        near = join_counted(both, lab.select(F.col("u").alias("v"), "l", "d"), "v", "d", total).groupBy("u").agg(F.min("l").alias("n"))
+        up = lab.select(F.col("u").alias("l"), F.col("l").alias("up"))
+        # a label that many nodes have is a hot key here too
+        held = cut(lab.groupBy("l").agg(F.count("*").alias("held")).join(up, "l"))
+        step = join_counted(lab, held, "l", "held", total).join(near, "u")
+        new = cut(step.select("u", F.least("l", "n", "up").alias("l"), "d", (F.least("l", "n", "up") != F.col("l")).alias("new")))
+        lab = new.drop("new")
+        if not new.where("new").limit(1).count():
+            break
+    return lab.select(F.col("u").alias("node"), F.col("l").alias("comp"))

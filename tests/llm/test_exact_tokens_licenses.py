@@ -90,7 +90,7 @@ def test_licenses(spark):
     for i in (1, 2, 4):
         assert (got[i].n_base, got[i].first_word, got[i].last_word, got[i].labels, got[i].score) == (0, None, None, "", 0.0)
     assert got[3].base_labels == "" and got[3].labels == "mit" and 0.8 < got[3].score < 1 and got[3].spans[0].first_word == 0
-    assert (got[5].n_base, got[5].first_word, got[5].last_word, got[5].labels) == (3, 2, 9, "cc-by-nc")
+    assert (got[5].n_base, got[5].first_word, got[5].last_word, got[5].labels) == (3, 2, 10, "cc-by-nc")
     assert got[6].labels == "gpl-3" and got[6].spans[0].first_word == 5003 and got[6].spans[0].edits == 0
     assert got[7].labels == "apache-2" and got[7].base_labels == ""
     assert got[8].n_base == 0
