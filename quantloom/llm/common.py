@@ -80,9 +80,9 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
-def held_out(doc_id: F.Column | str) -> F.Column:
-    """Whether a row is kept from training: crc32 of the id as text, mod 4, is 2. A null id counts as empty text."""
-    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
+def fold(doc_id: F.Column | str) -> F.Column:
+    """crc32 of the id as text, mod 4; rows of fold 2 are kept from all training. A null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).cast("binary")) % 4
 
 
 def join_counted(big: DataFrame, small: DataFrame, key: str, size: str, total: int, share: int = 2000) -> DataFrame:
