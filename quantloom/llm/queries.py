@@ -7,25 +7,48 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import shared_dir, table
 from .decontaminate import find_matches
 from .exact_dedup import exact_groups
 from .license_scan import scan_licenses
+from .line_dedup import BLANKS, drop_boilerplate_lines
 from .minhash import near_groups
 from .piece_sampling import decode, encode
+from .quality import quality_scores
 from .token_counts import count_tokens
 from .toxicity import toxicity_scores
+from .warc import new_folder, normalise_archives, read_archives, read_index, write_archives
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes archives of all pages, normalises them and reads them back by offset."""
+    folder = new_folder(spark, shared_dir(spark))
+    written = write_archives(table(spark, sf_dir, "pages"), f"{folder}/whole")
+    back = read_archives(read_index(normalise_archives(written, f"{folder}/members")))
+    return back.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document its lines, how many of them stand on ten sites or more and go, and the text that stays."""
+    lines = lambda c: F.size(F.filter(F.split(F.coalesce(c, F.lit("")), "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")).cast("long")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text", lines(F.col("text")).alias("n_lines"))
+    out = drop_boilerplate_lines(docs).select("doc_id", "n_lines", F.coalesce("text", F.lit("")).alias("text"))
+    return out.select("doc_id", "n_lines", (F.col("n_lines") - lines(F.col("text"))).alias("n_removed"), F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scan_licenses(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("spans").alias("n_spans"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document the size and a hash of its sampled segmentation, and whether it decodes to the text."""
     import public_tokenizers
@@ -57,10 +80,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op4_license_scan, op6_piece_sampling, op7_minhash_dedup, op8_exact_dedup, op9_decontamination, op10_token_counts)
+    f.__name__: f for f in (op1_toxicity, op2_warc, op3_line_dedup, op4_license_scan, op5_quality, op6_piece_sampling, op7_minhash_dedup, op8_exact_dedup, op9_decontamination, op10_token_counts)
 }
 
 SQL = {
+    "op3_line_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT r, doc_id, source, unnest(ls) AS line, unnest(range(len(ls))) AS k FROM d),
+t AS (SELECT *, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS own FROM l),
+bad AS (SELECT own FROM t WHERE own <> '' GROUP BY own HAVING count(DISTINCT coalesce('s' || source, '')) >= 10),
+x AS (SELECT t.*, own IN (SELECT own FROM bad) AS gone FROM t),
+g AS (SELECT r, doc_id, count(*) FILTER (own <> '') AS n_lines, count(*) FILTER (gone) AS n_removed,
+      coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS kept FROM x GROUP BY r, doc_id)
+SELECT doc_id, n_lines, n_removed, length(kept) AS n_chars, sha256(kept) AS text_sha256 FROM g
+""",
     "op8_exact_dedup": r"""
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)
