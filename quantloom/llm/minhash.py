@@ -5,10 +5,11 @@ whole sequence where there are fewer words). One hash per shingle serves all bin
 the smallest hash in a bin is its value, and an empty bin takes the value of the first non-empty bin in a random
 order of its own. Bands of the signature are buckets. Documents with the same set are one node throughout.
 
-In each round every bucket has one centre, and only (centre, member) pairs become candidates; they are confirmed on
-the full sets. A centre then leaves its bucket, since all its pairs there are decided. Members that are already in
-one component need no pair. Rounds go on until no bucket holds two components, so no link that a bucket offers is
-lost, and a group of near copies takes about as many pairs as it has members.
+In each round every bucket has a centre (after the first round about CENTRES of them, drawn by hash), and only
+(centre, member) pairs become candidates; they are confirmed on the full sets. A centre then leaves its bucket, since
+all its pairs there are decided. Members that are already in one component need no pair. Rounds go on until no bucket
+holds two components, so no link that a bucket offers is lost, and a group of near copies takes about as many pairs
+as it has members.
 
 Defined cases: null texts and texts without words have no shingles, size 0, and are linked with nothing; repeated
 rows and repeated ids are rows of their own; a null id is larger than any other; of a component the row with the
@@ -30,6 +31,7 @@ from .common import LOWER, WordHashes, columns_of, connected, cut, join_counted,
 WORDS_PER_SHINGLE = 5
 BITS = 8
 BINS = 1 << BITS
+CENTRES = 32
 #: For each bin a random order of all bins, as ranks: where an empty bin looks for its value.
 RANKS = np.argsort(np.argsort(mix64(np.arange(BINS * BINS, dtype=np.uint64).reshape(BINS, BINS) + np.uint64(1)), axis=1), axis=1).astype(np.int16)
 
@@ -142,32 +144,28 @@ def near_links(docs: DataFrame, sketches: DataFrame, id_col: str, text_col: str,
     some = docs.join(wanted.select(F.col("id").alias("__near_id")).distinct(), F.col(f"`{id_col}`").eqNullSafe(F.col("__near_id")), "left_semi")
     sets = cut(_sets(some, id_col, text_col).join(live.select("sk").distinct(), "sk", "left_semi").dropDuplicates(["sk"]))
 
-    links, comps, tested, turn = [], None, None, 0
+    edges, comps, tested, turn = None, None, None, 0
     while True:
-        at = live.withColumn("comp", F.col("sk")).withColumn("deg", F.lit(0)) if comps is None else live.join(comps, "sk", "left").withColumns({"comp": F.coalesce("comp", "sk"), "deg": F.coalesce("deg", F.lit(0))})
-        at = cut(at) if comps is not None else at
-        # by turns the best and the least connected member
-        order = F.struct(F.col("deg") * (-1 if turn % 2 == 0 else 1), F.col("sk"))
-        stars = at.groupBy("bucket").agg(F.min_by(F.struct(F.col("sk").alias("a"), F.col("comp").alias("c")), order).alias("star"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo != hi")
-        stars = cut(stars.select("bucket", "star", "size"))
-        total = stars.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+        at = live.withColumn("comp", F.col("sk")) if comps is None else cut(live.join(comps, "sk", "left").withColumn("comp", F.coalesce("comp", "sk")))
+        split = cut(at.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("sk", F.lit(turn)), "sk")).alias("one")).where("lo != hi").select("bucket", "size", "one.sk"))
+        total = split.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
         if not total:
             break
-        held = cut(join_counted(at, stars, "bucket", "size", total).where("sk != star.a"))
-        pairs = held.where("comp != star.c").select(F.least("sk", "star.a").alias("a"), F.greatest("sk", "star.a").alias("b")).distinct()
+        held = cut(join_counted(at, split.withColumnRenamed("sk", "one"), "bucket", "size", total))
+        # one centre at first; then about CENTRES, drawn by hash wherever the members lie
+        drawn = F.pmod(F.xxhash64("sk", "bucket", F.lit(turn)), F.lit(1 << 20)) * F.col("size") < F.lit(CENTRES << 20)
+        chosen = held.where((F.col("sk") == F.col("one")) | (drawn if turn else F.lit(False)))
+        stars = cut(chosen.groupBy("bucket").agg(F.collect_list(F.struct(F.col("sk").alias("a"), F.col("comp").alias("c"))).alias("stars"), F.first("size").alias("size")))
+        held = cut(join_counted(held.drop("size", "one"), stars, "bucket", "size", total))
+        pairs = held.select("sk", "comp", F.explode("stars").alias("s")).where("comp != s.c").select(F.least("sk", "s.a").alias("a"), F.greatest("sk", "s.a").alias("b")).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         found = cut(_confirm(pairs, sets, percent))
-        tested = pairs if tested is None else tested.union(pairs)
-        live, turn = held.select("sk", "bucket"), turn + 1
+        tested = pairs if tested is None else cut(tested.union(pairs))
+        live, turn = held.where(~F.exists("stars", lambda x: x["a"] == F.col("sk"))).select("sk", "bucket"), turn + 1
         if found.limit(1).count():
-            links.append(found)
-            edges = links[0]
-            for x in links[1:]:
-                edges = edges.union(x)
-            parts = connected(edges)
-            degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("deg"))
-            comps = cut(parts.join(degree, "node").select(F.col("node").alias("sk"), "comp", "deg"))
-    return None if comps is None else comps.select(F.col("sk").alias("node"), "comp")
+            edges = found if edges is None else cut(edges.union(found))
+            comps = cut(connected(edges).withColumnRenamed("node", "sk"))
+    return None if comps is None else comps.withColumnRenamed("sk", "node")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
