@@ -16,7 +16,7 @@ from quantloom.llm.common import shared_dir, table
 from quantloom.llm.decontaminate import drop_contaminated
 from quantloom.llm.exact_dedup import drop_exact_duplicates
 from quantloom.llm.minhash import drop_near_duplicates
-from quantloom.llm.piece_sampling import decode, encode
+from quantloom.llm.piece_sampling import encode_and_check
 from quantloom.llm.toxicity import drop_toxic
 
 
@@ -44,8 +44,8 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, the sampled piece ids, and whether they decode to the text."""
     path = public_tokenizers.path("piece_bpe_32k.model")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    coded = rows.withColumn("piece_ids", encode(F.col("text"), F.col("doc_id"), path))
-    return coded.select("doc_id", F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", (decode(F.col("piece_ids"), path) == F.col("text")).alias("lossless"))
+    coded = rows.withColumn("x", encode_and_check(F.col("text"), F.col("doc_id"), path))
+    return coded.select("doc_id", F.size("x.ids").cast("long").alias("n_pieces"), F.col("x.ids").alias("piece_ids"), "x.lossless")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -13,7 +13,7 @@ from .exact_dedup import exact_groups
 from .license_scan import scan_licenses
 from .line_dedup import BLANKS, drop_boilerplate_lines
 from .minhash import near_groups
-from .piece_sampling import decode, encode
+from .piece_sampling import encode_and_check
 from .quality import quality_scores
 from .token_counts import count_tokens
 from .toxicity import toxicity_scores
@@ -55,8 +55,8 @@ def op6_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    coded = docs.withColumn("ids", encode(F.col("text"), F.col("doc_id"), path))
-    return coded.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("pieces_hash"), (decode(F.col("ids"), path) == F.col("text")).alias("lossless"))
+    coded = docs.withColumn("x", encode_and_check(F.col("text"), F.col("doc_id"), path))
+    return coded.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.size("x.ids").cast("long").alias("n_pieces"), F.xxhash64("x.ids").alias("pieces_hash"), "x.lossless")
 
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

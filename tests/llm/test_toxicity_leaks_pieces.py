@@ -1,11 +1,10 @@
 import random
 from collections import Counter
-from math import exp
 
 import public_tokenizers
 from pyspark.sql import functions as F
 from quantloom.llm.decontaminate import budget, drop_contaminated, find_matches, myers, words_of
-from quantloom.llm.piece_sampling import Lattice, decode, encode
+from quantloom.llm.piece_sampling import Lattice, decode, encode, encode_and_check
 from quantloom.llm.queries import op1_toxicity, op9_decontamination
 from quantloom.llm.toxicity import drop_toxic, toxicity_scores
 
@@ -128,6 +127,9 @@ def test_pieces_decode_to_the_text_and_repeat(spark):
     assert sorted(one, key=key) == sorted(two, key=key)
     assert all(r.back == r.text for r in one) and sum(r.p is None for r in one) == 1
     assert len({tuple(r.p) for r in one if r.doc_id == 7}) == 1
+    checked = df.select("doc_id", "text", encode_and_check(F.col("text"), F.col("doc_id"), MODEL).alias("x")).collect()
+    assert all(r.x.lossless for r in checked if r.text is not None)
+    assert sorted((str(r.doc_id), r.text or "", r.x.ids or []) for r in checked) == sorted((str(r.doc_id), r.text or "", r.p or []) for r in one)
     assert df.limit(0).select(encode(F.col("text"), F.col("doc_id"), MODEL).alias("p")).select(decode(F.col("p"), MODEL)).count() == 0
 
 
@@ -141,7 +143,7 @@ def test_draws_follow_the_weights():
             if s[:j] in lat.weight:
                 i, w = lat.weight[s[:j]]
                 for rest, x in ways(s[j:]):
-                    yield (i, *rest), exp(w) * x
+                    yield (i, *rest), w * x
 
     for word in ("those", "is", "notion"):
         every = list(ways(" " + word))
