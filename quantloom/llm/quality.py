@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import fold
 
-LABELLED, POOL, ROUNDS, CONFIDENT, BUCKETS = 40_000, 40_000, 3, 0.97, 64
+LABELLED, POOL, ROUNDS, CONFIDENT, BUCKETS = 20_000, 20_000, 3, 0.97, 64
 THRESHOLD = 0.5
 MEASURES = 15
 NOT_PLAIN = re.compile(rb"[!-/:-@\[-`{-~]")
@@ -130,22 +130,21 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     order = [F.xxhash64("id"), F.col("id")]
     chosen = keys.where("y IS NOT NULL").orderBy(*order).limit(LABELLED).unionByName(keys.where("y IS NULL").orderBy(*order).limit(POOL))
     # at most LABELLED + POOL keys, so they may be broadcast
-    rows = base.join(F.broadcast(chosen.select("id", "y")), "id").select("y", "part", text_view(F.col("text")).alias("t"), metadata_view(F.col("site"), F.col("lang"), F.col("size")).alias("m")).toPandas()
-    stack = lambda part, name: np.array(part[name].tolist(), float).reshape(len(part), -1)
-    known, pool = rows[rows["y"].notna()], rows[rows["y"].isna()]
-    fit, hold = known[known["part"] < 2], known[known["part"] == 3]
+    rows = base.join(F.broadcast(chosen.select("id", "y")), "id").select("y", "part", text_view(F.col("text")).alias("t"), metadata_view(F.col("site"), F.col("lang"), F.col("size")).alias("m")).toArrow()
+    marks, part = rows["y"].to_numpy().astype(float), rows["part"].to_numpy()
+    known = ~np.isnan(marks)
+    fit, hold, spare = known & (part < 2), known & (part == 3), ~known
     text_z, meta_z = text_view(F.col("text")), metadata_view(F.col("site"), F.col("lang"), F.col("size"))
-    y = fit["y"].to_numpy(float)
+    y = marks[fit]
     if not len(y) or y.min() == y.max():
         constant = F.lit(0.5 if not len(y) else float(y[0]))
         scored = base.select("id", "part", constant.alias("text_score"), constant.alias("metadata_score"), constant.alias("score"))
     else:
-        views = stack(fit, "t"), stack(fit, "m")
-        spare = (stack(pool, "t"), stack(pool, "m")) if len(pool) else (views[0][:0], views[1][:0])
-        models = co_train(views, y, spare)
-        calm = hold if len(hold) and hold["y"].nunique() == 2 else fit
-        z = np.stack([models[0].logit(stack(calm, "t")), models[1].logit(stack(calm, "m"))], 1)
-        both = Logistic.fit(z, calm["y"].to_numpy(float))
+        views = [rows[n].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1) for n in "tm"]
+        models = co_train((views[0][fit], views[1][fit]), y, (views[0][spare], views[1][spare]))
+        calm = hold if hold.any() and np.ptp(marks[hold]) > 0 else fit
+        z = np.stack([model.logit(view[calm]) for model, view in zip(models, views, strict=True)], 1)
+        both = Logistic.fit(z, marks[calm])
         chance = lambda x: F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
         zs = base.select("id", "part", models[0].column(text_z).alias("zt"), models[1].column(meta_z).alias("zm"))
         scored = zs.select("id", "part", chance(F.col("zt")).alias("text_score"), chance(F.col("zm")).alias("metadata_score"), chance(both.column(F.array("zt", "zm"))).alias("score"))

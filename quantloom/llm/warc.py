@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import columns_of, cut, join_counted
 
-ROLL, PIECE, LEVEL = 256 << 20, 1 << 20, 1
+ROLL, PIECE, LEVEL = 256 << 20, 1 << 20, 4
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 GZIP = 31
 
