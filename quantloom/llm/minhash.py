@@ -32,6 +32,8 @@ WORDS_PER_SHINGLE = 5
 BITS = 8
 BINS = 1 << BITS
 CENTRES = 32
+#: Words whose hashes a task remembers. Python's workers keep their memory while the joins run, so it is kept small.
+HASHES = 60_000
 #: For each bin a random order of all bins, as ranks: where an empty bin looks for its value.
 RANKS = np.argsort(np.argsort(mix64(np.arange(BINS * BINS, dtype=np.uint64).reshape(BINS, BINS) + np.uint64(1)), axis=1), axis=1).astype(np.int16)
 
@@ -90,8 +92,8 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Data
     bands, rows = shape(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in columns_of(batches):
+        hashes = WordHashes(HASHES)
+        for b in columns_of(batches, rows=1000, size=2 << 20):
             n, keys, buckets = [], [], []
             for t in b.column(1).to_pylist():
                 found = shingle_set(t, hashes)
@@ -109,8 +111,8 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """sk and the set itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for b in columns_of(batches, rows=500):
+        hashes = WordHashes(HASHES)
+        for b in columns_of(batches, rows=500, size=2 << 20):
             sets = [s for t in b.column(0).to_pylist() if len(s := shingle_set(t, hashes))]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in sets]))).astype(np.int32)
             flat = np.concatenate([np.empty(0, np.int64), *[s.view(np.int64) for s in sets]])
