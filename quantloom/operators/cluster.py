@@ -117,7 +117,7 @@ def ward(distances: DataFrame, features: DataFrame, height: float | None, most:
         _, labels = np.unique([root(k) for k in range(m)], return_inverse=True)
         return pd.DataFrame({"row_id": ids, "FeatureCluster": labels + 1})
 
-    return rows.groupBy(F.lit(0)).applyInPandas(link, "row_id long, FeatureCluster int")
+    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(link, "row_id long, FeatureCluster int")
 
 
 def cluster(cells: DataFrame, features: DataFrame, q_value: float = 0.01, seed: int = 0) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import t_pvalue
+from ..functions.storage import cut
 
 CORRECTIONS = ("bonferroni", "sidak", "holm", "holm-sidak", "simes-hochberg", "fdr_bh", "fdr_by", "fdr_tsbh", "fdr_tsbky")
 
@@ -115,6 +116,7 @@ def correct_p(tests: DataFrame, method: str = "fdr_tsbh", p: str = "p", tie: str
 
     if method not in CORRECTIONS:
         raise ValueError(f"unknown correction {method!r}; known: {', '.join(CORRECTIONS)}")
+    tests = cut(tests)  # one row a test, read by each step below
     valid, none = tests.where(F.col(p).isNotNull()), tests.where(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double"))
     m = F.col("__m")
     total = tests.agg(F.count(p).alias("__m"))
@@ -122,7 +124,7 @@ def correct_p(tests: DataFrame, method: str = "fdr_tsbh", p: str = "p", tie: str
     if method in ("bonferroni", "sidak"):
         value = x * m if method == "bonferroni" else F.lit(1.0) - F.pow(F.lit(1.0) - x, m)
         return valid.crossJoin(F.broadcast(total)).withColumn(out, F.least(value, F.lit(1.0))).drop("__m").unionByName(none)
-    ranked = running(valid, [(p, True), (tie, True)], {"__rank": F.lit(1).cast("long")}).crossJoin(F.broadcast(total))
+    ranked = cut(running(valid, [(p, True), (tie, True)], {"__rank": F.lit(1).cast("long")}).crossJoin(F.broadcast(total)))
     k = F.col("__rank")
     if method in ("holm", "holm-sidak"):
         own = x * (m - k + 1) if method == "holm" else F.lit(1.0) - F.pow(F.lit(1.0) - x, m - k + 1)
@@ -174,7 +176,7 @@ def compare(cells: DataFrame, features: DataFrame, samples: DataFrame, compariso
     pairs = [comparisons] if isinstance(comparisons, tuple) and not isinstance(comparisons[0], tuple) else list(comparisons)
     out, done = features, set()
     for a, b in pairs:
-        tests = ttest(group_stats(cells, samples, (a, b), min_samples_per_group))
+        tests = cut(ttest(group_stats(cells, samples, (a, b), min_samples_per_group)))
         if method == "ttest_paired" or covariates:
             other = paired(cells, samples, (a, b), min_samples_per_group) if method == "ttest_paired" else with_covariates(cells, samples, (a, b), covariates, min_samples_per_group)
             tests = tests.drop("p").join(other.select("row_id", "p"), "row_id", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import normal, uniform
+from ..functions.storage import cut
 
 
 def decoy_shuffle(cells: DataFrame, seed: int = 0) -> DataFrame:
@@ -45,6 +46,7 @@ def running(df: DataFrame, order: list[tuple[str, bool]], sums: dict[str, F.Colu
     """Running sums over all rows in an order ((column, whether ascending), the first column a number), without sending
     all rows to one task: ranges of the order are summed up, their totals (one row a range) are added up, and each
     range runs on its own. Rows of one value of the first column stay together."""
+    df = cut(df)
     parts = parts or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     by = [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
     lead = F.col(order[0][0]) if order[0][1] else -F.col(order[0][0])

@@ -331,25 +331,25 @@ query("scale", SQL["scale_zscore"].split(CELLS.strip(), 1)[1])(lambda spark, d:
 
 
 def _norm_sql(stat: str, centre: str) -> str:
-    return f", st AS (SELECT sample, {stat}(value) AS m FROM cells GROUP BY 1) SELECT row_id, c.sample, round(value * (SELECT {centre}(m) FROM st) / m, 6) AS value FROM cells c JOIN st USING (sample)"
+    return f", st AS (SELECT sample, {stat}(value) AS m FROM cells GROUP BY 1) SELECT row_id, c.sample, round(value * (SELECT {centre}(m) FROM st) / m, 4) AS value FROM cells c JOIN st USING (sample)"
 
 
 query("norm_log2", " SELECT row_id, sample, round(CASE WHEN value > 0 THEN log2(value) END, 6) AS value FROM cells")(lambda spark, d: rounded(normalize.normalize(m(spark, d).cells, "log2")))
 for _how, _centre in (("tic", "median"), ("median", "avg"), ("mean", "avg")):
-    query(f"norm_{_how}", _norm_sql({"tic": "sum", "median": "median", "mean": "avg"}[_how], _centre))(lambda spark, d, how=_how: rounded(normalize.normalize(m(spark, d).cells, how, log_transform=False)))
-query("normalize", _norm_sql("avg", "avg").replace("round(value * (SELECT avg(m) FROM st) / m, 6)", "round(log2(value * (SELECT avg(m) FROM st) / m), 6)"))(lambda spark, d: rounded(m(spark, d).normalize("mean").cells))
+    query(f"norm_{_how}", _norm_sql({"tic": "sum", "median": "median", "mean": "avg"}[_how], _centre))(lambda spark, d, how=_how: rounded(normalize.normalize(m(spark, d).cells, how, log_transform=False), 4))
+query("normalize", _norm_sql("avg", "avg").replace("round(value * (SELECT avg(m) FROM st) / m, 4)", "round(log2(value * (SELECT avg(m) FROM st) / m), 6)"))(lambda spark, d: rounded(m(spark, d).normalize("mean").cells))
 
 STRIDE, MINIMUM = 5.0, 150
 BINS = f""", span AS (SELECT min(RetentionTime) AS lo, greatest(CAST(ceil((max(RetentionTime) - min(RetentionTime)) / {STRIDE}) AS BIGINT), 1) AS nb FROM features),
 bins AS (SELECT row_id, least(CAST(floor((RetentionTime - lo) / {STRIDE}) AS BIGINT), nb - 1) AS bin, nb AS n_bins FROM features, span)"""
-EXPAND = BINS + f""", at AS (SELECT b AS bin, nb AS n_bins FROM span, range((SELECT nb FROM span)) t(b)),
-radius AS (SELECT a.bin, a.n_bins, coalesce((SELECT min(e) FROM range((SELECT nb FROM span)) t(e) WHERE (SELECT count(*) FROM bins x WHERE abs(x.bin - a.bin) <= e) >= {MINIMUM}), a.n_bins - 1) AS radius FROM at a)"""
-OVERLAP = EXPAND + """, times AS (SELECT w.bin AS "window", b.bin AS bin, count(*) AS times FROM at w JOIN radius k ON abs(k.bin - w.bin) <= 1 JOIN at b ON abs(k.bin - b.bin) <= k.radius GROUP BY 1, 2)"""
+EXPAND = BINS + f""", spots AS (SELECT b AS bin, nb AS n_bins FROM span, range((SELECT nb FROM span)) t(b)),
+radius AS (SELECT a.bin, a.n_bins, coalesce((SELECT min(e) FROM range((SELECT nb FROM span)) t(e) WHERE (SELECT count(*) FROM bins x WHERE abs(x.bin - a.bin) <= e) >= {MINIMUM}), a.n_bins - 1) AS radius FROM spots a)"""
+OVERLAP = EXPAND + """, times AS (SELECT w.bin AS "window", b.bin AS bin, count(*) AS times FROM spots w JOIN radius k ON abs(k.bin - w.bin) <= 1 JOIN spots b ON abs(k.bin - b.bin) <= k.radius GROUP BY 1, 2)"""
 WINDOW = OVERLAP + """, wstat AS (SELECT t."window" AS w, c.sample, sum(t.times * value) / sum(t.times) AS m FROM cells c JOIN bins b USING (row_id) JOIN times t ON t.bin = b.bin GROUP BY 1, 2),
 centre AS (SELECT w, CASE WHEN count(*) = 12 THEN avg(m) END AS c FROM wstat GROUP BY 1),
 fac AS (SELECT w, sample, c / m AS f FROM wstat JOIN centre USING (w) WHERE c IS NOT NULL AND m <> 0),
 binfac AS (SELECT t.bin, sample, sum(t.times * f) / sum(t.times) AS f FROM times t JOIN fac ON t."window" = fac.w GROUP BY 1, 2)
-SELECT row_id, c.sample, round(value * f, 6) AS value FROM cells c JOIN bins b USING (row_id) LEFT JOIN binfac USING (bin, sample)"""
+SELECT row_id, c.sample, round(value * f, 4) AS value FROM cells c JOIN bins b USING (row_id) LEFT JOIN binfac USING (bin, sample)"""
 
 
 @query("rt_bins", BINS + " SELECT * FROM bins")
@@ -370,7 +370,7 @@ def rt_overlap(spark, d):
 @query("norm_rt_window", WINDOW)
 def norm_rt_window(spark, d):
     x = m(spark, d)
-    return rounded(normalize.by_rt_window(x.cells, x.features, "mean", MINIMUM, STRIDE))
+    return rounded(normalize.by_rt_window(x.cells, x.features, "mean", MINIMUM, STRIDE), 4)
 
 
 @query("correct_mean", """, p AS (SELECT row_id, sample, batch, value FROM cells JOIN samples USING (sample)),
@@ -524,8 +524,8 @@ def qvalue_counter(spark, d):
 @query("qvalue_distribution", SCORES + """, e AS (SELECT min(score) AS lo, (max(score) - min(score)) / 50 AS w FROM sc), h AS (SELECT least(CAST(floor((score - lo) / w) AS BIGINT), 49) AS bin, sum(Decoy) AS nd, sum(1 - Decoy) AS nt FROM sc, e GROUP BY 1),
 g AS (SELECT b AS bin, lo + (b + 0.5::DOUBLE) * w AS score, w, coalesce(nt, 0) / ((SELECT sum(nt) FROM h) * w) AS target, coalesce(nd, 0) / ((SELECT sum(nd) FROM h) * w) AS decoy FROM range(50) t(b) CROSS JOIN e LEFT JOIN h ON h.bin = t.b),
 s AS (SELECT *, coalesce((target + lead(target) OVER o) / 2 * w, 0) AS st, coalesce((decoy + lead(decoy) OVER o) / 2 * w, 0) AS sd FROM g WINDOW o AS (ORDER BY bin)),
-a AS (SELECT *, sum(st) OVER o AS at, sum(sd) OVER o AS ad FROM s WINDOW o AS (ORDER BY bin DESC))
-SELECT round(score, 4) AS score, round(target * 1e6, 6) AS target, round(decoy * 1e6, 6) AS decoy, CASE WHEN ad + at <> 0 THEN round(ad / (ad + at), 6) END AS q_value FROM a""")
+a AS (SELECT *, sum(st) OVER o AS ta, sum(sd) OVER o AS ad FROM s WINDOW o AS (ORDER BY bin DESC))
+SELECT round(score, 4) AS score, round(target * 1e6, 6) AS target, round(decoy * 1e6, 6) AS decoy, CASE WHEN ad + ta <> 0 THEN round(ad / (ad + ta), 6) END AS q_value FROM a""")
 def qvalue_distribution(spark, d):
     out = decoys.qvalue_distribution(_scores(spark, d))
     return out.select(F.round("score", 4).alias("score"), F.round(F.col("target") * 1e6, 6).alias("target"), F.round(F.col("decoy") * 1e6, 6).alias("decoy"), F.round("q_value", 6).alias("q_value"))
@@ -615,7 +615,7 @@ def de_level(spark, d):
 
 
 @query("pr_curve", TSBH + """, y AS (SELECT c, CASE WHEN Protein LIKE '%Brand#1/%' OR Protein LIKE '%Brand#2/%' OR Protein LIKE '%Brand#3/%' THEN 1 ELSE 0 END AS y FROM ts JOIN features USING (row_id)), tot AS (SELECT sum(y) AS p, sum(1 - y) AS n FROM y)
-SELECT k / 100.0::DOUBLE AS cutoff, (SELECT sum(y) FROM y WHERE ceil(c * 100) <= k) / p::DOUBLE AS recall FROM range(1, 100) t(k), tot""")
+SELECT k / 100.0::DOUBLE AS cutoff, coalesce((SELECT sum(y) FROM y WHERE ceil(c * 100) <= k), 0) / p::DOUBLE AS recall FROM range(1, 100) t(k), tot""")
 def pr_curve(spark, d):
     p = F.col("Protein")
     tests = _corrected(spark, d).join(fx.features(spark, d), "row_id")
