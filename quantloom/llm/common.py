@@ -100,19 +100,15 @@ def connected(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node that can be reached over edges (a, b); nodes without edges are left out.
 
     Smallest labels go over the edges and labels are followed to their own label, until nothing changes. Each round
-    is kept in the shared folder; only its number of changes reaches the driver.
+    is kept in the shared folder; only whether something changed reaches the driver. The joins are plain ones, so that
+    adaptive execution splits the partitions of labels that many nodes have.
     """
     both = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct())
-    total = both.count()
-    lab = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l"), F.count("*").alias("d")))
-    while total:
-        near = join_counted(both, lab.select(F.col("u").alias("v"), "l", "d"), "v", "d", total).groupBy("u").agg(F.min("l").alias("n"))
-        up = lab.select(F.col("u").alias("l"), F.col("l").alias("up"))
-        # a label that many nodes have is a hot key here too
-        held = cut(lab.groupBy("l").agg(F.count("*").alias("held")).join(up, "l"))
-        step = join_counted(lab, held, "l", "held", total).join(near, "u")
-        new = cut(step.select("u", F.least("l", "n", "up").alias("l"), "d", (F.least("l", "n", "up") != F.col("l")).alias("new")))
+    lab = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")))
+    while True:
+        near = both.join(lab.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("n"))
+        step = lab.join(lab.select(F.col("u").alias("l"), F.col("l").alias("up")), "l").join(near, "u", "left")
+        new = cut(step.select("u", F.least("l", "n", "up").alias("l"), (F.least("l", "n", "up") != F.col("l")).alias("new")))
         lab = new.drop("new")
         if not new.where("new").limit(1).count():
-            break
-    return lab.select(F.col("u").alias("node"), F.col("l").alias("comp"))
+            return lab.select(F.col("u").alias("node"), F.col("l").alias("comp"))

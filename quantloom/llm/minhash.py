@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, columns_of, connected, cut, join_counted, mix64, spread
+from .common import LOWER, WordHashes, columns_of, connected, cut, mix64, spread
 
 WORDS_PER_SHINGLE = 5
 BITS = 8
@@ -133,15 +133,14 @@ def near_links(docs: DataFrame, sketches: DataFrame, id_col: str, text_col: str,
     """(node, comp) of the sets that are linked with others; None where there are no links."""
     nodes = cut(sketches.where("sk IS NOT NULL").groupBy("sk").agg(F.min("id").alias("id"), F.first("buckets").alias("buckets")))
     rows = nodes.select("sk", F.explode("buckets").alias("bucket"))
-    sizes = cut(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
-    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    if not total:
-        return None
+    # joins on a bucket are plain ones, so that adaptive execution splits the partitions of large buckets
+    live = cut(rows.join(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket"), "bucket"))
     # buckets with the same members are one
-    live = cut(join_counted(rows, sizes, "bucket", "size", total).drop("size"))
     same = live.groupBy("bucket").agg(F.count("*").alias("size"), F.sum(F.xxhash64("sk").cast("decimal(38,0)")).alias("x"), F.min("sk").alias("y"), F.max("sk").alias("z"))
-    same = cut(same.groupBy("size", "x", "y", "z").agg(F.min("bucket").alias("bucket")).select("bucket", "size"))
-    live = cut(join_counted(live, same, "bucket", "size", total).drop("size"))
+    same = cut(same.groupBy("size", "x", "y", "z").agg(F.min("bucket").alias("bucket")).select("bucket"))
+    live = cut(live.join(same, "bucket"))
+    if not live.limit(1).count():
+        return None
     wanted = live.select("sk").distinct().join(nodes.select("sk", "id"), "sk")
     some = docs.join(wanted.select(F.col("id").alias("__near_id")).distinct(), F.col(f"`{id_col}`").eqNullSafe(F.col("__near_id")), "left_semi")
     sets = cut(_sets(some, id_col, text_col).join(live.select("sk").distinct(), "sk", "left_semi").dropDuplicates(["sk"]))
@@ -149,16 +148,16 @@ def near_links(docs: DataFrame, sketches: DataFrame, id_col: str, text_col: str,
     edges, comps, tested, turn = None, None, None, 0
     while True:
         at = live.withColumn("comp", F.col("sk")) if comps is None else cut(live.join(comps, "sk", "left").withColumn("comp", F.coalesce("comp", "sk")))
-        split = cut(at.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("sk", F.lit(turn)), "sk")).alias("one")).where("lo != hi").select("bucket", "size", "one.sk"))
-        total = split.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-        if not total:
+        split = at.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("sk", F.lit(turn)), "sk", "comp")).alias("one")).where("lo != hi")
+        split = cut(split.select("bucket", "size", F.array(F.struct(F.col("one.sk").alias("a"), F.col("one.comp").alias("c"))).alias("stars")))
+        if not split.limit(1).count():
             break
-        held = cut(join_counted(at, split.withColumnRenamed("sk", "one"), "bucket", "size", total))
-        # one centre at first; then about CENTRES, drawn by hash wherever the members lie
-        drawn = F.pmod(F.xxhash64("sk", "bucket", F.lit(turn)), F.lit(1 << 20)) * F.col("size") < F.lit(CENTRES << 20)
-        chosen = held.where((F.col("sk") == F.col("one")) | (drawn if turn else F.lit(False)))
-        stars = cut(chosen.groupBy("bucket").agg(F.collect_list(F.struct(F.col("sk").alias("a"), F.col("comp").alias("c"))).alias("stars"), F.first("size").alias("size")))
-        held = cut(join_counted(held.drop("size", "one"), stars, "bucket", "size", total))
+        if turn:  # one centre at first; then about CENTRES, drawn by hash wherever the members lie
+            members = at.join(split.select("bucket", "size"), "bucket")
+            drawn = members.where(F.pmod(F.xxhash64("sk", "bucket", F.lit(turn)), F.lit(1 << 20)) * F.col("size") < F.lit(CENTRES << 20))
+            more = cut(drawn.select("bucket", F.struct(F.col("sk").alias("a"), F.col("comp").alias("c")).alias("s"))).groupBy("bucket").agg(F.collect_set("s").alias("more"))
+            split = cut(split.join(more, "bucket", "left").select("bucket", F.array_union("stars", F.coalesce("more", F.array().cast("array<struct<a:binary,c:binary>>"))).alias("stars")))
+        held = cut(at.join(split.select("bucket", "stars"), "bucket"))
         pairs = held.select("sk", "comp", F.explode("stars").alias("s")).where("comp != s.c").select(F.least("sk", "s.a").alias("a"), F.greatest("sk", "s.a").alias("b")).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         found = cut(_confirm(pairs, sets, percent))
@@ -176,17 +175,15 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sketches = cut(_sketches(docs, id_col, text_col, percent))
     linked = near_links(docs, sketches, id_col, text_col, percent)
     with_words = sketches.where("sk IS NOT NULL").select("id", "n_shingles", "sk")
-    nodes = with_words.groupBy("sk").agg(F.min("id").alias("component_id"), F.count("*").alias("size")).withColumn("keeper", F.col("sk"))
+    nodes = with_words.groupBy("sk").agg(F.min("id").alias("component_id")).withColumn("keeper", F.col("sk"))
     if linked is not None:
         nodes = cut(nodes.join(linked.withColumnRenamed("node", "sk"), "sk", "left"))
         inside = nodes.where("comp IS NOT NULL")
         order = F.struct(F.col("component_id").isNull(), F.col("component_id"), F.col("sk"))
-        least = cut(inside.groupBy("comp").agg(F.min_by(F.struct("component_id", "sk"), order).alias("least"), F.count("*").alias("held")))
-        inside = join_counted(inside.select("sk", "size", "comp"), least, "comp", "held", inside.count())
-        inside = inside.select("sk", F.col("least.component_id").alias("component_id"), "size", F.col("least.sk").alias("keeper"))
+        least = inside.groupBy("comp").agg(F.min_by(F.struct("component_id", "sk"), order).alias("least"))
+        inside = inside.select("sk", "comp").join(cut(least), "comp").select("sk", F.col("least.component_id").alias("component_id"), F.col("least.sk").alias("keeper"))
         nodes = inside.unionByName(nodes.where("comp IS NULL").drop("comp"))
-    nodes = cut(nodes)
-    out = join_counted(with_words, nodes, "sk", "size", sketches.count())
+    out = with_words.join(cut(nodes), "sk")
     out = out.select("id", "n_shingles", "component_id", "sk", (F.col("id").eqNullSafe(F.col("component_id")) & (F.col("sk") == F.col("keeper"))).alias("stays"))
     none = sketches.where("sk IS NULL").select("id", "n_shingles", F.col("id").alias("component_id"), "sk", F.lit(True).alias("stays"))
     return out.unionByName(none).withColumnRenamed("id", id_col)
