@@ -346,7 +346,7 @@ EXPAND = BINS + f""", spots AS (SELECT b AS bin, nb AS n_bins FROM span, range((
 radius AS (SELECT a.bin, a.n_bins, coalesce((SELECT min(e) FROM range((SELECT nb FROM span)) t(e) WHERE (SELECT count(*) FROM bins x WHERE abs(x.bin - a.bin) <= e) >= {MINIMUM}), a.n_bins - 1) AS radius FROM spots a)"""
 OVERLAP = EXPAND + """, times AS (SELECT w.bin AS "window", b.bin AS bin, count(*) AS times FROM spots w JOIN radius k ON abs(k.bin - w.bin) <= 1 JOIN spots b ON abs(k.bin - b.bin) <= k.radius GROUP BY 1, 2)"""
 WINDOW = OVERLAP + """, wstat AS (SELECT t."window" AS w, c.sample, sum(t.times * value) / sum(t.times) AS m FROM cells c JOIN bins b USING (row_id) JOIN times t ON t.bin = b.bin GROUP BY 1, 2),
-centre AS (SELECT w, CASE WHEN count(*) = 12 THEN avg(m) END AS c FROM wstat GROUP BY 1),
+centre AS (SELECT w, CASE WHEN count(*) = (SELECT count(DISTINCT sample) FROM cells) THEN avg(m) END AS c FROM wstat GROUP BY 1),
 fac AS (SELECT w, sample, c / m AS f FROM wstat JOIN centre USING (w) WHERE c IS NOT NULL AND m <> 0),
 binfac AS (SELECT t.bin, sample, sum(t.times * f) / sum(t.times) AS f FROM times t JOIN fac ON t."window" = fac.w GROUP BY 1, 2)
 SELECT row_id, c.sample, round(value * f, 4) AS value FROM cells c JOIN bins b USING (row_id) LEFT JOIN binfac USING (bin, sample)"""
