@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import cut
+
 #: A table of names or of sets below this many rows is sent to all tasks; a larger one is shuffled.
 SMALL = 1_000_000
 
@@ -46,7 +48,7 @@ def overrepresented(sets: DataFrame, selected: DataFrame, background: DataFrame
     """
     from .compare import correct_p
 
-    pairs = sets.select("term", "gene").distinct()
+    selected, pairs = cut(selected), sets.select("term", "gene").distinct()
     ground = (pairs.select("gene") if background is None else background.select("gene")).distinct()
     inside = pairs.join(ground, "gene", "left_semi")
     chosen = selected.join(ground, "gene", "left_semi").select("gene", F.lit(1).alias("hit"))

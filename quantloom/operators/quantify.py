@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.storage import cut
+
 LEVELS = {"protein": "Protein", "peptide": "PeptideSequence", "precursor": "PrecursorId"}
 
 
@@ -55,10 +57,12 @@ def lfq_rows(cells: DataFrame, features: DataFrame, key: str, top_n: int = 0, mi
 
 def lfq_ratios(rows: DataFrame) -> DataFrame:
     """(key, i, j, ratio): the median of x_i - x_j over the features that both samples have. A feature gives its own
-    pairs of samples from one sorted array, without a join."""
+    pairs of samples from one array, without a join, and each pair once; the other direction is its negative."""
     one = rows.groupBy("key", "row_id").agg(F.collect_list(F.struct("sample", "value")).alias("a"))
-    pair = one.select("key", F.explode("a").alias("p"), "a").select("key", "p", F.explode("a").alias("q")).where("p.sample != q.sample")
-    return pair.groupBy("key", F.col("p.sample").alias("i"), F.col("q.sample").alias("j")).agg(F.median(F.col("p.value") - F.col("q.value")).alias("ratio"))
+    pair = one.select("key", F.explode("a").alias("p"), "a").select("key", "p", F.explode(F.filter("a", lambda q: q["sample"] > F.col("p.sample"))).alias("q"))
+    half = pair.groupBy("key", F.col("p.sample").alias("i"), F.col("q.sample").alias("j")).agg(F.median(F.col("p.value") - F.col("q.value")).alias("ratio"))
+    both = F.array(F.struct("i", "j", "ratio"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), (-F.col("ratio")).alias("ratio")))
+    return half.select("key", F.explode(both).alias("x")).select("key", "x.i", "x.j", "x.ratio")
 
 
 def lfq_graph(rows: DataFrame, order: DataFrame) -> DataFrame:
@@ -85,7 +89,7 @@ def maxlfq(cells: DataFrame, features: DataFrame, samples: DataFrame, level: str
     """
     key = level_column(features, level)
     order = samples.select("sample", F.col("sample_ord").cast("int").alias("sample_ord"))
-    rows = lfq_rows(cells, features, key, top_n, minimum_subgroups)
+    rows = cut(lfq_rows(cells, features, key, top_n, minimum_subgroups))  # read by each step below
     graph = lfq_graph(rows, order)
     ratios = lfq_ratios(rows).join(F.broadcast(order.select(F.col("sample").alias("j"), F.col("sample_ord").alias("jo"))), "j")
     inside = graph.join(ratios, (graph["key"] == ratios["key"]) & (graph["sample"] == ratios["i"]), "left").select(graph["key"], "sample", "seed", "members", F.when(F.array_contains("members", F.col("jo")), F.col("ratio")).alias("ratio"))

@@ -650,7 +650,7 @@ def cluster_mindist(spark, d):
 def cluster_cutoff(spark, d):
     cells = fx.embedding_matrix(spark, d).cells
     near = cluster.nearest(cluster.spearman(cells))
-    return rounded(cluster.cutoff(near, cluster.nearest(cluster.spearman(decoys.decoy_shuffle(cells))), 0.4))
+    return rounded(cluster.cutoff(near, cluster.nearest(cluster.spearman(decoys.decoy_shuffle(cells))), 0.9))
 
 
 @query("cluster_ward")
