@@ -99,16 +99,16 @@ def join_counted(big: DataFrame, small: DataFrame, key: str, size: str, total: i
 def connected(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node that can be reached over edges (a, b); nodes without edges are left out.
 
-    Smallest labels go over the edges and labels are followed to their own label, until nothing changes. Each round
-    is kept in the shared folder; only whether something changed reaches the driver. The joins are plain ones, so that
-    adaptive execution splits the partitions of labels that many nodes have.
+    In each round a node takes the smallest label of its neighbours and of its own label, until nothing changes: one
+    join and one aggregate, kept in the shared folder; only whether something changed reaches the driver. The join is
+    a plain one, so that adaptive execution splits the partitions of labels that many nodes have.
     """
-    both = cut(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a")).distinct())
+    both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
     lab = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")))
     while True:
-        near = both.join(lab.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("n"))
-        step = lab.join(lab.select(F.col("u").alias("l"), F.col("l").alias("up")), "l").join(near, "u", "left")
-        new = cut(step.select("u", F.least("l", "n", "up").alias("l"), (F.least("l", "n", "up") != F.col("l")).alias("new")))
+        paths = both.select("u", "v", F.lit(None).cast(lab.schema["l"].dataType).alias("old")).union(lab.select("u", F.col("l").alias("v"), F.col("l").alias("old")))
+        step = paths.join(lab.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("l"), F.max("old").alias("old"))
+        new = cut(step.select("u", "l", (F.col("l") != F.col("old")).alias("new")))
         lab = new.drop("new")
         if not new.where("new").limit(1).count():
             return lab.select(F.col("u").alias("node"), F.col("l").alias("comp"))

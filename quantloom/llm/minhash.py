@@ -145,7 +145,7 @@ def near_links(docs: DataFrame, sketches: DataFrame, id_col: str, text_col: str,
     some = docs.join(wanted.select(F.col("id").alias("__near_id")).distinct(), F.col(f"`{id_col}`").eqNullSafe(F.col("__near_id")), "left_semi")
     sets = cut(_sets(some, id_col, text_col).join(live.select("sk").distinct(), "sk", "left_semi").dropDuplicates(["sk"]))
 
-    edges, comps, tested, turn = None, None, None, 0
+    edges, comps, turn = None, None, 0
     while True:
         at = live.withColumn("comp", F.col("sk")) if comps is None else cut(live.join(comps, "sk", "left").withColumn("comp", F.coalesce("comp", "sk")))
         split = at.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("sk", F.lit(turn)), "sk", "comp")).alias("one")).where("lo != hi")
@@ -159,13 +159,11 @@ def near_links(docs: DataFrame, sketches: DataFrame, id_col: str, text_col: str,
             split = cut(split.join(more, "bucket", "left").select("bucket", F.array_union("stars", F.coalesce("more", F.array().cast("array<struct<a:binary,c:binary>>"))).alias("stars")))
         held = cut(at.join(split.select("bucket", "stars"), "bucket"))
         pairs = held.select("sk", "comp", F.explode("stars").alias("s")).where("comp != s.c").select(F.least("sk", "s.a").alias("a"), F.greatest("sk", "s.a").alias("b")).distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         found = cut(_confirm(pairs, sets, percent))
-        tested = pairs if tested is None else cut(tested.union(pairs))
         live, turn = held.where(~F.exists("stars", lambda x: x["a"] == F.col("sk"))).select("sk", "bucket"), turn + 1
         if found.limit(1).count():
-            edges = found if edges is None else cut(edges.union(found))
-            comps = cut(connected(edges).withColumnRenamed("node", "sk"))
+            edges = found if edges is None else edges.union(found)
+            comps = connected(edges).withColumnRenamed("node", "sk")
     return None if comps is None else comps.withColumnRenamed("sk", "node")
 
 
