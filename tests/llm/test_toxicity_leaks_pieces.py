@@ -38,7 +38,7 @@ def test_toxicity_on_planted_words(spark):
     assert all(r.predicted == 0 for r in got if r.doc_id in (901, 902, 903))
     kept = drop_toxic(docs, marks)
     assert kept.columns == docs.columns and kept.count() == sum(1 - r.predicted for r in got)
-    assert toxicity_scores(docs, marks.limit(0)).select("score").distinct().collect()[0][0] == 0.5
+    assert toxicity_scores(docs, marks.limit(0)).where("score >= 0.01").count() == 0
     assert toxicity_scores(docs.limit(0), marks).count() == 0
 
 
