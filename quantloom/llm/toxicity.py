@@ -3,9 +3,10 @@
 An expression is a word, read letter by letter: each class has a Kneser-Ney model over the tree of word beginnings,
 counted in distinct training texts. Both classes back off to the same distribution, taken from the counts of both,
 with one absolute discount; what a class has seen no more than the discount is thus left to the shared counts, and
-moves a score in neither direction. A text's score compares the two log-likelihoods word by word, less the text's
-own median (which takes out what subject or language alone add), and averages what exceeds TAIL nats over the
-text's length. A logistic curve, fitted on training rows that the counts don't include, makes it a probability.
+moves a score in neither direction. A text's evidence is the logarithm of the POWER mean of its words' likelihood
+ratios, over all its words: nothing in the text itself is subtracted, so its own toxic words can't hide one another. A
+logistic curve, fitted on training rows that the counts don't include, makes it a probability; its offset holds what
+ordinary texts have on average.
 
 Counting, and what is shuffled for it, covers all training rows. The discount is at least DISCOUNT and at least one
 in MODEL_ROWS of all counted (text, word) pairs, so that at most DEPTH * MODEL_ROWS beginnings exceed it: these are
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import WORDS, columns_of, cut, fold, spread
 
-DEPTH, DISCOUNT, TAIL, FLOOR = 12, 3, 3.0, 0.002
+DEPTH, DISCOUNT, POWER = 12, 3, 1.5
 MODEL_ROWS, CURVE_ROWS = 1_000_000, 50_000
 THRESHOLD = 0.3
 
@@ -119,12 +120,12 @@ class Scorer:
                 if w not in seen:
                     seen[w] = self.word(w)
             v = np.fromiter(map(seen.__getitem__, words), np.float64, len(words))
-        return float(np.maximum(v - np.median(v) - TAIL, 0).mean())
+        return float(np.log(np.exp(POWER * v).mean())) / POWER
 
 
 def curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, float]:
-    """Slope and offset of a logistic curve over log(FLOOR + x), by Newton's method."""
-    a = np.stack([np.log(FLOOR + x) - np.log(FLOOR), np.ones_like(x)], 1)
+    """Slope and offset of a logistic curve over x, by Newton's method."""
+    a = np.stack([x, np.ones_like(x)], 1)
     c, hold = np.zeros(2), np.array([ridge, 1e-3])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ c, -30, 30)))
@@ -153,8 +154,7 @@ class Toxicity:
         return value(text)
 
     def score(self, text: F.Column) -> F.Column:
-        x = F.ln(self.evidence(text) + F.lit(FLOOR)) - F.lit(float(np.log(FLOOR)))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-(x * self.slope + self.offset)))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-(self.evidence(text) * self.slope + self.offset)))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id") -> Toxicity:

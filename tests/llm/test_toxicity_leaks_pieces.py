@@ -42,6 +42,14 @@ def test_toxicity_on_planted_words(spark):
     assert toxicity_scores(docs.limit(0), marks).count() == 0
 
 
+def test_texts_of_nothing_but_toxic_words_are_toxic(spark):
+    rows, labels = planted(random.Random(1), 800)
+    texts = {901: "nasty", 902: "vile nasty", 903: "foul vile nasty", 904: "w1x nasty w2x", 905: "", 906: "w1x", 907: "w1x w2x w3x"}
+    docs = spark.createDataFrame(rows + [(i, t, "t", 1.5, 7, 0) for i, t in texts.items()], "doc_id long, text string, y string, score double, h int, predicted int")
+    got = {r.doc_id: r.predicted for r in toxicity_scores(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).where("doc_id > 900").collect()}
+    assert got == {901: 1, 902: 1, 903: 1, 904: 1, 905: 0, 906: 0, 907: 0}
+
+
 def test_toxicity_query_on_held_out_rows(spark):
     got = op1_toxicity(spark, D).join(spark.read.parquet(f"{D}/labels.parquet"), "doc_id").where("held_out").collect()
     hit = sum(r.predicted and r.toxic for r in got)
