@@ -1,22 +1,22 @@
 """Toxicity by class-conditional Kneser-Ney models of expressions.
 
-An expression is a word, read letter by letter: each class has a Kneser-Ney model over the tree of word beginnings,
-counted in distinct training texts. Both classes back off to the same distribution, taken from the counts of both,
-with one absolute discount; what a class has seen no more than the discount is thus left to the shared counts, and
-moves a score in neither direction. A text's evidence is the logarithm of the POWER mean of its words' likelihood
-ratios, over all its words: nothing in the text itself is subtracted, so its own toxic words can't hide one another. A
-logistic curve, fitted on training rows that the counts don't include, makes it a probability; its offset holds what
-ordinary texts have on average.
-
-Counting, and what is shuffled for it, covers all training rows. The discount is at least DISCOUNT and at least one
-in MODEL_ROWS of all counted (text, word) pairs, so that at most DEPTH * MODEL_ROWS beginnings exceed it: these are
-what is broadcast. The curve is fitted on at most CURVE_ROWS rows.
+An expression is a word, read letter by letter: each class has a model over the tree of word beginnings, counted in
+distinct training texts. In every node the discounts for counts of one, two, and three or more (estimated from counts
+of counts, so below the count and independent of the input's size) are given to a distribution that both classes
+share, taken from the counts of both. Letters that neither class has seen there say nothing. Every counted beginning is kept, whole words and single occurrences too. A
+text's evidence is the logarithm of the mean of its words' likelihood ratios, over all its words, less the mean
+evidence of ordinary labelled texts of its language (of all of them where there is no language); nothing in the text
+itself is subtracted, so its own toxic words can't hide one another. A logistic curve over the excess makes it a probability. Language
+means and curve are fitted on all labelled rows of fold 3, which the counts don't include.
+
+The HOT most frequent beginnings are broadcast, which settles most words at once; words that the broadcast beginnings
+don't settle are joined with the others. HOT moves work between the two and changes no score.
 
 Defined cases: null and empty texts have no words and get the curve's value for no evidence; rows are neither
 merged nor dropped; with labelled training rows of one class only every score is that class, and with none at all
 every score is 0, since nothing is known to be toxic; a
 document with several labels counts as toxic if one of them says so, null labels don't count; null ids are training
-rows that no label can name; other columns aren't read.
+rows that no label can name; of the other columns only the language is read, if there is one.
 """
 
 from __future__ import annotations
@@ -28,21 +28,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, columns_of, cut, fold, spread
+from .common import WORDS, columns_of, cut, fold, mix64
 
-DEPTH, DISCOUNT, POWER = 12, 3, 1.5
-MODEL_ROWS, CURVE_ROWS = 1_000_000, 50_000
-THRESHOLD = 0.3
+FLOOR, THRESHOLD = 0.05, 0.3
+HOT, SHRINK, BIN = 500_000, 5, 0.01
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(WORDS).split()
 
 
-def beginnings(word: bytes) -> list[bytes]:
-    """The path of a word in the tree; a space ends it where it is shorter than DEPTH."""
-    full = (word + b" ")[:DEPTH]
-    return [full[:i] for i in range(1, len(full) + 1)]
+def nodes_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes on the words' paths, one after another, and where each word's begin (and the last ends).
+
+    A node is 64 bits over a beginning's bytes and their places; a space ends each word.
+    """
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    start = np.concatenate([[0], np.cumsum(size)])
+    letters = np.frombuffer(b" ".join([*words, b""]), np.uint8).astype(np.uint64)
+    place = (np.arange(start[-1]) - np.repeat(start[:-1], size)).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64((place << np.uint64(8)) + letters + np.uint64(1)))])
+        return mix64(total[1:] - np.repeat(total[start[:-1]], size) + place).view(np.int64), start
 
 
 def count_words(train: DataFrame) -> DataFrame:
@@ -61,138 +68,186 @@ def count_words(train: DataFrame) -> DataFrame:
     return out.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def tree(words: DataFrame, discount: float) -> DataFrame:
-    """(node, t, o, lt, lo): the counts of each beginning that exceeds the discount in a class, and how much of the
-    counts of what follows it the discount takes away, by class."""
-    full = F.substring(F.concat("word", F.lit(b" ")), 1, DEPTH)
-    steps = words.select(F.explode(F.transform(F.sequence(F.lit(1), F.length(full)), lambda i: F.substring(full, F.lit(1), i))).alias("node"), "toxic", "ordinary")
-    counts = cut(steps.groupBy("node").agg(F.sum("toxic").alias("t"), F.sum("ordinary").alias("o")))
-    most = F.lit(float(discount))
-    below = counts.groupBy(F.expr("substring(node, 1, length(node) - 1)").alias("node")).agg(F.sum(F.least("t", most)).alias("lt"), F.sum(F.least("o", most)).alias("lo"), F.sum("t").alias("st"), F.sum("o").alias("so"), F.sum(F.col("t") + F.col("o")).alias("s"))
-    kept = counts.where((F.col("t") > most) | (F.col("o") > most))
-    root = below.where(F.length("node") == 0).select("node", F.col("st").alias("t"), F.col("so").alias("o"))
-    return kept.unionByName(root).join(below.select("node", "lt", "lo", "s"), "node", "left")
-
-
-def evidence(nodes: list, discount: float) -> dict[bytes, tuple[float, float]]:
-    """node -> (log-likelihood ratio of its path, what leaving the tree below it adds)."""
-    at, out = {bytes(r[0]): r for r in nodes}, {}
-
-    def share(count: float, taken: float, total: float, shared: float) -> float:
-        return (max(count - discount, 0.0) + taken * shared) / total if total else shared
-
-    for g in sorted(at, key=len):
-        _, t, o, lt, lo, _ = at[g]
-        miss = float(np.log((lt / t if t else 1.0) / (lo / o if o else 1.0))) if (lt or 0) and (lo or 0) else 0.0
-        if not g:
-            out[g] = (0.0, miss)
-            continue
-        _, pt, po, plt, plo, s = at[g[:-1]]  # a beginning of what exceeds the discount exceeds it too
-        shared = (t + o) / s
-        out[g] = (out[g[:-1]][0] + float(np.log(share(t, plt, pt, shared) / share(o, plo, po, shared))), miss)
-    return out
-
-
-class Scorer:
-    """A text's evidence, with the words' values remembered up to `limit` of them."""
-
-    def __init__(self, model: dict[bytes, tuple[float, float]], limit: int = 300_000):
-        self.model, self.limit, self.seen = model, limit, {}
-
-    def word(self, w: bytes) -> float:
-        here = self.model.get(b"", (0.0, 0.0))
-        for g in beginnings(w):
-            if (below := self.model.get(g)) is None:
-                return here[0] + here[1]
-            here = below
-        return here[0]
-
-    def evidence(self, text: str | None) -> float:
-        words, seen = words_of(text), self.seen
+def discounts(n: list[int]) -> list[float]:
+    """The discounts of counts of one, two, and three or more; n has how many words have counts of 1 to 4."""
+    y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.5
+    return [min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k) if n[k - 1] else y for k in (1, 2, 3)]
+
+
+def tree(words: DataFrame, most: dict[str, list[float]]) -> DataFrame:
+    """(node, delta, n): of each beginning the log-likelihood ratio of its last letter, and its count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in columns_of(batches, rows=50_000, size=1 << 20):
+            node, start = nodes_of(b.column(0).to_pylist())
+            above = np.concatenate([[0], node[:-1]])
+            above[start[:-1]] = 0
+            size = np.diff(start)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(above), *[pa.array(np.repeat(b.column(i).to_numpy(), size)) for i in (1, 2)]], ["node", "above", "t", "o"])
+
+    steps = words.select("word", "toxic", "ordinary").mapInArrow(run, "node long, above long, t long, o long")
+    counts = cut(steps.groupBy("node", "above").agg(F.sum("t").alias("t"), F.sum("o").alias("o")))
+
+    def taken(c: str) -> F.Column:
+        d = most[c]
+        return F.when(F.col(c) < 1, 0.0).when(F.col(c) == 1, d[0]).when(F.col(c) == 2, d[1]).otherwise(d[2])
+
+    below = counts.groupBy("above").agg(F.sum("t").alias("st"), F.sum("o").alias("so"), F.sum(taken("t")).alias("lt"), F.sum(taken("o")).alias("lo"))
+    left = lambda c: F.when(F.col(f"s{c}") > 0, F.col(f"l{c}") / F.col(f"s{c}")).otherwise(1.0)
+    below = cut(below.select("above", "st", "so", left("t").alias("lt"), left("o").alias("lo")))
+    both = (F.col("t") + F.col("o")) / (F.col("st") + F.col("so"))
+    share = lambda c: F.when(F.col(f"s{c}") > 0, (F.col(c) - taken(c)) / F.col(f"s{c}")).otherwise(0.0) + F.col(f"l{c}") * both
+    return cut(counts.join(below, "above").select("node", F.ln(share("t") / share("o")).alias("delta"), (F.col("t") + F.col("o")).alias("n")))
+
+
+class Hot:
+    """The broadcast beginnings, closed under shortening."""
+
+    def __init__(self, node: np.ndarray, delta: np.ndarray, whole: bool):
+        order = np.argsort(node)
+        # a sentinel, so that there is always one
+        self.node, self.delta, self.whole = np.append(node[order], np.iinfo(np.int64).max), np.append(delta[order], 0.0), whole
+
+    def look(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word the value of the broadcast part of its path, whether that settles it, and how many letters
+        the part has; then nodes_of(words)."""
+        node, start = nodes_of(words)
         if not words:
-            return 0.0
-        try:
-            v = np.fromiter(map(seen.__getitem__, words), np.float64, len(words))
-        except KeyError:
-            if len(seen) > self.limit:
-                seen.clear()
-            for w in set(words):
-                if w not in seen:
-                    seen[w] = self.word(w)
-            v = np.fromiter(map(seen.__getitem__, words), np.float64, len(words))
-        return float(np.log(np.exp(POWER * v).mean())) / POWER
-
-
-def curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> tuple[float, float]:
-    """Slope and offset of a logistic curve over x, by Newton's method."""
+            return np.zeros(0), np.zeros(0, bool), np.zeros(0, np.int64), node, start
+        at = np.minimum(np.searchsorted(self.node, node), len(self.node) - 1)
+        here = self.node[at] == node
+        size = np.diff(start)
+        # the path goes on until the first beginning that isn't there
+        gone = np.where(here, np.iinfo(np.int64).max, np.arange(len(node)) - np.repeat(start[:-1], size))
+        depth = np.minimum(np.minimum.reduceat(gone, start[:-1]), size)
+        on = np.arange(len(node)) - np.repeat(start[:-1], size) < np.repeat(depth, size)
+        value = np.add.reduceat(np.where(on, self.delta[at], 0.0), start[:-1])
+        return value, (depth == size) | self.whole, depth, node, start
+
+
+def measure(docs: DataFrame, model: DataFrame, hot: int = HOT) -> DataFrame:
+    """docs (..., text) with `e` in place of text: the evidence, null where there are no words."""
+    sc, keep = docs.sparkSession.sparkContext, [c for c in docs.columns if c != "text"]
+    # counts fall along a path, so all beginnings from some count on are closed under shortening
+    size = F.floor(F.log2("n") * 8)
+    high, room, least = model.groupBy(size.alias("n")).count().orderBy(F.desc("n")).collect(), hot, None
+    for r in high:
+        if (room := room - r["count"]) < 0:
+            break
+        least = r["n"]
+    is_hot = size >= least if least is not None else F.lit(False)
+    top = model.where(is_hot).select("node", "delta").toArrow()
+    given = sc.broadcast(Hot(*[top.column(i).to_numpy() for i in range(2)], whole=room >= 0))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in columns_of(batches):
+            ids: dict[bytes, int] = {}
+            rows = [[ids.setdefault(w, len(ids)) for w in words_of(t)] for t in b.column(b.num_columns - 1).to_pylist()]
+            words = list(ids)
+            value, done = given.value.look(words)[:2]
+            e, n, s, far, times = np.exp(value), [], [], [], []
+            for x in rows:
+                i, k = np.unique(np.array(x, np.int64), return_counts=True)
+                n.append(len(x))
+                s.append(float(e[i] @ k))
+                open_ = ~done[i]
+                far.append([words[j] for j in i[open_]])
+                times.append(k[open_].tolist())
+            more = [pa.array(n, pa.int64()), pa.array(s, pa.float64()), pa.array(far, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *more], [*keep, "_n", "_s", "_far", "_times"])
+
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    seen = docs.select(*[F.col(f"`{c}`") for c in keep], "text").mapInArrow(read, f"{types}, _n long, _s double, _far array<binary>, _times array<long>")
+    mean = lambda s: F.when(F.col("_n") > 0, F.ln(s / F.col("_n"))).alias("e")
+    if room >= 0:
+        return seen.select(*[F.col(f"`{c}`") for c in keep], mean(F.col("_s")))
+    seen = cut(seen.withColumn("_row", F.monotonically_increasing_id()))
+    pairs = seen.select("_row", F.explode(F.arrays_zip("_far", "_times")).alias("x")).select("_row", F.col("x._far").alias("word"), F.col("x._times").alias("times"))
+
+    def deeper(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in columns_of(batches, rows=50_000, size=1 << 20):
+            value, _, depth, node, start = given.value.look(b.column(1).to_pylist())
+            size, at = np.diff(start), np.arange(len(node))
+            on = at - np.repeat(start[:-1], size) >= np.repeat(depth, size)
+            spread = lambda x: pa.array(np.repeat(x, size)[on])  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([spread(b.column(0).to_numpy()), pa.array(node[on]), spread(value)], ["w", "node", "value"])
+
+    far = pairs.select("word").distinct().select(F.xxhash64("word").alias("w"), "word")
+    steps = far.mapInArrow(deeper, "w long, node long, value double")
+    found = steps.join(model.where(~is_hot).select("node", "delta"), "node")
+    more = found.groupBy("w").agg(F.first("value").alias("value"), F.sum("delta").alias("d")).select("w", (F.exp(F.col("value") + F.col("d")) - F.exp("value")).alias("more"))
+    sums = pairs.select("_row", F.xxhash64("word").alias("w"), "times").join(more, "w").groupBy("_row").agg(F.sum(F.col("more") * F.col("times")).alias("_more"))
+    out = seen.drop("_far", "_times").join(sums, "_row", "left")
+    # what rounding takes must not make a sum of positive terms negative
+    return out.select(*[F.col(f"`{c}`") for c in keep], mean(F.greatest(F.col("_s") + F.coalesce("_more", F.lit(0.0)), F.lit(1e-300))))
+
+
+def curve(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 0.1) -> tuple[float, float]:
+    """Slope and offset of a logistic curve over x, y of n rows being toxic, by Newton's method."""
     a = np.stack([x, np.ones_like(x)], 1)
     c, hold = np.zeros(2), np.array([ridge, 1e-3])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a @ c, -30, 30)))
-        step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(hold), a.T @ (y - p) - hold * c)
+        step = np.linalg.solve((a * (n * p * (1 - p))[:, None]).T @ a + np.diag(hold), a.T @ (y - n * p) - hold * c)
         c = c + step
         if np.abs(step).max() < 1e-9:
             break
     return float(c[0]), float(c[1])
 
 
-class Toxicity:
-    """A fitted model. score(column) is a column of probabilities."""
-
-    def __init__(self, spark, model: dict[bytes, tuple[float, float]]):
-        self.model, self.slope, self.offset = spark.sparkContext.broadcast(model), 0.0, 0.0
-
-    def evidence(self, text: F.Column) -> F.Column:
-        model = self.model
+def lang_of(docs: DataFrame, lang_col: str = "lang") -> F.Column:
+    return F.col(f"`{lang_col}`").cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
 
-        @F.arrow_udf("double")
-        def value(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            scorer = Scorer(model.value)
-            for t in texts:
-                yield pa.array(np.fromiter((scorer.evidence(t[i].as_py()) for i in range(len(t))), np.float64, len(t)))
 
-        return value(text)
+def key_of(docs: DataFrame, text_col: str) -> tuple[F.Column, F.Column]:
+    """Two hashes of what a score depends on."""
+    x = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.coalesce(F.concat(F.lit("l"), lang_of(docs)), F.lit(""))
+    return F.xxhash64(*x), F.hash(*x)
 
-    def score(self, text: F.Column) -> F.Column:
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-(self.evidence(text) * self.slope + self.offset)))
 
+def scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str = "toxic", label_id: str = "doc_id", hot: int = HOT) -> DataFrame:
+    """(id, a, b, score), a row per row of docs; a and b as in key_of.
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", label_id: str = "doc_id") -> Toxicity:
-    """Counts from the labelled rows of folds 0 and 1, the curve from those of fold 3; fold 2 is held out."""
-    spark = docs.sparkSession
+    Counts come from the labelled rows of folds 0 and 1, language means and curve from those of fold 3; fold 2 is held
+    out.
+    """
     given = labels.where(F.col(f"`{label_col}`").isNotNull()).groupBy(F.col(f"`{label_id}`").alias("id")).agg((F.max(F.col(f"`{label_col}`").cast("int")) > 0).cast("int").alias("y"))
-    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    a, b = key_of(docs, text_col)
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), a.alias("a"), b.alias("b"), lang_of(docs).alias("lang"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     # of equal texts one counts: copies of a text say nothing more about its words
     first = rows.where(fold("id") < 2).select("id", F.xxhash64("text").alias("h")).join(given, "id").groupBy("h").agg(F.min(F.struct("id", "y")).alias("x"))
     chosen = cut(first.select("x.*"))
     words = cut(count_words(rows.where(fold("id") < 2).join(chosen, "id")))
-    total = words.agg(F.sum("toxic"), F.sum("ordinary"), F.sum(F.col("toxic") + F.col("ordinary"))).first()
+    few = [F.count_if(F.col(c) == k) for c in ("toxic", "ordinary") for k in (1, 2, 3, 4)]
+    total = words.agg(F.sum("toxic"), F.sum("ordinary"), *few).first()
     if not total[0] or not total[1]:
-        out = Toxicity(spark, {})
         n = chosen.agg(F.sum("y"), F.count("*")).first()
-        out.offset = 0.0 if n[0] and n[0] < n[1] else 30.0 if n[0] else -30.0
-        return out
-    discount = max(float(DISCOUNT), total[2] / MODEL_ROWS)
-    out = Toxicity(spark, evidence(tree(words, discount).collect(), discount))
-    seen = rows.where(fold("id") == 3).select("id", out.evidence(F.col("text")).alias("e")).join(given, "id")
-    sample = seen.orderBy(F.xxhash64("id"), "id", "e").limit(CURVE_ROWS).select("e", "y").toPandas()
-    y = sample["y"].to_numpy(float)
-    if len(y) and 0 < y.sum() < len(y):
-        out.slope, out.offset = curve(sample["e"].to_numpy(float), y)
-    else:  # too few labels for a curve: one in which weak evidence already counts
-        out.slope, out.offset = 2.0, -4.0
-    return out
-
-
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+        offset = 0.0 if n[0] and n[0] < n[1] else 30.0 if n[0] else -30.0
+        return rows.select("id", "a", "b", F.lit(float(1 / (1 + np.exp(-offset)))).alias("score"))
+    model = tree(words, {"t": discounts(total[2:6]), "o": discounts(total[6:10])})
+    seen = cut(measure(rows, model, hot))
+    known = cut(seen.where(fold("id") == 3).join(given, "id").select("lang", "e", "y"))
+    usual = known.where("y = 0 AND e IS NOT NULL")
+    middle = usual.agg(F.avg("e")).first()[0] or 0.0
+    means = F.broadcast(cut(usual.where("lang IS NOT NULL").groupBy("lang").agg(((F.sum("e") + SHRINK * middle) / (F.count("*") + SHRINK)).alias("usual"))))
+    # what the mean ratio exceeds the usual one by, as a logarithm from FLOOR on
+    less = F.coalesce(F.ln(F.greatest(F.expm1(F.col("e") - F.coalesce("usual", F.lit(middle))), F.lit(0.0)) / FLOOR + 1.0), F.lit(0.0))
+    bins = known.join(means, "lang", "left").groupBy(F.round(less / BIN).alias("x")).agg(F.sum("y").alias("y"), F.count("*").alias("n")).toPandas()
+    slope, offset = 2.0, -4.0  # for too few labels: a curve in which weak evidence already counts
+    if 0 < bins["y"].sum() < bins["n"].sum():
+        slope, offset = curve(*[bins[c].to_numpy(float) * f for c, f in (("x", BIN), ("y", 1), ("n", 1))])
+    score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(less * slope + offset)))
+    return seen.join(means, "lang", "left").select("id", "a", "b", score.alias("score"))
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
     """One row per input row: id, held_out, score, predicted."""
-    model = fit_toxicity(docs, labels, id_col, text_col)
-    rows = spread(docs, id_col, text_col)
-    out = rows.select(F.col(f"`{id_col}`").alias("id"), (fold(id_col) == 2).alias("held_out"), model.score(F.col(f"`{text_col}`")).alias("score"))
-    return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    out = scored(docs, labels, id_col, text_col, hot=hot)
+    return out.select(F.col("id").alias(id_col), (fold("id") == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns."""
-    model = fit_toxicity(docs, labels, id_col, text_col)
-    return docs.where(model.score(F.col(f"`{text_col}`")) < threshold)
+    bad = scored(docs, labels, id_col, text_col).where(F.col("score") >= threshold).select(F.col("a").alias("_bad_a"), F.col("b").alias("_bad_b")).distinct()
+    a, b = key_of(docs, text_col)
+    return docs.join(bad, (a == F.col("_bad_a")) & (b == F.col("_bad_b")), "left_anti")

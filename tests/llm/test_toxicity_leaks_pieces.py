@@ -1,3 +1,4 @@
+import math
 import random
 from collections import Counter
 
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from quantloom.llm.decontaminate import budget, drop_contaminated, find_matches, myers, words_of
 from quantloom.llm.piece_sampling import Lattice, decode, encode, encode_and_check
 from quantloom.llm.queries import op1_toxicity, op9_decontamination
-from quantloom.llm.toxicity import drop_toxic, toxicity_scores
+from quantloom.llm.toxicity import discounts, drop_toxic, measure, toxicity_scores, tree
 
 D = "/root/testdata/sf0.01"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -50,6 +51,47 @@ def test_texts_of_nothing_but_toxic_words_are_toxic(spark):
     assert got == {901: 1, 902: 1, 903: 1, 904: 1, 905: 0, 906: 0, 907: 0}
 
 
+def test_evidence_against_every_beginning(spark):
+    """Values by the definition; how many beginnings are broadcast changes none, and single occurrences count."""
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choice("abé") for _ in range(rng.randrange(1, 7))) for _ in range(80)] + ["long" * 30 + "er", "long" * 30 + "est"]
+    counts = {w: (rng.randrange(3), rng.randrange(5)) for w in vocabulary} | {"rare": (1, 0), "common": (0, 9)}
+    counts = {w: n for w, n in counts.items() if sum(n)}
+    most = {"t": discounts([9, 4, 2, 1]), "o": discounts([12, 5, 3, 3])}
+    at, kids = {}, {}
+    for w, n in counts.items():
+        g = w.encode() + b" "
+        for k in range(len(g) + 1):
+            at[g[:k]] = [a + b for a, b in zip(at.get(g[:k], (0, 0)), n, strict=True)]
+            if k:
+                kids.setdefault(g[: k - 1], set()).add(g[:k])
+    taken = lambda c, x: most["to"[c]][min(x, 3) - 1] if x else 0.0
+    left = lambda g, c: sum(taken(c, at[h][c]) for h in kids[g]) / at[g][c] if at[g][c] else 1.0
+
+    def value(w):
+        out, g = 0.0, b""
+        for k in range(1, len(w) + 2):
+            h = (w + b" ")[:k]
+            if h not in at:
+                return out
+            p = [((at[h][c] - taken(c, at[h][c])) / at[g][c] if at[g][c] else 0.0) + left(g, c) * sum(at[h]) / sum(at[g]) for c in (0, 1)]
+            out, g = out + math.log(p[0] / p[1]), h
+        return out
+
+    words = spark.createDataFrame([(w.encode(), *n) for w, n in counts.items()], "word binary, toxic long, ordinary long")
+    texts = ["", "rare", "zzz rare", "common common rar rarer", "long" * 30, *[" ".join(rng.choice([*vocabulary, "abab", "xé", "a"]) for _ in range(rng.randrange(1, 30))) for _ in range(60)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i long, text string").repartition(3)
+    model = tree(words, most)
+    assert model.count() == len(at) - 1
+    for hot in (0, 40, 10**6):
+        got = {r.i: r.e for r in measure(docs, model, hot).collect()}
+        assert len(got) == len(texts) and got[0] is None
+        for i, t in enumerate(texts[1:], 1):
+            v = [value(w) for w in t.encode().split()]
+            assert abs(got[i] - math.log(sum(map(math.exp, v)) / len(v))) < 1e-9
+    assert got[1] > 1
+
+
 def test_toxicity_query_on_held_out_rows(spark):
     got = op1_toxicity(spark, D).join(spark.read.parquet(f"{D}/labels.parquet"), "doc_id").where("held_out").collect()
     hit = sum(r.predicted and r.toxic for r in got)
