@@ -21,15 +21,20 @@ MASK64 = (1 << 64) - 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset."""
+    """The folder of spark.checkpoint.dir, which driver and executors share. Where it is unset, a temporary one on a
+    local master and an error on any other."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quantloom-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not sc.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="quantloom-"))
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the shared folder; Spark removes the files once the frame is no longer used."""
+    """df, computed once and kept in the shared folder. Spark removes the files once the frame is no longer used if
+    spark.cleaner.referenceTracking.cleanCheckpoints is set; else they stay."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
@@ -99,16 +104,28 @@ def join_counted(big: DataFrame, small: DataFrame, key: str, size: str, total: i
 def connected(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node that can be reached over edges (a, b); nodes without edges are left out.
 
-    In each round a node takes the smallest label of its neighbours and of its own label, until nothing changes: one
-    join and one aggregate, kept in the shared folder; only whether something changed reaches the driver. The join is
-    a plain one, so that adaptive execution splits the partitions of labels that many nodes have.
+    A node takes the smallest label of its neighbours, twice a round, until nothing changes: a label never grows, since
+    a neighbour's neighbours hold the node itself. Each round is kept in the shared folder; only whether something
+    changed reaches the driver. The joins are plain ones, so that adaptive execution splits the partitions of labels
+    that many nodes have. edges should be cut.
     """
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select("b", "a"))
     lab = cut(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("l")))
+    hop = lambda x: both.join(x.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("l"))
     while True:
-        paths = both.select("u", "v", F.lit(None).cast(lab.schema["l"].dataType).alias("old")).union(lab.select("u", F.col("l").alias("v"), F.col("l").alias("old")))
-        step = paths.join(lab.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("l"), F.max("old").alias("old"))
-        new = cut(step.select("u", "l", (F.col("l") != F.col("old")).alias("new")))
-        lab = new.drop("new")
-        if not new.where("new").limit(1).count():
+        one = hop(lab)
+        new = cut(hop(one).join(one.select("u", F.col("l").alias("old")), "u"))
+        lab = new.drop("old")
+        if new.where("l != old").isEmpty():
             return lab.select(F.col("u").alias("node"), F.col("l").alias("comp"))
+
+
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """n names that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    while len(out) < n:
+        name = f"_own{len(out)}"
+        while name in taken:
+            name += "_"
+        out.append(name)
+    return out

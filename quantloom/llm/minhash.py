@@ -9,29 +9,31 @@ In each round every bucket has a centre (after the first round about CENTRES of
 (centre, member) pairs become candidates; they are confirmed on the full sets. A centre then leaves its bucket, since
 all its pairs there are decided. Members that are already in one component need no pair. Rounds go on until no bucket
 holds two components, so no link that a bucket offers is lost, and a group of near copies takes about as many pairs
-as it has members.
+as it has members. From the first round on links are kept between components only, so each round's graph holds one
+node a component and is merged into the labels that there are.
 
 Defined cases: null texts and texts without words have no shingles, size 0, and are linked with nothing; repeated
 rows and repeated ids are rows of their own; a null id is larger than any other; of a component the row with the
-smallest id is kept, and of repeated rows with that id one; an empty table gives an empty result; other columns are
-carried by drop_near_duplicates and never read otherwise.
+smallest id is kept, and of repeated rows with that id one; a text of any length is read whole and gives 256 bins, so
+only its set grows; an empty table gives an empty result; other columns are carried by drop_near_duplicates, whatever
+their names, and never read otherwise.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WordHashes, columns_of, connected, cut, mix64, spread
+from .common import LOWER, WordHashes, columns_of, connected, cut, free_names, mix64, spread
 
 WORDS_PER_SHINGLE = 5
 BITS = 8
 BINS = 1 << BITS
-CENTRES = 32
+CENTRES = 64
 #: Words whose hashes a task remembers. Python's workers keep their memory while the joins run, so it is kept small.
 HASHES = 60_000
 #: For each bin a random order of all bins, as ranks: where an empty bin looks for its value.
@@ -107,7 +109,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, percent: int) -> Data
     return spread(docs, id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, sk binary, buckets array<long>")
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _sets(docs: DataFrame, text_col: str) -> DataFrame:
     """sk and the set itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,49 +124,51 @@ def _sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the threshold. Both sides of each join are dealt by it, so AQE can split a hot centre."""
+    """The pairs (a, b, ...) whose full sets reach the threshold, without a and b. Both sides of each join are dealt by
+    it, so AQE can split a hot centre."""
     one = lambda x: sets.select(F.concat("sk", F.lit(b"")).alias(x), F.col("shingles").alias(f"s{x}"))
     both = pairs.join(one("b"), "b").join(one("a"), "a")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b")
+    return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).drop("a", "b", "sa", "sb")
 
 
 def near_links(docs: DataFrame, sketches: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame | None:
-    """(node, comp) of the sets that are linked with others; None where there are no links."""
+    """(node, comp) of the sets that share a bucket with another; None where there are none."""
     nodes = cut(sketches.where("sk IS NOT NULL").groupBy("sk").agg(F.min("id").alias("id"), F.first("buckets").alias("buckets")))
     rows = nodes.select("sk", F.explode("buckets").alias("bucket"))
-    # joins on a bucket are plain ones, so that adaptive execution splits the partitions of large buckets
-    live = cut(rows.join(rows.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").select("bucket"), "bucket"))
-    # buckets with the same members are one
-    same = live.groupBy("bucket").agg(F.count("*").alias("size"), F.sum(F.xxhash64("sk").cast("decimal(38,0)")).alias("x"), F.min("sk").alias("y"), F.max("sk").alias("z"))
-    same = cut(same.groupBy("size", "x", "y", "z").agg(F.min("bucket").alias("bucket")).select("bucket"))
-    live = cut(live.join(same, "bucket"))
-    if not live.limit(1).count():
+    # joins on a bucket are plain ones, so that adaptive execution splits the partitions of large buckets; of buckets
+    # with the same members one is kept
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("sk")).alias("x"), F.min("sk").alias("y"), F.max("sk").alias("z"))
+    sizes = sizes.where("size > 1").groupBy("size", "x", "y", "z").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
+    at = cut(rows.join(sizes, "bucket").withColumn("comp", F.col("sk")))
+    if at.isEmpty():
         return None
-    wanted = live.select("sk").distinct().join(nodes.select("sk", "id"), "sk")
-    some = docs.join(wanted.select(F.col("id").alias("__near_id")).distinct(), F.col(f"`{id_col}`").eqNullSafe(F.col("__near_id")), "left_semi")
-    sets = cut(_sets(some, id_col, text_col).join(live.select("sk").distinct(), "sk", "left_semi").dropDuplicates(["sk"]))
+    comps = cut(at.select("sk").distinct().withColumn("comp", F.col("sk")))
+    wanted = comps.join(nodes, "sk").select(F.col("id").alias("__wanted")).distinct()
+    some = spread(docs, id_col, text_col).toDF("__id", "__text").join(wanted, F.col("__id").eqNullSafe(F.col("__wanted")), "left_semi")
+    sets = cut(_sets(some, "__text").dropDuplicates(["sk"]))
 
-    edges, comps, turn = None, None, 0
+    turn = 0
     while True:
-        at = live.withColumn("comp", F.col("sk")) if comps is None else cut(live.join(comps, "sk", "left").withColumn("comp", F.coalesce("comp", "sk")))
-        split = at.groupBy("bucket").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min(F.struct(F.xxhash64("sk", F.lit(turn)), "sk", "comp")).alias("one")).where("lo != hi")
-        split = cut(split.select("bucket", "size", F.array(F.struct(F.col("one.sk").alias("a"), F.col("one.comp").alias("c"))).alias("stars")))
-        if not split.limit(1).count():
-            break
-        if turn:  # one centre at first; then about CENTRES, drawn by hash wherever the members lie
-            members = at.join(split.select("bucket", "size"), "bucket")
-            drawn = members.where(F.pmod(F.xxhash64("sk", "bucket", F.lit(turn)), F.lit(1 << 20)) * F.col("size") < F.lit(CENTRES << 20))
-            more = cut(drawn.select("bucket", F.struct(F.col("sk").alias("a"), F.col("comp").alias("c")).alias("s"))).groupBy("bucket").agg(F.collect_set("s").alias("more"))
-            split = cut(split.join(more, "bucket", "left").select("bucket", F.array_union("stars", F.coalesce("more", F.array().cast("array<struct<a:binary,c:binary>>"))).alias("stars")))
-        held = cut(at.join(split.select("bucket", "stars"), "bucket"))
-        pairs = held.select("sk", "comp", F.explode("stars").alias("s")).where("comp != s.c").select(F.least("sk", "s.a").alias("a"), F.greatest("sk", "s.a").alias("b")).distinct()
-        found = cut(_confirm(pairs, sets, percent))
-        live, turn = held.where(~F.exists("stars", lambda x: x["a"] == F.col("sk"))).select("sk", "bucket"), turn + 1
-        if found.limit(1).count():
-            edges = found if edges is None else edges.union(found)
-            comps = connected(edges).withColumnRenamed("node", "sk")
-    return None if comps is None else comps.withColumnRenamed("sk", "node")
+        # a bucket's centres: the first by hash; after the first round about CENTRES, wherever the members lie
+        drawn = F.pmod(F.xxhash64("sk", "bucket", F.lit(turn)), F.lit(1 << 20)) * F.col("size") < F.lit((CENTRES if turn else 0) << 20)
+        star = F.struct(F.col("sk").alias("k"), F.col("comp").alias("c"))
+        first = F.min(F.struct(F.xxhash64("sk", F.lit(turn)).alias("h"), F.col("sk").alias("k"), F.col("comp").alias("c")))
+        split = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.collect_set(F.when(drawn, star)).alias("more"), first.alias("one")).where("lo != hi")
+        held = at.join(split.select("bucket", F.array_union("more", F.array(F.struct("one.k", "one.c"))).alias("stars")), "bucket")
+        two = held.select(F.struct(F.col("sk").alias("k"), F.col("comp").alias("c")).alias("m"), F.explode("stars").alias("s")).where("m.c != s.c")
+        two = two.select(F.least("m", "s").alias("l"), F.greatest("m", "s").alias("g"))
+        pairs = cut(two.select(F.col("l.k").alias("a"), F.col("g.k").alias("b"), F.least("l.c", "g.c").alias("u"), F.greatest("l.c", "g.c").alias("v")).distinct())
+        if pairs.isEmpty():
+            return comps.withColumnRenamed("sk", "node")
+        # only links between components go on
+        found = cut(_confirm(pairs, sets, percent).distinct())
+        rest = held.where(~F.exists("stars", lambda x: x["k"] == F.col("sk"))).drop("stars")
+        if not found.isEmpty():
+            moved = connected(found.toDF("a", "b")).toDF("comp", "to")
+            join = lambda df: df.join(moved, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to")  # noqa: B023, E731
+            comps, rest = cut(join(comps)), join(rest)
+        at, turn = cut(rest), turn + 1
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
@@ -190,27 +194,28 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
     """One row of each component, with all columns of docs; rows without words all stay."""
     groups = near_groups(docs, id_col, text_col, percent)
-    groups = cut(groups.select(F.col(f"`{id_col}`").alias("__near_id"), F.col("sk").alias("__near_sk"), "stays"))
-    kept, same = groups.where("stays"), F.col(f"`{id_col}`").eqNullSafe(F.col("__near_id"))
-    again = cut(groups.groupBy("__near_id").agg(F.count("*").alias("n")).where("n > 1 OR __near_id IS NULL").select("__near_id"))
-    if not again.limit(1).count():
-        return docs.join(kept.select("__near_id"), same, "left_semi")
+    i, sk, again, key = free_names(docs, 4)
+    groups = cut(groups.select(F.col(f"`{id_col}`").alias(i), F.col("sk").alias(sk), "stays"))
+    kept, same = groups.where("stays").drop("stays"), F.col(f"`{id_col}`").eqNullSafe(F.col(i))
+    many = cut(groups.groupBy(F.col(i).alias(again)).agg(F.count("*").alias("n")).where((F.col("n") > 1) | F.col(again).isNull()).select(again))
+    if many.isEmpty():
+        return docs.join(kept.select(i), same, "left_semi")
     # ids that don't name one row: their sets tell the rows apart
-    both = F.col("__near_id").eqNullSafe(F.col("__again"))
-    many = again.select(F.col("__near_id").alias("__again"))
+    both = F.col(i).eqNullSafe(F.col(again))
     once = docs.join(kept.join(many, both, "left_anti"), same, "left_semi")
-    keyed = _with_key(docs.join(again, same, "left_semi"), text_col)
-    own = keyed.join(kept.join(many, both, "left_semi"), same & (F.col("__near_key") == F.col("__near_sk")), "left_semi")
-    return once.unionByName(own.dropDuplicates([id_col, "__near_key"]).drop("__near_key")).unionByName(keyed.where("__near_key IS NULL").drop("__near_key"))
+    keyed = docs.join(many, F.col(f"`{id_col}`").eqNullSafe(F.col(again)), "left_semi").withColumn(key, _set_key(F.col(f"`{text_col}`")))
+    own = keyed.join(kept.join(many, both, "left_semi"), same & (F.col(key) == F.col(sk)), "left_semi")
+    return once.unionByName(own.dropDuplicates([id_col, key]).drop(key)).unionByName(keyed.where(F.col(key).isNull()).drop(key))
 
 
-def _with_key(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs and __near_key, the hash of each row's set."""
-    make: Callable[[str | None, WordHashes], bytes | None] = lambda t, h: _key(s) if len(s := shingle_set(t, h)) else None
+def _set_key(text: F.Column) -> F.Column:
+    """The hash of each text's set; null without words."""
 
-    @F.pandas_udf("binary")
-    def key(texts):
-        h = WordHashes()
-        return texts.map(lambda t: make(t, h))
+    @F.arrow_udf("binary")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        hashes = WordHashes(HASHES)
+        for texts in batches:
+            sets = (shingle_set(t.as_py(), hashes) for t in texts)
+            yield pa.array([_key(s) if len(s) else None for s in sets], pa.binary())
 
-    return docs.withColumn("__near_key", key(F.col(f"`{text_col}`")))
+    return run(text)
