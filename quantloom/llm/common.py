@@ -90,6 +90,11 @@ def fold(doc_id: F.Column | str) -> F.Column:
     return F.crc32(F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("")).cast("binary")) % 4
 
 
+def if_small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df, which should be cut, marked for broadcasting if it has at most `most` rows; else the join is an ordinary one."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def join_counted(big: DataFrame, small: DataFrame, key: str, size: str, total: int, share: int = 2000) -> DataFrame:
     """big joined with small, which has each key once and in `size` how many rows of big have it (of `total`).
 
