@@ -5,12 +5,15 @@ whole sequence where there are fewer words). One hash per shingle serves all bin
 the smallest hash in a bin is its value, and an empty bin takes the value of the first non-empty bin in a random
 order of its own. Bands of the signature are buckets. Documents with the same set are one node throughout.
 
-In each round every bucket has a centre (after the first round about CENTRES of them, drawn by hash), and only
-(centre, member) pairs become candidates; they are confirmed on the full sets. A centre then leaves its bucket, since
-all its pairs there are decided. Members that are already in one component need no pair. Rounds go on until no bucket
-holds two components, so no link that a bucket offers is lost, and a group of near copies takes about as many pairs
-as it has members. From the first round on links are kept between components only, so each round's graph holds one
-node a component and is merged into the labels that there are.
+In the first round every bucket has one centre, and only (centre, member) pairs become candidates. Afterwards a bucket
+in which several components meet has about CENTRES of them, drawn by hash from all but its largest component; with
+each of them all pairs to other components are decided, so it leaves the bucket. Rounds go on until no bucket holds
+two components: no link that a bucket offers is lost, and a group of near copies takes about as many pairs as it has
+members. Links are kept between components only, so a round's graph holds one node a component.
+
+A candidate is dropped without its sets when it can't be a link: each set has a digit for every bin, taken from the
+bin's smallest hash, and where digits differ the sets differ by one shingle at least. What is left is confirmed on the
+full sets.
 
 Defined cases: null texts and texts without words have no shingles, size 0, and are linked with nothing; repeated
 rows and repeated ids are rows of their own; a null id is larger than any other; of a component the row with the
@@ -33,7 +36,7 @@ from .common import LOWER, WordHashes, columns_of, connected, cut, free_names, m
 WORDS_PER_SHINGLE = 5
 BITS = 8
 BINS = 1 << BITS
-CENTRES = 64
+CENTRES = 256
 #: Words whose hashes a task remembers. Python's workers keep their memory while the joins run, so it is kept small.
 HASHES = 60_000
 #: For each bin a random order of all bins, as ranks: where an empty bin looks for its value.
@@ -69,6 +72,29 @@ def signature(found: np.ndarray) -> np.ndarray:
     return out
 
 
+def digits(found: np.ndarray) -> np.ndarray:
+    """Four bits for each bin, 16 bins a number: 0 for an empty one, else 1 to 15 from its smallest hash."""
+    bins = (found >> np.uint64(64 - BITS)).astype(np.int16)
+    first = np.flatnonzero(np.concatenate(([True], bins[1:] != bins[:-1])))
+    out = np.zeros(BINS, np.uint64)
+    out[bins[first]] = mix64(found[first]) % np.uint64(15) + np.uint64(1)
+    return np.bitwise_or.reduce(out.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1)
+
+
+def may_link(a: str, b: str, percent: int) -> F.Column:
+    """Whether two sets, as structs with d (digits) and n (size), may reach the threshold: no if even the sets that differ
+    only where digits do would not."""
+
+    def differ(x: F.Column, y: F.Column) -> F.Column:
+        z = x.bitwiseXOR(y)
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    apart = F.aggregate(F.zip_with(f"{a}.d", f"{b}.d", differ), F.lit(0), lambda s, v: s + v)
+    size = F.col(f"{a}.n") + F.col(f"{b}.n")
+    return (size - apart) * 100 >= (size + apart) * percent
+
+
 def shape(percent: int) -> tuple[int, int]:
     """Bands and rows: pairs at the threshold are missed in fewer than one of ten thousand cases."""
     rows = 8 if percent >= 85 else 6 if percent >= 75 else 4
@@ -90,23 +116,23 @@ def _key(found: np.ndarray) -> bytes:
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """id, n_shingles, sk (the set's 128-bit hash; null without shingles), buckets."""
+    """id, n_shingles, sk (the set's 128-bit hash; null without shingles), buckets, digits."""
     bands, rows = shape(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(HASHES)
         for b in columns_of(batches, rows=1000, size=2 << 20):
-            n, keys, buckets = [], [], []
+            n, keys, buckets, marks = [], [], [], []
             for t in b.column(1).to_pylist():
                 found = shingle_set(t, hashes)
                 n.append(len(found))
                 keys.append(_key(found) if len(found) else None)
                 buckets.append(buckets_of(signature(found), bands, rows).view(np.int64) if len(found) else np.empty(0, np.int64))
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in buckets]))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(buckets)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists], ["id", "n_shingles", "sk", "buckets"])
+                marks.append(digits(found).view(np.int64) if len(found) else np.empty(0, np.int64))
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(list(map(len, x))))).astype(np.int32)), pa.array(np.concatenate(x)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), lists(buckets), lists(marks)], ["id", "n_shingles", "sk", "buckets", "digits"])
 
-    return spread(docs, id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, sk binary, buckets array<long>")
+    return spread(docs, id_col, text_col).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, n_shingles long, sk binary, buckets array<long>, digits array<long>")
 
 
 def _sets(docs: DataFrame, text_col: str) -> DataFrame:
@@ -134,33 +160,44 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def near_links(docs: DataFrame, sketches: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame | None:
     """(node, comp) of the sets that share a bucket with another; None where there are none."""
-    nodes = cut(sketches.where("sk IS NOT NULL").groupBy("sk").agg(F.min("id").alias("id"), F.first("buckets").alias("buckets")))
-    rows = nodes.select("sk", F.explode("buckets").alias("bucket"))
+    nodes = cut(sketches.where("sk IS NOT NULL").groupBy("sk").agg(F.min("id").alias("id"), F.first(F.struct(F.col("n_shingles").alias("n"), F.col("digits").alias("d"), "buckets")).alias("x")))
+    rows = nodes.select("sk", F.explode("x.buckets").alias("bucket"))
     # joins on a bucket are plain ones, so that adaptive execution splits the partitions of large buckets; of buckets
     # with the same members one is kept
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("sk")).alias("x"), F.min("sk").alias("y"), F.max("sk").alias("z"))
-    sizes = sizes.where("size > 1").groupBy("size", "x", "y", "z").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
-    at = cut(rows.join(sizes, "bucket").withColumn("comp", F.col("sk")))
-    if at.isEmpty():
+    sizes = sizes.where("size > 1").groupBy("size", "x", "y", "z").agg(F.min("bucket").alias("bucket")).select("bucket")
+    live = cut(rows.join(sizes, "bucket"))
+    if live.isEmpty():
         return None
-    comps = cut(at.select("sk").distinct().withColumn("comp", F.col("sk")))
-    wanted = comps.join(nodes, "sk").select(F.col("id").alias("__wanted")).distinct()
-    some = spread(docs, id_col, text_col).toDF("__id", "__text").join(wanted, F.col("__id").eqNullSafe(F.col("__wanted")), "left_semi")
+    comps = cut(live.select("sk").distinct().withColumn("comp", F.col("sk")))
+    mine = comps.join(nodes, "sk")
+    some = spread(docs, id_col, text_col).toDF("__id", "__text").join(mine.select(F.col("id").alias("__wanted")).distinct(), F.col("__id").eqNullSafe(F.col("__wanted")), "left_semi")
     sets = cut(_sets(some, "__text").dropDuplicates(["sk"]))
+    at = cut(live.join(mine.select("sk", "comp", "x.n", "x.d"), "sk"))  # a row for each bucket of each set
 
-    turn = 0
+    turn, star = 0, F.struct(F.col("sk").alias("k"), F.col("comp").alias("c"), "n", "d")
     while True:
-        # a bucket's centres: the first by hash; after the first round about CENTRES, wherever the members lie
-        drawn = F.pmod(F.xxhash64("sk", "bucket", F.lit(turn)), F.lit(1 << 20)) * F.col("size") < F.lit((CENTRES if turn else 0) << 20)
-        star = F.struct(F.col("sk").alias("k"), F.col("comp").alias("c"))
-        first = F.min(F.struct(F.xxhash64("sk", F.lit(turn)).alias("h"), F.col("sk").alias("k"), F.col("comp").alias("c")))
-        split = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.collect_set(F.when(drawn, star)).alias("more"), first.alias("one")).where("lo != hi")
-        held = at.join(split.select("bucket", F.array_union("more", F.array(F.struct("one.k", "one.c"))).alias("stars")), "bucket")
-        two = held.select(F.struct(F.col("sk").alias("k"), F.col("comp").alias("c")).alias("m"), F.explode("stars").alias("s")).where("m.c != s.c")
-        two = two.select(F.least("m", "s").alias("l"), F.greatest("m", "s").alias("g"))
+        if turn == 0:
+            first = F.struct(F.xxhash64("sk", "bucket").alias("h"), star.alias("s"))
+            split = at.groupBy("bucket").agg(F.array(F.min(first)["s"]).alias("stars"))
+        else:
+            # each bucket's largest component, and how many rows the others have
+            parts = at.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
+            parts = parts.groupBy("bucket").agg(F.max(F.struct("m", "comp")).alias("most"), F.sum("m").alias("size"))
+            parts = parts.select("bucket", F.col("most.comp").alias("main"), (F.col("size") - F.col("most.m")).alias("others")).where("others > 0")
+            at = cut(at.drop("main", "others").join(parts, "bucket"))
+            if at.isEmpty():
+                return comps.withColumnRenamed("sk", "node")
+            # the first of them by hash always is one, so that there is one
+            drawn = F.pmod(F.xxhash64("sk", "bucket", F.lit(turn)), F.lit(1 << 20)) * F.col("others") < F.lit(CENTRES << 20)
+            aside = at.where("comp != main")
+            sure = aside.groupBy("bucket").agg(F.array(F.min(F.struct(F.xxhash64("sk", "bucket", F.lit(turn)).alias("h"), star.alias("s")))["s"]).alias("stars"))
+            split = aside.where(drawn).select("bucket", F.array(star).alias("stars")).unionByName(sure)
+            split = split.groupBy("bucket").agg(F.array_distinct(F.flatten(F.collect_list("stars"))).alias("stars"))
+        held = at.join(split, "bucket")
+        two = held.select(star.alias("m"), F.explode("stars").alias("s")).where("m.c != s.c").where(may_link("m", "s", percent))
+        two = two.select(F.struct("m.k", "m.c").alias("m"), F.struct("s.k", "s.c").alias("s")).select(F.least("m", "s").alias("l"), F.greatest("m", "s").alias("g"))
         pairs = cut(two.select(F.col("l.k").alias("a"), F.col("g.k").alias("b"), F.least("l.c", "g.c").alias("u"), F.greatest("l.c", "g.c").alias("v")).distinct())
-        if pairs.isEmpty():
-            return comps.withColumnRenamed("sk", "node")
         # only links between components go on
         found = cut(_confirm(pairs, sets, percent).distinct())
         rest = held.where(~F.exists("stars", lambda x: x["k"] == F.col("sk"))).drop("stars")
