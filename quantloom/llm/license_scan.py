@@ -7,8 +7,10 @@ automaton finds the pieces exactly, each hit gives a small window around the pla
 and the regex library's bounded-error matching verifies the edits there and gives the span.
 
 Defined cases: null text counts as empty (no words, no labels, score 0); windows follow hits, never a fixed part of
-a text; equal hits are reported once; overlapping matches of one label keep the one with fewer edits, then the
-earlier one; rows are neither merged nor dropped; other columns aren't read.
+a text; equal hits are reported once; of matches that overlap, whatever their labels, the one with the fewest edits
+counts, then the longest, the earliest, and the first label; a base phrase is a match without edits, and no label of
+a base phrase is ever lost; null and repeated ids are rows of their own; rows are neither merged nor dropped; other
+columns aren't read.
 """
 
 from __future__ import annotations
@@ -66,13 +68,14 @@ class Scanner:
         self.automaton.make_automaton()
         self.patterns = [regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(n, special_only=True)}){{e<={budget(n)}}}(?![^ ])") for n, _ in self.notices]
 
-    def exact(self, line: str) -> list[tuple[int, str]]:
-        """(start in words, label) of each place of a base phrase; line has a space at either end."""
+    def exact(self, line: str) -> list[tuple[int, int, str]]:
+        """(first word, last word, label) of each place of a base phrase; line has a space at either end."""
         out = []
         for phrase, label in self.base:
             at = line.find(phrase)
             while at >= 0:
-                out.append((line.count(" ", 0, at), label))
+                first = line.count(" ", 0, at)
+                out.append((first, first + phrase.count(" ") - 2, label))
                 at = line.find(phrase, at + 1)
         return out
 
@@ -107,15 +110,26 @@ class Scanner:
             out.append((self.notices[k][1], first, first + t.count(" "), edits, t))
         return out
 
+    @staticmethod
+    def settle(spans: list[tuple], base: list[tuple[int, int, str]]) -> list[tuple]:
+        """The spans of fuzzy() that overlap neither a better one nor a better base phrase of another label."""
+        rank = lambda s: (s[3], -len(s[4]), s[1], s[0])
+        taken, out = [(a, b, lab) for a, b, lab in base], []
+        for s in sorted(spans, key=rank):
+            if not any(a <= s[2] and s[1] <= b and (lab != s[0] or k >= len(base)) for k, (a, b, lab) in enumerate(taken)):
+                taken.append((s[1], s[2], s[0]))
+                out.append(s)
+        return sorted(out, key=lambda s: (s[1], s[2], s[0]))
+
     def scan(self, text: str | None) -> tuple:
         words = (text or "").encode().translate(WORDS).split()
         line = f" {b' '.join(words).decode()} "
         base = self.exact(line)
-        spans = self.fuzzy(line)
-        labels = {lab for _, lab in base}
+        spans = self.settle(self.fuzzy(line), base)
+        labels = {lab for *_, lab in base}
         longest = {lab: max(len(n) for n, x in self.notices if x == lab) for _, lab in self.notices}
         score = 1.0 if base else max((1 - s[3] / longest[s[0]] for s in spans), default=0.0)
-        starts = [w for w, _ in base]
+        starts = [w for w, *_ in base]
         return (len(words), len(base), min(starts, default=None), max(starts, default=None), ",".join(sorted(labels)), ",".join(sorted(labels | {s[0] for s in spans})), score, spans)
 
 

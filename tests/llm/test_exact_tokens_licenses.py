@@ -111,3 +111,45 @@ def test_fuzzy_notices_against_every_place(spark):
         line = " ".join(("ab cd " * rng.randrange(0, 9) + "".join(t) + " ef gh" * rng.randrange(0, 9)).split())
         want = {lab for n, lab in NOTICES.items() if regex.search(rf"(?<![^ ])(?:{n}){{e<={budget(n)}}}(?![^ ])", line)}
         assert {x[0] for x in s.fuzzy(f" {line} ")} == want, line
+
+
+def test_exact_notices_get_their_own_label_only(spark):
+    from quantloom.llm.license_scan import BASE, NOTICES
+
+    texts = {k: f"one two. This is {n.title()}, and more" for k, n in enumerate(NOTICES)}
+    texts |= {100: "under the mit license and licensed under the gnu general public license, version 3", 101: None}
+    rows = [*texts.items(), (None, "released under the mit license"), (0, texts[0])]
+    got = [(r.doc_id, r.labels) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == len(rows)
+    for k, (n, label) in enumerate(NOTICES.items()):
+        assert set(lab for i, lab in got if i == k) == {label}, n
+    assert dict(got)[100] == "gpl-3,mit" and dict(got)[101] == "" and dict(got)[None] == "mit"
+    assert all(any(p in n for n in NOTICES) or p in "cc by nc" for p in BASE)
+
+
+def test_license_query_matches_brute_force(spark):
+    """Base columns by a plain search for words in a row; labels against a fuzzy search of whole texts, overlaps settled."""
+    import re
+
+    import regex
+    from quantloom.llm.license_scan import BASE, NOTICES, Scanner, budget
+    from quantloom.llm.queries import op4_license_scan
+
+    d, s = "/root/testdata/sf0.001", Scanner(BASE, NOTICES)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: r for r in op4_license_scan(spark, d).collect()}
+    assert got.keys() == texts.keys()
+    word, found = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), 0
+    for i, t in texts.items():
+        words = word.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        at = sorted((k, lab) for p, lab in BASE.items() for k in range(len(words)) if words[k : k + p.count(" ") + 1] == p.split())
+        r = got[i]
+        base = {lab for _, lab in at}
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(words), len(at), at[0][0] if at else None, at[-1][0] if at else None, ",".join(sorted(base)))
+        line = " ".join(words)
+        every = {lab for n, lab in NOTICES.items() if regex.search(rf"(?<![^ ])(?:{n}){{e<={budget(n)}}}(?![^ ])", line)}
+        assert {x[0] for x in s.fuzzy(f" {line} ")} == every
+        own = set(filter(None, r.labels.split(",")))
+        assert base <= own <= base | every and bool(own) == bool(base | every)
+        found += bool(own)
+    assert found == 3
