@@ -4,16 +4,18 @@ The pieces and their order come from a SentencePiece model file. A piece's weigh
 being its place in the model's order of scores; a character that no piece holds is spelled with the model's byte
 pieces. A text's segmentation is drawn with a probability in proportion to the product of its pieces' weights:
 forward filtering sums the weights over the lattice of pieces, backward sampling draws from the end. No piece goes
-across the start of a word, so the lattice of a text is a chain of its chunks' lattices; each distinct chunk is
-filtered once while its beginning is remembered, and all chunks of a batch are sampled together. A chunk of more than
-CHUNK characters is cut there.
+across the start of a word, so the lattice of a text is a chain of its chunks' lattices: a run of spaces with the word
+after it is a chunk. Each distinct chunk is filtered once while its beginning is remembered, and all chunks of a batch
+are sampled together. A chunk of more than LONG characters is filtered whole as well, but not remembered: its weights
+are kept in scale, and only those of as many characters as the longest piece has are needed at a time.
 
 Draws are 32-bit integers from a counter-based hash of (seed, row key, chunk number, draw number), and cumulated
 weights are rounded to 32 bits: a row has the same segmentation in whatever task or cluster.
 
 Defined cases: null text gives null, empty text gives no pieces; a null key is a key of its own; rows with equal key
 and text have equal segmentations; every text decodes to itself, also one that holds the model's space sign; unknown
-or special pieces in decoding stand for nothing; null decodes to null.
+or special pieces in decoding stand for nothing; null decodes to null; a text of any length is one lattice, whose size
+grows with the text alone; pieces of the model with a space after another character aren't used.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ ALPHA, SEED = 0.5, 0
 SPACE = "▁"
 #: Remembered lattice nodes (about 200 bytes each), and the characters of text that are sampled at a time.
 NODES, BATCH = 800_000, 2 << 20
-CHUNK = 48
+LONG = 48
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -50,7 +52,7 @@ def load(path: str) -> tuple[dict[str, tuple[int, int]], list[int], list[bytes]]
             byte_ids[int(piece[3:5], 16)], spelled[i] = i, bytes([int(piece[3:5], 16)])
         elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
             spelled[i] = piece.replace(SPACE, " ").encode()
-            if SPACE not in piece[1:]:
+            if SPACE not in piece.lstrip(SPACE):
                 scores.append((-sp.get_score(i), i, piece.replace(SPACE, " ")))
     for rank, (_, i, piece) in enumerate(sorted(scores)):
         pieces[piece] = (i, rank)
@@ -82,7 +84,7 @@ class Lattice:
         if any(len({c in letters for c in p.strip(" ")}) > 1 for p in self.pieces):
             letters = set()
         kinds = [char_class(x) for x in (letters, joined - letters) if x]
-        self.chunk = re.compile("".join(f" ?[{k}]{{1,{CHUNK}}}|" for k in kinds) + f" |[^ {''.join(kinds)}]")
+        self.chunk = re.compile("".join(f" *[{k}]+|" for k in kinds) + f" +|[^ {''.join(kinds)}]")
         self.forget()
 
     def forget(self) -> None:
@@ -92,6 +94,8 @@ class Lattice:
 
     def learn(self, s: str) -> int:
         """Filter one chunk forwards, from the longest beginning that is known; its last node."""
+        if len(s) > LONG:
+            return self.learn_long(s)
         known, level, weight, ends = self.known, self.level, self.weight, self.ends
         done, size = len(s) - 1, len(s)
         while done and s[:done] not in known:
@@ -127,6 +131,41 @@ class Lattice:
             known[s[:j]] = node
         return nodes[-1]
 
+    def learn_long(self, s: str) -> int:
+        """The same for a chunk whose beginnings aren't remembered; weights are relative to each other."""
+        weight, ends, first = self.weight, self.ends, len(self.level)
+        add_cum, add_id, add_back = self.cum.append, self.id.append, self.back.append
+        level = [1.0]  # of the start and of each character, as far back as a piece reaches
+        for j in range(1, len(s) + 1):
+            i, k, total, found = j - 1, len(level) - 1, 0.0, []
+            part = s[i]
+            got = weight.get(part) or (-1 - ord(part), self.byte_weight ** len(part.encode()))
+            while True:
+                if got is not None:
+                    total += level[k] * got[1]
+                    found.append((total, got[0], first + i - 1 if i else -1))
+                i, k = i - 1, k - 1
+                if k < 0 or part not in ends:
+                    break
+                part = s[i:j]
+                got = weight.get(part)
+            top = (first + j - 1) << 32
+            scale, last = 4294967295.0 / total, found.pop()
+            for so_far, piece, back in found:
+                add_cum(top + int(so_far * scale))
+                add_id(piece)
+                add_back(back)
+            add_cum(top + 4294967295)
+            add_id(last[1])
+            add_back(last[2])
+            self.level.append(total)
+            level.append(total)
+            if len(level) > self.longest:
+                del level[0]
+            if total < 1e-200:
+                level = [x / total for x in level]
+        return first + len(s) - 1
+
     def encode(self, texts: list[str | None], keys: list[object]) -> list[np.ndarray | None]:
         import xxhash
 

@@ -1,6 +1,7 @@
 import math
 import random
 from collections import Counter
+from itertools import accumulate
 
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -240,3 +241,32 @@ def test_draws_follow_the_weights():
     assert len({tuple(x.tolist()) for x in lat.encode(["those words are here"] * 50, list(range(50)))}) > 5
     other = Lattice(MODEL, seed=1).encode(["those words are here"] * 50, list(range(50)))
     assert [x.tolist() for x in other] != [x.tolist() for x in lat.encode(["those words are here"] * 50, list(range(50)))]
+
+
+def test_long_chunks_are_one_lattice(monkeypatch):
+    """Nothing is cut: filtering a chunk without remembering its beginnings gives the same draws, and pieces go across
+    every place of a long one."""
+    texts = ["those notions are here", "x" * 30, "  two   spaces", *["".join(random.Random(k).choice("etaoinsh") for _ in range(40)) for k in range(20)]]
+    want = [x.tolist() for x in Lattice(MODEL).encode(texts, list(range(len(texts))))]
+    monkeypatch.setattr("quantloom.llm.piece_sampling.LONG", 0)
+    assert [x.tolist() for x in Lattice(MODEL).encode(texts, list(range(len(texts))))] == want
+    monkeypatch.undo()
+    lat, text = Lattice(MODEL), "thosenotionsarehere" * 200
+    found = lat.encode([text] * 60, list(range(60)))
+    assert all(lat.decode(x) == text for x in found)
+    cuts = [set(accumulate(len(lat.spelled[i]) for i in x.tolist())) for x in found]
+    share = [sum(k in c for c in cuts) / 60 for k in range(19, 19 * 100)]
+    usual = [sum(share[k::19]) / len(share[k::19]) for k in range(19)]
+    assert all(abs(x - usual[k % 19]) < 0.35 for k, x in enumerate(share)) and min(usual) < 0.9
+
+
+def test_runs_of_spaces_are_pieces():
+    lat = Lattice(MODEL)
+    runs = {i for p, (i, _) in lat.pieces.items() if len(p) > 1 and not p.strip(" ")}
+    assert len(runs) >= 10
+    texts = [" " * n for n in range(1, 40)] + ["if x:\n" + " " * 16 + "return  a  b", "a" + " " * 500 + "b", "\t  \n   ", " " * 7 + "☃" + " " * 3]
+    for key in range(5):
+        found = lat.encode(texts, [key] * len(texts))
+        assert [lat.decode(x) for x in found] == texts
+        assert all(runs & set(x.tolist()) for x in found[20:39])
+    assert len({tuple(x.tolist()) for x in lat.encode(["if  x:" + " " * 16 + "y"] * 50, list(range(50)))}) > 5
