@@ -81,18 +81,18 @@ def digits(found: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(out.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1)
 
 
-def may_link(a: str, b: str, percent: int) -> F.Column:
-    """Whether two sets, as structs with d (digits) and n (size), may reach the threshold: no if even the sets that differ
-    only where digits do would not."""
+def may_link(a: tuple[F.Column, F.Column], b: tuple[F.Column, F.Column], percent: int) -> F.Column:
+    """Whether two sets, each as (size, digits), may reach the threshold: no if their sizes don't allow it, nor if even
+    sets that differ only where digits do would not."""
 
     def differ(x: F.Column, y: F.Column) -> F.Column:
         z = x.bitwiseXOR(y)
         z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
         return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseAND(F.lit(0x1111111111111111)))
 
-    apart = F.aggregate(F.zip_with(f"{a}.d", f"{b}.d", differ), F.lit(0), lambda s, v: s + v)
-    size = F.col(f"{a}.n") + F.col(f"{b}.n")
-    return (size - apart) * 100 >= (size + apart) * percent
+    apart = F.aggregate(F.zip_with(a[1], b[1], differ), F.lit(0), lambda s, v: s + v)
+    size = a[0] + b[0]
+    return (F.least(a[0], b[0]) * 100 >= F.greatest(a[0], b[0]) * percent) & ((size - apart) * 100 >= (size + apart) * percent)
 
 
 def shape(percent: int) -> tuple[int, int]:
@@ -195,8 +195,10 @@ def near_links(docs: DataFrame, sketches: DataFrame, id_col: str, text_col: str,
             split = aside.where(drawn).select("bucket", F.array(star).alias("stars")).unionByName(sure)
             split = split.groupBy("bucket").agg(F.array_distinct(F.flatten(F.collect_list("stars"))).alias("stars"))
         held = at.join(split, "bucket")
-        two = held.select(star.alias("m"), F.explode("stars").alias("s")).where("m.c != s.c").where(may_link("m", "s", percent))
-        two = two.select(F.struct("m.k", "m.c").alias("m"), F.struct("s.k", "s.c").alias("s")).select(F.least("m", "s").alias("l"), F.greatest("m", "s").alias("g"))
+        # only candidates that may be links become rows
+        apt = F.filter("stars", lambda s: (s["c"] != F.col("comp")) & may_link((F.col("n"), F.col("d")), (s["n"], s["d"]), percent))
+        two = held.select(F.struct(F.col("sk").alias("k"), F.col("comp").alias("c")).alias("m"), F.explode(F.transform(apt, lambda s: F.struct(s["k"].alias("k"), s["c"].alias("c")))).alias("s"))
+        two = two.select(F.least("m", "s").alias("l"), F.greatest("m", "s").alias("g"))
         pairs = cut(two.select(F.col("l.k").alias("a"), F.col("g.k").alias("b"), F.least("l.c", "g.c").alias("u"), F.greatest("l.c", "g.c").alias("v")).distinct())
         # only links between components go on
         found = cut(_confirm(pairs, sets, percent).distinct())
