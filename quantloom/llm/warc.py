@@ -11,8 +11,9 @@ writes files of its own, and only those that a finished task has reported are us
 files that nothing refers to.
 
 Defined cases: a null payload is empty; with `least`, payloads of fewer bytes are all responses; a null id is larger
-than any other, and is null again when read; of rows with equal id and payload one is the response; a null url gives
-a record without a target; an empty table gives no files and no rows; other columns aren't read.
+than any other, and is null again when read; of rows with equal id and payload one is the response, that with the
+smallest url; a null url gives a record without a target; payloads are rewritten and read whole, a piece at a time; an
+empty table gives no files and no rows; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -26,12 +27,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import columns_of, cut, join_counted
+from .common import columns_of, cut, if_small, join_counted
 
 ROLL, PIECE, LEVEL = 256 << 20, 1 << 20, 4
+#: Up to so many revisits are broadcast, so that payloads stay where they are; more are joined.
+REVISITS = 200_000
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 GZIP = 31
 
@@ -70,38 +73,44 @@ def record(page: str | None, url: str | None, payload: bytes, refers_to: str | N
 
 
 def mark_revisits(pages: DataFrame, least: int = 0) -> DataFrame:
-    """(id, url, payload, first, copies): first is the id of the response, null where the page is one itself."""
+    """(id, url, payload, first, revisit): first holds the id of the response where another row may be it."""
     keyed = pages.select("id", F.unhex(F.sha1("payload")).alias("dg"), F.octet_length("payload").alias("n")).where(F.col("n") >= least)
     own = cut(keyed.groupBy("id", "dg").agg(F.count("*").alias("copies")))
     order = F.struct(F.col("id").isNull(), F.col("id"))
     groups = cut(own.groupBy("dg").agg(F.min_by(F.struct("id"), order).alias("first"), F.count("*").alias("size"), F.sum("copies").alias("rows")).where("rows > 1"))
     again = join_counted(own, groups.drop("rows"), "dg", "size", own.count())
-    again = again.where(~F.col("first.id").eqNullSafe(F.col("id")) | (F.col("copies") > 1)).select(F.col("id").alias("id2"), F.col("dg").alias("dg2"), "first", "copies")
+    again = cut(again.where(~F.col("first.id").eqNullSafe(F.col("id")) | (F.col("copies") > 1)).select(F.col("id").alias("id2"), F.col("dg").alias("dg2"), "first", "copies"))
     with_dg = pages.withColumn("dg", F.unhex(F.sha1("payload")))
-    joined = with_dg.join(again, F.col("id").eqNullSafe(F.col("id2")) & (F.col("dg") == F.col("dg2")), "left")
-    return joined.select("id", "url", "payload", "first", "copies")
+    joined = with_dg.join(if_small(again, REVISITS), F.col("id").eqNullSafe(F.col("id2")) & (F.col("dg") == F.col("dg2")), "left")
+    names = ["id", "url", "payload", "first"]
+    if again.where("copies > 1").isEmpty():
+        return joined.select(*names, F.col("first").isNotNull().alias("revisit"))
+    # of rows with equal id and payload one is the response: they are counted and numbered, and dealt out again
+    same = F.coalesce((F.col("copies") > 1) & F.col("first.id").eqNullSafe(F.col("id")), F.lit(False))
+    urls = joined.where(same).groupBy("id", "dg", "url").agg(F.first("payload").alias("payload"), F.first("first").alias("first"), F.count("*").alias("n"))
+    urls = urls.withColumn("r", F.row_number().over(Window.partitionBy("id", "dg").orderBy(F.col("url").asc_nulls_last())))
+    urls = urls.select(*names, "r", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("k"))
+    parts = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    urls = urls.select(*names, ((F.col("r") > 1) | (F.col("k") > 1)).alias("revisit")).repartition(parts)
+    return joined.where(~same).select(*names, F.col("first").isNotNull().alias("revisit")).unionByName(urls)
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0) -> DataFrame:
     """Writes the archives; (path) of each."""
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").alias("url"), F.coalesce(F.col(f"`{payload_col}`").cast("binary"), F.lit(b"")).alias("payload"))
-    marked = mark_revisits(rows, least).select(F.col("id").cast("string").alias("id"), "url", "payload", F.col("first").isNotNull().alias("again"), F.col("first.id").cast("string").alias("first"), "copies")
+    marked = mark_revisits(rows, least).select(F.col("id").cast("string").alias("id"), "url", "payload", "revisit", F.col("first.id").cast("string").alias("first"))
     open_fs(folder)[0].create_dir(open_fs(folder)[1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, out, paths, size, seen = TaskContext.get(), None, [], 0, set()
+        task, out, paths, size = TaskContext.get(), None, [], 0
         for b in columns_of(batches, rows=500):
-            for page, url, payload, again, first, copies in zip(*[c.to_pylist() for c in b.columns], strict=True):
+            for page, url, payload, revisit, first in zip(*[c.to_pylist() for c in b.columns], strict=True):
                 if out is None or size > ROLL:
                     if out is not None:
                         out.write(pack.flush())
                         out.close()
                     paths.append(f"{folder}/{task.partitionId():06d}-{task.taskAttemptId()}-{len(paths):04d}.warc.gz")
                     out, pack, size = writing(paths[-1]), zlib.compressobj(LEVEL, zlib.DEFLATED, GZIP), 0
-                revisit = again
-                if again and first == page:  # rows with equal id and payload: the first of them is the response
-                    revisit = (key := (page, payload)) in seen
-                    seen.add(key)
                 out.write(pack.compress(r := record(page, url, payload, first, revisit)))
                 size += len(r)
         if out is not None:
