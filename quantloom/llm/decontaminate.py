@@ -2,30 +2,31 @@
 
 Words are what is left between ASCII characters that are neither letters nor digits, after A-Z became a-z. An item of
 n words may stand in a text with up to budget(n) word edits (a word put in, left out or changed). It is split into
-one piece more than that, so that one piece is untouched wherever it stands; the first words of each piece are its
-seed. The seeds of all texts are compared by hash in one vectorised pass; seed hits give windows, overlapping windows
+one piece more than that, so that one piece is untouched wherever it stands; the first SEED words of each piece, or
+all if it has fewer, are its seed. The seeds of all texts are compared by hash in one vectorised pass; seed hits give windows, overlapping windows
 of an item are joined, and Myers' bit-parallel algorithm finds the least distance in each.
 
-Items are read in blocks of about BLOCK bytes, and each block is broadcast and goes over all rows; with more items
-there are more blocks, never a larger one.
+Items are read in blocks of about BLOCK bytes, and each block is broadcast and goes over all rows by itself; with more
+items there are more blocks, never a larger one, and what a block has found is kept before the next one.
 
-Defined cases: null texts and texts without words match nothing; nor do items without words; items with fewer than
-2 * SEED words must stand exactly; of an item's places in a text the one with the least distance counts, then the
+Defined cases: null texts and texts without words match nothing; nor do items without words; items of so few words
+that RATE of them is less than one must stand exactly; a text of any length is read whole; of an item's places in a text the one with the least distance counts, then the
 first; repeated rows and ids are rows of their own; equal item ids are items of their own; an empty table on either
 side gives no matches; other columns aren't read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import WORDS, WordHashes, columns_of, mix64, spread
+from .common import WORDS, WordHashes, columns_of, cut, free_names, if_small, mix64, spread
 
 SEED, RATE = 5, 0.15
 BLOCK = 8 << 20
@@ -36,8 +37,8 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def budget(n: int, rate: float = RATE) -> int:
-    """Word edits that an item of n words may have: so many that each piece still has SEED words."""
-    return max(0, min(int(n * rate), n // SEED - 1))
+    """Word edits that an item of n words may have; always fewer than n, so that no piece is empty."""
+    return min(int(n * rate), max(n - 1, 0))
 
 
 def pieces(n: int, errors: int) -> list[tuple[int, int]]:
@@ -128,39 +129,54 @@ class Finder:
         return out
 
 
-def blocks(items: DataFrame, item_id: str, item_text: str) -> Iterator[list[tuple[object, str | None]]]:
-    """The items, about BLOCK bytes of them at a time."""
+def blocks(items: DataFrame, item_id: str, item_text: str) -> tuple[int, Iterator[list[tuple[object, str | None]]]]:
+    """How many blocks of about BLOCK bytes the items make, and the blocks, read one at a time."""
     rows = items.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{item_text}`").alias("t")).where("t IS NOT NULL")
     size = rows.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     parts = 1 + size // BLOCK
-    for part in range(parts):
-        block = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part) if parts > 1 else rows
-        yield sorted(((r.i, r.t) for r in block.collect()), key=lambda x: (str(x[0]), x[1]))
+
+    def read() -> Iterator[list[tuple[object, str | None]]]:
+        for part in range(parts):
+            block = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(parts)) == part) if parts > 1 else rows
+            yield sorted(((r.i, r.t) for r in block.collect()), key=lambda x: (str(x[0]), x[1]))
+
+    return parts, read()
+
+
+def over_blocks(items: DataFrame, item_id: str, item_text: str, scan: Callable[[Broadcast], DataFrame]) -> DataFrame:
+    """What `scan` gives for each block of the items. With several blocks each one's result is kept before the next is
+    read, so that no task holds more than one."""
+    parts, each = blocks(items, item_id, item_text)
+    out, sc = None, items.sparkSession.sparkContext
+    for block in each:
+        shared = sc.broadcast(block)
+        found = scan(shared)
+        if parts > 1:
+            found = cut(found)
+            shared.unpersist()
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def find_matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
     """One row per text and item that stands in it: id, item_id, distance, first_word, last_word."""
     kind, item_kind = docs.schema[id_col].dataType, items.schema[item_id].dataType
-    rows, out = spread(docs, id_col, text_col), None
-    from pyspark.sql.pandas.types import to_arrow_type
+    rows, item_arrow = spread(docs, id_col, text_col), to_arrow_type(item_kind)
 
-    item_arrow = to_arrow_type(item_kind)
-    for block in blocks(items, item_id, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    def scan(shared: Broadcast) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             finder = Finder(shared.value, rate)
             for b in columns_of(batches):
                 hits = [(i, *m) for i, t in enumerate(b.column(1)) for m in finder.matches(t.as_py())]
                 col = list(zip(*hits, strict=True)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(col[0], pa.int64())), pa.array(col[1], item_arrow), pa.array(col[2], pa.int32()), pa.array(col[3], pa.int64()), pa.array([x - 1 for x in col[4]], pa.int64())], ["id", "item", "distance", "first_word", "last_word"])
 
-        found = rows.mapInArrow(run, f"id {kind.simpleString()}, item {item_kind.simpleString()}, distance int, first_word long, last_word long")
-        out = found if out is None else out.unionByName(found)
-    return out.withColumnsRenamed({"id": id_col, "item": item_id})
+        return rows.mapInArrow(run, f"id {kind.simpleString()}, item {item_kind.simpleString()}, distance int, first_word long, last_word long")
+
+    return over_blocks(items, item_id, item_text, scan).withColumnsRenamed({"id": id_col, "item": item_id})
 
 
-def _clean(block: Broadcast, rate: float):
+def _clean(block: Broadcast, rate: float) -> Callable[[F.Column], F.Column]:
     """A function of texts: whether no item of the block stands in one."""
 
     @F.arrow_udf("boolean")
@@ -173,7 +189,13 @@ def _clean(block: Broadcast, rate: float):
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", rate: float = RATE) -> DataFrame:
-    """The rows of docs in which no item stands, with all their columns."""
-    for block in blocks(items, item_id, item_text):
-        docs = docs.where(_clean(docs.sparkSession.sparkContext.broadcast(block), rate)(F.col(f"`{text_col}`")))
-    return docs
+    """The rows of docs in which no item stands, with all their columns. One block is looked for where the rows are;
+    several give the hashes of the texts that have items of theirs, which then go."""
+    text = F.col(f"`{text_col}`")
+    parts, each = blocks(items, item_id, item_text)
+    if parts == 1:
+        return docs.where(_clean(docs.sparkSession.sparkContext.broadcast(next(each)), rate)(text))
+    a, b = free_names(docs, 2)
+    keys = docs.select(F.xxhash64(text).alias(a), F.hash(text).alias(b), text.alias("t"))
+    bad = over_blocks(items, item_id, item_text, lambda block: keys.where(~_clean(block, rate)(F.col("t"))).select(a, b))
+    return docs.join(if_small(cut(bad.distinct())), (F.xxhash64(text) == F.col(a)) & (F.hash(text) == F.col(b)), "left_anti")
