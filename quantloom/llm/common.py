@@ -39,6 +39,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Removes a folder, in whatever store it lies."""
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -95,14 +102,16 @@ def if_small(df: DataFrame, most: int = 1_000_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def join_counted(big: DataFrame, small: DataFrame, key: str, size: str, total: int, share: int = 2000) -> DataFrame:
+def join_counted(big: DataFrame, small: DataFrame, key: str, size: str, total: int, share: int = 2000, known: DataFrame | None = None) -> DataFrame:
     """big joined with small, which has each key once and in `size` how many rows of big have it (of `total`).
 
     Keys with more than one row in `share` are broadcast, and there can't be more than `share` of them; so no task
-    gets a hot key's rows. The others are joined by an ordinary shuffle. big and small should be cut.
+    gets a hot key's rows. The others are joined by an ordinary shuffle. Where small lacks keys of big that may be hot,
+    `known` has them, so that their rows aren't shuffled either. big, small and known should be cut.
     """
     hot = small.where(F.col(size) * share > total)
-    rest = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(small.where(F.col(size) * share <= total), key)
+    anywhere = hot if known is None else known.where(F.col(size) * share > total)
+    rest = big.join(F.broadcast(anywhere.select(key)), key, "left_anti").join(small.where(F.col(size) * share <= total), key)
     return big.join(F.broadcast(hot), key).unionByName(rest)
 
 

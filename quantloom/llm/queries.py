@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import cut, remove_dir, shared_dir, table
 from .decontaminate import find_matches
 from .exact_dedup import exact_groups
 from .license_scan import scan_licenses
@@ -29,7 +29,9 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_folder(spark, shared_dir(spark))
     written = write_archives(table(spark, sf_dir, "pages"), f"{folder}/whole")
     back = read_archives(read_index(normalise_archives(written, f"{folder}/members")))
-    return back.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    out = cut(back.select(F.col("id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to")))
+    remove_dir(spark, folder)
+    return out
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quantloom.llm.decontaminate import budget, drop_contaminated, find_matches, myers, words_of
 from quantloom.llm.piece_sampling import Lattice, decode, encode, encode_and_check
 from quantloom.llm.queries import op1_toxicity, op9_decontamination
-from quantloom.llm.toxicity import build, discounts, drop_toxic, measure, toxicity_scores
+from quantloom.llm.toxicity import build, curve, discounts, drop_toxic, measure, toxicity_scores
 
 D = "/root/testdata/sf0.01"
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -120,6 +120,32 @@ def test_evidence_equals_the_definition(spark):
             assert all(math.isclose(a, b, abs_tol=1e-5) for a, b in zip(got[i], evidence(t), strict=True)), (hot, t, got[i], evidence(t))
 
 
+def test_query_equals_the_definition_over_a_whole_table(spark):
+    """Every score of the query: counts, evidences and curve of a plain program over the same rows."""
+    import zlib
+
+    import numpy as np
+
+    d = D.replace("0.01", "0.001")
+    docs = {r.doc_id: (words_of(r.text), r.c) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0).alias("c")).collect()}
+    y = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    own = [i for i in sorted(docs) if i in y and zlib.crc32(str(i).encode()) % 4 != 2]
+    distinct = {}
+    raw = {r.doc_id: r.text for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()}
+    for i in own:
+        if not docs[i][1]:
+            distinct.setdefault(raw[i], i)
+    evidence = kneser_ney([(docs[i][0], y[i]) for i in distinct.values() if docs[i][0]])
+    x = {i: evidence(w) for i, (w, _) in docs.items()}
+    known = [i for i in own if docs[i][1]]
+    c = curve(np.array([x[i] for i in known]), np.array([y[i] for i in known], float))
+    got = op1_toxicity(spark, d).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        want = 1 / (1 + math.exp(-(sum(a * b for a, b in zip(x[r.doc_id], c, strict=False)) + c[-1])))
+        assert abs(r.score - want) < 1e-3 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
 def test_query_equals_its_operator_without_broadcast(spark):
     """The whole query on one table: the same scores whichever way words are looked up."""
     tables = [spark.read.parquet(f"{D}/{t}.parquet") for t in ("documents", "labels")]

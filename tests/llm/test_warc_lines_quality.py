@@ -8,8 +8,10 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+from quantloom.llm.common import WordHashes
 from quantloom.llm.line_dedup import drop_boilerplate_lines, spread_lines
-from quantloom.llm.quality import MEASURES, co_train, measures, quality_scores
+from quantloom.llm.quality import BUCKETS, LANGUAGES, MEASURES, SITES, Logistic, balance, co_train, measures, quality_scores
 from quantloom.llm.queries import op2_warc, op3_line_dedup, op5_quality
 from quantloom.llm.warc import Counted, inflated, normalise_archive, normalise_archives, read_archives, read_index, record, write_archives
 
@@ -108,16 +110,74 @@ def test_line_query_matches_brute_force(spark):
     assert len(got) == len(rows) and all(r.text_sha256 == hashlib.sha256(want[r.doc_id].encode()).hexdigest() and r.n_chars == len(want[r.doc_id]) for r in got)
 
 
+class Local:
+    """A pool in memory, row by row as the definition says."""
+
+    def __init__(self, views):
+        self.views = views
+
+    def counts(self, models, line):
+        z = [m.logit(v) for m, v in zip(models, self.views, strict=True)]
+        return [(int((x < -line).sum()), int((x > line).sum())) for x in z]
+
+    def sums(self, teachers, weights, line, models):
+        out = []
+        for k in (0, 1):
+            gradient, second = np.zeros(len(models[k].weights)), np.zeros((len(models[k].weights),) * 2)
+            for says, row in zip(teachers[1 - k].logit(self.views[1 - k]), models[k].design(self.views[k]), strict=True):
+                if abs(says) > line:
+                    p = 1 / (1 + np.exp(-np.clip(row @ models[k].weights, -30, 30)))
+                    w = weights[1 - k][int(says > 0)]
+                    gradient += w * (float(says > 0) - p) * row
+                    second += w * p * (1 - p) * np.outer(row, row)
+            out.append((gradient, second))
+        return out
+
+
 def test_co_training_uses_the_other_view():
     rng = np.random.default_rng(5)
     y = rng.integers(0, 2, 6000).astype(float)
     a, b = y[:, None] * 3 + rng.normal(size=(6000, 4)), y[:, None] * 3 + rng.normal(size=(6000, 4))
-    one, two = co_train((a[:12], b[:12]), y[:12], (a[12:4000], b[12:4000]))
-    alone, _ = co_train((a[:12], b[:12]), y[:12], (a[:0], b[:0]))
+    one, two = co_train((a[:12], b[:12]), y[:12], Local((a[12:4000], b[12:4000])))
+    alone, _ = co_train((a[:12], b[:12]), y[:12], Local((a[:0], b[:0])))
     right = lambda m, v: ((m.logit(v[4000:]) > 0) == (y[4000:] > 0.5)).mean()
     assert right(one, a) > 0.97 and right(two, b) > 0.97 and right(one, a) >= right(alone, a) - 0.002
 
 
+def test_pseudo_labels_keep_the_classes_shares():
+    for bad, good, share in ((100, 900, 0.5), (50, 50, 0.8), (7, 0, 0.5), (0, 0, 0.3)):
+        no, yes = balance(bad, good, share)
+        assert 0 <= no <= 0.5 and 0 <= yes <= 0.5 and max(no, yes) in (0.5, 0.0)
+        if bad and good:
+            assert abs(good * yes / (good * yes + bad * no) - share) < 1e-9
+    assert balance(7, 0, 0.5)[0] == 0.0
+
+
+def test_quality_query_equals_a_local_fit(spark):
+    """The whole query against one fit in memory over all its rows."""
+    import zlib
+
+    docs = spark.read.parquet(f"{D}/documents.parquet")
+    got = {r.doc_id: r for r in op5_quality(spark, D).collect()}
+    marks = {r.doc_id: r.quality for r in spark.read.parquet(f"{D}/labels.parquet").collect()}
+    group = lambda c, n: F.pmod(F.xxhash64(F.coalesce(c, F.lit("\0"))), F.lit(n)).cast("int")
+    rows = docs.select("doc_id", "text", group("source", SITES).alias("site"), group("lang", LANGUAGES).alias("lang"), F.log1p(F.col("n_chars").cast("double")).alias("size")).toPandas()
+    hashes = WordHashes()
+    text = np.stack([measures(t, hashes) for t in rows["text"]]).astype(float)
+    meta = np.zeros((len(rows), SITES + LANGUAGES + 1))
+    for k, r in enumerate(rows.itertuples()):
+        meta[k, r.site], meta[k, SITES + r.lang], meta[k, -1] = 1, 1, r.size
+    part = np.array([zlib.crc32(str(i).encode()) % 4 for i in rows["doc_id"]])
+    y = np.array([marks.get(i, np.nan) for i in rows["doc_id"]], float)
+    fit, hold, pool = ~np.isnan(y) & (part < 2), ~np.isnan(y) & (part == 3), np.isnan(y) & (part != 2)
+    models = co_train((text[fit], meta[fit]), y[fit], Local((text[pool], meta[pool])))
+    z = np.stack([m.logit(v) for m, v in zip(models, (text, meta), strict=True)], 1)
+    score = 1 / (1 + np.exp(-Logistic.fit(z[hold], y[hold]).logit(z)))
+    assert len(got) == len(rows)
+    for i, s, p in zip(rows["doc_id"], score, part, strict=True):
+        assert abs(got[i].score - s) < 1e-4 and got[i].predicted == int(got[i].score >= 0.5) and got[i].held_out == (p == 2)
+
+
 def test_quality_query_on_held_out_rows(spark):
     got = op5_quality(spark, D).join(spark.read.parquet(f"{D}/labels.parquet"), "doc_id").where("held_out").collect()
     assert len(got) > 50 and np.mean([r.predicted == r.quality for r in got]) > 0.93
@@ -132,4 +192,30 @@ def test_quality_of_odd_rows(spark):
     assert {r.score for r in quality_scores(df, marks.limit(0)).collect()} == {0.5}
     assert {r.predicted for r in quality_scores(df, marks.where("quality = 1")).collect()} == {1}
     assert quality_scores(df.limit(0), marks).count() == 0
-    assert len(measures(None)) == len(measures("a b\n\nc")) == MEASURES
+    assert len(measures(None, WordHashes())) == len(measures("a b\n\nc", WordHashes())) == MEASURES + BUCKETS
+
+
+def test_one_response_among_equal_rows_however_partitions_are_split(spark, tmp_path):
+    """Repeated rows, with joins whose partitions adaptive execution splits: each payload has one response."""
+    rows = [(i % 17, f"http://h/{i % 5}", f"page {i % 11} " + "x" * 200) for i in range(3000)] + [(None, None, "page 3 " + "x" * 200), (None, None, None), (None, None, None), (4, "http://z", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(9)
+    conf = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        back = read_archives(read_index(normalise_archives(write_archives(pages, f"{tmp_path}/a"), f"{tmp_path}/b"))).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(back) == len(rows)
+    least = {}
+    for i, _, t in rows:
+        least.setdefault(t or "", []).append(10**9 if i is None else i)
+    responses = {}
+    for r in back:
+        if r.record_type == "response":
+            assert r.payload_digest not in responses
+            responses[r.payload_digest] = int(r.id or 10**9)
+    assert sorted(responses.values()) == sorted(map(min, least.values()))
+    assert all(int(r.refers_to) == responses[r.payload_digest] for r in back if r.record_type == "revisit")
