@@ -5,9 +5,11 @@ whole sequence where there are fewer words). One hash per shingle serves all bin
 the smallest hash in a bin is its value, and an empty bin takes the value of the first non-empty bin in a random
 order of its own. Bands of the signature are buckets. Documents with the same set are one node throughout.
 
-In the first round every bucket has one centre, and only (centre, member) pairs become candidates. Afterwards a bucket
-in which several components meet has about CENTRES of them, drawn by hash from all but its largest component; with
-each of them all pairs to other components are decided, so it leaves the bucket. Rounds go on until no bucket holds
+In the first round every bucket has one centre, and only (centre, member) pairs become candidates. In the second one
+about FEW members of a bucket in which several components meet are drawn by hash, and each member offers its BEST
+candidates among them; so a group's parts grow together with about as many pairs as it has members. Afterwards such a
+bucket has about CENTRES of them, drawn from all but its largest component; with each of them all pairs to other
+components are decided, so it leaves the bucket. Rounds go on until no bucket holds
 two components: no link that a bucket offers is lost, and a group of near copies takes about as many pairs as it has
 members. Links are kept between components only, so a round's graph holds one node a component.
 
@@ -36,7 +38,7 @@ from .common import LOWER, WordHashes, columns_of, connected, cut, free_names, m
 WORDS_PER_SHINGLE = 5
 BITS = 8
 BINS = 1 << BITS
-CENTRES = 256
+CENTRES, FEW, BEST = 256, 32, 2
 #: Words whose hashes a task remembers. Python's workers keep their memory while the joins run, so it is kept small.
 HASHES = 60_000
 #: For each bin a random order of all bins, as ranks: where an empty bin looks for its value.
@@ -81,17 +83,21 @@ def digits(found: np.ndarray) -> np.ndarray:
     return np.bitwise_or.reduce(out.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=1)
 
 
-def may_link(a: tuple[F.Column, F.Column], b: tuple[F.Column, F.Column], percent: int) -> F.Column:
-    """Whether two sets, each as (size, digits), may reach the threshold: no if their sizes don't allow it, nor if even
-    sets that differ only where digits do would not."""
+def differing(a: F.Column, b: F.Column) -> F.Column:
+    """In how many digits two sets differ."""
 
     def differ(x: F.Column, y: F.Column) -> F.Column:
         z = x.bitwiseXOR(y)
         z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
         return F.bit_count(z.bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseAND(F.lit(0x1111111111111111)))
 
-    apart = F.aggregate(F.zip_with(a[1], b[1], differ), F.lit(0), lambda s, v: s + v)
-    size = a[0] + b[0]
+    return F.aggregate(F.zip_with(a, b, differ), F.lit(0), lambda s, v: s + v)
+
+
+def may_link(a: tuple[F.Column, F.Column], b: tuple[F.Column, F.Column], percent: int) -> F.Column:
+    """Whether two sets, each as (size, digits), may reach the threshold: no if their sizes don't allow it, nor if even
+    sets that differ only where digits do would not."""
+    apart, size = differing(a[1], b[1]), a[0] + b[0]
     return (F.least(a[0], b[0]) * 100 >= F.greatest(a[0], b[0]) * percent) & ((size - apart) * 100 >= (size + apart) * percent)
 
 
@@ -184,25 +190,29 @@ def near_links(docs: DataFrame, sketches: DataFrame, id_col: str, text_col: str,
             # each bucket's largest component, and how many rows the others have
             parts = at.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
             parts = parts.groupBy("bucket").agg(F.max(F.struct("m", "comp")).alias("most"), F.sum("m").alias("size"))
-            parts = parts.select("bucket", F.col("most.comp").alias("main"), (F.col("size") - F.col("most.m")).alias("others")).where("others > 0")
-            at = cut(at.drop("main", "others").join(parts, "bucket"))
+            parts = parts.select("bucket", F.col("most.comp").alias("main"), "size", (F.col("size") - F.col("most.m")).alias("others")).where("others > 0")
+            at = cut(at.drop("main", "size", "others").join(parts, "bucket"))
             if at.isEmpty():
                 return comps.withColumnRenamed("sk", "node")
             # the first of them by hash always is one, so that there is one
-            drawn = F.pmod(F.xxhash64("sk", "bucket", F.lit(turn)), F.lit(1 << 20)) * F.col("others") < F.lit(CENTRES << 20)
-            aside = at.where("comp != main")
+            many, of = (FEW, "size") if turn == 1 else (CENTRES, "others")
+            drawn = F.pmod(F.xxhash64("sk", "bucket", F.lit(turn)), F.lit(1 << 20)) * F.col(of) < F.lit(many << 20)
+            aside = at if turn == 1 else at.where("comp != main")
             sure = aside.groupBy("bucket").agg(F.array(F.min(F.struct(F.xxhash64("sk", "bucket", F.lit(turn)).alias("h"), star.alias("s")))["s"]).alias("stars"))
             split = aside.where(drawn).select("bucket", F.array(star).alias("stars")).unionByName(sure)
             split = split.groupBy("bucket").agg(F.array_distinct(F.flatten(F.collect_list("stars"))).alias("stars"))
         held = at.join(split, "bucket")
         # only candidates that may be links become rows
         apt = F.filter("stars", lambda s: (s["c"] != F.col("comp")) & may_link((F.col("n"), F.col("d")), (s["n"], s["d"]), percent))
+        if turn == 1:
+            near = F.transform(apt, lambda s: F.struct(differing(F.col("d"), s["d"]).alias("x"), s["k"].alias("k"), s["c"].alias("c")))
+            apt = F.slice(F.array_sort(near), 1, BEST)
         two = held.select(F.struct(F.col("sk").alias("k"), F.col("comp").alias("c")).alias("m"), F.explode(F.transform(apt, lambda s: F.struct(s["k"].alias("k"), s["c"].alias("c")))).alias("s"))
         two = two.select(F.least("m", "s").alias("l"), F.greatest("m", "s").alias("g"))
         pairs = cut(two.select(F.col("l.k").alias("a"), F.col("g.k").alias("b"), F.least("l.c", "g.c").alias("u"), F.greatest("l.c", "g.c").alias("v")).distinct())
         # only links between components go on
         found = cut(_confirm(pairs, sets, percent).distinct())
-        rest = held.where(~F.exists("stars", lambda x: x["k"] == F.col("sk"))).drop("stars")
+        rest = (held if turn == 1 else held.where(~F.exists("stars", lambda x: x["k"] == F.col("sk")))).drop("stars")
         if not found.isEmpty():
             moved = connected(found.toDF("a", "b")).toDF("comp", "to")
             join = lambda df: df.join(moved, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to")  # noqa: B023, E731
