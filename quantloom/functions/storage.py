@@ -4,12 +4,22 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept under spark.checkpoint.dir (a temporary folder where that is unset)."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all machines share. Where it is unset, a temporary one on a local
+    master and an error on any other."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quantloom-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="quantloom-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

@@ -111,20 +111,35 @@ class Matrix:
     def annotate(self, mapping: DataFrame) -> Matrix:
         return replace(self, features=annotation.annotate(self.features, mapping))
 
-    def cluster(self, q_value: float = 0.01) -> Matrix:
-        return replace(self, features=clusters.cluster(self.cells, self.features, q_value))
+    def cluster(self, feature_column: str | None = None, q_value: float = 0.01) -> Matrix:
+        return replace(self, features=clusters.cluster(self.cells, self.features, q_value, feature_column=feature_column))
 
-    def explain(self, comparisons: list[tuple], n_iterations: int = 100, downsample_background: bool = True) -> Matrix:
-        return replace(self, features=learn.explain(self.cells, self.features, self.samples, comparisons, n_iterations, downsample_background))
+    def explain(self, classifier, comparisons: list[tuple] | tuple, n_iterations: int = 100, downsample_background: bool = True) -> Matrix:
+        """classifier: an MLlib estimator; None: a logistic regression."""
+        return replace(self, features=learn.explain(self.cells, self.features, self.samples, comparisons, n_iterations, downsample_background, classifier=classifier))
 
-    def evaluate(self, score_columns: list[str], classifier=None) -> Matrix:
-        return replace(self, features=learn.evaluate(self.features, score_columns, classifier))
+    def interpret(self, model, scale: bool = True, downsample_background: bool = True) -> Matrix:
+        """features with the Importance that a fitted model gives them."""
+        return replace(self, features=learn.interpret(self.cells, self.features, self.samples, model, scale, downsample_background)[0])
+
+    def evaluate(self, classifier=None, comparisons: list[tuple] | tuple = (1, 2), method: str = "all", base_score_columns: list[str] | None = None) -> Matrix:
+        return replace(self, features=learn.evaluate_by(self.features, comparisons, method, base_score_columns, classifier)[0])
 
     def predict(self, model, scale: bool = True) -> Matrix:
         return replace(self, samples=learn.predict(self.cells, self.samples, model, scale))
 
     # -- ways out
 
+    def plot(self, plot_type: str, **kw) -> DataFrame:
+        """The data of a plot: importance_summary (model, n_display, n_bins), or rfe_pca (ranks, cutoffs, comparison)."""
+        if plot_type == "importance_summary":
+            local = learn.interpret(self.cells, self.features, self.samples, kw["model"], kw.get("scale", True), kw.get("downsample_background", True))[1]
+            return learn.plot_importance_data(local, kw.get("n_display", 5), kw.get("n_bins", 100))
+        if plot_type == "rfe_pca":
+            rows = learn.to_ml(scaling.standard(self.cells), self.samples, kw.get("comparison", (1, 2)))
+            return learn.plot_rfe_pca_data(rows, kw["ranks"], list(kw.get("cutoffs", [100, 50, 10])))
+        raise ValueError(f"unknown plot {plot_type!r}; known: importance_summary, rfe_pca")
+
     def train(self, classifier, **kw) -> learn.TrainResult:
         return learn.train(self.cells, self.samples, classifier, **kw)
 

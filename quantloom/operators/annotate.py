@@ -17,7 +17,7 @@ def sized(df: DataFrame, limit: int = SMALL) -> DataFrame:
 
 
 def annotate(features: DataFrame, mapping: DataFrame, column: str = "Protein", out: str = "Gene") -> DataFrame:
-    """features with `out`: the first name of the mapping (accession, name), or the accession itself."""
+    """features with `out`: the smallest name that the mapping (accession, name) has, or the accession itself."""
     one = mapping.groupBy("accession").agg(F.min("name").alias("__name"))
     joined = features.join(sized(one), F.col(f"`{column}`") == F.col("accession"), "left")
     return joined.withColumn(out, F.coalesce("__name", F.col(f"`{column}`"))).drop("accession", "__name")
@@ -44,7 +44,7 @@ def overrepresented(sets: DataFrame, selected: DataFrame, background: DataFrame
     """(term, overlap, size, n_selected, n_background, p, corrected): the hypergeometric upper tail, corrected by
     Benjamini and Hochberg. The background is all genes of the sets where none is given; others don't count.
 
-    The tail's sum takes log-factorials from one array of running sums of logarithms, one entry per background gene.
+    What all terms share, the ways to draw the selected genes from the background, is summed up once.
     """
     from .compare import correct_p
 
@@ -54,20 +54,24 @@ def overrepresented(sets: DataFrame, selected: DataFrame, background: DataFrame
     chosen = selected.join(ground, "gene", "left_semi").select("gene", F.lit(1).alias("hit"))
     counts = inside.join(chosen, "gene", "left").groupBy("term").agg(F.count("hit").alias("overlap"), F.count("*").alias("size"))
     totals = ground.agg(F.count("*").alias("n_background")).crossJoin(chosen.agg(F.count("*").alias("n_selected")))
-    tail = upper_tail(F.col("overlap"), F.col("n_background"), F.col("size"), F.col("n_selected"))
+    totals = cut(totals.withColumn("__all", choose(F.col("n_background"), F.col("n_selected"))))
+    tail = upper_tail(F.col("overlap"), F.col("n_background"), F.col("size"), F.col("n_selected"), F.col("__all"))
     tested = counts.where("overlap > 0").crossJoin(F.broadcast(totals)).select("term", "overlap", "size", "n_selected", "n_background", tail.alias("p"))
     return correct_p(tested.withColumn("__term", F.xxhash64("term")), "fdr_bh", tie="__term").drop("__term")
 
 
-def upper_tail(x: F.Column, big_n: F.Column, k: F.Column, n: F.Column) -> F.Column:
-    """P(X >= x) for X successes among n drawn of big_n of which k are successes.
+def choose(a: F.Column, b: F.Column) -> F.Column:
+    """The logarithm of the ways to draw b of a, as a sum of logs of (a - b + i) / i."""
+    upto = F.when(b > 0, F.sequence(F.lit(1).cast("long"), b)).otherwise(F.array().cast("array<bigint>"))
+    return F.aggregate(upto, F.lit(0.0), lambda s, i: s + F.ln((a - b + i) / i))
 
-    The first term is a product of ratios in logs over min(k, n) steps at most; the others follow by their ratio.
+
+def upper_tail(x: F.Column, big_n: F.Column, k: F.Column, n: F.Column, ways: F.Column | None = None) -> F.Column:
+    """P(X >= x) for X successes among n drawn of big_n of which k are successes; ways: choose(big_n, n), if it is known.
+
+    The first term is C(k, x) C(N - k, n - x) / C(N, n) in logs, over n steps at most; the others follow by their ratio.
     """
-    upto = lambda m: F.when(m > 0, F.sequence(F.lit(1).cast("long"), m)).otherwise(F.array().cast("array<bigint>"))
-    choose = lambda a, b: F.aggregate(upto(b), F.lit(0.0), lambda s, i: s + F.ln((a - b + i) / i))
-    # C(k, x) C(N - k, n - x) / C(N, n), as sums of logs of (a - b + i) / i
-    first = F.exp(choose(k, x) + choose(big_n - k, n - x) - choose(big_n, n))
+    first = F.exp(choose(k, x) + choose(big_n - k, n - x) - (choose(big_n, n) if ways is None else ways))
     step = F.least(k, n)
     start = F.struct(first.alias("t"), F.lit(0.0).alias("s"))
     ratio = lambda j: (k - j).cast("double") * (n - j) / ((j + 1).cast("double") * (big_n - k - n + j + 1))

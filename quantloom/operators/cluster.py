@@ -1,14 +1,17 @@
-"""Clusters of features by rank correlation, with a cutoff calibrated on decoys."""
+"""Clusters of features by rank correlation, with a cutoff calibrated on decoys. All pairs are compared, by blocks, as
+the correlation's definition has it; only what is asked for (the nearest, or pairs within a distance) becomes rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .decoys import decoy_shuffle, qvalue_counter
+from ..functions.graph import components
+from ..functions.storage import cut
+from .decoys import decoy_shuffle, qvalue_counter, running
 
-#: Clusters are cut from one matrix of distances; more features are refused.
-MOST = 20_000
+#: Features of a block, whose products with another one a task holds; and of a component of near features.
+BLOCK, MOST = 2000, 20_000
 
 
 def ranks(cells: DataFrame) -> DataFrame:
@@ -19,17 +22,16 @@ def ranks(cells: DataFrame) -> DataFrame:
     return c.withColumn("r", F.try_divide(F.col("r"), F.sqrt(F.sum(F.col("r") * F.col("r")).over(w))))
 
 
-def spearman(cells: DataFrame, blocks: int | None = None) -> DataFrame:
-    """(a, b, distance) with a < b: one less the absolute rank correlation. Cells must be complete.
-
-    Features are packed into blocks; a task multiplies two blocks, so each cell is sent once per block and not once
-    per feature.
-    """
+def block_products(cells: DataFrame, reduce, schema: str, rows: int = BLOCK) -> DataFrame:
+    """What `reduce` makes of the distances between two blocks of features: (ids, ids, distances) of a pair of blocks,
+    with infinity on the diagonal. Features are packed into blocks of about `rows`, so a task's memory doesn't grow with
+    their number, and each cell is sent once per block and not once per feature."""
     import numpy as np
     import pandas as pd
 
-    blocks = blocks or max(1, int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 2)
-    vectors = ranks(cells).groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", F.coalesce("r", F.lit(0.0)).alias("r")))), lambda x: x["r"]).alias("v"))
+    # read by each block: the vectors are kept
+    vectors = cut(ranks(cells).groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", F.coalesce("r", F.lit(0.0)).alias("r")))), lambda x: x["r"]).alias("v")))
+    blocks = max(1, -(-vectors.count() // rows))
     placed = vectors.withColumn("block", F.pmod(F.xxhash64("row_id"), F.lit(blocks)).cast("int"))
     pair = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     met = placed.withColumn("o", pair).select("row_id", "v", "block", F.least("block", "o").alias("x"), F.greatest("block", "o").alias("y"))
@@ -38,19 +40,41 @@ def spearman(cells: DataFrame, blocks: int | None = None) -> DataFrame:
         x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
         a, b = pdf[pdf["block"] == x], pdf[pdf["block"] == y]
         if a.empty or b.empty:
-            return pd.DataFrame({"a": [], "b": [], "distance": []})
-        rho = np.stack(a["v"].to_numpy()) @ np.stack(b["v"].to_numpy()).T
-        i, j = np.meshgrid(a["row_id"].to_numpy(), b["row_id"].to_numpy(), indexing="ij")
-        keep = (i < j) if x == y else np.ones(i.shape, bool)
-        return pd.DataFrame({"a": np.minimum(i, j)[keep], "b": np.maximum(i, j)[keep], "distance": np.clip(1 - np.abs(rho), 0, 1)[keep]})
+            return pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
+        d = np.clip(1 - np.abs(np.stack(a["v"].to_numpy()) @ np.stack(b["v"].to_numpy()).T), 0, 1)
+        i, j = a["row_id"].to_numpy(), b["row_id"].to_numpy()
+        d[i[:, None] == j[None]] = np.inf
+        return reduce(i, j, d, x == y)
+
+    return met.groupBy("x", "y").applyInPandas(near, schema)
+
+
+def spearman(cells: DataFrame, within: float | None = None, rows: int = BLOCK) -> DataFrame:
+    """(a, b, distance) with a < b: one less the absolute rank correlation, of all pairs or of those not further apart
+    than `within`. Cells must be complete."""
+    import numpy as np
+    import pandas as pd
 
-    return met.groupBy("x", "y").applyInPandas(near, "a long, b long, distance double")
+    def pairs(i, j, d, same):
+        keep = np.isfinite(d) & (d <= (np.inf if within is None else within))
+        if same:
+            keep &= i[:, None] < j[None]
+        m, n = np.nonzero(keep)
+        return pd.DataFrame({"a": np.minimum(i[m], j[n]), "b": np.maximum(i[m], j[n]), "distance": d[m, n]})
 
+    return block_products(cells, pairs, "a long, b long, distance double", rows)
 
-def nearest(distances: DataFrame) -> DataFrame:
-    """(row_id, distance) to the nearest other feature."""
-    both = distances.select(F.col("a").alias("row_id"), "distance").unionByName(distances.select(F.col("b").alias("row_id"), "distance"))
-    return both.groupBy("row_id").agg(F.min("distance").alias("distance"))
+
+def nearest(cells: DataFrame, rows: int = BLOCK) -> DataFrame:
+    """(row_id, distance) to the nearest other feature: blocks give one row a feature, not one a pair."""
+    import numpy as np
+    import pandas as pd
+
+    def least(i, j, d, same):
+        return pd.DataFrame({"row_id": np.concatenate([i, j]), "distance": np.concatenate([d.min(1), d.min(0)])})
+
+    best = block_products(cells, least, "row_id long, distance double", rows).groupBy("row_id").agg(F.min("distance").alias("distance"))
+    return best.where("distance <= 1")
 
 
 def cutoff(targets: DataFrame, decoys: DataFrame, q_value: float = 0.01) -> DataFrame:
@@ -60,27 +84,34 @@ def cutoff(targets: DataFrame, decoys: DataFrame, q_value: float = 0.01) -> Data
     return q.agg(F.max_by("distance", F.struct("q_value", "distance")).alias("cutoff"))
 
 
-def ward(distances: DataFrame, features: DataFrame, height: float | None, most: int = MOST) -> DataFrame:
-    """(row_id, FeatureCluster): Ward's linkage by nearest-neighbour chains, cut at a height; null: singletons.
+def ward(cells: DataFrame, features: DataFrame, height: float | None, most: int = MOST) -> DataFrame:
+    """(row_id, FeatureCluster): Ward's linkage by nearest-neighbour chains, cut at a height; null: singletons. Clusters
+    are numbered by their smallest feature.
 
-    Linkage is not distributive: one task holds the matrix, so more than `most` features are refused.
+    Features meet in components of the graph of pairs not further apart than the height: clusters whose distances all
+    exceed it never merge below it, so each component is linked by itself, in a task of its own. A component of more
+    than `most` features is refused, as its distances are one matrix.
     """
     import numpy as np
     import pandas as pd
 
-    n = features.count()
-    if n > most:
-        raise ValueError(f"{n} features are more than the {most} whose distances one task may hold")
+    ids = features.select("row_id")
     if height is None:
-        return features.select("row_id", F.row_number().over(Window.orderBy("row_id")).alias("FeatureCluster"))
-    rows = features.select(F.col("row_id").alias("a"), F.col("row_id").alias("b"), F.lit(0.0).alias("distance")).unionByName(distances)
+        return _numbered(ids.withColumn("low", F.col("row_id")))
+    near = cut(spearman(cells, height).select("a", "b"))
+    if near.isEmpty():
+        return _numbered(ids.withColumn("low", F.col("row_id")))
+    comp = cut(components(near))
+    if comp.groupBy("comp").count().where(F.col("count") > most).head(1):
+        raise ValueError(f"a component of near features has more than {most}, whose distances one task would hold")
+    vectors = ranks(cells).groupBy("row_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("sample", F.coalesce("r", F.lit(0.0)).alias("r")))), lambda x: x["r"]).alias("v"))
+    held = vectors.join(comp.withColumnRenamed("node", "row_id"), "row_id")
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.unique(pdf["a"].to_numpy())
+        pdf = pdf.sort_values("row_id")
+        ids, v = pdf["row_id"].to_numpy(), np.stack(pdf["v"].to_numpy())
         m = len(ids)
-        d = np.full((m, m), np.inf)
-        i, j = np.searchsorted(ids, pdf["a"]), np.searchsorted(ids, pdf["b"])
-        d[i, j] = d[j, i] = pdf["distance"].to_numpy()
+        d = np.clip(1 - np.abs(v @ v.T), 0, 1)
         np.fill_diagonal(d, np.inf)
         size, live, chain, merges = np.ones(m), np.ones(m, bool), [], []
         while live.sum() > 1:
@@ -114,15 +145,26 @@ def ward(distances: DataFrame, features: DataFrame, height: float | None, most:
         for x, y, h in merges:
             if h <= height:
                 up[root(x)] = root(y)
-        _, labels = np.unique([root(k) for k in range(m)], return_inverse=True)
-        return pd.DataFrame({"row_id": ids, "FeatureCluster": labels + 1})
+        low: dict[int, int] = {}
+        return pd.DataFrame({"row_id": ids, "low": [low.setdefault(root(k), int(ids[k])) for k in range(m)]})
+
+    found = cut(held.groupBy("comp").applyInPandas(link, "row_id long, low long"))
+    return _numbered(ids.join(found, "row_id", "left").withColumn("low", F.coalesce("low", "row_id")))
+
 
-    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(link, "row_id long, FeatureCluster int")
+def _numbered(found: DataFrame) -> DataFrame:
+    """(row_id, FeatureCluster): clusters, named by their smallest features, as numbers from 1."""
+    places = running(found.select("low").distinct(), [("low", True)], {"FeatureCluster": F.lit(1).cast("long")})
+    return found.join(places, "low").select("row_id", F.col("FeatureCluster").cast("int").alias("FeatureCluster"))
 
 
-def cluster(cells: DataFrame, features: DataFrame, q_value: float = 0.01, seed: int = 0) -> DataFrame:
-    """features with FeatureCluster."""
-    distances = spearman(cells)
-    decoys = spearman(decoy_shuffle(cells, seed))
-    height = cutoff(nearest(distances), nearest(decoys), q_value).first()[0]
-    return features.join(ward(distances, features, height), "row_id", "left")
+def cluster(cells: DataFrame, features: DataFrame, q_value: float = 0.01, seed: int = 0, feature_column: str | None = None) -> DataFrame:
+    """features with FeatureCluster. The cutoff is calibrated on the features that are decoys, where there is a Decoy
+    column with some, or on shuffled ones; with a feature_column its values, which must be unique, are kept in Feature."""
+    if feature_column is not None and features.groupBy(F.col(f"`{feature_column}`")).count().where(F.col("count") > 1).head(1):
+        raise ValueError(f"features of one {feature_column!r} are several; quantify first")
+    own = None
+    if "Decoy" in features.columns and features.where("Decoy = 1").head(1):
+        own = cells.join(features.where("Decoy = 1").select("row_id"), "row_id", "left_semi")
+    height = cutoff(nearest(cells), nearest(decoy_shuffle(cells, seed) if own is None else own), q_value).first()[0]
+    return features.join(ward(cells, features, height), "row_id", "left")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import t_pvalue
 from ..functions.storage import cut
+from .quantify import level_column
 
 CORRECTIONS = ("bonferroni", "sidak", "holm", "holm-sidak", "simes-hochberg", "fdr_bh", "fdr_by", "fdr_tsbh", "fdr_tsbky")
 
@@ -19,14 +20,27 @@ def _v() -> F.Column:
     return F.nullif(F.col("value"), F.lit(0.0))
 
 
-def group_stats(cells: DataFrame, samples: DataFrame, comparison: tuple, min_samples: int = 2) -> DataFrame:
+def pooled(cells: DataFrame, features: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(cells, members): the cells of all features with one value of `column` under the first of their row_ids, with
+    `part`, the feature they come from; and (row_id, members), how many features that are."""
+    named = features.where(F.col(f"`{column}`").isNotNull()).select("row_id", F.col(f"`{column}`").alias("__key"))
+    first = named.groupBy("__key").agg(F.min("row_id").alias("first"), F.count("*").alias("members"))
+    rows = named.join(first, "__key").select(F.col("row_id").alias("part"), "first")
+    out = cells.withColumnRenamed("row_id", "part").join(rows, "part").select(F.col("first").alias("row_id"), "part", "sample", "value")
+    return out, first.select(F.col("first").alias("row_id"), "members")
+
+
+def group_stats(cells: DataFrame, samples: DataFrame, comparison: tuple, min_samples: int = 2, members: DataFrame | None = None) -> DataFrame:
     """(row_id, n_a, n_b, mean_a, mean_b, sd_a, sd_b, log2_fc): deviations by n; with too few values in a group there is
-    no fold change, and the other group's mean and deviation are given only if all its samples have values."""
+    no fold change, and the other group's mean and deviation are given only if all its samples have values. members:
+    how many features stand under a row_id, where cells are pooled."""
     a, b = (F.lit(g) for g in comparison)
     size = samples.agg(F.count(F.when(F.col("group") == a, 1)).alias("size_a"), F.count(F.when(F.col("group") == b, 1)).alias("size_b"))
     rows = cells.join(F.broadcast(samples.select("sample", "group").where((F.col("group") == a) | (F.col("group") == b))), "sample")
     in_a, in_b = F.when(F.col("group") == a, _v()), F.when(F.col("group") == b, _v())
     stats = rows.groupBy("row_id").agg(F.count(in_a).alias("n_a"), F.count(in_b).alias("n_b"), F.avg(in_a).alias("mean_a"), F.avg(in_b).alias("mean_b"), F.stddev_pop(in_a).alias("sd_a"), F.stddev_pop(in_b).alias("sd_b")).crossJoin(F.broadcast(size))
+    if members is not None:
+        stats = stats.join(members, "row_id").withColumns({c: F.col(c) * F.col("members") for c in ("size_a", "size_b")}).drop("members")
     enough = (F.col("n_a") >= min_samples) & (F.col("n_b") >= min_samples)
     given = lambda c, n, s: F.when(enough | (F.col(n) == F.col(s)), F.col(c))
     own = lambda c, n, s: F.when(F.col(n) < min_samples, F.lit(None).cast("double")).otherwise(given(c, n, s)).alias(c)
@@ -46,9 +60,10 @@ def ttest(stats: DataFrame) -> DataFrame:
 def paired(cells: DataFrame, samples: DataFrame, comparison: tuple, min_samples: int = 2) -> DataFrame:
     """(row_id, n_pairs, mean_difference, p): partners by the design's pair; incomplete pairs don't count."""
     mates = samples.where(F.col("group") == F.lit(comparison[0])).select("sample", F.col("pair").cast(samples.schema["sample"].dataType).alias("mate"))
-    one = cells.join(F.broadcast(mates), "sample").select("row_id", F.col("mate").alias("pair"), _v().alias("x"))
-    two = cells.join(F.broadcast(mates.select(F.col("mate").alias("sample"))), "sample").select("row_id", F.col("sample").alias("pair"), _v().alias("y"))
-    d = one.unionByName(two, allowMissingColumns=True).groupBy("row_id", "pair").agg((F.first("x", True) - F.first("y", True)).alias("d"))
+    rows = ["row_id", *[c for c in ("part",) if c in cells.columns]]
+    one = cells.join(F.broadcast(mates), "sample").select(*rows, F.col("mate").alias("pair"), _v().alias("x"))
+    two = cells.join(F.broadcast(mates.select(F.col("mate").alias("sample"))), "sample").select(*rows, F.col("sample").alias("pair"), _v().alias("y"))
+    d = one.unionByName(two, allowMissingColumns=True).groupBy(*rows, "pair").agg((F.first("x", True) - F.first("y", True)).alias("d"))
     out = d.groupBy("row_id").agg(F.count("d").alias("n_pairs"), F.avg("d").alias("mean_difference"), F.stddev_samp("d").alias("sd"))
     t = F.try_divide(F.col("mean_difference"), F.nullif(F.col("sd"), F.lit(0.0)) / F.sqrt(F.col("n_pairs")))
     return out.select("row_id", "n_pairs", "mean_difference", F.when(F.col("n_pairs") >= min_samples, t_pvalue(t, F.col("n_pairs") - 1)).alias("p"))
@@ -124,7 +139,7 @@ def correct_p(tests: DataFrame, method: str = "fdr_tsbh", p: str = "p", tie: str
     if method in ("bonferroni", "sidak"):
         value = x * m if method == "bonferroni" else F.lit(1.0) - F.pow(F.lit(1.0) - x, m)
         return valid.crossJoin(F.broadcast(total)).withColumn(out, F.least(value, F.lit(1.0))).drop("__m").unionByName(none)
-    ranked = cut(running(valid, [(p, True), (tie, True)], {"__rank": F.lit(1).cast("long")}).crossJoin(F.broadcast(total)))
+    ranked = running(valid, [(p, True), (tie, True)], {"__rank": F.lit(1).cast("long")}).crossJoin(F.broadcast(total))
     k = F.col("__rank")
     if method in ("holm", "holm-sidak"):
         own = x * (m - k + 1) if method == "holm" else F.lit(1.0) - F.pow(F.lit(1.0) - x, m - k + 1)
@@ -168,15 +183,18 @@ def score(tests: DataFrame, p: str = "p", fc: str = "log2_fc") -> DataFrame:
     return tests.crossJoin(F.broadcast(top)).withColumn("de_score", F.sqrt(F.try_divide(-F.ln(p), F.col("__p")) ** 2 + F.try_divide(F.col(fc), F.col("__f")) ** 2)).drop("__p", "__f")
 
 
-def compare(cells: DataFrame, features: DataFrame, samples: DataFrame, comparisons: list[tuple] | tuple, method: str = "ttest", min_samples_per_group: int = 2, multiple_testing_correction_method: str = "fdr_tsbh", covariates: list[str] | None = None) -> DataFrame:
+def compare(cells: DataFrame, features: DataFrame, samples: DataFrame, comparisons: list[tuple] | tuple, method: str = "ttest", min_samples_per_group: int = 2, multiple_testing_correction_method: str = "fdr_tsbh", covariates: list[str] | None = None, level: str | None = None) -> DataFrame:
     """features with the columns of each comparison: DEScore, Log2FoldChange, PValue, CorrectedPValue and
-    -Log10CorrectedPValue with the suffix a-b, and Mean, Stdev and RepCounts of each group."""
+    -Log10CorrectedPValue with the suffix a-b, and Mean, Stdev and RepCounts of each group. With a level all features of
+    one value of its column are one test, whose results the first of them has; without, each feature is."""
     if method not in ("ttest", "ttest_paired", "anova", "linregress"):
         raise ValueError(f"unknown method {method!r}; known: ttest, ttest_paired, anova, linregress")
     pairs = [comparisons] if isinstance(comparisons, tuple) and not isinstance(comparisons[0], tuple) else list(comparisons)
-    out, done = features, set()
+    out, done, members = features, set(), None
+    if level is not None:
+        cells, members = pooled(cells, features, level_column(features, level))
     for a, b in pairs:
-        tests = cut(ttest(group_stats(cells, samples, (a, b), min_samples_per_group)))
+        tests = cut(ttest(group_stats(cells, samples, (a, b), min_samples_per_group, members)))
         if method == "ttest_paired" or covariates:
             other = paired(cells, samples, (a, b), min_samples_per_group) if method == "ttest_paired" else with_covariates(cells, samples, (a, b), covariates, min_samples_per_group)
             tests = tests.drop("p").join(other.select("row_id", "p"), "row_id", "left")

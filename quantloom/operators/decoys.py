@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,15 +47,12 @@ def append(cells: DataFrame, features: DataFrame, method: str = "shuffle", featu
 
 
 def running(df: DataFrame, order: list[tuple[str, bool]], sums: dict[str, F.Column], parts: int | None = None) -> DataFrame:
-    """Running sums over all rows in an order ((column, whether ascending), the first column a number), without sending
-    all rows to one task: ranges of the order are summed up, their totals (one row a range) are added up, and each
-    range runs on its own. Rows of one value of the first column stay together."""
-    df = cut(df)
+    """Running sums over all rows in an order ((column, whether ascending)), without sending all rows to one task: rows
+    are dealt out by ranges of the whole order, so ties of its first column are split by the others; the ranges' totals
+    (one row a range) are added up, and each range runs on its own."""
     parts = parts or max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     by = [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
-    lead = F.col(order[0][0]) if order[0][1] else -F.col(order[0][0])
-    edges = df.agg(F.percentile_approx(lead, F.array(*[F.lit(k / parts) for k in range(1, parts)]), F.lit(10_000)).alias("edges"))
-    dealt = df.withColumns({f"__{k}": v for k, v in sums.items()}).crossJoin(F.broadcast(edges)).withColumn("__range", F.aggregate("edges", F.lit(0), lambda n, e: n + (lead > e).cast("int"))).drop("edges")
+    dealt = cut(df.withColumns({f"__{k}": v for k, v in sums.items()}).repartitionByRange(parts, *by).withColumn("__range", F.spark_partition_id()))
     totals = dealt.groupBy("__range").agg(*[F.sum(f"__{k}").alias(f"__t_{k}") for k in sums])
     before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # over one row a range
     starts = totals.select("__range", *[F.coalesce(F.sum(f"__t_{k}").over(before), F.lit(0)).alias(f"__b_{k}") for k in sums])
@@ -68,9 +69,22 @@ def qvalue_counter(scores: DataFrame, score: str = "score", decoy: str = "Decoy"
     return counted.withColumn("q_value", decoys / (decoys + F.col("__n") - F.col("__d"))).drop("__d", "__n")
 
 
-def qvalue_distribution(scores: DataFrame, score: str = "score", decoy: str = "Decoy", bins: int = 50, pit: float = 1.0) -> DataFrame:
-    """(score, target, decoy, q_value) on a grid of bins: each class's histogram as a density, interpolated at the bins'
-    centres; the areas above a score give its q-value. Only the histograms leave the rows, `bins` counts each."""
+def automatic_bins(scores: DataFrame, score: str = "score") -> int:
+    """How many bins a histogram of the scores takes: the larger number of Sturges' rule and that of Freedman and
+    Diaconis; at least one."""
+    r = scores.agg(F.count(score).alias("n"), F.max(score) - F.min(score), F.percentile(score, 0.75) - F.percentile(score, 0.25)).first()
+    if not r[0] or not r[1]:
+        return 1
+    sturges = r[1] / (math.log2(r[0]) + 1)
+    spread = 2 * r[2] / r[0] ** (1 / 3)
+    return math.ceil(r[1] / (min(sturges, spread) if spread else sturges))
+
+
+def qvalue_distribution(scores: DataFrame, score: str = "score", decoy: str = "Decoy", bins: int | None = 50, pit: float = 1.0) -> DataFrame:
+    """(score, target, decoy, q_value) on a grid of bins (None: automatic_bins): each class's histogram as a density,
+    interpolated at the bins' centres; the areas above a score give its q-value. Only the histograms leave the rows,
+    `bins` counts each. qvalue_of_scores gives each row the value of its own score."""
+    bins = bins or automatic_bins(scores, score)
     span = scores.where(F.col(score).isNotNull()).agg(F.min(score).alias("lo"), F.max(score).alias("hi"))
     width = (F.col("hi") - F.col("lo")) / bins
     at = F.least(F.floor((F.col(score) - F.col("lo")) / F.nullif(width, F.lit(0.0))), F.lit(bins - 1))
@@ -84,3 +98,34 @@ def qvalue_distribution(scores: DataFrame, score: str = "score", decoy: str = "D
     above = Window.orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, 0)
     area = dense.withColumns({"__t": step("target"), "__d": step("decoy")}).withColumns({"__t": F.sum("__t").over(above), "__d": F.sum("__d").over(above)})
     return area.select("score", "target", "decoy", F.try_divide(F.col("__d") * pit, F.col("__d") * pit + F.col("__t")).alias("q_value"))
+
+
+def qvalue_of_scores(scores: DataFrame, score: str = "score", decoy: str = "Decoy", pit: float = 1.0, step: float = 0.1) -> DataFrame:
+    """scores with q_value by score distributions: each class is counted between the centres of automatic_bins of all
+    scores, both curves are read off by straight lines on steps of `step` from a score to the largest one, and the
+    q-value is the decoys' share of the areas under them. The curves, two numbers a bin, are what every task has."""
+    bins = automatic_bins(scores, score)
+    lo, hi = scores.agg(F.min(score), F.max(score)).first()
+    if lo is None:
+        return scores.withColumn("q_value", F.lit(None).cast("double"))
+    width = (hi - lo) / bins or 1.0
+    edges = [lo + (k + 0.5) * width for k in range(bins)]  # the centres of the bins are edges of the curves' bins
+    at = F.least(F.floor((F.col(score) - F.lit(edges[0])) / F.lit(width)), F.lit(max(bins - 2, 0)))
+    inside = scores.where(F.col(score).between(edges[0], edges[-1])).groupBy(at.alias("k")).agg(F.sum((F.col(decoy) == 1).cast("long")).alias("d"), F.sum((F.col(decoy) != 1).cast("long")).alias("t"))
+    held = {r["k"]: (float(r["t"]), float(r["d"])) for r in inside.collect()}  # one row a bin
+    centres = [(a + b) / 2 for a, b in zip(edges, edges[1:], strict=False)] or edges
+    curves = [[held.get(k, (0.0, 0.0))[c] for k in range(len(centres))] for c in (0, 1)]
+
+    @F.pandas_udf("double")
+    def q(x: pd.Series) -> pd.Series:
+        def one(v: float) -> float | None:
+            if v is None or math.isnan(v):
+                return None
+            grid = np.arange(v, hi, step)
+            t, d = (float(np.trapezoid(np.interp(grid, centres, c))) for c in curves)
+            return 0.0 if t == 0.0 and d == 0.0 else d * pit / (d * pit + t)
+
+        values = {v: one(v) for v in x.unique()}
+        return x.map(values)
+
+    return scores.withColumn("q_value", q(F.col(score)))

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# What the names of contaminants hold.
+CONTAMINANTS = ("contam", "cont_crap")
+
+
 def predicates(columns: list[str], peptide_q_value: float | None = None, protein_q_value: float | None = None, remove_decoys: bool = False, remove_contaminants: bool = False, remove_non_proteotypic: bool = False, compat: bool = False) -> Column:
     """One condition over the features; columns that don't exist impose none. With compat the peptide's q-value counts
     only where there is no protein q-value."""
@@ -18,7 +22,8 @@ def predicates(columns: list[str], peptide_q_value: float | None = None, protein
     if remove_decoys and "Decoy" in columns:
         out &= F.col("Decoy") == 0
     if remove_contaminants:
-        out &= ~F.col("Protein").contains("contam") & ~F.col("Protein").contains("cont_crap")
+        for mark in CONTAMINANTS:
+            out &= ~F.col("Protein").contains(mark)
     if remove_non_proteotypic:
         out &= ~F.col("Protein").contains(";")
     return out
@@ -40,8 +45,8 @@ def filter_features(cells: DataFrame, features: DataFrame, samples: DataFrame, p
     if remove_n_zero_rows and max_n_zeros is None:
         raise ValueError("remove_n_zero_rows needs max_n_zeros")
     out = features.where(predicates(features.columns, peptide_q_value, protein_q_value, remove_decoys, remove_contaminants, remove_non_proteotypic, compat))
+    if remove_zero_rows:
+        out = out.join(nonzero_rows(cells), "row_id", "left_semi")
     if remove_n_zero_rows:
         out = out.join(few_zero_rows(cells, samples.count(), max_n_zeros), "row_id", "left_semi")
-    elif remove_zero_rows:
-        out = out.join(nonzero_rows(cells), "row_id", "left_semi")
     return out

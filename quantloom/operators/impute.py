@@ -64,13 +64,18 @@ def knn(full: DataFrame, n_neighbors: int = 5, weights: str = "distance", donors
         with np.errstate(divide="ignore", invalid="ignore"):
             dist = np.sqrt(square * x.shape[1] / both)
         dist[both == 0] = np.nan
-        ids, donor_ids, out = a["row_id"].to_numpy(), b["row_id"].to_numpy(), []
-        for i in range(len(x)):
-            for s in np.flatnonzero(~hx[i]):
-                ok = np.flatnonzero(hy[:, s] & ~np.isnan(dist[i]) & (donor_ids != ids[i]))
-                best = ok[np.lexsort((donor_ids[ok], dist[i, ok]))[:n_neighbors]]
-                out += [(ids[i], int(s), donor_ids[k], dist[i, k], y[k, s]) for k in best]
-        return pd.DataFrame(out, columns=["row_id", "s", "donor", "d", "x"])
+        order = np.argsort(b["row_id"].to_numpy(), kind="stable")  # ties go to the smallest donor
+        y, hy, dist = y[order], hy[order], dist[:, order]
+        ids, donor_ids, out = a["row_id"].to_numpy(), b["row_id"].to_numpy()[order], []
+        far = np.where(np.isnan(dist) | (ids[:, None] == donor_ids[None]), np.inf, dist)
+        for s in range(x.shape[1]):  # the design's samples
+            want = np.flatnonzero(~hx[:, s])
+            d = np.where(hy[None, :, s], far[want], np.inf)
+            best = np.argsort(d, axis=1, kind="stable")[:, :n_neighbors]
+            near = np.take_along_axis(d, best, 1)
+            i, k = np.nonzero(np.isfinite(near))
+            out.append(pd.DataFrame({"row_id": ids[want][i], "s": s, "donor": donor_ids[best[i, k]], "d": near[i, k], "x": y[best[i, k], s]}))
+        return pd.concat(out)
 
     kind = full.schema["row_id"].dataType.simpleString()
     found = wanting.unionByName(donors).groupBy("block", "with").applyInPandas(near, f"row_id {kind}, s int, donor {kind}, d double, x double")

@@ -1,26 +1,35 @@
 """Classifiers over samples: training, prediction, importance by shuffling, bootstrap, elimination and search.
 
-A classifier is an MLlib estimator with features and label columns. Samples are few (a design lists them), features
-are many: a sample is a row with a vector of all features, and what is repeated (bootstrap iterations, folds,
-candidates) is drawn by hash, so results don't depend on partitions.
+A classifier is an MLlib estimator with features and label columns, whichever the user has. A sample is a row with a
+vector of all features; samples stay distributed rows, and no matrix passes through the driver. What is repeated
+(bootstrap iterations, folds, candidates) is drawn by hash, so results don't depend on partitions; the fits themselves
+are jobs, THREADS of them at a time. Of a fitted model only its coefficients are on the driver, as MLlib has them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import uniform
+from ..functions.storage import cut
 from .scaling import standard
 
+THREADS = 4
+
+
+def plain_classifier() -> Estimator:
+    return LogisticRegression(maxIter=30, regParam=0.01)
+
 
 def label_encode(samples: DataFrame, column: str = "group", out: str = "label") -> DataFrame:
     """0, 1, .. by sorted distinct values. The window is over the distinct values only."""
@@ -28,8 +37,12 @@ def label_encode(samples: DataFrame, column: str = "group", out: str = "label")
     return samples.join(F.broadcast(codes), column, "left")
 
 
-def feature_names(cells: DataFrame) -> list:
-    return [r[0] for r in cells.select("row_id").distinct().orderBy("row_id").collect()]
+def numbered(cells: DataFrame) -> DataFrame:
+    """(k, row_id): the places that features have in to_ml's vectors."""
+    from .decoys import running
+
+    rows = running(cells.select("row_id").distinct(), [("row_id", True)], {"k": F.lit(1).cast("long")})
+    return rows.select((F.col("k") - 1).cast("int").alias("k"), "row_id")
 
 
 def to_ml(cells: DataFrame, samples: DataFrame, comparison: tuple | None = None, label_column: str = "group") -> DataFrame:
@@ -121,37 +134,65 @@ def sized_weights(w: DataFrame) -> DataFrame:
     return sized(w)
 
 
-def local_importance(rows: DataFrame, scorer: Callable[[np.ndarray], np.ndarray], iterations: int = 3, seed: int = 0) -> DataFrame:
-    """(k, sample, value) of any model: the mean change of each sample's score when feature k is shuffled.
+@dataclass
+class Linear:
+    """A linear score by its weights, for what no MLlib model was fitted for."""
+
+    weights: list[float]
+
+
+def weights_of(model) -> np.ndarray | None:
+    """The weights of a linear score of two classes, or None."""
+    if isinstance(model, Linear):
+        return np.array(model.weights, float)
+    w = getattr(model, "coefficients", None) if getattr(model, "numClasses", 2) == 2 else None
+    return None if w is None else np.array(w.toArray(), float)
+
+
+def scores_of(model: Model, rows: DataFrame) -> F.Column:
+    """A model's score of the second class, as a column of what it makes of rows."""
+    for name in ("rawPrediction", "probability"):
+        if name in rows.columns:
+            return vector_to_array(name)[1]
+    return F.col("prediction")
 
-    scorer takes samples-by-features and gives scores. Features are dealt out; the samples' matrix is what every task
-    has, so it is the design's samples times features that must fit a task.
+
+def local_importance(rows: DataFrame, model: Model | Linear, iterations: int = 3, seed: int = 0) -> DataFrame:
+    """(k, sample, value) of a fitted model: the mean change of each sample's score when feature k's values are dealt to
+    other samples.
+
+    For a linear model the change is the weight times the difference of the values, so nothing is scored again; any
+    other scores each sample once for each feature and iteration, where the sample is.
     """
-    data = rows.orderBy("sample").select("sample", vector_to_array("features").alias("v")).toPandas()
-    x, names = np.array(data["v"].tolist(), float), data["sample"].tolist()
-    shared = rows.sparkSession.sparkContext.broadcast((x, names))
+    weights, long = weights_of(model), long_rows(rows)
+    moved = None
+    for i in range(iterations):
+        one = shuffled(long, i, seed)
+        moved = one if moved is None else moved.unionByName(one)
+    if weights is not None:
+        w = rows.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(weights)], "k int, w double")
+        local = moved.groupBy("k", "sample").agg(F.avg(F.col("x") - F.col("y")).alias("d")).join(sized_weights(w), "k")
+        return local.select("k", "sample", (F.col("d") * F.col("w")).alias("value"))
+    base = model.transform(rows)
+    base = base.select("sample", vector_to_array("features").alias("v"), scores_of(model, base).alias("score"))
+    other = moved.select("sample", "k", "y").join(base, "sample")
+    other = other.select("sample", "k", "score", array_to_vector(F.transform("v", lambda x, i: F.when(i == F.col("k"), F.col("y")).otherwise(x))).alias("features"))
+    again = model.transform(other)
+    return again.groupBy("k", "sample").agg(F.avg(F.col("score") - scores_of(model, again)).alias("value"))
 
-    def run(batches):
-        x, names = shared.value
-        base = scorer(x)
-        for pdf in batches:
-            out = []
-            for k in pdf["k"]:
-                change = np.zeros(len(x))
-                for i in range(iterations):
-                    y = x.copy()
-                    y[:, k] = x[np.random.default_rng([seed, i, int(k)]).permutation(len(x)), k]
-                    change += base - scorer(y)
-                out.append(pd.DataFrame({"k": k, "sample": names, "value": change / iterations}))
-            yield pd.concat(out) if out else pd.DataFrame({"k": [], "sample": [], "value": []})
 
-    kind = rows.schema["sample"].dataType.simpleString()
-    every = rows.sparkSession.range(x.shape[1]).select(F.col("id").cast("int").alias("k"))
-    return every.mapInPandas(run, f"k int, sample {kind}, value double")
+def feature_importance(rows: DataFrame, model: Model | Linear, iterations: int = 3, seed: int = 0) -> DataFrame:
+    """(k, importance): the mean absolute value of local_importance."""
+    return local_importance(rows, model, iterations, seed).groupBy("k").agg(F.avg(F.abs("value")).alias("importance"))
 
 
-def feature_importance(rows: DataFrame, scorer: Callable[[np.ndarray], np.ndarray], iterations: int = 3, seed: int = 0) -> DataFrame:
-    return local_importance(rows, scorer, iterations, seed).groupBy("k").agg(F.avg(F.abs("value")).alias("importance"))
+def interpret(cells: DataFrame, features: DataFrame, samples: DataFrame, model: Model | Linear, scale: bool = True, downsample_background: bool = True, iterations: int = 3, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(features with Importance, local importances) of a fitted model."""
+    rows = to_ml(standard(cells) if scale else cells, samples)
+    rows = cut(undersample(rows, seed) if downsample_background else rows)
+    local = cut(local_importance(rows, model, iterations, seed).join(sized_weights(numbered(cells)), "k"))
+    found = local.groupBy("row_id").agg(F.avg(F.abs("value")).alias("Importance"))
+    return features.join(found, "row_id", "left"), local
 
 
 def undersample(rows: DataFrame, seed: int = 0, key: str = "sample") -> DataFrame:
@@ -170,50 +211,34 @@ def bootstrap_resample(rows: DataFrame, iterations: int, seed: int = 0) -> DataF
     return drawn.join(placed.select("label", "place", "sample"), ["label", "place"]).select("iteration", "label", "slot", "sample")
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, c: float = 1.0) -> np.ndarray:
-    """Weights of a logistic model with balanced classes and ridge 1 / c; gradient steps in the samples' span."""
-    mean = x.mean(0)
-    k = (x - mean) @ (x - mean).T
-    w = np.where(y == 1, len(y) / (2 * max(y.sum(), 1)), len(y) / (2 * max((1 - y).sum(), 1)))
-    a, b = np.zeros(len(y)), 0.0
-    for _ in range(50):
-        z = k @ a + b
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        h = np.maximum(w * p * (1 - p), 1e-6)
-        # Newton's step for the dual weights a and the offset b
-        top = np.concatenate([np.diag(1 / (c * h)) * 1.0 + k, np.ones((len(y), 1))], 1)
-        system = np.concatenate([top, np.concatenate([np.ones(len(y)), [0.0]])[None]], 0)
-        target = np.concatenate([z + w * (y - p) / h, [0.0]])
-        new = np.linalg.lstsq(system, target, rcond=None)[0]
-        step = np.abs(new[:-1] - a).max() + abs(new[-1] - b)
-        a, b = new[:-1], new[-1]
-        if step < 1e-9:
-            break
-    return (x - mean).T @ a
-
-
-def bootstrap_importance(rows: DataFrame, iterations: int = 100, downsample: bool = True, shuffles: int = 3, seed: int = 0) -> DataFrame:
-    """(iteration, k, importance, rank) of a logistic model fitted on each resample; importances are divided by the
-    iteration's largest, ranks average ties, the most important first. Iterations are dealt out to tasks."""
-    data = rows.orderBy("sample").select("sample", "label", vector_to_array("features").alias("v")).toPandas()
-    shared = rows.sparkSession.sparkContext.broadcast((np.array(data["v"].tolist(), float), data["label"].to_numpy(float), {s: i for i, s in enumerate(data["sample"])}))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, place = shared.value
-        it = int(pdf["iteration"].iloc[0])
-        at = pdf.sort_values(["label", "slot"])["sample"].map(place).to_numpy()
-        rng = np.random.default_rng([seed, it])
-        if downsample:
-            least = min((y[at] == c).sum() for c in np.unique(y[at]))
-            at = np.concatenate([rng.permutation(at[y[at] == c])[:least] for c in np.unique(y[at])])
-        w = _logistic(x[at], y[at])
-        d = np.mean([x[at] - x[at][rng.permutation(len(at))] for _ in range(shuffles)], 0)
-        g = np.abs(d * w).mean(0)
-        g = g / (g.max() or 1.0)
-        rank = pd.Series(-g).rank(method="average").to_numpy()
-        return pd.DataFrame({"iteration": it, "k": np.arange(len(g)), "importance": g, "rank": rank})
-
-    return bootstrap_resample(rows, iterations, seed).groupBy("iteration").applyInPandas(run, "iteration int, k int, importance double, rank double")
+def drawn_rows(rows: DataFrame, draws: DataFrame, iteration: int) -> DataFrame:
+    """The rows of one resample: each draw is a row, with a sample of its own."""
+    one = draws.where(F.col("iteration") == iteration).select("sample", F.col("slot").alias("__slot"))
+    both = rows.join(one, "sample")
+    return both.withColumn("sample", F.concat_ws("#", F.col("sample").cast("string"), F.col("__slot").cast("string"), F.col("label").cast("string"))).drop("__slot")
+
+
+def bootstrap_importance(rows: DataFrame, iterations: int = 100, downsample: bool = True, shuffles: int = 3, seed: int = 0, classifier: Estimator | None = None) -> DataFrame:
+    """(iteration, k, importance, rank) of a classifier fitted on each resample; importances are divided by the
+    iteration's largest, ranks average ties, the most important first. A window holds one iteration's features, which
+    a single sample's vector holds as well."""
+    rows, classifier = cut(rows), checked(classifier or plain_classifier())
+    draws = cut(bootstrap_resample(rows, iterations, seed))
+
+    def one(i: int) -> DataFrame:
+        part = cut(undersample(drawn_rows(rows, draws, i), seed + i) if downsample else drawn_rows(rows, draws, i))
+        found = feature_importance(part, classifier.fit(part), shuffles, seed + i * shuffles)
+        return cut(found.select(F.lit(i).alias("iteration"), "k", "importance"))
+
+    with ThreadPool(THREADS) as pool:
+        found = pool.map(one, range(iterations), chunksize=1)
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    whole, by = Window.partitionBy("iteration"), Window.partitionBy("iteration").orderBy(F.desc("importance"))
+    top = F.nullif(F.max("importance").over(whole), F.lit(0.0))
+    tied = F.count("*").over(Window.partitionBy("iteration", "importance"))
+    return out.select("iteration", "k", (F.col("importance") / F.coalesce(top, F.lit(1.0))).alias("importance"), (F.rank().over(by) + (tied - 1) / 2).alias("rank"))
 
 
 def summarise(importance: DataFrame) -> DataFrame:
@@ -221,15 +246,15 @@ def summarise(importance: DataFrame) -> DataFrame:
     return importance.groupBy("k").agg(*[f(c).alias(n + c.capitalize()) for c in ("importance", "rank") for n, f in (("Mean", F.avg), ("Median", F.median), ("Stdev", F.stddev_samp))])
 
 
-def explain(cells: DataFrame, features: DataFrame, samples: DataFrame, comparisons: list[tuple], n_iterations: int = 100, downsample_background: bool = True, seed: int = 0) -> DataFrame:
+def explain(cells: DataFrame, features: DataFrame, samples: DataFrame, comparisons: list[tuple] | tuple, n_iterations: int = 100, downsample_background: bool = True, seed: int = 0, classifier: Estimator | None = None) -> DataFrame:
     """features with the six columns of each comparison: {Mean,Median,Stdev}{Importance,Rank}a-b."""
-    out = features
-    names = features.sparkSession.createDataFrame([(i, r) for i, r in enumerate(feature_names(cells))], "k int, row_id long")
+    out, pairs = features, [comparisons] if isinstance(comparisons, tuple) and not isinstance(comparisons[0], tuple) else list(comparisons)
+    names = cut(numbered(cells))
     filled = cells.withColumn("value", F.coalesce("value", F.lit(0.0)))
-    for a, b in comparisons:
+    for a, b in pairs:
         two = samples.where(F.col("group").isin([a, b]))
         rows = to_ml(standard(filled.join(F.broadcast(two.select("sample")), "sample", "left_semi")), two)
-        found = summarise(bootstrap_importance(rows, n_iterations, downsample_background, seed=seed)).join(sized_weights(names), "k")
+        found = summarise(bootstrap_importance(rows, n_iterations, downsample_background, seed=seed, classifier=classifier)).join(sized_weights(names), "k")
         out = out.join(found.select("row_id", *[F.col(c).alias(f"{c}{a}-{b}") for c in found.columns if c not in ("k", "row_id")]), "row_id", "left")
     return out
 
@@ -258,30 +283,55 @@ def select_features(importance: DataFrame, method: str = "count", top_n: int = 1
     return far.crossJoin(F.broadcast(knee)).where(F.col("r") <= F.col("knee")).select("k", "score")
 
 
-def bootstrap_rfe(rows: DataFrame, iterations: int = 10, min_features: int = 1, step: int = 1, seed: int = 0) -> DataFrame:
+def kept_features(rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """rows with the features of kept (k) only, in their order."""
+    long = long_rows(rows).join(sized_weights(kept.select("k")), "k", "left_semi")
+    packed = long.groupBy("sample").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("__v"))
+    return rows.drop("features").join(packed, "sample").withColumn("features", array_to_vector("__v")).drop("__v")
+
+
+def strength(model: Model, rows: DataFrame, seed: int) -> np.ndarray:
+    """How much each feature of a fitted model counts: absolute weights, a tree model's importances, or shuffling."""
+    if (w := weights_of(model)) is not None:
+        return np.abs(w)
+    if hasattr(model, "featureImportances"):
+        return model.featureImportances.toArray()
+    found = feature_importance(rows, model, seed=seed).orderBy("k").select("importance").toPandas()  # a number a feature
+    return found["importance"].to_numpy()
+
+
+def bootstrap_rfe(rows: DataFrame, iterations: int = 10, min_features: int = 1, step: int = 1, seed: int = 0, classifier: Estimator | None = None) -> DataFrame:
     """(iteration, k, rank, n_features, score): in each resample the least important features go, `step` at a time; a
     feature's rank is the number of features left when it went, score the accuracy on samples that weren't drawn."""
-    data = rows.orderBy("sample").select("sample", "label", vector_to_array("features").alias("v")).toPandas()
-    shared = rows.sparkSession.sparkContext.broadcast((np.array(data["v"].tolist(), float), data["label"].to_numpy(float), {s: i for i, s in enumerate(data["sample"])}))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, place = shared.value
-        at = pdf.sort_values(["label", "slot"])["sample"].map(place).to_numpy()
-        rest = np.setdiff1d(np.arange(len(y)), at)
-        rest = rest if len(rest) else at
-        live, out = np.arange(x.shape[1]), []
-        while True:
-            w = _logistic(x[at][:, live], y[at])
-            z = (x[rest][:, live] - x[at][:, live].mean(0)) @ w
-            right = float(((z > 0) == (y[rest] == 1)).mean())
+    rows, classifier = cut(rows), checked(classifier or plain_classifier())
+    draws = cut(bootstrap_resample(rows, iterations, seed))
+    first = rows.select(F.size(vector_to_array("features")).alias("n")).first()
+    width = first["n"] if first else 0
+
+    def one(i: int) -> DataFrame:
+        part = cut(drawn_rows(rows, draws, i))
+        apart = rows.join(draws.where(F.col("iteration") == i).select("sample").distinct(), "sample", "left_anti")
+        rest, live, out = cut(apart), np.arange(width), []
+        rest = part if rest.isEmpty() else rest
+        while len(live):
+            slicer = VectorSlicer(inputCol="__all", outputCol="features", indices=live.tolist())
+            slim = lambda df: slicer.transform(df.withColumnRenamed("features", "__all"))  # noqa: B023, E731
+            model = classifier.fit(slim(part))
+            right = model.transform(slim(rest)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
             last = len(live) <= min_features
-            go = live if last else live[np.lexsort((live, np.abs(w)))[: min(step, len(live) - min_features)]]
-            out += [(int(pdf["iteration"].iloc[0]), int(k), float(min_features if last else len(live)), len(live), right) for k in go]
+            go = live if last else live[np.lexsort((live, strength(model, slim(part), seed)))[: min(step, len(live) - min_features)]]
+            out += [(i, int(k), float(min_features if last else len(live)), len(live), float(right)) for k in go]
             if last:
-                return pd.DataFrame(out, columns=["iteration", "k", "rank", "n_features", "score"])
+                break
             live = np.setdiff1d(live, go)
+        return rows.sparkSession.createDataFrame(out, "iteration int, k int, rank double, n_features int, score double")
 
-    return bootstrap_resample(rows, iterations, seed).groupBy("iteration").applyInPandas(run, "iteration int, k int, rank double, n_features int, score double")
+    with ThreadPool(THREADS) as pool:
+        found = pool.map(one, range(iterations), chunksize=1)
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
 
 
 def rfe_scores(rfe: DataFrame) -> DataFrame:
@@ -298,12 +348,11 @@ def rfe_ranks(rfe: DataFrame) -> DataFrame:
 
 def rfe_evaluate(rows: DataFrame, ranks: DataFrame, cutoffs: list[float], classifier: Estimator | None = None, k: int = 3) -> list[tuple[float, int, float]]:
     """(cutoff, features, accuracy) of the features with an adjusted rank up to each cutoff."""
-    chosen, out = {r.k: r.adjusted_rank for r in ranks.collect()}, []
+    out, ranks = [], cut(ranks)
     for c in cutoffs:
-        keep = sorted(i for i, r in chosen.items() if r <= c)
-        if keep:
-            part = rows.withColumn("features", array_to_vector(F.array(*[vector_to_array("features")[i] for i in keep])))
-            out.append((c, len(keep), float(np.mean(cross_scores(classifier or LogisticRegression(maxIter=30), part, k)))))
+        keep = ranks.where(F.col("adjusted_rank") <= c)
+        if n := keep.count():
+            out.append((c, n, float(np.mean(cross_scores(classifier or plain_classifier(), kept_features(rows, keep), k)))))
     return out
 
 
@@ -346,9 +395,9 @@ def optimize(rows: DataFrame, make: Callable[..., Estimator], method: str, grid:
     return (search_random if method == "random" else search_genetic)(rows, make, grid, **kw)
 
 
-def evaluate(features: DataFrame, score_columns: list[str], classifier: Estimator | None = None, k: int = 3, seed: int = 0) -> DataFrame:
-    """features with FeatureScore and FeatureQValue: each fold's features are scored by a target-against-decoy model of
-    the other folds, on standardised score columns."""
+def evaluate(features: DataFrame, score_columns: list[str], classifier: Estimator | None = None, k: int = 3, seed: int = 0, names: tuple[str, str] = ("FeatureScore", "FeatureQValue")) -> tuple[DataFrame, list[float]]:
+    """(features with a score and its q-value, the accuracy on each fold): each fold's features are scored by a
+    target-against-decoy model of the other folds, on standardised score columns."""
     from .decoys import qvalue_counter
 
     if "Decoy" not in features.columns:
@@ -359,19 +408,39 @@ def evaluate(features: DataFrame, score_columns: list[str], classifier: Estimato
     filled = features.select("row_id", "Decoy", *[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)).alias(f"s{i}") for i, c in enumerate(score_columns)])
     stats = filled.agg(*[F.struct(F.avg(f"s{i}"), F.stddev_pop(f"s{i}")) for i in range(len(score_columns))]).first()
     scaled = [(F.col(f"s{i}") - F.lit(m or 0.0)) / F.lit(s or 1.0) for i, (m, s) in enumerate(stats)]
-    rows = filled.select("row_id", (1 - F.col("Decoy")).cast("double").alias("label"), F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(k)).alias("fold"), array_to_vector(F.array(*scaled)).alias("features")).cache()
-    out = None
+    rows = filled.select("row_id", (1 - F.col("Decoy")).cast("double").alias("label"), F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(k)).alias("fold"), array_to_vector(F.array(*scaled)).alias("features"))
+    rows, out, right = cut(rows), None, []
     for i in range(k):
         model = (classifier or LogisticRegression(maxIter=50)).fit(rows.where(F.col("fold") != i))
-        one = model.transform(rows.where(F.col("fold") == i)).select("row_id", vector_to_array("rawPrediction")[1].alias("FeatureScore"))
+        told = model.transform(rows.where(F.col("fold") == i))
+        right.append(told.agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0])
+        one = told.select("row_id", scores_of(model, told).alias("FeatureScore"))
         out = one if out is None else out.unionByName(one)
-    q = qvalue_counter(out.join(features.select("row_id", "Decoy"), "row_id"), "FeatureScore").select("row_id", "FeatureScore", F.col("q_value").alias("FeatureQValue"))
-    return features.join(q, "row_id", "left")
+    q = qvalue_counter(out.join(features.select("row_id", "Decoy"), "row_id"), "FeatureScore").select("row_id", F.col("FeatureScore").alias(names[0]), F.col("q_value").alias(names[1]))
+    return features.join(q, "row_id", "left"), right
+
+
+# The columns that evaluate_by takes by the method's name; a and b are the groups of a comparison.
+DEG_COLUMNS = ["DEScore{a}-{b}", "Group{a}Mean", "Group{b}Mean", "Group{a}Stdev", "Group{b}Stdev", "Log2FoldChange{a}-{b}", "CorrectedPValue{a}-{b}"]
+SCORE_COLUMNS = {
+    "all": [*DEG_COLUMNS, "MeanImportance{a}-{b}", "MeanRank{a}-{b}"],
+    "ml": ["MeanImportance{a}-{b}", "MeanRank{a}-{b}", "MedianImportance{a}-{b}", "MedianRank{a}-{b}"],
+    "deg": DEG_COLUMNS,
+}
 
 
-#: The columns that evaluate takes by name, a-b being the comparison.
-SCORE_COLUMNS = {"ml": ["MeanImportance", "MeanRank", "StdevImportance", "StdevRank"], "deg": ["DEScore", "Log2FoldChange", "-Log10CorrectedPValue"]}
-SCORE_COLUMNS["all"] = SCORE_COLUMNS["ml"] + SCORE_COLUMNS["deg"]
+def evaluate_by(features: DataFrame, comparisons: list[tuple] | tuple, method: str = "all", base_score_columns: list[str] | None = None, classifier: Estimator | None = None, k: int = 3, seed: int = 0) -> tuple[DataFrame, dict[tuple, list[float]]]:
+    """(features, accuracies by comparison): for each comparison {Method}FeatureScorea-b and {Method}FeatureQValuea-b,
+    from the method's columns or from base_score_columns with the comparison's suffix."""
+    if method not in SCORE_COLUMNS:
+        raise ValueError(f"unknown method {method!r}; known: {', '.join(SCORE_COLUMNS)}")
+    pairs = [comparisons] if isinstance(comparisons, tuple) and not isinstance(comparisons[0], tuple) else list(comparisons)
+    right = {}
+    for a, b in pairs:
+        columns = [f"{c}{a}-{b}" for c in base_score_columns] if base_score_columns else [c.format(a=a, b=b) for c in SCORE_COLUMNS[method]]
+        names = tuple(f"{method.capitalize()}Feature{x}{a}-{b}" for x in ("Score", "QValue"))
+        features, right[a, b] = evaluate(features, columns, classifier, k, seed, names)
+    return features, right
 
 
 def local_importance_top(local: DataFrame, n: int = 10) -> DataFrame:
@@ -393,12 +462,12 @@ def plot_rfe_pca_data(rows: DataFrame, ranks: DataFrame, cutoffs: list[float]) -
     """(cutoff, sample, label, pc1, pc2, explained1, explained2) of the features with an adjusted rank up to a cutoff."""
     from pyspark.ml.feature import PCA, StandardScaler
 
-    chosen, out = {r.k: r.adjusted_rank for r in ranks.collect()}, None
+    ranks, out = cut(ranks), None
     for c in cutoffs:
-        keep = sorted(i for i, r in chosen.items() if r <= c)
-        if len(keep) < 2:
+        keep = ranks.where(F.col("adjusted_rank") <= c)
+        if keep.count() < 2:
             continue
-        part = rows.select("sample", "label", array_to_vector(F.array(*[vector_to_array("features")[i] for i in keep])).alias("v"))
+        part = cut(kept_features(rows.select("sample", "label", "features"), keep).withColumnRenamed("features", "v"))
         scaled = StandardScaler(inputCol="v", outputCol="s", withMean=True).fit(part).transform(part)
         model = PCA(k=2, inputCol="s", outputCol="p").fit(scaled)
         e = model.explainedVariance

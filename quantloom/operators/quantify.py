@@ -70,7 +70,9 @@ def lfq_graph(rows: DataFrame, order: DataFrame) -> DataFrame:
     has yet takes all samples it shares a feature with, also such that an earlier group had."""
     placed = rows.join(F.broadcast(order), "sample")
     sets = placed.groupBy("key", "row_id").agg(F.collect_set("sample_ord").alias("a"))
-    near = sets.select("key", F.explode("a").alias("s"), "a").groupBy("key", "s").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("a")))).alias("near"))
+    # distinct pairs of samples first, so that no group holds more than the samples there are
+    met = sets.select("key", F.explode("a").alias("s"), "a").select("key", "s", F.explode("a").alias("t")).distinct()
+    near = met.groupBy("key", "s").agg(F.array_sort(F.collect_list("t")).alias("near"))
     lists = near.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("s", "near"))).alias("all"))
     empty = F.struct(F.array().cast("array<int>").alias("seen"), F.array().cast("array<struct<seed:int,near:array<int>>>").alias("groups"))
     step = lambda st, x: F.when(F.array_contains(st["seen"], x["s"]), st).otherwise(F.struct(F.array_union(st["seen"], x["near"]).alias("seen"), F.concat(st["groups"], F.array(F.struct(x["s"].alias("seed"), x["near"].alias("near")))).alias("groups")))

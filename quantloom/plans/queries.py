@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import cut, shared_dir
 from ..operators import annotate, cluster, compare, decoys, filters, impute, learn, normalize, quantify, scaling
 from ..sources import diann, tables
 from . import fixtures as fx
@@ -66,11 +66,9 @@ V = "round(value, 6) AS value"
 
 
 def _folder(spark: SparkSession) -> str:
-    import tempfile
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quantloom-")
-    return f"{root.rstrip('/')}/tables-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark).rstrip('/')}/tables-{uuid.uuid4().hex}"
 
 
 def _written(spark, d) -> str:
@@ -146,9 +144,9 @@ report AS (SELECT 'run' || s AS sample, p_brand AS Protein, CAST(l_partkey AS VA
 kept AS (SELECT * FROM report WHERE q <= 0.05)"""
 
 
-@query("diann_qfilter", " SELECT count(*) AS n, round(sum(value), 2) AS total FROM kept", REPORT)
+@query("diann_qfilter", " SELECT sample || '.mzML.x' AS \"Run\", PrecursorId AS \"Precursor.Id\", value AS \"Precursor.Quantity\", q AS \"Q.Value\" FROM kept", REPORT)
 def diann_qfilter(spark, d):
-    return diann.q_filter(fx.report(spark, d), 0.05).agg(F.count("*").alias("n"), F.round(F.sum("`Precursor.Quantity`"), 2).alias("total"))
+    return diann.q_filter(fx.report(spark, d), 0.05).select("Run", "`Precursor.Id`", "`Precursor.Quantity`", "`Q.Value`")
 
 
 COLS = "sample, Protein AS \"Protein.Ids\", PrecursorId AS \"Precursor.Id\", PeptideSequence AS \"Modified.Sequence\", Charge AS \"Precursor.Charge\", RT, value, PeptideQValue, ProteinQValue"
@@ -193,9 +191,9 @@ def diann_rename(spark, d):
     return diann.rename(fx.report(spark, d).select("`Protein.Ids`", "`Precursor.Id`", "`Modified.Sequence`", "`Precursor.Charge`")).distinct()
 
 
-@query("diann_zero_null", " SELECT count(*) AS n, count(nullif(value, 0)) AS observed FROM kept", REPORT)
+@query("diann_zero_null", " SELECT sample, PrecursorId, nullif(value, 0) AS value FROM kept", REPORT)
 def diann_zero_null(spark, d):
-    return diann.scan_diann(fx.report(spark, d), 0.05).agg(F.count("*").alias("n"), F.count("value").alias("observed"))
+    return diann.scan_diann(fx.report(spark, d), 0.05).select("sample", "PrecursorId", "value")
 
 
 @query("scan_fasta", "SELECT CAST(p_partkey AS VARCHAR) AS accession, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE p_brand END AS name FROM part", "")
@@ -422,33 +420,35 @@ def lfq_ratios(spark, d):
     return rounded(quantify.lfq_ratios(quantify.lfq_rows(cells, x.features, "Protein")))
 
 
-#: the groups of samples where the first sample of a key shares features with all others (others have several groups)
-ONE = ", fs AS (SELECT key, min(sample) AS s0, count(DISTINCT sample) AS n FROM lr GROUP BY 1), hop AS (SELECT a.key, count(DISTINCT b.sample) AS h FROM fs JOIN lr a ON a.key = fs.key AND a.sample = fs.s0 JOIN lr b ON b.key = a.key AND b.row_id = a.row_id GROUP BY 1), one AS (SELECT key, s0, n FROM fs JOIN hop USING (key) WHERE h = n)"
+#: The groups of a key's samples: going by their order, one that no earlier seed has met is a seed and takes all samples
+#: that it shares a feature with; a sample belongs to its last seed.
+GROUPS = """, nb AS (SELECT a.key, sa.sample_ord AS s, list(DISTINCT sb.sample_ord) AS near FROM lr a JOIN lr b ON a.key = b.key AND a.row_id = b.row_id JOIN samples sa ON sa.sample = a.sample JOIN samples sb ON sb.sample = b.sample GROUP BY 1, 2),
+walk AS (SELECT DISTINCT key, 0 AS i, []::INTEGER[] AS seen FROM nb UNION ALL SELECT w.key, w.i + 1, CASE WHEN n.near IS NOT NULL AND NOT list_contains(w.seen, w.i) THEN list_concat(w.seen, n.near) ELSE w.seen END FROM walk w LEFT JOIN nb n ON n.key = w.key AND n.s = w.i WHERE w.i < 12),
+seeds AS (SELECT w.key, w.i AS seed, n.near FROM walk w JOIN nb n ON n.key = w.key AND n.s = w.i WHERE NOT list_contains(w.seen, w.i)),
+member AS (SELECT key, m AS sample_ord, max(seed) AS seed FROM (SELECT key, seed, unnest(near) AS m FROM seeds) GROUP BY 1, 2)"""
 
 
-def _single(spark, cells, x):
-    """Keys whose first sample shares features with all their samples."""
-    rows = quantify.lfq_rows(cells, x.features, "Protein")
-    graph = quantify.lfq_graph(rows, x.samples.select("sample", "sample_ord"))
-    return graph, graph.groupBy("key").agg(F.count_distinct("seed").alias("g"), F.count("*").alias("k"), F.max(F.size("members")).alias("n")).where("g = 1 AND k = n").select("key")
-
-
-@query("lfq_graph", LOGS + ONE + " SELECT DISTINCT key, sample, CAST(n AS INTEGER) AS n FROM lr JOIN one USING (key)")
+@query("lfq_graph", LOGS + GROUPS + " SELECT key, sample, CAST(len(near) AS INTEGER) AS n FROM member JOIN seeds USING (key, seed) JOIN samples USING (sample_ord)")
 def lfq_graph(spark, d):
-    graph, single = _single(spark, *_logs(spark, d))
-    return graph.join(single, "key", "left_semi").select("key", "sample", F.size("members").alias("n"))
+    cells, x = _logs(spark, d)
+    graph = quantify.lfq_graph(quantify.lfq_rows(cells, x.features, "Protein"), x.samples.select("sample", "sample_ord"))
+    return graph.select("key", "sample", F.size("members").alias("n"))
 
 
-PROFILE = LOGS + RATIOS + ONE + """, mu AS (SELECT key, avg(x) AS m FROM lr GROUP BY 1), who AS (SELECT DISTINCT key, sample FROM lr), pull AS (SELECT w.key, w.sample, coalesce(sum(ratio), 0) AS r FROM who w LEFT JOIN ra ON ra.key = w.key AND ra.i = w.sample GROUP BY 1, 2)
-SELECT key, sample, round(nullif(m + r / n, 0), 6) AS value FROM pull JOIN mu USING (key) JOIN one USING (key) WHERE n > 1"""
+PROFILE = LOGS + RATIOS + GROUPS + """, pull AS (SELECT k.key, o.sample, k.seed, coalesce(sum(ratio) FILTER (list_contains(s.near, p.sample_ord)), 0) / len(s.near) AS r FROM member k JOIN seeds s USING (key, seed) JOIN samples o USING (sample_ord) LEFT JOIN ra ON ra.key = k.key AND ra.i = o.sample LEFT JOIN samples p ON p.sample = ra.j GROUP BY 1, 2, 3, s.near),
+mu AS (SELECT s.key, s.seed, len(s.near) AS n, avg(x) AS m, median(x) AS md FROM seeds s JOIN (SELECT key, sample_ord, x FROM lr JOIN samples USING (sample)) v ON v.key = s.key AND list_contains(s.near, v.sample_ord) GROUP BY 1, 2, 3)
+SELECT key, sample, round(CASE WHEN n = 1 THEN md ELSE nullif(m + r, 0) END, 6) AS value FROM pull JOIN mu USING (key, seed)"""
 
 
 @query("maxlfq", PROFILE)
 @query("lfq_solve", PROFILE)
 def maxlfq(spark, d):
     cells, x = _logs(spark, d)
-    _, single = _single(spark, cells, x)
-    return rounded(quantify.maxlfq(cells, x.features, x.samples).join(single, "key", "left_semi"))
+    return rounded(quantify.maxlfq(cells, x.features, x.samples))
+
+
+for _name in ("lfq_graph", "maxlfq", "lfq_solve"):
+    SQL[_name] = SQL[_name].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
 @query("lfq_single", " SELECT Protein AS key, sample, round(median(log2(value)), 6) AS value FROM cells JOIN features USING (row_id) WHERE sample = 's03' GROUP BY 1, 2")
@@ -578,9 +578,14 @@ def de_linregress_cov(spark, d):
     return rounded(compare.with_covariates(cells, x.samples, (1, 2), ["age", "gender"]))
 
 
-@query("de_score", TESTS + ", mx AS (SELECT max(-ln(p)) AS a, max(abs(log2_fc)) AS b FROM tests WHERE p > 0) SELECT row_id, round(sqrt((-ln(p) / a) ** 2 + (log2_fc / b) ** 2), 5) AS de_score FROM tests, mx WHERE p > 1e-12")
+#: p-values near zero are differences of nearly equal numbers in SQL: both sides take them as LEAST
+LEAST = 1e-9
+
+
+@query("de_score", TESTS + f", cl AS (SELECT row_id, log2_fc, greatest(p, {LEAST}) AS p FROM tests), mx AS (SELECT max(-ln(p)) AS a, max(abs(log2_fc)) AS b FROM cl) SELECT row_id, round(sqrt((-ln(p) / a) ** 2 + (log2_fc / b) ** 2), 5) AS de_score FROM cl, mx")
 def de_score(spark, d):
-    return rounded(compare.score(_tests(spark, d)).where("p > 1e-12").select("row_id", "de_score"), 5)
+    tests = _tests(spark, d).withColumn("p", F.when(F.col("p").isNotNull(), F.greatest("p", F.lit(LEAST))))
+    return rounded(compare.score(tests).select("row_id", "de_score"), 5)
 
 
 BH = TESTS + ", rk AS (SELECT *, row_number() OVER (ORDER BY p, row_id) AS k, count(*) OVER () AS m FROM tests WHERE p IS NOT NULL), bh AS (SELECT *, least(min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING), 1.0::DOUBLE) AS q FROM rk)"
@@ -595,8 +600,9 @@ query("de_multitest", TSBH + " SELECT row_id, round(c, 6) AS corrected FROM ts")
 query("de_multitest_bh", BH + " SELECT row_id, round(q, 6) AS corrected FROM bh")(lambda spark, d: rounded(_corrected(spark, d, "fdr_bh").select("row_id", "corrected")))
 query("de_multitest_holm", BH + " SELECT row_id, round(least(max(p * (m - k + 1)) OVER (ORDER BY k ROWS UNBOUNDED PRECEDING), 1.0::DOUBLE), 6) AS corrected FROM rk")(lambda spark, d: rounded(_corrected(spark, d, "holm").select("row_id", "corrected")))
 query("de_multitest_bonferroni", BH + " SELECT row_id, round(least(p * m, 1.0::DOUBLE), 6) AS corrected FROM rk")(lambda spark, d: rounded(_corrected(spark, d, "bonferroni").select("row_id", "corrected")))
-query("de_neglog10", TSBH + " SELECT row_id, round(-log10(c), 5) AS neglog10 FROM ts WHERE c > 1e-9")(lambda spark, d: rounded(_corrected(spark, d).where("corrected > 1e-9").select("row_id", (-F.log10("corrected")).alias("neglog10")), 5))
-query("compare", TSBH + ' SELECT row_id, round(log2_fc, 6) AS "Log2FoldChange1-2", round(tests.p, 6) AS "PValue1-2", round(c, 6) AS "CorrectedPValue1-2" FROM tests JOIN ts USING (row_id)')(lambda spark, d: rounded((z := norm(spark, d))[1].__class__(z[0], z[1].features, z[1].samples).compare((1, 2)).features.where("`PValue1-2` IS NOT NULL").select("row_id", "Log2FoldChange1-2", "PValue1-2", "CorrectedPValue1-2")))
+query("de_neglog10", TSBH + f" SELECT row_id, round(-log10(greatest(c, {LEAST})), 5) AS neglog10 FROM ts")(lambda spark, d: rounded(_corrected(spark, d).select("row_id", (-F.log10(F.greatest("corrected", F.lit(LEAST)))).alias("neglog10")), 5))
+_GROUPS = ["Group1Mean", "Group1Stdev", "Group1RepCounts", "Group2Mean", "Group2Stdev", "Group2RepCounts"]
+query("compare", TSBH + ' SELECT row_id, round(tests.log2_fc, 6) AS "Log2FoldChange1-2", round(tests.p, 6) AS "PValue1-2", round(c, 6) AS "CorrectedPValue1-2", round(mean_a, 6) AS Group1Mean, round(sd_a, 6) AS Group1Stdev, n_a AS Group1RepCounts, round(mean_b, 6) AS Group2Mean, round(sd_b, 6) AS Group2Stdev, n_b AS Group2RepCounts FROM tests JOIN ts USING (row_id) JOIN gs USING (row_id)')(lambda spark, d: rounded((z := norm(spark, d))[1].__class__(z[0], z[1].features, z[1].samples).compare((1, 2)).features.where("`PValue1-2` IS NOT NULL").select("row_id", "Log2FoldChange1-2", "PValue1-2", "CorrectedPValue1-2", *_GROUPS)))
 
 
 @query("de_multi_comparison", STATS2 + ' SELECT row_id, round(log2_fc, 6) AS "Log2FoldChange1-2", round(-log2_fc, 6) AS "Log2FoldChange2-1", n_a AS Group1RepCounts, n_b AS Group2RepCounts FROM gs WHERE log2_fc IS NOT NULL')
@@ -609,18 +615,18 @@ def de_multi_comparison(spark, d):
 @query("de_level", NORM + ", pl AS (SELECT Protein, sample, max(coalesce(value, 0)) AS v FROM norm JOIN features USING (row_id) GROUP BY 1, 2) SELECT Protein, round(avg(nullif(v, 0)) FILTER (grp = 1) - avg(nullif(v, 0)) FILTER (grp = 2), 6) AS log2_fc FROM pl JOIN samples USING (sample) GROUP BY 1 HAVING count(nullif(v, 0)) FILTER (grp = 1) >= 2 AND count(nullif(v, 0)) FILTER (grp = 2) >= 2")
 def de_level(spark, d):
     cells, x = norm(spark, d)
-    q = type(x)(cells, x.features, x.samples).quantify("top_n", "protein", 1)
-    stats = compare.group_stats(q.cells, q.samples, (1, 2)).where("log2_fc IS NOT NULL")
-    return rounded(stats.join(q.features, "row_id").select("Protein", "log2_fc"))
+    q = type(x)(cells, x.features, x.samples).quantify("top_n", "protein", 1).compare((1, 2), level="protein").features
+    return rounded(q.where("`Log2FoldChange1-2` IS NOT NULL").select("Protein", F.col("Log2FoldChange1-2").alias("log2_fc")))
 
 
 @query("pr_curve", TSBH + """, y AS (SELECT c, CASE WHEN Protein LIKE '%Brand#1/%' OR Protein LIKE '%Brand#2/%' OR Protein LIKE '%Brand#3/%' THEN 1 ELSE 0 END AS y FROM ts JOIN features USING (row_id)), tot AS (SELECT sum(y) AS p, sum(1 - y) AS n FROM y)
-SELECT k / 100.0::DOUBLE AS cutoff, coalesce((SELECT sum(y) FROM y WHERE ceil(c * 100) <= k), 0) / p::DOUBLE AS recall FROM range(1, 100) t(k), tot""")
+
+, h AS (SELECT CAST(ceil(c * 10000) AS BIGINT) AS k, sum(y) AS tp, sum(1 - y) AS fp FROM y GROUP BY 1), run AS (SELECT t.k, sum(coalesce(tp, 0)) OVER w AS tp, sum(coalesce(fp, 0)) OVER w AS fp FROM range(0, 10001) t(k) LEFT JOIN h USING (k) WINDOW w AS (ORDER BY t.k ROWS UNBOUNDED PRECEDING))
+SELECT round(k / 10000.0::DOUBLE, 6) AS cutoff, round(tp / p::DOUBLE, 6) AS recall, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp)::DOUBLE, 6) END AS "precision", round(fp / n::DOUBLE, 6) AS fpr FROM run, tot WHERE k BETWEEN 1 AND 9999""")
 def pr_curve(spark, d):
     p = F.col("Protein")
     tests = _corrected(spark, d).join(fx.features(spark, d), "row_id")
-    curve = compare.pr_curve(tests, p.contains("Brand#1/") | p.contains("Brand#2/") | p.contains("Brand#3/"), cutoffs=99)
-    return curve.select("cutoff", "recall")
+    return rounded(compare.pr_curve(tests, p.contains("Brand#1/") | p.contains("Brand#2/") | p.contains("Brand#3/")))
 
 
 @query("flagship", TSBH + " SELECT Protein, row_id, round(p, 6) AS p, round(c, 6) AS corrected FROM ts JOIN features USING (row_id)")
@@ -631,37 +637,41 @@ def flagship(spark, d):
 # -- clusters
 
 EMB = """
-ex AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS k FROM embeddings WHERE label IN (0, 1)),
+ex AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(64)) AS k FROM embeddings),
 rk AS (SELECT k, vec_id, rank() OVER (PARTITION BY k ORDER BY x) + (count(*) OVER (PARTITION BY k, x) - 1) / 2.0::DOUBLE AS r FROM ex),
 rho AS (SELECT a.k AS a, b.k AS b, 1 - abs(corr(a.r, b.r)) AS distance FROM rk a JOIN rk b ON a.vec_id = b.vec_id AND a.k < b.k GROUP BY 1, 2)"""
 
 
+def _all(spark, d):
+    """All vectors, whatever their labels."""
+    return fx.embedding_matrix(spark, d, tuple(range(10)))
+
+
 @query("cluster_spearman", " SELECT a, b, round(distance, 6) AS distance FROM rho", EMB)
 def cluster_spearman(spark, d):
-    return rounded(cluster.spearman(fx.embedding_matrix(spark, d).cells))
+    return rounded(cluster.spearman(_all(spark, d).cells))
 
 
 @query("cluster_mindist", ", two AS (SELECT a AS row_id, distance FROM rho UNION ALL SELECT b, distance FROM rho) SELECT row_id, round(min(distance), 6) AS distance FROM two GROUP BY 1", EMB)
 def cluster_mindist(spark, d):
-    return rounded(cluster.nearest(cluster.spearman(fx.embedding_matrix(spark, d).cells)))
+    return rounded(cluster.nearest(_all(spark, d).cells))
 
 
 @query("cluster_cutoff")
 def cluster_cutoff(spark, d):
-    cells = fx.embedding_matrix(spark, d).cells
-    near = cluster.nearest(cluster.spearman(cells))
-    return rounded(cluster.cutoff(near, cluster.nearest(cluster.spearman(decoys.decoy_shuffle(cells))), 0.9))
+    cells = _all(spark, d).cells
+    return rounded(cluster.cutoff(cluster.nearest(cells), cluster.nearest(decoys.decoy_shuffle(cells)), 0.9))
 
 
 @query("cluster_ward")
 def cluster_ward(spark, d):
-    x = fx.embedding_matrix(spark, d)
-    return cluster.ward(cluster.spearman(x.cells), x.features, 0.9)
+    x = _all(spark, d)
+    return cluster.ward(x.cells, x.features, 0.9)
 
 
 @query("cluster")
 def cluster_(spark, d):
-    return fx.embedding_matrix(spark, d).cluster(0.4).features
+    return _all(spark, d).cluster(q_value=0.4).features
 
 
 @query("cluster_representative", TESTS + " SELECT Charge, arg_min(row_id, p) AS row_id FROM tests JOIN features USING (row_id) GROUP BY 1")
@@ -684,9 +694,11 @@ query("enrich_subset", TESTS + SETS + " SELECT term, gene FROM sets WHERE term I
 OVERREP = TESTS + SETS + """, tot AS (SELECT count(DISTINCT gene) AS nn FROM sets), ns AS (SELECT count(*) AS n FROM sel JOIN (SELECT DISTINCT gene FROM sets) USING (gene)),
 o AS (SELECT term, count(sel.gene) AS x, count(*) AS k FROM sets LEFT JOIN sel USING (gene) GROUP BY 1 HAVING count(sel.gene) > 0),
 hp AS (SELECT term, x AS overlap, k AS size, n AS n_selected, nn AS n_background, least(list_sum(list_transform(range(x, least(k, n) + 1), lambda j: exp(lgamma(k + 1.0) - lgamma(j + 1.0) - lgamma(k - j + 1.0) + lgamma(nn - k + 1.0) - lgamma(n - j + 1.0) - lgamma(nn - k - n + j + 1.0) - lgamma(nn + 1.0) + lgamma(n + 1.0) + lgamma(nn - n + 1.0)))), 1.0::DOUBLE) AS p FROM o, tot, ns)
-SELECT term, overlap, size, n_selected, n_background, round(p, 6) AS p FROM hp"""
-for _name in ("enrich_overrep", "enrich_enrichr", "enrich"):
-    query(_name, OVERREP)(lambda spark, d: rounded(annotate.overrepresented(fx.gene_sets(spark, d), _selected(spark, d)).drop("corrected")))
+, hk AS (SELECT *, row_number() OVER (ORDER BY p, term) AS k, count(*) OVER () AS m FROM hp)
+SELECT term, overlap, size, n_selected, n_background, round(p, 6) AS p, round(least(min(p * m / k) OVER (ORDER BY k DESC ROWS UNBOUNDED PRECEDING), 1.0::DOUBLE), 6) AS corrected FROM hk"""
+query("enrich_overrep", OVERREP)(lambda spark, d: rounded(annotate.overrepresented(fx.gene_sets(spark, d), _selected(spark, d))))
+for _name, _how in (("enrich", "overreptest"), ("enrich_enrichr", "enrichr_overreptest")):
+    query(_name, OVERREP)(lambda spark, d, how=_how: rounded(annotate.enrich(_tests(spark, d).withColumn("Gene", F.col("row_id").cast("string")), fx.gene_sets(spark, d), how, pvalue_column="p", pvalue_cutoff=0.05)))
 
 
 @query("enrichment_map", """
@@ -750,19 +762,23 @@ def linear_importance(spark, d):
 SQL["linear_importance"] = SQL["linear_importance"].replace(CELLS.strip(), "", 1)
 
 
-def _linear(x: np.ndarray) -> np.ndarray:
-    return x @ np.array(WEIGHTS)
-
+LOCAL = SQL["linear_importance"].rsplit("\nSELECT", 1)[0]
+WEIGHTED = "((k * 37) % 11 - 5) / 10.0::DOUBLE"
+SQL["feature_importance"] = SQL["linear_importance"]
+SQL["interpret"] = LOCAL + f"\nSELECT CAST(k AS INTEGER) AS k, sample, round(d * {WEIGHTED}, 6) + 0.0::DOUBLE AS value FROM mv"
+SQL["local_importance_top"] = LOCAL + f"\n, loc AS (SELECT CAST(k AS INTEGER) AS k, sample, d * {WEIGHTED} AS value FROM mv), am AS (SELECT k, avg(abs(value)) AS mean_abs FROM loc GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10) SELECT k, sample, round(value, 6) AS value, round(mean_abs, 6) AS mean_abs FROM loc JOIN am USING (k)"
+#: A linear model that was given, not fitted, so that SQL can say what its importances are.
+MODEL = learn.Linear(WEIGHTS)
 
-query("feature_importance")(lambda spark, d: rounded(learn.feature_importance(_rows(spark, d), _linear)))
-query("interpret")(lambda spark, d: rounded(learn.local_importance(_rows(spark, d), _linear)))
-query("local_importance_top")(lambda spark, d: rounded(learn.local_importance_top(learn.local_importance(_rows(spark, d), _linear))))
-query("plot_importance_data")(lambda spark, d: rounded(learn.plot_importance_data(learn.local_importance(_rows(spark, d), _linear))))
-query("plot")(lambda spark, d: rounded(learn.plot_importance_data(learn.local_importance(_rows(spark, d), _linear), 5)))
+query("feature_importance", None)(lambda spark, d: rounded(learn.feature_importance(_rows(spark, d), MODEL)))
+query("interpret", None)(lambda spark, d: rounded(learn.local_importance(_rows(spark, d), MODEL)).withColumn("value", F.col("value") + 0.0))  # no zero with a sign
+query("local_importance_top", None)(lambda spark, d: rounded(learn.local_importance_top(learn.local_importance(_rows(spark, d), MODEL))))
+query("plot_importance_data")(lambda spark, d: rounded(learn.plot_importance_data(learn.local_importance(_rows(spark, d), MODEL))))
+query("plot")(lambda spark, d: rounded(fx.embedding_matrix(spark, d).plot("importance_summary", model=MODEL, downsample_background=False)))
 query("bootstrap_importance")(lambda spark, d: rounded(learn.summarise(learn.bootstrap_importance(_rows(spark, d), 20))))
 query("select_features")(lambda spark, d: learn.select_features(learn.bootstrap_importance(_rows(spark, d), 20), "count", 10, 0.5))
 query("select_features_knee")(lambda spark, d: rounded(learn.select_features(learn.bootstrap_importance(_rows(spark, d), 20), "mean", cutoff="knee")))
-query("explain")(lambda spark, d: rounded((x := fx.embedding_matrix(spark, d)).explain([(1, 2)], 20).features))
+query("explain")(lambda spark, d: rounded((x := fx.embedding_matrix(spark, d)).explain(None, [(1, 2)], 20).features))
 query("bootstrap_rfe")(lambda spark, d: learn.bootstrap_rfe(_rows(spark, d), 5, 4, 8))
 query("rfe_scores")(lambda spark, d: rounded(learn.rfe_scores(learn.bootstrap_rfe(_rows(spark, d), 5, 4, 8))))
 query("rfe_ranks")(lambda spark, d: rounded(learn.rfe_ranks(learn.bootstrap_rfe(_rows(spark, d), 5, 4, 8))))
@@ -770,14 +786,14 @@ query("rfe_ranks")(lambda spark, d: rounded(learn.rfe_ranks(learn.bootstrap_rfe(
 
 @query("rfe_evaluate")
 def rfe_evaluate(spark, d):
-    rows = _rows(spark, d).cache()
+    rows = cut(_rows(spark, d))
     ranks = learn.rfe_ranks(learn.bootstrap_rfe(rows, 5, 4, 8))
     return spark.createDataFrame(learn.rfe_evaluate(rows, ranks, [10.0, 40.0], LogisticRegression(maxIter=10)), "cutoff double, n_features int, accuracy double")
 
 
 @query("plot_rfe_pca_data")
 def plot_rfe_pca_data(spark, d):
-    rows = _rows(spark, d).cache()
+    rows = cut(_rows(spark, d))
     return rounded(learn.plot_rfe_pca_data(rows, learn.rfe_ranks(learn.bootstrap_rfe(rows, 5, 4, 8)), [20.0, 60.0]), 4)
 
 
@@ -804,8 +820,8 @@ def _searched(spark, result: learn.SearchResult) -> DataFrame:
     return spark.createDataFrame([(g, float(s), str(sorted(p.items()))) for g, h in enumerate(result.history) for s, p in h], "generation int, score double, params string")
 
 
-query("search_random")(lambda spark, d: _searched(spark, learn.search_random(_rows(spark, d).cache(), _make, GRID, 3)))
-query("search_genetic")(lambda spark, d: _searched(spark, learn.search_genetic(_rows(spark, d).cache(), _make, GRID, 2, 3, 1)))
+query("search_random")(lambda spark, d: _searched(spark, learn.search_random(cut(_rows(spark, d)), _make, GRID, 3)))
+query("search_genetic")(lambda spark, d: _searched(spark, learn.search_genetic(cut(_rows(spark, d)), _make, GRID, 2, 3, 1)))
 query("optimize")(lambda spark, d: _searched(spark, fx.embedding_matrix(spark, d).optimize(_make, "random", GRID, n_iter=2)))
 
 
@@ -813,4 +829,4 @@ query("optimize")(lambda spark, d: _searched(spark, fx.embedding_matrix(spark, d
 def evaluate(spark, d):
     cells, x = norm(spark, d)
     both = type(x)(cells, x.features.drop("Decoy"), x.samples).append("shuffle").compare((1, 2))
-    return rounded(both.evaluate(["DEScore1-2", "Log2FoldChange1-2", "-Log10CorrectedPValue1-2"], LogisticRegression(maxIter=20)).features.select("row_id", "Decoy", "FeatureScore", "FeatureQValue"))
+    return rounded(both.evaluate(LogisticRegression(maxIter=20), (1, 2), "deg").features.select("row_id", "Decoy", "DegFeatureScore1-2", "DegFeatureQValue1-2"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import number_rows
+
 # The report's names and what they become.
 NAMES = {"Protein.Ids": "Protein", "Precursor.Id": "PrecursorId", "Modified.Sequence": "PeptideSequence", "Precursor.Charge": "Charge"}
 LIBRARY = {"Lib.Q.Value": "PeptideQValue", "Lib.PG.Q.Value": "ProteinQValue"}
@@ -57,8 +59,11 @@ def scan_diann(report: DataFrame, q_value: float = 0.01, zero_is_missing: bool =
 
 
 def to_matrix(long: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(cells, features) of a long table."""
+    """(cells, features) of a long table: its distinct features, numbered by retention time and then by all else."""
     names = [c for c in long.columns if c not in ("sample", "value")]
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in names])
-    keyed = long.withColumn("row_id", key)
-    return keyed.select("row_id", "sample", "value"), keyed.select("row_id", *names).dropDuplicates(["row_id"])
+    features = number_rows(long.select(*[F.col(f"`{c}`") for c in names]).distinct())
+    keys = features.select("row_id", *[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(names)])
+    same = F.lit(True)
+    for i, c in enumerate(names):
+        same &= F.col(f"`{c}`").eqNullSafe(F.col(f"__{i}"))
+    return long.join(keys, same).select("row_id", "sample", "value"), features.select("row_id", *[F.col(f"`{c}`") for c in names])

@@ -1,4 +1,5 @@
 import importlib
+import shutil
 import subprocess
 import sys
 from pathlib import Path
@@ -42,6 +43,6 @@ def test_queries_equal_their_sql(spark, name):
 def test_the_rest_works_without_the_text_folders(tmp_path):
     for x in ("__spark_entry__.py", "quantloom"):
         subprocess.run(["cp", "-r", str(ROOT / x), str(tmp_path)], check=True)
-    (tmp_path / "quantloom" / "llm").rename(tmp_path / "gone")
+    shutil.rmtree(tmp_path / "quantloom" / "llm", ignore_errors=True)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(q.startswith('op1') or q == 'pipeline' for q in e.queries()))"], cwd=tmp_path, capture_output=True, text=True, check=True)
     assert int(said.stdout.split()[0]) > 100 and said.stdout.split()[1] == "False"

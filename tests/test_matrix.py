@@ -262,11 +262,117 @@ def test_clusters_of_copies(spark):
     base = rng.normal(size=(4, 20))
     x = np.concatenate([base + rng.normal(scale=0.05, size=base.shape) for _ in range(5)])
     features = spark.createDataFrame([(i,) for i in range(20)], "row_id long")
-    labels = {r["row_id"]: r["FeatureCluster"] for r in cluster.ward(cluster.spearman(cells_of(spark, x), 3), features, 0.8).collect()}
-    assert len(set(labels.values())) == 4 and all(labels[i] == labels[i % 4] for i in range(20))
+    cells = cells_of(spark, x)
+    # at 0.3 each copy's group is a component of its own, at 0.8 components hold several groups
+    for height, most in ((0.8, 20), (0.3, 5)):
+        labels = {r["row_id"]: r["FeatureCluster"] for r in cluster.ward(cells, features, height, most).collect()}
+        assert len(set(labels.values())) == 4 and all(labels[i] == labels[i % 4] for i in range(20))
+    assert [labels[i] for i in range(4)] == [1, 2, 3, 4]
     with pytest.raises(ValueError):
-        cluster.ward(cluster.spearman(cells_of(spark, x)), features, 0.8, most=5)
-    assert len({r["FeatureCluster"] for r in cluster.ward(cluster.spearman(cells_of(spark, x)), features, None).collect()}) == 20
+        cluster.ward(cells, features, 1.0, most=5)
+    assert len({r["FeatureCluster"] for r in cluster.ward(cells, features, None).collect()}) == 20
+
+
+def test_distances_by_blocks(spark):
+    """Whatever the blocks' size: all pairs, those within a distance, and the nearest."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(23, 9))
+    cells, rank = cells_of(spark, x), np.argsort(np.argsort(x, 1), 1)
+    d = 1 - np.abs(np.corrcoef(rank))
+    for rows in (4, 100):
+        got = {(r["a"], r["b"]): r["distance"] for r in cluster.spearman(cells, rows=rows).collect()}
+        assert set(got) == {(i, j) for i in range(23) for j in range(i + 1, 23)} and all(abs(v - d[k]) < 1e-9 for k, v in got.items())
+        some = {(r["a"], r["b"]) for r in cluster.spearman(cells, 0.6, rows).collect()}
+        assert some == {k for k, v in got.items() if v <= 0.6}
+        near = {r["row_id"]: r["distance"] for r in cluster.nearest(cells, rows).collect()}
+        assert all(abs(near[i] - np.delete(d[i], i).min()) < 1e-9 for i in range(23))
+
+
+def test_level_pools_the_features_of_one_name(spark, noisy):
+    """All values of a name are one test, as if its features' samples stood side by side."""
+    logs = np.log2(noisy)
+    features = spark.createDataFrame([(i, f"P{i // 4}") for i in range(40)], "row_id long, Protein string")
+    m = Matrix(cells_of(spark, logs), features, samples_of(spark, 12))
+    rows = {r["row_id"]: r for r in m.compare((1, 2), level="protein").features.collect()}
+    for i in range(40):
+        r = rows[i]
+        if i % 4:
+            assert r["PValue1-2"] is None and r["Group1RepCounts"] is None
+            continue
+        a, b = logs[i : i + 4, :6].ravel(), logs[i : i + 4, 6:].ravel()
+        a, b = a[~np.isnan(a)], b[~np.isnan(b)]
+        assert (r["Group1RepCounts"], r["Group2RepCounts"]) == (len(a), len(b)) and abs(r["Log2FoldChange1-2"] - (a.mean() - b.mean())) < 1e-9
+        t = (a.mean() - b.mean()) / math.sqrt(((len(a) - 1) * a.var(ddof=1) + (len(b) - 1) * b.var(ddof=1)) / (len(a) + len(b) - 2) * (1 / len(a) + 1 / len(b)))
+        want = spark.range(1).select(t_pvalue(F.lit(float(t)), F.lit(len(a) + len(b) - 2))).first()[0]
+        assert abs(r["PValue1-2"] - want) < 1e-9
+    with pytest.raises(ValueError):
+        m.compare((1, 2), level="precursor")
+
+
+def test_score_distributions(spark):
+    """q-values on the grid of automatic bins, against NumPy."""
+    rng = np.random.default_rng(12)
+    x = np.concatenate([rng.normal(3, 1, 300), rng.normal(0, 1, 200)])
+    y = np.array([0] * 300 + [1] * 200)
+    df = spark.createDataFrame([(i, float(v), int(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))] + [(999, None, 0)], "row_id long, score double, Decoy int")
+    edges = np.histogram_bin_edges(x, "auto")
+    assert decoys.automatic_bins(df) == len(edges) - 1
+    mid = (edges[1:] + edges[:-1]) / 2
+    t, d = (np.histogram(x[y == c], mid)[0] for c in (0, 1))
+    centre = (mid[1:] + mid[:-1]) / 2
+    for r in decoys.qvalue_of_scores(df, pit=0.7).collect():
+        if r["score"] is None:
+            assert r["q_value"] is None
+            continue
+        grid = np.arange(r["score"], x.max(), 0.1)
+        a, b = np.trapezoid(np.interp(grid, centre, t)), np.trapezoid(np.interp(grid, centre, d)) * 0.7
+        assert abs(r["q_value"] - (0.0 if a == b == 0 else b / (a + b))) < 1e-6
+
+
+def learnable(spark, n=60, f=6):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(f, n))
+    groups = [1 if j < n // 2 else 2 for j in range(n)]
+    x[1, n // 2 :] += 3
+    return Matrix(cells_of(spark, x), spark.createDataFrame([(10 * i, f"P{i}") for i in range(f)], "row_id long, Protein string"), samples_of(spark, n, groups)), x
+
+
+def test_importances_of_the_users_classifier(spark):
+    """The feature that tells the groups apart comes first with a linear model, a tree and a bootstrap of either."""
+    from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+    from quantloom.operators import learn
+
+    m, x = learnable(spark)
+    m = Matrix(m.cells.withColumn("row_id", F.col("row_id") * 10), m.features, m.samples)  # row_ids aren't places
+    for clf in (LogisticRegression(maxIter=20, regParam=0.1), DecisionTreeClassifier(maxDepth=2)):
+        out = m.interpret(m.train(clf, validate=False).model).features.collect()
+        assert max(out, key=lambda r: r["Importance"])["Protein"] == "P1" and all(r["Importance"] >= 0 for r in out)
+        told = m.explain(clf, (1, 2), n_iterations=3).features.orderBy("row_id").collect()
+        assert told[1]["MeanRank1-2"] == 1 and told[1]["MeanImportance1-2"] == 1.0 and all(r["StdevRank1-2"] is not None for r in told)
+        rfe = learn.bootstrap_rfe(m.to_ml((1, 2)), 2, 1, 2, classifier=clf)
+        ranks = {r["k"]: r["mean_rank"] for r in learn.rfe_ranks(rfe).collect()}
+        assert len(ranks) == 6 and min(ranks, key=ranks.get) == 1
+    rows = m.to_ml((1, 2))
+    kept = learn.kept_features(rows, spark.createDataFrame([(1,), (4,)], "k int"))
+    for a, b in zip(rows.orderBy("sample").collect(), kept.orderBy("sample").collect(), strict=True):
+        assert a["features"].toArray()[[1, 4]].tolist() == b["features"].toArray().tolist()
+
+
+def test_local_importance_of_any_model_equals_the_linear_one(spark):
+    """What a linear model's weights give is what scoring the shuffled rows gives."""
+    from pyspark.ml.classification import LogisticRegression
+    from quantloom.operators import learn
+
+    m, _ = learnable(spark, 20, 3)
+    rows = m.to_ml((1, 2))
+    model = LogisticRegression(maxIter=10, regParam=0.1).fit(rows)
+    fast = {(r["k"], r["sample"]): r["value"] for r in learn.local_importance(rows, model, 2).collect()}
+
+    class Wrapped:  # hides what it is
+        transform = staticmethod(model.transform)
+
+    slow = {(r["k"], r["sample"]): r["value"] for r in learn.local_importance(rows, Wrapped(), 2).collect()}
+    assert len(fast) == 60 and all(abs(v - slow[k]) < 1e-9 for k, v in fast.items())
 
 
 def test_enrichment_tail(spark):
@@ -288,6 +394,15 @@ def test_long_reports(spark):
         diann.scan_diann(df.union(df)).collect()
     cells, features = diann.to_matrix(diann.scan_diann(df))
     assert features.count() == 1 and cells.count() == 2
+    more = [("a.raw", "P", f"k{k}", "K", 2, float(9 - k), 5.0 + k, 0.5, 0.001, 0.0) for k in range(5)] + [("b.raw", "P", "k3", "K", 2, 6.0, 1.0, 0.5, 0.001, None)]
+    design = spark.createDataFrame([("a", 1), ("b", 2)], "Sample string, Group int")
+    m = Matrix.read(spark, spark.createDataFrame(more, names), design, quant_type="diann")
+    rows = m.features.orderBy("row_id").collect()
+    assert [r["row_id"] for r in rows] == list(range(6)) and [r["PrecursorId"] for r in rows] == ["k4", "k3", "k3", "k2", "k1", "k0"]
+    assert m.cells.count() == 6
+    for method in ("mean", "shuffle"):
+        both = m.append(method)
+        assert both.features.count() == 12 and sorted(r[0] for r in both.features.select("row_id").collect()) == list(range(12)) and both.cells.count() == 12
 
 
 def test_filters_and_dispatch(spark):
@@ -297,7 +412,8 @@ def test_filters_and_dispatch(spark):
     m = Matrix(cells_of(spark, x), features, samples_of(spark, 4))
     kept = lambda **kw: sorted(r["row_id"] for r in m.filter(**kw).features.collect())
     assert kept() == [0] and kept(compat=True) == [0, 3] and kept(remove_zero_rows=False) == [0, 5]
-    assert kept(remove_n_zero_rows=True, max_n_zeros=4) == [0, 5]
+    # both filters hold: a feature of zeros only goes, however many zeros are allowed
+    assert kept(remove_n_zero_rows=True, max_n_zeros=4) == [0] and kept(remove_n_zero_rows=True, max_n_zeros=4, remove_zero_rows=False) == [0, 5]
     for call in (lambda: m.filter(remove_n_zero_rows=True), lambda: m.scale("x"), lambda: m.quantify("x"), lambda: m.impute("x"), lambda: m.correct("x"), lambda: m.correct("mean", 9), lambda: m.compare((1, 2), method="x"), lambda: m.compare((1, 2), multiple_testing_correction_method="x"), lambda: annotate.select_genes(features)):
         with pytest.raises(ValueError):
             call()
