@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .common import WORDS, columns_of, cut, fold, free_names, if_small, mix64
 
 THRESHOLD, FIT, CURVE, WORST = 0.3, 50_000, 4, 3
-HOT, BITS, PROBES = 1 << 20, 1 << 26, 3
+HOT, BITS, PROBES = 1 << 21, 1 << 26, 3
 #: The word that stands for a text's border, and how many distinct words a task remembers.
 BORDER, CACHE = np.uint64(0), 200_000
 
