@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .collocations import collocations
 from .common import cut, remove_dir, shared_dir, table
 from .decontaminate import find_matches
 from .exact_dedup import exact_groups
@@ -15,6 +16,7 @@ from .line_dedup import BLANKS, drop_boilerplate_lines
 from .minhash import near_groups
 from .piece_sampling import encode_and_check
 from .quality import quality_scores
+from .spelling import spelling_variants
 from .token_counts import count_tokens
 from .toxicity import toxicity_scores
 from .warc import new_folder, normalise_archives, read_archives, read_index, write_archives
@@ -81,8 +83,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_warc, op3_line_dedup, op4_license_scan, op5_quality, op6_piece_sampling, op7_minhash_dedup, op8_exact_dedup, op9_decontamination, op10_token_counts)
+    f.__name__: f for f in (op1_toxicity, op2_warc, op3_line_dedup, op4_license_scan, op5_quality, op6_piece_sampling, op7_minhash_dedup, op8_exact_dedup, op9_decontamination, op10_token_counts, op12_collocations, op13_spelling_variants)
 }
 
 SQL = {
@@ -100,5 +110,21 @@ SELECT doc_id, n_lines, n_removed, length(kept) AS n_chars, sha256(kept) AS text
 WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
 g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text_sha256)
 SELECT t.doc_id, g.keep_id, g.group_size, t.doc_id = g.keep_id AS kept, t.text_sha256 FROM t JOIN g USING (text_sha256)
+""",
+    "op12_collocations": r"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM s, (VALUES (1), (2), (3), (4)) t(k) WHERE i + k - 1 <= len(w)),
+c AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM c WHERE k = 1 GROUP BY lang),
+b AS (SELECT lang, k, phrase, f, string_split(phrase, ' ') AS w FROM c WHERE f >= 30),
+cuts AS (SELECT lang, k, phrase, f AS a, w, unnest(range(1, k)) AS j FROM b WHERE k > 1),
+sides AS (SELECT x.lang, x.k, x.phrase, x.a, x.j, l.f AS l, r.f AS r, (x.a::HUGEINT * 2000000) // (l.f::HUGEINT + r.f) AS score FROM cuts x
+  JOIN b l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1:x.j], ' ') JOIN b r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[x.j + 1:], ' ')),
+best AS (SELECT * FROM sides QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+free AS (SELECT * FROM best x WHERE NOT EXISTS (SELECT 1 FROM b y WHERE y.lang = x.lang AND y.k > x.k AND contains(' ' || y.phrase || ' ', ' ' || x.phrase || ' ') AND 100 * y.f >= 80 * x.a)),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM free)
+SELECT lang, rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000
 """,
 }
