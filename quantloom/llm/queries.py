@@ -11,6 +11,7 @@ from .collocations import collocations
 from .common import cut, remove_dir, shared_dir, table
 from .decontaminate import find_matches
 from .exact_dedup import exact_groups
+from .html_text import extract_text
 from .license_scan import scan_licenses
 from .line_dedup import BLANKS, drop_boilerplate_lines
 from .minhash import near_groups
@@ -83,6 +84,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -92,7 +97,7 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_warc, op3_line_dedup, op4_license_scan, op5_quality, op6_piece_sampling, op7_minhash_dedup, op8_exact_dedup, op9_decontamination, op10_token_counts, op12_collocations, op13_spelling_variants)
+    f.__name__: f for f in (op1_toxicity, op2_warc, op3_line_dedup, op4_license_scan, op5_quality, op6_piece_sampling, op7_minhash_dedup, op8_exact_dedup, op9_decontamination, op10_token_counts, op11_html_text, op12_collocations, op13_spelling_variants)
 }
 
 SQL = {
