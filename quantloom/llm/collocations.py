@@ -1,8 +1,8 @@
 """Phrases whose words stand together more often than their parts let expect, per language.
 
 A text is lower-cased (A-Z), split at punctuation and line ends into pieces, and those into words. All phrases of 1 to
-max_n words become rows, which a hash aggregate counts per language (each task adds up its own before the shuffle, so no
-frequent phrase is a hot key). A candidate of two or more words is cut after each of its words; the counts of both sides
+max_n words that can be frequent become rows, which a hash aggregate counts per language (each task adds up its own before
+the shuffle, so no frequent phrase is a hot key). A candidate of two or more words is cut after each of its words; the counts of both sides
 are joined, and the score floor(2000000 * a / (l + r)) is worked out in Decimal. Candidates that nearly always stand
 inside a longer one go by an anti join with their one-word extensions: a longer phrase that holds a candidate holds an
 extension of it that is at least as frequent, so one word more is enough. The best of each language are ranked within
@@ -26,6 +26,8 @@ from .common import cut
 ENDS, BLANKS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 #: Groups in which a language's candidates are ranked before the best of each meet.
 SHARDS = 256
+#: Numbers of 64 bits in the filter of what is frequent: 8 MB.
+SLOTS = 1 << 20
 
 
 def pieces(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -35,15 +37,58 @@ def pieces(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> D
     return each.select("lang", F.array_remove(F.split("piece", BLANKS), "").alias("w")).where(F.size("w") > 0)
 
 
+def spots(h: F.Column) -> list[tuple[F.Column, F.Column]]:
+    """(slot, bit) of the filter that a hash sets: two of them."""
+    return [(F.shiftrightunsigned(x, 6).bitwiseAND(F.lit(SLOTS - 1)), x.bitwiseAND(F.lit(63)).cast("int")) for x in (h, F.shiftrightunsigned(h, 32))]
+
+
+def membership(keys: DataFrame) -> F.Column:
+    """The hashes `h` of keys as a Bloom filter: one array of SLOTS numbers of 64 bits, whatever the number of keys."""
+    one = keys.select(F.explode(F.array(*[F.struct(slot.alias("slot"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b")) for slot, bit in spots(F.col("h"))])).alias("x"))
+    set_ = one.groupBy("x.slot").agg(F.bit_or("x.b").alias("b"))
+    every = keys.sparkSession.range(SLOTS).withColumnRenamed("id", "slot").join(set_, "slot", "left").select("slot", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
+    bits = cut(every.agg(F.array_sort(F.collect_list(F.struct("slot", "b"))).alias("x")).select(F.col("x.b").alias("bits")))
+    return bits.scalar()
+
+
+def may_hold(bits: F.Column, h: F.Column) -> F.Column:
+    (slot, bit), (slot2, bit2) = spots(h)
+    return (F.getbit(F.get(bits, slot), bit) == 1) & (F.getbit(F.get(bits, slot2), bit2) == 1)
+
+
 def phrase_counts(docs: DataFrame, max_n: int = 4, min_count: int = 30, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, phrase, f): the phrases of up to max_n words that stand min_count times or more in a language; the empty
-    phrase, always there, counts the language's words."""
+    phrase, always there, counts the language's words. The result is cut.
+
+    A phrase can be that frequent only if all it holds is. So words are counted first, then pairs of frequent words, then
+    longer phrases of frequent pairs; a filter of fixed size tells which are, and where it errs a row more is counted.
+    """
     starts = pieces(docs, text_col, lang_col).select("lang", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
-    sizes = F.sequence(F.when(F.col("i") == 0, 0).otherwise(1), F.least(F.lit(max_n), F.size("w") - F.col("i")))
-    rows = starts.select("lang", "w", "i", F.explode(sizes).alias("k"))
-    phrase = F.array_join(F.slice("w", F.col("i") + 1, F.col("k")), " ")
-    counted = rows.select("lang", phrase.alias("phrase"), F.when(F.col("k") == 0, F.size("w")).otherwise(1).cast("long").alias("c"))
-    return counted.groupBy("lang", "phrase").agg(F.sum("c").alias("f")).where((F.col("f") >= min_count) | (F.col("phrase") == ""))
+    left, word = F.size("w") - F.col("i"), lambda k: F.get("w", F.col("i") + k)
+
+    def counted(rows: DataFrame, k: F.Column, c: F.Column) -> DataFrame:
+        phrase = F.array_join(F.slice("w", F.col("i") + 1, k), " ")
+        sums = rows.select("lang", phrase.alias("phrase"), c.cast("long").alias("c")).groupBy("lang", "phrase").agg(F.sum("c").alias("f"))
+        return cut(sums.where((F.col("f") >= min_count) | (F.col("phrase") == "")))
+
+    first = starts.select("lang", "w", "i", F.explode(F.when(F.col("i") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("k"))
+    out = found = counted(first, F.col("k"), F.when(F.col("k") == 0, F.size("w")).otherwise(1))
+    if max_n < 2:
+        return out
+    bits = membership(found.where("phrase <> ''").select(F.xxhash64("lang", "phrase").alias("h")))
+    pair = (left >= 2) & may_hold(bits, F.xxhash64("lang", word(0))) & may_hold(bits, F.xxhash64("lang", word(1)))
+    found = counted(starts.where(pair), F.lit(2), F.lit(1))
+    out = out.unionByName(found)
+    if max_n < 3:
+        return cut(out)
+    two = F.split("phrase", " ")
+    bits = membership(found.select(F.xxhash64("lang", two[0], two[1]).alias("h")))
+    run = F.least(F.lit(max_n), left)  # the words from i on of which each two neighbours are a frequent pair
+    for k in range(max_n - 2, -1, -1):
+        run = F.when(may_hold(bits, F.xxhash64("lang", word(k), word(k + 1))), run).otherwise(k + 1)
+    runs = starts.where(left >= 3).select("lang", "w", "i", F.least(run, left).alias("run")).where("run >= 3")
+    longer = runs.select("lang", "w", "i", F.explode(F.sequence(F.lit(3), F.col("run"))).alias("k"))
+    return cut(out.unionByName(counted(longer, F.col("k"), F.lit(1))))
 
 
 def scored(counts: DataFrame) -> DataFrame:
@@ -71,7 +116,7 @@ def extended(counts: DataFrame) -> DataFrame:
 def collocations(docs: DataFrame, max_n: int = 4, min_count: int = 30, held_percent: int = 80, top: int = 2000, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's `top` phrases. Phrases of which held_percent or more
     stand inside one and the same longer phrase of up to max_n words are left out."""
-    counts = cut(phrase_counts(docs, max_n, min_count, text_col, lang_col))
+    counts = phrase_counts(docs, max_n, min_count, text_col, lang_col)
     words = counts.where("phrase = ''").select("lang", F.col("f").alias("n"))
     counts = counts.where("phrase <> ''")
     more = extended(counts).select(F.col("lang").alias("xl"), F.col("phrase").alias("xp"), "more")
