@@ -426,8 +426,10 @@ def learn(pages: list[tuple[Tree, list[int]]], steps: int = 150, rate: float = 0
 def fit(pages: DataFrame, most: int = PAGES, length: int = LENGTH, id_col: str = "page_id", html_col: str = "html") -> Model:
     """The model of the pages that label themselves; which of them are taken depends on ids and texts alone."""
     h = F.col(f"`{html_col}`")
-    own = pages.select(F.col(f"`{id_col}`").alias("i"), h.alias("h")).where((F.length("h") <= length) & F.col("h").rlike("(?i)<(article|main)[\\s>]"))
-    picked = own.select("h", F.xxhash64("i", "h").alias("o")).orderBy("o", "h").limit(most).toPandas()  # at most `most` rows of bounded length
+    own = pages.select(h.alias("h"), F.xxhash64(F.col(f"`{id_col}`"), h).alias("o")).where((F.length("h") <= length) & F.col("h").rlike("(?i)<(article|main)[\\s>]"))
+    # hashes first, so that not each task sends its first pages to the driver; repeated rows count once
+    last = own.select("o").orderBy("o").limit(most).agg(F.max("o")).first()[0]
+    picked = own.where(F.col("o") <= F.lit(last)).distinct().orderBy("o", "h").limit(most).toPandas()
     out = []
     for page, o in zip(picked["h"], picked["o"], strict=True):
         tree = read(page)
