@@ -8,7 +8,7 @@ digests have few rows each and go through an ordinary shuffle. Only DataFrame fu
 
 Defined cases: null text counts as empty, and empty texts equal each other; of equal texts the smallest id stays,
 null ids come last; of repeated rows (same id, same text) exactly one stays; an empty table gives an empty result;
-other columns are never read, so their names can't clash.
+a text is hashed whole, whatever its length; other columns' names can't clash, as own columns take names that are free.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut
+from .common import SPACES, cut, free_names
 
 #: Counters of the sketch, and so the most rows that are ever broadcast. A digest is frequent when it holds more
 #: than one row in SHARE, and MIN_ROWS at least.
@@ -55,14 +55,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tracked: int = TRACKED, share: int = SHARE) -> DataFrame:
     """The rows that stay, with all columns of `docs`. Each whole row is shuffled once at most."""
-    own, dg = docs.columns, "__exact_dg"
+    own, (dg, first, place) = docs.columns, free_names(docs, 3)
     keyed = cut(docs.select(F.col(f"`{id_col}`").alias("id"), F.unhex(digest(text_col)).alias("dg"), F.lit(0).alias("row")))
-    heavy = cut(frequent(keyed, tracked, share).select(F.col("dg").alias(dg), F.col("first.i").alias("__exact_first")))
+    heavy = cut(frequent(keyed, tracked, share).select(F.col("dg").alias(dg), F.col("first.i").alias(first)))
     names = [F.col(f"`{c}`") for c in own]
     rows = docs.select(*names, F.unhex(digest(text_col)).alias(dg))
     any_of = F.xxhash64(*[F.to_json(F.struct(c)) if kind.startswith(("map", "array<map", "struct", "variant")) else c for c, (_, kind) in zip(names, docs.dtypes, strict=True)])
-    hot = rows.join(F.broadcast(heavy), dg).where(F.col(f"`{id_col}`").eqNullSafe(F.col("__exact_first")))
+    hot = rows.join(F.broadcast(heavy), dg).where(F.col(f"`{id_col}`").eqNullSafe(F.col(first)))
     hot = hot.groupBy(dg).agg(F.min_by(F.struct(*names), any_of).alias("r")).select("r.*")
     w = Window.partitionBy(dg).orderBy(F.col(f"`{id_col}`").asc_nulls_last(), any_of)
-    cold = rows.join(F.broadcast(heavy.select(dg)), dg, "left_anti").withColumn("__exact_n", F.row_number().over(w))
-    return hot.unionByName(cold.where("__exact_n = 1").select(*names)).select(*names)
+    cold = rows.join(F.broadcast(heavy.select(dg)), dg, "left_anti").withColumn(place, F.row_number().over(w))
+    return hot.unionByName(cold.where(F.col(place) == 1).select(*names)).select(*names)

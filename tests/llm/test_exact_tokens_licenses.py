@@ -48,6 +48,15 @@ def test_exact_groups_of_repeated_rows_null_ids_and_no_rows(spark):
     assert exact_groups(df.limit(0)).count() == 0 and drop_exact_duplicates(df.limit(0)).count() == 0
 
 
+def test_exact_duplicates_go_whatever_the_columns_are_called(spark):
+    names = ["__exact_dg", "__exact_first", "__exact_n", "_own0", "_own1", "_OWN2", "dg", "row"]
+    rows = [(i, t, *range(8)) for i, t in enumerate(["a b", "a  b", None, "", "x" * 3_000_000, "x" * 3_000_000] + ["hot"] * 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    kept = drop_exact_duplicates(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [0, 2, 4, 6]
+    assert sorted(tuple(r)[2:] for r in kept.collect()) == [tuple(range(8))] * 4
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
