@@ -66,7 +66,8 @@ def op6_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_groups(table(spark, sf_dir, "documents"), percent=85)
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("stays"))  # a null id is in no order: the operator says which stays
+    return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
