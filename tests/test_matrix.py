@@ -264,15 +264,89 @@ def test_clusters_of_copies(spark):
     features = spark.createDataFrame([(i,) for i in range(20)], "row_id long")
     cells = cells_of(spark, x)
     # at 0.3 each copy's group is a component of its own, at 0.8 components hold several groups
-    for height, most in ((0.8, 20), (0.3, 5)):
-        labels = {r["row_id"]: r["FeatureCluster"] for r in cluster.ward(cells, features, height, most).collect()}
+    for height in (0.8, 0.3):
+        labels = {r["row_id"]: r["FeatureCluster"] for r in cluster.ward(cells, features, height, 5).collect()}
         assert len(set(labels.values())) == 4 and all(labels[i] == labels[i % 4] for i in range(20))
     assert [labels[i] for i in range(4)] == [1, 2, 3, 4]
-    with pytest.raises(ValueError):
-        cluster.ward(cells, features, 1.0, most=5)
     assert len({r["FeatureCluster"] for r in cluster.ward(cells, features, None).collect()}) == 20
 
 
+def brute_ward(x, height):
+    """One merge after another over the whole matrix of distances, by the recurrence of Lance and Williams."""
+    rank = np.array([[np.mean([k for k, v in enumerate(sorted(row)) if v == value]) for value in row] for row in x])
+    rank = rank - rank.mean(1, keepdims=True)
+    norm = np.sqrt((rank**2).sum(1, keepdims=True))
+    v = np.divide(rank, norm, out=np.zeros_like(rank), where=norm > 0)
+    d = {(i, j): float((1 - min(1, abs(v[i] @ v[j]))) ** 2) for i in range(len(x)) for j in range(i + 1, len(x))}
+    size, to = dict.fromkeys(range(len(x)), 1), list(range(len(x)))
+    while d:
+        h, a, b = min((round(h, 12), a, b) for (a, b), h in d.items())
+        if h > round(height**2, 12):
+            break
+        for c in size:
+            if c not in (a, b):
+                ka, kb = (min(a, c), max(a, c)), (min(b, c), max(b, c))
+                d[ka] = ((size[a] + size[c]) * d[ka] + (size[b] + size[c]) * d.pop(kb) - size[c] * d[a, b]) / (size[a] + size[b] + size[c])
+        del d[a, b]
+        size[a] += size.pop(b)
+        to = [a if t == b else t for t in to]
+    return to
+
+
+@pytest.mark.parametrize("seed, heights", [(0, (0.0, 0.6)), (1, (0.25, 1.7)), (2, (0.8, 1.0))])
+def test_ward_equals_merging_one_by_one(spark, seed, heights):
+    """Random features with few samples, so many ties, with copies, reversed copies and constant features among them."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(45, 5 + 2 * seed)) if seed else rng.integers(0, 3, size=(45, 6)).astype(float)
+    x[5], x[6], x[7], x[8] = x[1] * 2, -x[1], 3.0, 3.0
+    x[20:26] = x[2] + rng.normal(scale=0.3, size=(6, x.shape[1]))
+    features = spark.createDataFrame([(i,) for i in range(45)], "row_id long")
+    cells = cut_of(cells_of(spark, x))
+    for height in heights:
+        got = {r["row_id"]: r["FeatureCluster"] for r in cluster.ward(cells, features, height, 6).collect()}
+        want = brute_ward(x, height)
+        number = {c: k for k, c in enumerate(sorted(set(want)), 1)}
+        assert [got[i] for i in range(45)] == [number[c] for c in want], height
+
+
+def cut_of(df):
+    from quantloom.functions.storage import cut
+
+    return cut(df)
+
+
+def test_features_that_lack_values_are_refused(spark, noisy):
+    x = np.where(np.isnan(noisy), 5.0, noisy)
+    x[0, 0] = x[1, 1] = np.nan
+    for f in (cluster.nearest, cluster.spearman):
+        with pytest.raises(ValueError, match="2 features lack values"):
+            f(cells_of(spark, x))
+    features = spark.createDataFrame([(i, f"P{i}") for i in range(len(x))], "row_id long, Protein string")
+    m = Matrix(cells_of(spark, x), features, samples_of(spark, x.shape[1]))
+    with pytest.raises(ValueError, match="lack values"):
+        m.cluster()
+    assert m.impute("constant").cluster(q_value=0.5).features.count() == len(x)
+
+
+def test_blocks_that_cannot_hold_a_nearer_feature_are_not_met(spark):
+    """Groups far apart: few of all pairs are met, and the result is that of all pairs."""
+    rng = np.random.default_rng(12)
+    base = rng.normal(size=(8, 60))
+    x = np.concatenate([b + rng.normal(scale=0.1, size=(40, 60)) for b in base])
+    cells = cut_of(cells_of(spark, x))
+    d = 1 - np.abs(np.corrcoef(np.argsort(np.argsort(x, 1), 1)))
+    np.fill_diagonal(d, np.inf)
+    near = {r["row_id"]: r["distance"] for r in cluster.nearest(cells, 20).collect()}
+    assert all(abs(near[i] - d[i].min()) < 1e-9 for i in range(320))
+    assert {(r["a"], r["b"]) for r in cluster.spearman(cells, 0.2, 20).collect()} == {(i, j) for i in range(320) for j in range(i + 1, 320) if d[i, j] <= 0.2}
+    index = cluster.Index(cluster.vectors(cells), 20)
+    first = cut_of(cluster._nearest_in(index, index.visits(index.placed, "own")))
+    met = index.met(index.visits(index.placed, "own")) + index.met(index.visits(cluster._reaching(index, first), "other"))
+    assert met < 0.35 * 320 * 320
+    rows = index.placed.withColumn("reach", cluster.angle_of(0.2))
+    assert index.met(index.visits(rows, "own")) + index.met(index.visits(rows, "later")) < 0.25 * 320 * 320
+
+
 def test_distances_by_blocks(spark):
     """Whatever the blocks' size: all pairs, those within a distance, and the nearest."""
     rng = np.random.default_rng(11)
