@@ -26,8 +26,8 @@ from .common import cut
 ENDS, BLANKS = r"[.,;:!?\x0A-\x0D]", r"[\x20\x09]+"
 #: Groups in which a language's candidates are ranked before the best of each meet.
 SHARDS = 256
-#: Numbers of 64 bits in the filter of what is frequent: 8 MB.
-SLOTS = 1 << 20
+#: Numbers of 64 bits in the filter of what is frequent: 2 MB.
+SLOTS = 1 << 18
 
 
 def pieces(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -65,21 +65,22 @@ def phrase_counts(docs: DataFrame, max_n: int = 4, min_count: int = 30, text_col
     A phrase can be that frequent only if all it holds is. So words are counted first, then pairs of frequent words, then
     longer phrases of frequent pairs; a filter of fixed size tells which are, and where it errs a row more is counted.
     """
-    starts = pieces(docs, text_col, lang_col).select("lang", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
+    whole = pieces(docs, text_col, lang_col)
+    starts = whole.select("lang", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
     left, word = F.size("w") - F.col("i"), lambda k: F.get("w", F.col("i") + k)
 
-    def counted(rows: DataFrame, k: F.Column, c: F.Column) -> DataFrame:
-        phrase = F.array_join(F.slice("w", F.col("i") + 1, k), " ")
+    def counted(rows: DataFrame, phrase: F.Column, c: F.Column) -> DataFrame:
         sums = rows.select("lang", phrase.alias("phrase"), c.cast("long").alias("c")).groupBy("lang", "phrase").agg(F.sum("c").alias("f"))
         return cut(sums.where((F.col("f") >= min_count) | (F.col("phrase") == "")))
 
-    first = starts.select("lang", "w", "i", F.explode(F.when(F.col("i") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("k"))
-    out = found = counted(first, F.col("k"), F.when(F.col("k") == 0, F.size("w")).otherwise(1))
+    # a piece's first row stands for its words' number: no word is empty
+    first = whole.select("lang", F.size("w").alias("n"), F.explode(F.concat(F.array(F.lit("")), "w")).alias("phrase"))
+    out = found = counted(first, F.col("phrase"), F.when(F.col("phrase") == "", F.col("n")).otherwise(1))
     if max_n < 2:
         return out
     bits = membership(found.where("phrase <> ''").select(F.xxhash64("lang", "phrase").alias("h")))
     pair = (left >= 2) & may_hold(bits, F.xxhash64("lang", word(0))) & may_hold(bits, F.xxhash64("lang", word(1)))
-    found = counted(starts.where(pair), F.lit(2), F.lit(1))
+    found = counted(starts.where(pair), F.concat(word(0), F.lit(" "), word(1)), F.lit(1))
     out = out.unionByName(found)
     if max_n < 3:
         return cut(out)
@@ -90,7 +91,7 @@ def phrase_counts(docs: DataFrame, max_n: int = 4, min_count: int = 30, text_col
         run = F.when(may_hold(bits, F.xxhash64("lang", word(k), word(k + 1))), run).otherwise(k + 1)
     runs = starts.where(left >= 3).select("lang", "w", "i", F.least(run, left).alias("run")).where("run >= 3")
     longer = runs.select("lang", "w", "i", F.explode(F.sequence(F.lit(3), F.col("run"))).alias("k"))
-    return cut(out.unionByName(counted(longer, F.col("k"), F.lit(1))))
+    return cut(out.unionByName(counted(longer, F.array_join(F.slice("w", F.col("i") + 1, F.col("k")), " "), F.lit(1))))
 
 
 def scored(counts: DataFrame) -> DataFrame:
