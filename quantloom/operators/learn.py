@@ -2,8 +2,10 @@
 
 A classifier is an MLlib estimator with features and label columns, whichever the user has. A sample is a row with a
 vector of all features; samples stay distributed rows, and no matrix passes through the driver. What is repeated
-(bootstrap iterations, folds, candidates) is drawn by hash, so results don't depend on partitions; the fits themselves
-are jobs, THREADS of them at a time. Of a fitted model only its coefficients are on the driver, as MLlib has them.
+(bootstrap iterations, folds, candidates) is drawn by hash, so results don't depend on partitions. Logistic regressions
+of two classes are fitted all at once (many.py): a fold, or how often a resample drew a sample, is a weight of the row.
+Other classifiers are fitted one by one, THREADS of them at a time. Of a fitted model only its coefficients are on the
+driver, as MLlib has them.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import uniform
 from ..functions.storage import cut
+from . import many
 from .scaling import standard
 
 THREADS = 4
@@ -80,19 +83,72 @@ def checked(classifier) -> Estimator:
     return classifier
 
 
-def cross_scores(classifier: Estimator, rows: DataFrame, k: int = 3, seed: int = 0) -> list[float]:
-    """The accuracy on each fold of a model of the others."""
-    dealt, out = folds(rows, k, seed).cache(), []
-    for i in range(k):
-        model = checked(classifier).fit(dealt.where(F.col("fold") != i))
-        out.append(model.transform(dealt.where(F.col("fold") == i)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0])
+def base_weight(classifier) -> F.Column:
+    """The weights that a classifier gives the rows."""
+    return F.col(classifier.getWeightCol()).cast("double") if classifier.hasParam("weightCol") and classifier.isSet("weightCol") else F.lit(1.0)
+
+
+def told(rows: DataFrame) -> DataFrame:
+    """(tp, fp, tn, fn, loss, n) of rows with prediction and label; loss is null without a probability."""
+    is_, yes = F.col("label") == 1, F.col("prediction") == 1
+    loss = F.sum(-F.ln(F.greatest(vector_to_array("probability")[F.col("label").cast("int")], F.lit(1e-15)))) if "probability" in rows.columns else F.lit(None).cast("double")
+    return rows.agg(*[F.count_if(c).cast("double") for c in (yes & is_, yes & ~is_, ~yes & ~is_, ~yes & is_)], loss, F.count("*"), F.avg((F.col("prediction") == F.col("label")).cast("double")))
+
+
+def score_of(model: Model, rows: DataFrame, scoring: str = "accuracy") -> float | None:
+    """A model's score on rows; None without rows. Accuracy is that of any number of classes."""
+    *counts, n, accuracy = told(model.transform(rows)).first()
+    if not n:
+        return None
+    if scoring == "accuracy":
+        return accuracy
+    if scoring == "neg_log_loss" and counts[4] is None:
+        raise ValueError("neg_log_loss needs a classifier with probabilities")
+    return float(many.scorer(scoring)(*np.array([[c or 0.0] for c in counts]))[0])
+
+
+def cross_many(classifiers: list[Estimator], rows: DataFrame, k: int = 3, seed: int = 0, scoring: str = "accuracy", features: list[tuple[int, ...]] | None = None) -> list[list[float]]:
+    """The scores of each classifier on each fold of a model of the others; features: which each classifier sees. The
+    logistic regressions with equal weights share their passes over the rows."""
+    many.scorer(scoring)
+    dealt, out = folds(rows, k, seed).cache(), [None] * len(classifiers)
+    two, shared = dealt.select("label").distinct().count() <= 2, {}
+    for c, classifier in enumerate(classifiers):
+        fit = many.fit_of(checked(classifier), 0) if two else None
+        if fit is not None:
+            shared.setdefault(classifier.getWeightCol() if classifier.isSet("weightCol") else None, []).append(c)
+    for group in shared.values():
+        base = base_weight(classifiers[group[0]])
+        one = lambda test: F.array(*[F.when((F.col("fold") == i) == F.lit(test), 1.0 if test else base).otherwise(0.0) for i in range(k)])  # noqa: B023, E731
+        rows_of = many.packed(dealt, one(False), one(True), base).cache()
+        fits = [many.fit_of(classifiers[c], i, features[c] if features else None) for c in group for i in range(k)]
+        for c, scores in zip(group, many.score_many(rows_of, fits, scoring).reshape(len(group), k), strict=True):
+            out[c] = [float(x) for x in scores if not np.isnan(x)]
+        rows_of.unpersist()
+    for c, classifier in enumerate(classifiers):
+        if out[c] is None:
+            slim = dealt if features is None else sliced(dealt, features[c])
+            found = [score_of(classifier.fit(slim.where(F.col("fold") != i)), slim.where(F.col("fold") == i), scoring) for i in range(k)]
+            out[c] = [x for x in found if x is not None]
     dealt.unpersist()
     return out
 
 
-def train(cells: DataFrame, samples: DataFrame, classifier: Estimator, comparison: tuple = (1, 2), scale: bool = True, validate: bool = True, num_folds: int = 3, random_state: int = 42) -> TrainResult:
-    rows = balanced(to_ml(standard(cells) if scale else cells, samples, comparison)).cache()
-    scores = cross_scores(classifier, rows, num_folds, random_state) if validate else []
+def cross_scores(classifier: Estimator, rows: DataFrame, k: int = 3, seed: int = 0, scoring: str = "accuracy") -> list[float]:
+    """The score on each fold of a model of the others."""
+    return cross_many([classifier], rows, k, seed, scoring)[0]
+
+
+def sliced(rows: DataFrame, features: tuple[int, ...]) -> DataFrame:
+    """rows with some of the features, by their places."""
+    slicer = VectorSlicer(inputCol="__all", outputCol="features", indices=list(features))
+    return slicer.transform(rows.withColumnRenamed("features", "__all")).drop("__all")
+
+
+def train(cells: DataFrame, samples: DataFrame, classifier: Estimator, comparison: tuple = (1, 2), scale: bool = True, validate: bool = True, num_folds: int = 3, random_state: int = 42, scoring: str = "accuracy", scaler: Callable[[DataFrame], DataFrame] | None = None) -> TrainResult:
+    """A fitted classifier and its scores by folds. scaler: what scales the cells, if not `standard`."""
+    rows = balanced(to_ml((scaler or standard)(cells) if scale else cells, samples, comparison)).cache()
+    scores = cross_scores(classifier, rows, num_folds, random_state, scoring) if validate else []
     model = checked(classifier).fit(rows)
     rows.unpersist()
     return TrainResult(model, scores)
@@ -202,45 +258,95 @@ def undersample(rows: DataFrame, seed: int = 0, key: str = "sample") -> DataFram
     return rows.withColumn("__rank", F.row_number().over(w)).crossJoin(F.broadcast(least)).where("__rank <= __least").drop("__rank", "__least")
 
 
-def bootstrap_resample(rows: DataFrame, iterations: int, seed: int = 0) -> DataFrame:
-    """(iteration, label, slot, sample): each class's samples drawn again with replacement, as many as it has."""
+def bootstrap_resample(rows: DataFrame, iterations: int, seed: int = 0, rate: float = 1.0, replace: bool = True) -> DataFrame:
+    """(iteration, label, slot, sample): of each class's samples `rate` times as many, one at least, drawn with
+    replacement or without."""
     w = Window.partitionBy("label").orderBy("sample")
     placed = rows.select("sample", "label", (F.row_number().over(w) - 1).alias("place"), F.count("*").over(Window.partitionBy("label")).alias("n"))
-    slots = placed.select("label", "n", F.col("place").alias("slot")).withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
-    drawn = slots.withColumn("place", F.floor(uniform("iteration", "label", "slot", seed=seed, salt="boot") * F.col("n")))
-    return drawn.join(placed.select("label", "place", "sample"), ["label", "place"]).select("iteration", "label", "slot", "sample")
+    slots = placed.select("label", "n", F.col("place").alias("slot")).where(F.col("slot") < F.greatest(F.floor(F.col("n") * rate), F.lit(1)))
+    slots = slots.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    chance = uniform("iteration", "label", "slot", seed=seed, salt="boot")
+    if replace:
+        drawn = slots.withColumn("place", F.floor(chance * F.col("n")))
+        return drawn.join(placed.select("label", "place", "sample"), ["label", "place"]).select("iteration", "label", "slot", "sample")
+    each = placed.withColumnRenamed("place", "slot").withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
+    order = Window.partitionBy("iteration", "label").orderBy(chance, "slot")
+    each = each.withColumn("slot", F.row_number().over(order) - 1)
+    return each.where(F.col("slot") < F.greatest(F.floor(F.col("n") * rate), F.lit(1))).select("iteration", "label", "slot", "sample")
 
 
 def drawn_rows(rows: DataFrame, draws: DataFrame, iteration: int) -> DataFrame:
     """The rows of one resample: each draw is a row, with a sample of its own."""
-    one = draws.where(F.col("iteration") == iteration).select("sample", F.col("slot").alias("__slot"))
-    both = rows.join(one, "sample")
-    return both.withColumn("sample", F.concat_ws("#", F.col("sample").cast("string"), F.col("__slot").cast("string"), F.col("label").cast("string"))).drop("__slot")
+    return rows.join(named_draws(draws.where(F.col("iteration") == iteration)).select("sample", "name"), "sample").drop("sample").withColumnRenamed("name", "sample")
+
+
+def named_draws(draws: DataFrame) -> DataFrame:
+    """draws with the name that a draw has as a row."""
+    return draws.withColumn("name", F.concat_ws("#", F.col("sample").cast("string"), F.col("slot").cast("string"), F.col("label").cast("string")))
+
+
+def even_draws(draws: DataFrame, seed: int) -> DataFrame:
+    """Of each iteration's draws (with names) as many of each class as the smallest has, as `undersample` has them."""
+    w = Window.partitionBy("iteration", "label").orderBy(uniform("name", seed=F.col("iteration") + seed, salt="under"), "name")
+    ranked = draws.withColumn("__rank", F.row_number().over(w))
+    least = ranked.groupBy("iteration", "label").agg(F.max("__rank").alias("__n")).groupBy("iteration").agg(F.min("__n").alias("__least"))
+    return ranked.join(F.broadcast(least), "iteration").where("__rank <= __least").drop("__rank", "__least")
+
+
+def weightings(rows: DataFrame, counts: DataFrame, n: int, base: F.Column) -> DataFrame:
+    """many.packed of rows and counts (sample, at, w, t): the training and test weights of each of n weightings."""
+    held = counts.groupBy("sample").agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("w", "t")))).alias("__by"))
+    at = lambda c: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.coalesce(F.try_element_at("__by", i)[c], F.lit(0.0)))
+    return many.packed(rows.withColumn("__base", base).join(held, "sample"), F.transform(at("w"), lambda v: v * F.col("__base")), at("t"), F.col("__base"))
 
 
 def bootstrap_importance(rows: DataFrame, iterations: int = 100, downsample: bool = True, shuffles: int = 3, seed: int = 0, classifier: Estimator | None = None) -> DataFrame:
     """(iteration, k, importance, rank) of a classifier fitted on each resample; importances are divided by the
     iteration's largest, ranks average ties, the most important first. A window holds one iteration's features, which
-    a single sample's vector holds as well."""
+    a single sample's vector holds as well.
+
+    Resamples of logistic regressions are weights: all are fitted together, and their shuffles are one query."""
     rows, classifier = cut(rows), checked(classifier or plain_classifier())
     draws = cut(bootstrap_resample(rows, iterations, seed))
+    if many.fit_of(classifier, 0) is not None and rows.select("label").distinct().count() == 2:
+        out = _importance_by_weights(rows, draws, iterations, downsample, shuffles, seed, classifier)
+    else:
 
-    def one(i: int) -> DataFrame:
-        part = cut(undersample(drawn_rows(rows, draws, i), seed + i) if downsample else drawn_rows(rows, draws, i))
-        found = feature_importance(part, classifier.fit(part), shuffles, seed + i * shuffles)
-        return cut(found.select(F.lit(i).alias("iteration"), "k", "importance"))
+        def one(i: int) -> DataFrame:
+            part = cut(undersample(drawn_rows(rows, draws, i), seed + i) if downsample else drawn_rows(rows, draws, i))
+            found = feature_importance(part, classifier.fit(part), shuffles, seed + i * shuffles)
+            return cut(found.select(F.lit(i).alias("iteration"), "k", "importance"))
 
-    with ThreadPool(THREADS) as pool:
-        found = pool.map(one, range(iterations), chunksize=1)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
+        with ThreadPool(THREADS) as pool:
+            found = pool.map(one, range(iterations), chunksize=1)
+        out = found[0]
+        for f in found[1:]:
+            out = out.unionByName(f)
     whole, by = Window.partitionBy("iteration"), Window.partitionBy("iteration").orderBy(F.desc("importance"))
     top = F.nullif(F.max("importance").over(whole), F.lit(0.0))
     tied = F.count("*").over(Window.partitionBy("iteration", "importance"))
     return out.select("iteration", "k", (F.col("importance") / F.coalesce(top, F.lit(1.0))).alias("importance"), (F.rank().over(by) + (tied - 1) / 2).alias("rank"))
 
 
+def _importance_by_weights(rows: DataFrame, draws: DataFrame, iterations: int, downsample: bool, shuffles: int, seed: int, classifier: Estimator) -> DataFrame:
+    """(iteration, k, importance) of all resamples."""
+    spark, draws = rows.sparkSession, named_draws(draws)
+    draws = cut(even_draws(draws, seed) if downsample else draws)
+    counts = draws.groupBy("sample", F.col("iteration").alias("at")).agg(F.count("*").cast("double").alias("w")).withColumn("t", F.lit(0.0))
+    weighed = weightings(rows, counts, iterations, base_weight(classifier)).cache()
+    models = many.fit_many(weighed, [many.fit_of(classifier, i) for i in range(iterations)])[:, :-1]
+    weighed.unpersist()
+    w = spark.createDataFrame([(i, k, float(x)) for i, m in enumerate(models) for k, x in enumerate(m)], "iteration int, k int, w double")
+    long = draws.select("iteration", "sample", "name").join(long_rows(rows), "sample").select("iteration", F.col("name").alias("sample"), "k", "x")
+    moved = long.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(shuffles - 1))))
+    each = Window.partitionBy("iteration", "turn", "k")
+    u = uniform("k", "sample", seed=F.lit(seed) + F.col("iteration") * shuffles + F.col("turn"), salt="shuffle")
+    dealt = F.array_sort(F.collect_list(F.struct(u.alias("u"), "x")).over(each))
+    moved = moved.select("iteration", "k", "sample", (F.col("x") - F.element_at(dealt, F.row_number().over(each.orderBy("sample")))["x"]).alias("d"))
+    local = moved.groupBy("iteration", "k", "sample").agg(F.avg("d").alias("d")).join(sized_weights(w), ["iteration", "k"])
+    return local.groupBy("iteration", "k").agg(F.avg(F.abs(F.col("d") * F.col("w"))).alias("importance"))
+
+
 def summarise(importance: DataFrame) -> DataFrame:
     """Mean, median and deviation (by n - 1) of each feature's importance and rank."""
     return importance.groupBy("k").agg(*[f(c).alias(n + c.capitalize()) for c in ("importance", "rank") for n, f in (("Mean", F.avg), ("Median", F.median), ("Stdev", F.stddev_samp))])
@@ -300,38 +406,79 @@ def strength(model: Model, rows: DataFrame, seed: int) -> np.ndarray:
     return found["importance"].to_numpy()
 
 
-def bootstrap_rfe(rows: DataFrame, iterations: int = 10, min_features: int = 1, step: int = 1, seed: int = 0, classifier: Estimator | None = None) -> DataFrame:
-    """(iteration, k, rank, n_features, score): in each resample the least important features go, `step` at a time; a
-    feature's rank is the number of features left when it went, score the accuracy on samples that weren't drawn."""
+def _levels(width: int, min_features: int, step: int) -> list[int]:
+    """How many features are left at each level of the elimination."""
+    out = [width]
+    while out[-1] > min_features:
+        out.append(max(out[-1] - step, min_features))
+    return out
+
+
+def bootstrap_rfe(rows: DataFrame, iterations: int = 10, min_features: int = 1, step: int = 1, seed: int = 0, classifier: Estimator | None = None, downsample_rate: float = 1.0, replace: bool = True, scoring: str = "accuracy", k_folds: int = 3) -> DataFrame:
+    """(iteration, k, rank, n_features, score): in each resample (of `downsample_rate` times the samples, with or without
+    replacement) the least important features go, `step` at a time; a feature's rank is the number of features left when
+    it went. score is the mean over k_folds folds of the resample's draws with the features that were left then.
+
+    Resamples of logistic regressions are weights: a level's models are fitted together, and those of all folds."""
+    many.scorer(scoring)
     rows, classifier = cut(rows), checked(classifier or plain_classifier())
-    draws = cut(bootstrap_resample(rows, iterations, seed))
+    draws = named_draws(bootstrap_resample(rows, iterations, seed, downsample_rate, replace))
+    order = Window.partitionBy("iteration", "label").orderBy(uniform("name", seed=F.col("iteration") + seed, salt="rfe"), "name")
+    draws = cut(draws.withColumn("fold", F.pmod(F.row_number().over(order) - 1, F.lit(k_folds))))
     first = rows.select(F.size(vector_to_array("features")).alias("n")).first()
-    width = first["n"] if first else 0
-
-    def one(i: int) -> DataFrame:
-        part = cut(drawn_rows(rows, draws, i))
-        apart = rows.join(draws.where(F.col("iteration") == i).select("sample").distinct(), "sample", "left_anti")
-        rest, live, out = cut(apart), np.arange(width), []
-        rest = part if rest.isEmpty() else rest
-        while len(live):
-            slicer = VectorSlicer(inputCol="__all", outputCol="features", indices=live.tolist())
-            slim = lambda df: slicer.transform(df.withColumnRenamed("features", "__all"))  # noqa: B023, E731
-            model = classifier.fit(slim(part))
-            right = model.transform(slim(rest)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-            last = len(live) <= min_features
-            go = live if last else live[np.lexsort((live, strength(model, slim(part), seed)))[: min(step, len(live) - min_features)]]
-            out += [(i, int(k), float(min_features if last else len(live)), len(live), float(right)) for k in go]
-            if last:
-                break
-            live = np.setdiff1d(live, go)
-        return rows.sparkSession.createDataFrame(out, "iteration int, k int, rank double, n_features int, score double")
+    levels = _levels(first["n"] if first else 0, min_features, step)
+    joint = many.fit_of(classifier, 0) is not None and rows.select("label").distinct().count() == 2
+    left, scores = (_eliminated_jointly if joint else _eliminated_singly)(rows, draws, iterations, levels, classifier, scoring, k_folds, seed)
+    out = []
+    for i in range(iterations):
+        for k, (n, live) in enumerate(zip(levels, left[i], strict=True)):
+            gone = np.setdiff1d(live, left[i][k + 1]) if k + 1 < len(levels) else live
+            value = float(np.nanmean(scores[i][k])) if not np.isnan(scores[i][k]).all() else None
+            out += [(i, int(f), float(n), int(n), value) for f in gone]
+    return rows.sparkSession.createDataFrame(out, "iteration int, k int, rank double, n_features int, score double")
+
+
+def _eliminated_jointly(rows, draws, iterations, levels, classifier, scoring, k_folds, seed):
+    """(each iteration's features at each level, the scores of their folds)."""
+    one = lambda c: F.sum(c.cast("double"))
+    whole = draws.groupBy("sample", F.col("iteration").alias("at")).agg(one(F.lit(1)).alias("w")).withColumn("t", F.lit(0.0))
+    apart = draws.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(k_folds - 1))))
+    apart = apart.groupBy("sample", (F.col("iteration") * k_folds + F.col("f")).alias("at")).agg(one(F.col("fold") != F.col("f")).alias("w"), one(F.col("fold") == F.col("f")).alias("t"))
+    weighed = weightings(rows, whole, iterations, base_weight(classifier)).cache()
+    left = [[np.arange(levels[0])] for _ in range(iterations)]
+    for n in levels[1:]:
+        models = many.fit_many(weighed, [many.fit_of(classifier, i, tuple(x[-1])) for i, x in enumerate(left)])
+        for i, x in enumerate(left):
+            order = np.lexsort((x[-1], np.abs(models[i, x[-1]])))
+            x.append(np.sort(x[-1][order[len(x[-1]) - n :]]))
+    weighed.unpersist()
+    parts = weightings(rows, apart, iterations * k_folds, base_weight(classifier)).cache()
+    fits = [many.fit_of(classifier, i * k_folds + f, tuple(live)) for i, x in enumerate(left) for live in x for f in range(k_folds)]
+    scores = many.score_many(parts, fits, scoring).reshape(iterations, len(levels), k_folds)
+    parts.unpersist()
+    return left, scores
+
+
+def _eliminated_singly(rows, draws, iterations, levels, classifier, scoring, k_folds, seed):
+    """As _eliminated_jointly, with a model at a time."""
+
+    def one(i: int):
+        part = cut(rows.join(draws.where(F.col("iteration") == i).select("sample", "name", "fold"), "sample").drop("sample").withColumnRenamed("name", "sample"))
+        left = [np.arange(levels[0])]
+        for n in levels[1:]:
+            slim = sliced(part, left[-1])
+            order = np.lexsort((left[-1], strength(classifier.fit(slim), slim, seed)))
+            left.append(np.sort(left[-1][order[len(left[-1]) - n :]]))
+        scores = []
+        for live in left:
+            slim = sliced(part, live)
+            found = [score_of(classifier.fit(slim.where(F.col("fold") != f)), slim.where(F.col("fold") == f), scoring) for f in range(k_folds)]
+            scores.append([np.nan if x is None else x for x in found])
+        return left, scores
 
     with ThreadPool(THREADS) as pool:
         found = pool.map(one, range(iterations), chunksize=1)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    return [x for x, _ in found], np.array([y for _, y in found], float)
 
 
 def rfe_scores(rfe: DataFrame) -> DataFrame:
@@ -346,14 +493,13 @@ def rfe_ranks(rfe: DataFrame) -> DataFrame:
     return out.withColumn("adjusted_rank", F.col("median_rank") + F.coalesce("sd_rank", F.lit(0.0)))
 
 
-def rfe_evaluate(rows: DataFrame, ranks: DataFrame, cutoffs: list[float], classifier: Estimator | None = None, k: int = 3) -> list[tuple[float, int, float]]:
-    """(cutoff, features, accuracy) of the features with an adjusted rank up to each cutoff."""
-    out, ranks = [], cut(ranks)
-    for c in cutoffs:
-        keep = ranks.where(F.col("adjusted_rank") <= c)
-        if n := keep.count():
-            out.append((c, n, float(np.mean(cross_scores(classifier or plain_classifier(), kept_features(rows, keep), k)))))
-    return out
+def rfe_evaluate(rows: DataFrame, ranks: DataFrame, cutoffs: list[float], classifier: Estimator | None = None, k: int = 3, scoring: str = "accuracy") -> list[tuple[float, int, float]]:
+    """(cutoff, features, score) of the features with an adjusted rank up to each cutoff, all cutoffs together."""
+    kept = ranks.select("k", "adjusted_rank").toPandas()  # a number a feature
+    sets = [(c, tuple(sorted(int(x) for x in kept["k"][kept["adjusted_rank"] <= c]))) for c in cutoffs]
+    sets = [(c, s) for c, s in sets if s]
+    scores = cross_many([classifier or plain_classifier()] * len(sets), rows, k, scoring=scoring, features=[s for _, s in sets])
+    return [(c, len(s), float(np.mean(x))) for (c, s), x in zip(sets, scores, strict=True)]
 
 
 @dataclass
@@ -368,21 +514,25 @@ def _draw(grid: dict[str, list], seed: int, n: int) -> list[dict]:
     return [{k: v[int(rng.integers(len(v)))] for k, v in sorted(grid.items())} for _ in range(n)]
 
 
-def _score(rows: DataFrame, make: Callable[..., Estimator], params: dict, k: int, seed: int) -> float:
-    return float(np.mean(cross_scores(make(**params), rows, k, seed)))
+def _scores(rows: DataFrame, make: Callable[..., Estimator], people: list[dict], k: int, seed: int, scoring: str) -> list[tuple[float, dict]]:
+    """Each candidate's mean score over the folds; candidates that are equal are fitted once."""
+    keys = [tuple(sorted(p.items())) for p in people]
+    once = list(dict.fromkeys(keys))
+    found = dict(zip(once, cross_many([make(**dict(p)) for p in once], rows, k, seed, scoring), strict=True))
+    return [(float(np.mean(found[key])), p) for key, p in zip(keys, people, strict=True)]
 
 
-def search_random(rows: DataFrame, make: Callable[..., Estimator], grid: dict[str, list], n_iter: int = 30, k: int = 3, seed: int = 0) -> SearchResult:
-    found = [(_score(rows, make, p, k, seed), p) for p in _draw(grid, seed, n_iter)]
+def search_random(rows: DataFrame, make: Callable[..., Estimator], grid: dict[str, list], n_iter: int = 30, k: int = 3, seed: int = 0, scoring: str = "accuracy") -> SearchResult:
+    found = _scores(rows, make, _draw(grid, seed, n_iter), k, seed, scoring)
     best = max(found, key=lambda x: x[0])
     return SearchResult(best[1], best[0], [found])
 
 
-def search_genetic(rows: DataFrame, make: Callable[..., Estimator], grid: dict[str, list], generations: int = 3, population: int = 6, survivors: int = 2, k: int = 3, seed: int = 0, compat: bool = False) -> SearchResult:
+def search_genetic(rows: DataFrame, make: Callable[..., Estimator], grid: dict[str, list], generations: int = 3, population: int = 6, survivors: int = 2, k: int = 3, seed: int = 0, compat: bool = False, scoring: str = "accuracy") -> SearchResult:
     """Each generation keeps its best and draws the rest anew. The best of all generations wins; with compat, of the first."""
     people, history = _draw(grid, seed, population), []
     for g in range(generations):
-        scored = sorted(((_score(rows, make, p, k, seed), p) for p in people), key=lambda x: -x[0])
+        scored = sorted(_scores(rows, make, people, k, seed, scoring), key=lambda x: -x[0])
         history.append(scored)
         people = [p for _, p in scored[:survivors]] + _draw(grid, seed + g + 1, population - survivors)
     best = max(history[0] if compat else [x for h in history for x in h], key=lambda x: x[0])
