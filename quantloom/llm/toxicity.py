@@ -12,11 +12,12 @@ is rare in a class is smoothed towards what is known of it in both. Of continuat
 more the discounts d come from counts of counts; a pair's discount is one, so a pair seen once in a class speaks
 through its words only. All l are the mass that the discounts leave. The border of a text is a word of its own.
 
-A text's evidence is what its length-normalised toxic log-likelihood exceeds the ordinary one by: of its one, two and
-three most toxic different words, of its most toxic counted pair, and of the whole text. Each is a mean over the words
-that it covers, so nothing depends on the text's length, and no word can hide another. A logistic curve with weights
-that aren't negative, fitted on labelled rows that the counts don't include, makes a probability of them. Nothing but
-the text is read.
+A text's evidence is what its length-normalised toxic log-likelihood exceeds the ordinary one by: of the whole text, and
+of parts of it that a long text would hide, its one, two and three most toxic different words and its most toxic counted
+pair. Each is a mean over the words that it covers, so nothing depends on the text's length, and no word can hide another.
+A logistic curve, fitted on labelled rows that the counts don't include, makes a probability of them; each evidence has a
+weight of LEAST or more, so the score grows with every one, that of the whole text among them. Nothing but the text is
+read. Where the rows for the curve are of one class only, or there are none, the curve is a fixed one.
 
 The HOT most frequent entries of the model are broadcast. Where there are more, the words and pairs of texts that the
 broadcast part hasn't, and that a Bloom filter of BITS bits doesn't rule out, are joined with the rest. HOT and BITS
@@ -42,6 +43,8 @@ from pyspark.sql import functions as F
 from .common import WORDS, columns_of, cut, fold, free_names, if_small, mix64
 
 THRESHOLD, FIT, CURVE, WORST = 0.3, 50_000, 4, 3
+#: The least weights of the evidences: a text's likelihood ratio by the word counts for no less than it says.
+LEAST = (1.0, 0.5, 0.25, 0.1, 1.0)
 HOT, BITS, PROBES = 1 << 21, 1 << 26, 3
 #: The word that stands for a text's border, and how many distinct words a task remembers.
 BORDER, CACHE = np.uint64(0), 200_000
@@ -155,7 +158,7 @@ def build(train: DataFrame) -> tuple[DataFrame, float, float] | None:
     edge = F.lit(int(BORDER))
     inside = F.when((F.col("v") != edge) & (F.col("w") != edge), (F.col("sv") + F.col("b")) / 2)  # a border is no word to be toxic
     of_pairs = after.select(key(F.col("v"), F.col("w")).alias("key"), inside.alias("top"), (F.col("b") - F.col("gv") - F.col("s")).alias("more"), (F.col("n_t") + F.col("n_o")).alias("n"), F.lit(True).alias("pair"))
-    of_words = words.where(F.col("w") != edge).select(F.col("w").alias("key"), F.col("s").alias("top"), (F.col("s") + F.col("g") - F.lit(unknown)).alias("more"), F.col("ns").alias("n"), F.lit(False).alias("pair"))
+    of_words = words.where(F.col("w") != edge).select(F.col("w").alias("key"), F.col("s").alias("top"), (F.col("s") + F.col("g") - F.lit(unknown)).alias("more"), (F.col("t") + F.col("o")).alias("n"), F.lit(False).alias("pair"))
     return cut(of_words.unionByName(of_pairs)), unknown, float(first)
 
 
@@ -167,7 +170,7 @@ class Known:
         order = np.argsort(key)
         # a sentinel, so that there is always one
         self.key = np.append(key[order], np.iinfo(np.int64).max)
-        self.top, self.more = [np.append(np.nan_to_num(part[c].to_numpy(zero_copy_only=False)[order], nan=-np.inf), 0.0).astype(np.float32) for c in ("top", "more")]
+        self.top, self.more = [np.append(np.nan_to_num(part[c].to_numpy(zero_copy_only=False)[order], nan=-np.inf), 0.0) for c in ("top", "more")]
         self.rest = rest
 
     def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -277,23 +280,26 @@ def measure(docs: DataFrame, model: DataFrame, unknown: float, first: float, hot
     return seen.select(*[F.col(f"`{c}`") for c in keep], F.array(*map(mean, range(1, WORST + 1)), F.greatest(F.col("_p") - F.lit(unknown), F.lit(0.0)), whole).alias("x"))
 
 
-def curve(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-    """Weights of x's columns, none of them negative, and the offset of a logistic curve, by Newton's method."""
-    on = list(range(x.shape[1]))
+def curve(x: np.ndarray, y: np.ndarray, least: tuple[float, ...] = LEAST, ridge: float = 0.1) -> np.ndarray:
+    """Weights of x's columns, none of them under its least one, and the offset of a logistic curve, by Newton's method."""
+    low = np.array(least[: x.shape[1]])
+    on = np.ones(len(low), bool)  # the weights that aren't held at their least
     while True:
-        a = np.concatenate([x[:, on], np.ones((len(x), 1))], 1)
-        c, hold = np.zeros(len(on) + 1), np.array([ridge] * len(on) + [1e-3])
-        for _ in range(60):
-            p = 1 / (1 + np.exp(-np.clip(a @ c, -30, 30)))
-            step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(hold), a.T @ (y - p) - hold * c)
-            c = c + step
+        a, held = np.concatenate([x[:, on], np.ones((len(x), 1))], 1), x[:, ~on] @ low[~on]
+        mid = np.append(low[on], 0.0)
+        c, pull = np.append(low[on], -4.0), np.append(np.full(on.sum(), ridge), 1e-3)
+        for _ in range(100):
+            p = 1 / (1 + np.exp(-np.clip(a @ c + held, -30, 30)))
+            step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(pull), a.T @ (y - p) - pull * (c - mid))
+            c = c + step * min(1.0, 2 / max(np.abs(step).max(), 1e-300))
             if np.abs(step).max() < 1e-9:
                 break
-        if not on or (worst := int(np.argmin(c[:-1]))) < 0 or c[worst] >= 0:
-            out = np.zeros(x.shape[1] + 1)
-            out[[*on, -1]] = c
+        under = c[:-1] - low[on]
+        if not on.any() or under.min() >= 0:
+            out = np.append(low, c[-1])
+            out[:-1][on] = c[:-1]
             return out
-        del on[worst]
+        on[np.flatnonzero(on)[np.argmin(under)]] = False
 
 
 def key_of(text: F.Column) -> tuple[F.Column, F.Column]:
@@ -325,7 +331,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     known = seen.where(labelled & for_curve).join(given, "id").orderBy(F.xxhash64("id"), "id").limit(FIT).select("y", "x").toPandas()
     y, n = known["y"].to_numpy(float), WORST + 2
     # for too few labels a curve in which weak evidence of a word already counts
-    c = curve(np.stack(known["x"].to_list()), y) if 0 < y.sum() < len(y) else np.array([2.0, *[0.0] * (n - 1), -4.0])
+    c = curve(np.stack(known["x"].to_list()), y) if 0 < y.sum() < len(y) else np.array([2.0, *LEAST[1:], -4.0])
     z = sum((F.col("x")[k] * float(c[k]) for k in range(n)), F.lit(float(c[n])))
     return seen.select("id", "a", "b", (F.lit(1.0) / (F.lit(1.0) + F.exp(-z))).alias("score"))
 

@@ -296,3 +296,17 @@ def test_runs_of_spaces_are_pieces():
         assert [lat.decode(x) for x in found] == texts
         assert all(runs & set(x.tolist()) for x in found[20:39])
     assert len({tuple(x.tolist()) for x in lat.encode(["if  x:" + " " * 16 + "y"] * 50, list(range(50)))}) > 5
+
+
+def test_every_evidence_keeps_its_least_weight():
+    """Though the whole text's evidence falls where the others rise, the score grows with it."""
+    import numpy as np
+    from quantloom.llm.toxicity import LEAST
+
+    rng = np.random.default_rng(4)
+    y = (rng.random(400) < 0.2).astype(float)
+    x = np.abs(rng.normal(size=(400, 5))) + y[:, None] * 2
+    x[:, 4] = rng.normal(size=400) * 0.1 - y
+    c = curve(x, y)
+    assert np.all(c[:-1] >= np.array(LEAST) - 1e-12) and c[4] == LEAST[4] and c[0] > LEAST[0]
+    assert np.all(curve(np.zeros((5, 5)), np.array([0, 1.0, 0, 0, 0]))[:-1] >= np.array(LEAST) - 1e-9)
