@@ -70,8 +70,11 @@ def phrase_counts(docs: DataFrame, max_n: int = 4, min_count: int = 30, text_col
     left, word = F.size("w") - F.col("i"), lambda k: F.get("w", F.col("i") + k)
 
     def counted(rows: DataFrame, phrase: F.Column, c: F.Column) -> DataFrame:
-        sums = rows.select("lang", phrase.alias("phrase"), c.cast("long").alias("c")).groupBy("lang", "phrase").agg(F.sum("c").alias("f"))
-        return cut(sums.where((F.col("f") >= min_count) | (F.col("phrase") == "")))
+        # one column is the key, as narrow rows are what this costs; no phrase holds a line end
+        sums = rows.select(F.concat("lang", F.lit("\n"), phrase).alias("key"), c.cast("long").alias("c")).groupBy("key").agg(F.sum("c").alias("f"))
+        two = sums.select("key", F.substring_index("key", "\n", -1).alias("phrase"), "f")
+        two = two.select(F.left("key", F.length("key") - F.length("phrase") - 1).alias("lang"), "phrase", "f")
+        return cut(two.where((F.col("f") >= min_count) | (F.col("phrase") == "")))
 
     # a piece's first row stands for its words' number: no word is empty
     first = whole.select("lang", F.size("w").alias("n"), F.explode(F.concat(F.array(F.lit("")), "w")).alias("phrase"))
