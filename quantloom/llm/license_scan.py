@@ -15,6 +15,8 @@ columns aren't read.
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,6 +45,10 @@ NOTICES = {
 SPAN = "array<struct<label:string,first_word:long,last_word:long,edits:int,matched:string>>"
 
 
+def blanks_of(line: str) -> list[int]:
+    return [m.start() for m in re.finditer(" ", line)]
+
+
 def budget(notice: str) -> int:
     return len(notice) // 10
 
@@ -53,6 +59,21 @@ def pieces(text: str, errors: int) -> list[tuple[int, str]]:
     return [(a, text[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+class Apart:
+    """Intervals that don't overlap, in order, with what they stand for."""
+
+    def __init__(self):
+        self.starts, self.ends, self.what = [], [], []
+
+    def add(self, a: int, b: int, x: tuple) -> None:
+        """Takes the interval from a to b if it overlaps none."""
+        k = bisect_left(self.starts, a)
+        if (k == 0 or self.ends[k - 1] < a) and (k == len(self.starts) or b < self.starts[k]):
+            self.starts.insert(k, a)
+            self.ends.insert(k, b)
+            self.what.insert(k, x)
+
+
 class Scanner:
     def __init__(self, base: dict[str, str], notices: dict[str, str]):
         import ahocorasick
@@ -68,19 +89,21 @@ class Scanner:
         self.automaton.make_automaton()
         self.patterns = [regex.compile(rf"(?b)(?<![^ ])(?:{regex.escape(n, special_only=True)}){{e<={budget(n)}}}(?![^ ])") for n, _ in self.notices]
 
-    def exact(self, line: str) -> list[tuple[int, int, str]]:
-        """(first word, last word, label) of each place of a base phrase; line has a space at either end."""
+    def exact(self, line: str, blanks: list[int]) -> list[tuple[int, int, str]]:
+        """(first word, last word, label) of each place of a base phrase; line has a space at either end, and blanks are
+        the places of its spaces."""
         out = []
         for phrase, label in self.base:
-            at = line.find(phrase)
+            at, size = line.find(phrase), phrase.count(" ") - 2
             while at >= 0:
-                first = line.count(" ", 0, at)
-                out.append((first, first + phrase.count(" ") - 2, label))
+                first = bisect_left(blanks, at)
+                out.append((first, first + size, label))
                 at = line.find(phrase, at + 1)
         return out
 
-    def fuzzy(self, line: str) -> list[tuple[str, int, int, int, str]]:
+    def fuzzy(self, line: str, blanks: list[int] | None = None) -> list[tuple[str, int, int, int, str]]:
         """(label, first word, last word, edits, matched text), without overlaps within a label."""
+        blanks = blanks_of(line) if blanks is None else blanks
         windows: dict[tuple[int, int], int] = {}
         for end, (size, where) in self.automaton.iter(line):
             for k, at in where:
@@ -99,14 +122,13 @@ class Scanner:
                 if line[s:e].strip():
                     found.append((k, s, e, sum(m.fuzzy_counts)))
                     reach = e - len(notice)
-        best: list[tuple[int, int, int, int]] = []
+        best: dict[str, Apart] = {}
         for x in sorted(set(found), key=lambda x: (self.notices[x[0]][1], x[3], x[1], x[2], x[0])):
-            if not any(self.notices[y[0]][1] == self.notices[x[0]][1] and y[1] < x[2] and x[1] < y[2] for y in best):
-                best.append(x)
+            best.setdefault(self.notices[x[0]][1], Apart()).add(x[1], x[2] - 1, x)
         out = []
-        for k, s, e, edits in sorted(best, key=lambda x: x[1]):
+        for k, s, e, edits in sorted((x for kept in best.values() for x in kept.what), key=lambda x: x[1]):
             t = line[s:e].strip()
-            first = line.count(" ", 0, s + len(line[s:e]) - len(line[s:e].lstrip())) - 1
+            first = bisect_left(blanks, s + len(line[s:e]) - len(line[s:e].lstrip())) - 1
             out.append((self.notices[k][1], first, first + t.count(" "), edits, t))
         return out
 
@@ -114,18 +136,22 @@ class Scanner:
     def settle(spans: list[tuple], base: list[tuple[int, int, str]]) -> list[tuple]:
         """The spans of fuzzy() that overlap neither a better one nor a better base phrase of another label."""
         rank = lambda s: (s[3], -len(s[4]), s[1], s[0])
-        taken, out = [(a, b, lab) for a, b, lab in base], []
+        taken, phrases = Apart(), {}
+        for a, b, label in sorted(base):
+            starts, ends = phrases.setdefault(label, ([], []))
+            starts.append(a)
+            ends.append(max(b, ends[-1] if ends else b))  # the furthest end so far
         for s in sorted(spans, key=rank):
-            if not any(a <= s[2] and s[1] <= b and (lab != s[0] or k >= len(base)) for k, (a, b, lab) in enumerate(taken)):
-                taken.append((s[1], s[2], s[0]))
-                out.append(s)
-        return sorted(out, key=lambda s: (s[1], s[2], s[0]))
+            if not any(label != s[0] and (k := bisect_right(starts, s[2])) and ends[k - 1] >= s[1] for label, (starts, ends) in phrases.items()):
+                taken.add(s[1], s[2], s)
+        return sorted(taken.what, key=lambda s: (s[1], s[2], s[0]))
 
     def scan(self, text: str | None) -> tuple:
         words = (text or "").encode().translate(WORDS).split()
         line = f" {b' '.join(words).decode()} "
-        base = self.exact(line)
-        spans = self.settle(self.fuzzy(line), base)
+        blanks = blanks_of(line)
+        base = self.exact(line, blanks)
+        spans = self.settle(self.fuzzy(line, blanks), base)
         labels = {lab for *_, lab in base}
         longest = {lab: max(len(n) for n, x in self.notices if x == lab) for _, lab in self.notices}
         score = 1.0 if base else max((1 - s[3] / longest[s[0]] for s in spans), default=0.0)

@@ -162,3 +162,19 @@ def test_license_query_matches_brute_force(spark):
         assert base <= own <= base | every and bool(own) == bool(base | every)
         found += bool(own)
     assert found == 3
+
+
+def test_notices_of_a_long_text_take_time_in_proportion():
+    import time
+
+    from quantloom.llm.license_scan import BASE, NOTICES, Scanner
+
+    scanner, took = Scanner(BASE, NOTICES), []
+    some = " ".join(NOTICES) + " under the mit license, cc by nc. "
+    for n in (40, 400):
+        text = (some.replace("software", "softwere") + "other words between them. ") * n
+        t = time.time()
+        out = scanner.scan(text)
+        took.append(time.time() - t)
+        assert out[1] == scanner.scan(some)[1] * n and len(out[7]) >= n
+    assert took[1] < 30 * took[0] + 1 and took[1] < 60, took
