@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.stats import t_pvalue
+from ..functions.stats import harmonic, t_pvalue
 from ..functions.storage import cut
 from .quantify import level_column
 
@@ -148,8 +148,7 @@ def correct_p(tests: DataFrame, method: str = "fdr_tsbh", p: str = "p", tie: str
         return _closed(ranked.withColumn("__own", x * (m - k + 1)), False, out, F.lit(1.0)).unionByName(none)
     own = x * m / k
     if method == "fdr_by":
-        harmonic = F.aggregate(F.sequence(F.lit(1), F.greatest(m, F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + F.lit(1.0) / i)
-        ranked = ranked.crossJoin(F.broadcast(total.select(harmonic.alias("__h"))))
+        ranked = ranked.crossJoin(F.broadcast(total.select(harmonic(m).alias("__h"))))
         return _closed(ranked.withColumn("__own", own * F.col("__h")), False, out, F.lit(1.0)).drop("__h").unionByName(none)
     bh = _closed(ranked.withColumn("__own", own), False, out, F.lit(1.0), keep="__m")
     if method in ("fdr_tsbh", "fdr_tsbky"):

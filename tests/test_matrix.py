@@ -491,3 +491,33 @@ def test_filters_and_dispatch(spark):
     for call in (lambda: m.filter(remove_n_zero_rows=True), lambda: m.scale("x"), lambda: m.quantify("x"), lambda: m.impute("x"), lambda: m.correct("x"), lambda: m.correct("mean", 9), lambda: m.compare((1, 2), method="x"), lambda: m.compare((1, 2), multiple_testing_correction_method="x"), lambda: annotate.select_genes(features)):
         with pytest.raises(ValueError):
             call()
+
+
+def test_probabilities_by_constant_work_keep_their_digits(spark):
+    """Against exact fractions, at small and at large numbers."""
+    from fractions import Fraction
+
+    from quantloom.functions.stats import harmonic, ln_binomial
+
+    cases = [(x, n, p) for n in (1, 2, 5, 15, 16, 17, 40, 300, 2000) for x in {0, 1, n // 3, n // 2, n - 1, n} for p in (0.01, 0.3, 0.5, 0.97) if 0 <= x <= n]
+    got = spark.createDataFrame(cases, "x long, n long, p double").select("*", ln_binomial(F.col("x"), F.col("n"), F.col("p")).alias("l")).collect()
+    for r in got:
+        f = Fraction(r["p"])
+        want = Fraction(math.comb(r["n"], r["x"])) * f ** r["x"] * (1 - f) ** (r["n"] - r["x"])
+        log = math.log(want.numerator) - math.log(want.denominator)
+        assert abs(r["l"] - log) < 1e-12 * max(1, abs(log)), r
+    rows = [(m, r["h"]) for m, r in ((r["m"], r) for r in spark.createDataFrame([(m,) for m in (0, 1, 2, 3, 7, 50, 100000)], "m long").select("m", harmonic(F.col("m")).alias("h")).collect())]
+    assert all(abs(h - math.fsum(1 / i for i in range(1, m + 1))) < 1e-13 for m, h in rows)
+    big = [(3, 10**9, 5, 10**6), (40, 10**6, 5000, 8000), (0, 50, 10, 7), (7, 50, 10, 7), (8, 50, 10, 7), (300, 10**5, 90_000, 400), (200, 10**5, 90_000, 400), (3, 8, 8, 3)]
+    got = spark.createDataFrame(big, "x long, n long, k long, d long").select("*", annotate.upper_tail(F.col("x"), F.col("n"), F.col("k"), F.col("d")).alias("p")).collect()
+    for r in got:
+        x, n, k, d = r["x"], r["n"], r["k"], r["d"]
+        low, t = max(0, k + d - n), Fraction(1)
+        terms = {low: Fraction(1)}
+        for j in range(low, min(k, d)):
+            t = t * (k - j) * (d - j) / ((j + 1) * (n - k - d + j + 1))
+            if j + 1 > low + 600 and t < Fraction(1, 10**60):
+                break
+            terms[j + 1] = t
+        want = sum(v for j, v in terms.items() if j >= x) / sum(terms.values())
+        assert abs(r["p"] - float(want)) <= 1e-10 * float(want), (tuple(r), float(want))
