@@ -531,6 +531,19 @@ def qvalue_distribution(spark, d):
     return out.select(F.round("score", 4).alias("score"), F.round(F.col("target") * 1e6, 6).alias("target"), F.round(F.col("decoy") * 1e6, 6).alias("decoy"), F.round("q_value", 6).alias("q_value"))
 
 
+@query("qvalue_scores", SCORES.replace("max(value) AS score", "log2(max(value)) AS score") + """, e AS (SELECT min(score) AS lo, max(score) AS hi, count(*) AS n, 2 * (quantile_cont(score, 0.75) - quantile_cont(score, 0.25)) / count(*) ^ (1.0::DOUBLE / 3) AS fd FROM sc),
+b AS (SELECT lo, hi, CAST(ceil((hi - lo) / CASE WHEN fd > 0 THEN least(fd, (hi - lo) / (log2(n) + 1)) ELSE (hi - lo) / (log2(n) + 1) END) AS BIGINT) AS bins FROM e),
+w AS (SELECT lo, hi, bins, (hi - lo) / bins AS w FROM b),
+h AS (SELECT least(CAST(floor((score - (lo + 0.5::DOUBLE * w)) / w) AS BIGINT), bins - 2) AS k, sum(Decoy)::DOUBLE AS d, sum(1 - Decoy)::DOUBLE AS t FROM sc, w WHERE score BETWEEN lo + 0.5::DOUBLE * w AND lo + (bins - 0.5::DOUBLE) * w GROUP BY 1),
+f AS (SELECT k.k, coalesce(t, 0) AS t, coalesce(d, 0) AS d FROM (SELECT unnest(range(bins - 1)) AS k FROM w) k LEFT JOIN h ON h.k = k.k),
+g AS (SELECT row_id, i, n, least(greatest((score + i * 0.1::DOUBLE - (lo + w)) / w, 0), bins - 2) AS u, bins FROM (SELECT row_id, score, lo, w, bins, CAST(ceil((hi - score) / 0.1::DOUBLE) AS BIGINT) AS n, unnest(range(CAST(ceil((hi - score) / 0.1::DOUBLE) AS BIGINT))) AS i FROM sc, w)),
+y AS (SELECT row_id, i, n, x.t + (u - floor(u)) * (z.t - x.t) AS t, x.d + (u - floor(u)) * (z.d - x.d) AS d FROM g JOIN f x ON x.k = CAST(floor(u) AS BIGINT) JOIN f z ON z.k = least(CAST(floor(u) AS BIGINT) + 1, bins - 2)),
+ar AS (SELECT row_id, 0.1::DOUBLE * sum(t * CASE WHEN i IN (0, n - 1) THEN 0.5::DOUBLE ELSE 1 END) AS t, 0.1::DOUBLE * sum(d * CASE WHEN i IN (0, n - 1) THEN 0.5::DOUBLE ELSE 1 END) * 0.4::DOUBLE AS d FROM y WHERE n > 1 GROUP BY 1)
+SELECT row_id, round(score, 6) AS score, round(CASE WHEN coalesce(t, 0) + coalesce(d, 0) = 0 THEN 0 ELSE d / (d + t) END, 6) AS q_value FROM sc LEFT JOIN ar USING (row_id)""")
+def qvalue_scores(spark, d):
+    return rounded(decoys.qvalue_of_scores(_scores(spark, d).withColumn("score", F.log2("score")), pit=0.4).select("row_id", "score", "q_value"))
+
+
 # -- comparison
 
 STATS = NORM + """, z AS (SELECT n.row_id, grp, sample, nullif(value, 0) AS v FROM norm n JOIN samples USING (sample)),
