@@ -28,6 +28,15 @@ def design(spark: SparkSession) -> DataFrame:
     )
 
 
+def supplier_design(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A design in which each supplier is a sample: its nation decides the group and the batch, its neighbour is its mate."""
+    k, name = F.col("s_suppkey"), lambda x: F.concat(F.lit("s"), F.lpad(x.cast("string"), 9, "0"))
+    return table(spark, sf_dir, "supplier").select(
+        name(k).alias("sample"), k.cast("int").alias("sample_ord"), (F.col("s_nationkey") % 2 + 1).cast("int").alias("group"), (F.col("s_nationkey") % 3 + 1).cast("int").alias("batch"),
+        name(k + F.when(k % 2 == 1, 1).otherwise(-1)).alias("pair"), F.floor("s_acctbal").cast("int").alias("age"), F.when(k % 2 == 0, "f").otherwise("m").alias("gender"),
+    )
+
+
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey")
     return table(spark, sf_dir, "part").select(

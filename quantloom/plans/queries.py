@@ -92,10 +92,20 @@ def scan_quant_tsv(spark, d):
     return rounded(cells.where("value IS NOT NULL").join(feats.select("row_id", "PeptideSequence", "Protein"), "row_id").drop("row_id"))
 
 
-@query("scan_design_tsv", ' SELECT sample, sample_ord, grp AS "group", batch, pair, age, gender FROM samples')
+SUPPLIERS = """WITH sup AS (SELECT 's' || lpad(CAST(s_suppkey AS VARCHAR), 9, '0') AS sample, CAST(s_suppkey AS INTEGER) AS sample_ord, CAST(s_nationkey % 2 + 1 AS INTEGER) AS "group", CAST(s_nationkey % 3 + 1 AS INTEGER) AS batch,
+  's' || lpad(CAST(s_suppkey + CASE WHEN s_suppkey % 2 = 1 THEN 1 ELSE -1 END AS VARCHAR), 9, '0') AS pair, CAST(floor(s_acctbal) AS INTEGER) AS age, CASE WHEN s_suppkey % 2 = 0 THEN 'f' ELSE 'm' END AS gender FROM supplier)"""
+
+
+def _suppliers(spark, d):
+    """A matrix whose samples are the suppliers."""
+    x = m(spark, d)
+    return type(x)(x.cells, x.features, fx.supplier_design(spark, d))
+
+
+@query("scan_design_tsv", SUPPLIERS + " SELECT * FROM sup", "")
 def scan_design_tsv(spark, d):
     path = _folder(spark)
-    design = fx.design(spark)
+    design = fx.supplier_design(spark, d)
     tables.write_tsv(design.toDF(*[c.capitalize() for c in design.columns]), path)
     return tables.scan_design_tsv(spark, path)
 
@@ -196,11 +206,18 @@ def diann_zero_null(spark, d):
     return diann.scan_diann(fx.report(spark, d), 0.05).select("sample", "PrecursorId", "value")
 
 
+def _fasta(spark, d, key: F.Column, name: F.Column, plain: F.Column) -> DataFrame:
+    """The names of a packed FASTA file of the parts: an entry each, in the order of their keys."""
+    path = _folder(spark)
+    head = F.when(plain, F.concat(F.lit(">"), key)).otherwise(F.concat(F.lit(">sp|"), key, F.lit("|"), name, F.lit(" description")))
+    entries = fx.table(spark, d, "part").select("p_partkey", F.concat(head, F.lit("\nPEPTIDE\nSEQUENCE")).alias("value"))
+    entries.orderBy("p_partkey").select("value").write.text(path, compression="gzip")
+    return tables.read_fasta(spark, path)
+
+
 @query("scan_fasta", "SELECT CAST(p_partkey AS VARCHAR) AS accession, CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey AS VARCHAR) ELSE p_brand END AS name FROM part", "")
 def scan_fasta(spark, d):
-    part, key = fx.table(spark, d, "part"), F.col("p_partkey").cast("string")
-    head = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(">"), key)).otherwise(F.concat(F.lit(">sp|"), key, F.lit("|"), "p_brand", F.lit(" description")))
-    return tables.fasta_names(part.select(head.alias("value")).unionByName(part.select(F.lit("PEPTIDE").alias("value"))))
+    return _fasta(spark, d, F.col("p_partkey").cast("string"), F.col("p_brand"), F.col("p_partkey") % 3 == 0)
 
 
 def _mapping(spark, d):
@@ -217,11 +234,18 @@ def gene_map(spark, d):
 
 
 @query("annotate", MAPPING + " SELECT row_id, Protein, coalesce(name, Protein) AS Gene FROM features LEFT JOIN mapping ON Protein = accession")
-@query("protein_label", MAPPING + " SELECT row_id, Protein, coalesce(name, Protein) AS Gene FROM features LEFT JOIN mapping ON Protein = accession")
 def annotate_(spark, d):
     return annotate.annotate(fx.features(spark, d), _mapping(spark, d)).select("row_id", "Protein", "Gene")
 
 
+@query("protein_label", ", last AS (SELECT p_brand || '/' || p_type AS accession, arg_max(p_name, p_partkey) AS name FROM part WHERE p_size <= 25 GROUP BY 1) SELECT row_id, Protein, coalesce(name, Protein) AS ProteinLabel FROM features LEFT JOIN last ON Protein = accession")
+def protein_label(spark, d):
+    """Labels from a FASTA file in which accessions come again: the last entry of one counts."""
+    names = _fasta(spark, d, F.when(F.col("p_size") <= 25, F.concat("p_brand", F.lit("/"), "p_type")).otherwise("none"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit(False))
+    named = names.withColumn("name", F.replace("name", F.lit("_"), F.lit(" ")))
+    return annotate.annotate(fx.features(spark, d), named, "Protein", "ProteinLabel").select("row_id", "Protein", "ProteinLabel")
+
+
 @query("geneset_library", "SELECT 'brands' AS library, p_brand AS term, CAST(p_partkey AS VARCHAR) AS gene FROM part UNION ALL SELECT 'brands', 'size' || p_size, CAST(p_partkey AS VARCHAR) FROM part", "")
 def geneset_library(spark, d):
     sets = fx.gene_sets(spark, d)
@@ -285,26 +309,26 @@ def protein_labels(spark, d):
     return fx.features(spark, d).select("row_id", "Protein")
 
 
-@query("sample_groups", ' SELECT sample, grp AS "group" FROM samples')
+@query("sample_groups", SUPPLIERS + ' SELECT sample, "group" FROM sup', "")
 def sample_groups(spark, d):
-    return fx.design(spark).select("sample", "group")
+    return _suppliers(spark, d).samples.select("sample", "group")
 
 
-@query("get_samples", " SELECT sample FROM samples WHERE grp = 2")
+@query("get_samples", SUPPLIERS + ' SELECT sample FROM sup WHERE "group" = 2', "")
 def get_samples(spark, d):
-    return spark.createDataFrame([(s,) for s in m(spark, d).get_samples(2)], "sample string")
+    return spark.createDataFrame([(s,) for s in _suppliers(spark, d).get_samples(2)], "sample string")
 
 
-@query("get_pairs", " SELECT sample, pair FROM samples WHERE grp = 1")
+@query("get_pairs", SUPPLIERS + ' SELECT sample, pair FROM sup WHERE "group" = 1', "")
 def get_pairs(spark, d):
-    x = m(spark, d)
+    x = _suppliers(spark, d)
     own = x.get_samples(1)
     return spark.createDataFrame(list(zip(own, x.get_pairs(own), strict=True)), "sample string, pair string")
 
 
-@query("get_batches", " SELECT sample, batch FROM samples")
+@query("get_batches", SUPPLIERS + " SELECT sample, batch FROM sup", "")
 def get_batches(spark, d):
-    x = m(spark, d)
+    x = _suppliers(spark, d)
     return spark.createDataFrame(list(zip(x.get_samples(), x.get_batches(), strict=True)), "sample string, batch int")
 
 
@@ -451,10 +475,14 @@ for _name in ("lfq_graph", "maxlfq", "lfq_solve"):
     SQL[_name] = SQL[_name].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-@query("lfq_single", " SELECT Protein AS key, sample, round(median(log2(value)), 6) AS value FROM cells JOIN features USING (row_id) WHERE sample = 's03' GROUP BY 1, 2")
+@query("lfq_single", " SELECT Protein || '@' || sample AS key, sample, round(median(log2(value)), 6) AS value FROM cells JOIN features USING (row_id) GROUP BY 1, 2")
 def lfq_single(spark, d):
+    """Each protein of each sample is a key of its own, which has that sample only."""
     cells, x = _logs(spark, d)
-    return rounded(quantify.maxlfq(cells.where("sample = 's03'"), x.features, x.samples))
+    one = cells.join(x.features.select("row_id", "Protein"), "row_id").withColumn("Protein", F.concat_ws("@", "Protein", "sample"))
+    place = F.substring("sample", 2, 2).cast("long")
+    one = one.select((F.col("row_id") * 100 + place).alias("row_id"), "sample", "value", "Protein")
+    return rounded(quantify.maxlfq(one.select("row_id", "sample", "value"), one.select("row_id", "Protein"), x.samples))
 
 
 @query("lfq_annotate", " SELECT Charge, min(row_id) AS row_id, arg_min(Protein, row_id) AS Protein FROM features GROUP BY 1")

@@ -62,15 +62,20 @@ def write_tsv(wide: DataFrame, path: str) -> None:
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
-    """(accession, name) of each entry: of `db|accession|name` its parts, else the first word twice. Plain or .gz."""
-    return fasta_names(spark.read.text(path))
+    """(accession, name) of each entry: of `db|accession|name` its parts, else the first word twice. Plain or .gz. Of
+    entries of one accession the last counts, files in the order of their names."""
+    lines = spark.read.text(path)
+    return fasta_names(lines.select("value", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("i")).alias("at")))
 
 
 def fasta_names(lines: DataFrame) -> DataFrame:
+    """As read_fasta, of lines (value, and `at`, by which they are in order)."""
     word = F.split(F.substring_index(F.substring("value", 2, 1 << 30), " ", 1), "\\|")
-    heads = lines.where(F.col("value").startswith(">")).select(word.alias("w"))
+    at = F.col("at") if "at" in lines.columns else F.monotonically_increasing_id()
+    heads = lines.where(F.col("value").startswith(">")).select(word.alias("w"), at.alias("at"))
     parts = F.size("w") >= 3
-    return heads.select(F.when(parts, F.col("w")[1]).otherwise(F.col("w")[0]).alias("accession"), F.when(parts, F.col("w")[2]).otherwise(F.col("w")[0]).alias("name")).dropDuplicates(["accession"])
+    named = heads.select(F.when(parts, F.col("w")[1]).otherwise(F.col("w")[0]).alias("accession"), F.when(parts, F.col("w")[2]).otherwise(F.col("w")[0]).alias("name"), "at")
+    return named.groupBy("accession").agg(F.max_by("name", "at").alias("name"))
 
 
 def read_gmt(spark: SparkSession, path: str, library: str) -> DataFrame:
