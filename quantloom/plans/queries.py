@@ -5,6 +5,7 @@ Numbers are rounded to DIGITS decimals on either side, since sums are added up i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.ml.classification import LogisticRegression
@@ -643,7 +644,17 @@ query("de_multitest_holm", BH + " SELECT row_id, round(least(max(p * (m - k + 1)
 query("de_multitest_bonferroni", BH + " SELECT row_id, round(least(p * m, 1.0::DOUBLE), 6) AS corrected FROM rk")(lambda spark, d: rounded(_corrected(spark, d, "bonferroni").select("row_id", "corrected")))
 query("de_neglog10", TSBH + f" SELECT row_id, round(-log10(greatest(c, {LEAST})), 5) AS neglog10 FROM ts")(lambda spark, d: rounded(_corrected(spark, d).select("row_id", (-F.log10(F.greatest("corrected", F.lit(LEAST)))).alias("neglog10")), 5))
 _GROUPS = ["Group1Mean", "Group1Stdev", "Group1RepCounts", "Group2Mean", "Group2Stdev", "Group2RepCounts"]
-query("compare", TSBH + ' SELECT row_id, round(tests.log2_fc, 6) AS "Log2FoldChange1-2", round(tests.p, 6) AS "PValue1-2", round(c, 6) AS "CorrectedPValue1-2", round(mean_a, 6) AS Group1Mean, round(sd_a, 6) AS Group1Stdev, n_a AS Group1RepCounts, round(mean_b, 6) AS Group2Mean, round(sd_b, 6) AS Group2Stdev, n_b AS Group2RepCounts FROM tests JOIN ts USING (row_id) JOIN gs USING (row_id)')(lambda spark, d: rounded((z := norm(spark, d))[1].__class__(z[0], z[1].features, z[1].samples).compare((1, 2)).features.where("`PValue1-2` IS NOT NULL").select("row_id", "Log2FoldChange1-2", "PValue1-2", "CorrectedPValue1-2", *_GROUPS)))
+
+
+@query("compare", TSBH + f""", mx AS (SELECT max(-ln(p)) AS a, max(abs(log2_fc)) AS b FROM tests WHERE p > 0)
+SELECT row_id, round(sqrt((-ln(tests.p) / a) ** 2 + (tests.log2_fc / b) ** 2), 4) AS "DEScore1-2", round(tests.log2_fc, 6) AS "Log2FoldChange1-2", round(tests.p, 6) AS "PValue1-2", round(c, 6) AS "CorrectedPValue1-2", round(-log10(greatest(c, {LEAST})), 4) AS "-Log10CorrectedPValue1-2",
+  round(mean_a, 6) AS Group1Mean, round(sd_a, 6) AS Group1Stdev, n_a AS Group1RepCounts, round(mean_b, 6) AS Group2Mean, round(sd_b, 6) AS Group2Stdev, n_b AS Group2RepCounts FROM tests JOIN ts USING (row_id) JOIN gs USING (row_id), mx""")
+def compare_(spark, d):
+    cells, x = norm(spark, d)
+    out = type(x)(cells, x.features, x.samples).compare((1, 2)).features.where("`PValue1-2` IS NOT NULL")
+    log = F.least(F.col("`-Log10CorrectedPValue1-2`"), F.lit(-math.log10(LEAST)))
+    few = out.select("row_id", F.round("`DEScore1-2`", 4).alias("DEScore1-2"), F.round(log, 4).alias("-Log10CorrectedPValue1-2"), "Log2FoldChange1-2", "PValue1-2", "CorrectedPValue1-2", *_GROUPS)
+    return rounded(few)
 
 
 @query("de_multi_comparison", STATS2 + ' SELECT row_id, round(log2_fc, 6) AS "Log2FoldChange1-2", round(-log2_fc, 6) AS "Log2FoldChange2-1", n_a AS Group1RepCounts, n_b AS Group2RepCounts FROM gs WHERE log2_fc IS NOT NULL')
