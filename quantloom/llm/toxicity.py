@@ -21,7 +21,7 @@ read. Where the rows for the curve are of one class only, or there are none, the
 
 The HOT most frequent entries of the model are broadcast. Where there are more, the words and pairs of texts that the
 broadcast part hasn't, and that a Bloom filter of BITS bits doesn't rule out, are joined with the rest. HOT and BITS
-move work between the two ways and change no score. Counts and statistics cover all labelled rows; only the curve is
+move work between the two ways; a score changes by the rounding of what is broadcast, to 32 bits, at most. Counts and statistics cover all labelled rows; only the curve is
 fitted on at most FIT of them.
 
 Defined cases: null and empty texts, and texts without words, get the score of no evidence; a text of any length is
@@ -170,7 +170,7 @@ class Known:
         order = np.argsort(key)
         # a sentinel, so that there is always one
         self.key = np.append(key[order], np.iinfo(np.int64).max)
-        self.top, self.more = [np.append(np.nan_to_num(part[c].to_numpy(zero_copy_only=False)[order], nan=-np.inf), 0.0) for c in ("top", "more")]
+        self.top, self.more = [np.append(np.nan_to_num(part[c].to_numpy(zero_copy_only=False)[order], nan=-np.inf), 0.0).astype(np.float32) for c in ("top", "more")]
         self.rest = rest
 
     def look(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -222,7 +222,7 @@ def measure(docs: DataFrame, model: DataFrame, unknown: float, first: float, hot
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, known = Numbered(), given.value
         columns = [np.empty(0, t) for t in (np.uint64, bool, np.float64, np.float64, bool)]
-        for b in columns_of(batches):
+        for b in columns_of(batches, rows=1000, size=4 << 20):
             if len(words) > CACHE:
                 words, columns = Numbered(), [c[:0] for c in columns]
             ids, sizes, distinct = words.read(b.column(b.num_columns - 1).to_pylist())
