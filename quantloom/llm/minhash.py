@@ -9,7 +9,8 @@ In the first round every bucket has one centre, and only (centre, member) pairs
 about FEW members of a bucket in which several components meet are drawn by hash, and each member offers its BEST
 candidates among them; so a group's parts grow together with about as many pairs as it has members. Afterwards such a
 bucket has about CENTRES of them, drawn from all but its largest component; with each of them all pairs to other
-components are decided, so it leaves the bucket. Rounds go on until no bucket holds
+components are decided, so it leaves the bucket. A pair that shares several buckets is decided in the first of them,
+where both are until it is. Rounds go on until no bucket holds
 two components: no link that a bucket offers is lost, and a group of near copies takes about as many pairs as it has
 members. Links are kept between components only, so a round's graph holds one node a component.
 
@@ -181,8 +182,9 @@ def near_links(docs: DataFrame, sketches: DataFrame, id_col: str, text_col: str,
     sets = cut(_sets(some, "__text").dropDuplicates(["sk"]))
     at = cut(live.join(mine.select("sk", "comp", "x.n", "x.d"), "sk"))  # a row for each bucket of each set
 
-    turn, star = 0, F.struct(F.col("sk").alias("k"), F.col("comp").alias("c"), "n", "d")
+    turn, plain = 0, [F.col("sk").alias("k"), F.col("comp").alias("c"), "n", "d"]
     while True:
+        star = F.struct(*plain, *(["l"] if turn > 1 else []))
         if turn == 0:
             first = F.struct(F.xxhash64("sk", "bucket").alias("h"), star.alias("s"))
             split = at.groupBy("bucket").agg(F.array(F.min(first)["s"]).alias("stars"))
@@ -194,6 +196,9 @@ def near_links(docs: DataFrame, sketches: DataFrame, id_col: str, text_col: str,
             at = cut(at.drop("main", "size", "others").join(parts, "bucket"))
             if at.isEmpty():
                 return comps.withColumnRenamed("sk", "node")
+            if turn > 1:  # the buckets that a set is in, so that a pair counts in the first of those that it shares
+                lists = at.groupBy("sk").agg(F.collect_list("bucket").alias("l"))
+                at = cut(at.join(lists, "sk"))
             # the first of them by hash always is one, so that there is one
             many, of = (FEW, "size") if turn == 1 else (CENTRES, "others")
             drawn = F.pmod(F.xxhash64("sk", "bucket", F.lit(turn)), F.lit(1 << 20)) * F.col(of) < F.lit(many << 20)
@@ -203,7 +208,8 @@ def near_links(docs: DataFrame, sketches: DataFrame, id_col: str, text_col: str,
             split = split.groupBy("bucket").agg(F.array_distinct(F.flatten(F.collect_list("stars"))).alias("stars"))
         held = at.join(split, "bucket")
         # only candidates that may be links become rows
-        apt = F.filter("stars", lambda s: (s["c"] != F.col("comp")) & may_link((F.col("n"), F.col("d")), (s["n"], s["d"]), percent))
+        once = (lambda s: F.array_min(F.array_intersect("l", s["l"])) == F.col("bucket")) if turn > 1 else (lambda s: F.lit(True))
+        apt = F.filter("stars", lambda s: (s["c"] != F.col("comp")) & may_link((F.col("n"), F.col("d")), (s["n"], s["d"]), percent) & once(s))  # noqa: B023
         if turn == 1:
             near = F.transform(apt, lambda s: F.struct(differing(F.col("d"), s["d"]).alias("x"), s["k"].alias("k"), s["c"].alias("c")))
             apt = F.slice(F.array_sort(near), 1, BEST)
@@ -212,7 +218,7 @@ def near_links(docs: DataFrame, sketches: DataFrame, id_col: str, text_col: str,
         pairs = cut(two.select(F.col("l.k").alias("a"), F.col("g.k").alias("b"), F.least("l.c", "g.c").alias("u"), F.greatest("l.c", "g.c").alias("v")).distinct())
         # only links between components go on
         found = cut(_confirm(pairs, sets, percent).distinct())
-        rest = (held if turn == 1 else held.where(~F.exists("stars", lambda x: x["k"] == F.col("sk")))).drop("stars")
+        rest = (held if turn == 1 else held.where(~F.exists("stars", lambda x: x["k"] == F.col("sk")))).drop("stars", "l")
         if not found.isEmpty():
             moved = connected(found.toDF("a", "b")).toDF("comp", "to")
             join = lambda df: df.join(moved, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to")  # noqa: B023, E731
