@@ -10,6 +10,8 @@ from ..functions.storage import cut
 
 #: A table of names or of sets below this many rows is sent to all tasks; a larger one is shuffled.
 SMALL = 1_000_000
+#: Terms of a gene, two lots of which meet at a time.
+CHUNK = 500
 
 
 def sized(df: DataFrame, limit: int = SMALL) -> DataFrame:
@@ -87,18 +89,46 @@ def enrich(features: DataFrame, sets: DataFrame, method: str = "overreptest", ge
     return overrepresented(subset_library(sets, selected) if subset else sets, selected, background)
 
 
-def enrichment_map(sets: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(a, b, common, jaccard, overlap) of the pairs of terms that share a gene; given terms only, if any are given.
+def term_pairs(pairs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(a, b), a < b, once for each gene that two terms of pairs (term, gene) share. A gene's terms are dealt into chunks,
+    and two chunks at a time meet, so no task gets all pairs of a gene that stands in many terms."""
+    parts = pairs.groupBy("gene").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
+    placed = pairs.join(parts, "gene").withColumn("part", F.pmod(F.xxhash64("term"), F.col("parts")).cast("int"))
+    met = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.groupBy("gene", F.least("part", "o").alias("x"), F.greatest("part", "o").alias("y")).agg(F.collect_list(F.struct("part", "term")).alias("ts"))
+    first = met.select("x", "y", "ts", F.explode("ts").alias("me")).where("me.part = x")
+    other = F.filter("ts", lambda u: (u["part"] == F.col("y")) & ((F.col("x") < F.col("y")) | (u["term"] > F.col("me.term"))))
+    two = first.select(F.col("me.term").alias("one"), F.explode(F.transform(other, lambda u: u["term"])).alias("two"))
+    return two.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b"))
 
-    Pairs come from each gene's list of terms and are counted by an aggregate with map-side sums.
+
+def enrichment_map(sets: DataFrame, terms: DataFrame | None = None, at_least: float | None = None, chunk: int = CHUNK) -> DataFrame:
+    """(a, b, common, jaccard, overlap) of the pairs of terms that share a gene; given terms only, if any are given, and
+    only those whose Jaccard index reaches at_least, if it is given.
+
+    With at_least a pair must share one of the first genes of both terms, rare ones first (of n genes, n less
+    at_least * n and one more), and must be of like sizes; only such pairs are counted. So a gene that stands in very
+    many terms, which says little, makes hardly any.
     """
     pairs = sets.select("term", "gene").distinct()
-    pairs = pairs if terms is None else pairs.join(terms.select("term").distinct(), "term", "left_semi")
+    pairs = cut(pairs if terms is None else pairs.join(terms.select("term").distinct(), "term", "left_semi"))
     sizes = sized(pairs.groupBy("term").agg(F.count("*").alias("n")))
-    lists = pairs.groupBy("gene").agg(F.array_sort(F.collect_list("term")).alias("ts"))
-    both = lists.select(F.explode("ts").alias("a"), "ts").select("a", F.explode(F.filter("ts", lambda t: t > F.col("a"))).alias("b")).groupBy("a", "b").agg(F.count("*").alias("common"))
-    out = both.join(sizes.select(F.col("term").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("term").alias("b"), F.col("n").alias("nb")), "b")
-    return out.select("a", "b", "common", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("jaccard"), (F.col("common") / F.least("na", "nb")).alias("overlap"))
+    size = lambda c: sizes.select(F.col("term").alias(c), F.col("n").alias(f"n{c}"))
+    if at_least is None:
+        both = term_pairs(pairs, chunk).groupBy("a", "b").agg(F.count("*").alias("common")).join(size("a"), "a").join(size("b"), "b")
+    else:
+        if not 0 < at_least <= 1:
+            raise ValueError("at_least lies above 0 and is 1 at most")
+        rare = pairs.join(pairs.groupBy("gene").agg(F.count("*").alias("f")), "gene").join(sizes, "term")
+        place = F.row_number().over(Window.partitionBy("term").orderBy("f", "gene"))
+        # a little more than at_least would leave out, for what rounding does to the product
+        head = rare.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * at_least - 1e-9) + 1)
+        asked = term_pairs(head.select("term", "gene"), chunk).distinct().join(size("a"), "a").join(size("b"), "b")
+        asked = asked.where(F.least("na", "nb") >= F.greatest("na", "nb") * at_least - 1e-9)
+        mine = asked.join(pairs.select(F.col("term").alias("a"), "gene"), "a")
+        both = mine.join(pairs.select(F.col("term").alias("b"), "gene"), ["b", "gene"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
+    out = both.select("a", "b", "common", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("jaccard"), (F.col("common") / F.least("na", "nb")).alias("overlap"))
+    return out if at_least is None else out.where(F.col("jaccard") >= at_least)
 
 
 def representative(features: DataFrame, cluster: str, p: str) -> DataFrame:

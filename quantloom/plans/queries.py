@@ -761,6 +761,14 @@ def enrichment_map(spark, d):
     return rounded(annotate.enrichment_map(fx.gene_sets(spark, d)))
 
 
+@query("enrichment_map_near", """
+st AS (SELECT DISTINCT p_brand AS term, CAST(p_partkey AS VARCHAR) AS gene FROM part UNION SELECT 'size' || p_size, CAST(p_partkey AS VARCHAR) FROM part), sz AS (SELECT term, count(*) AS n FROM st GROUP BY 1),
+pr AS (SELECT x.term AS a, y.term AS b, count(*) AS common FROM st x JOIN st y ON x.gene = y.gene AND x.term < y.term GROUP BY 1, 2)
+SELECT a, b, common, round(common / (s.n + t.n - common)::DOUBLE, 6) AS jaccard, round(common / least(s.n, t.n)::DOUBLE, 6) AS overlap FROM pr JOIN sz s ON s.term = a JOIN sz t ON t.term = b WHERE common / (s.n + t.n - common)::DOUBLE >= 0.03""", " ")
+def enrichment_map_near(spark, d):
+    return rounded(annotate.enrichment_map(fx.gene_sets(spark, d), at_least=0.03))
+
+
 # -- learning
 
 

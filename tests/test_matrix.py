@@ -521,3 +521,19 @@ def test_probabilities_by_constant_work_keep_their_digits(spark):
             terms[j + 1] = t
         want = sum(v for j, v in terms.items() if j >= x) / sum(terms.values())
         assert abs(r["p"] - float(want)) <= 1e-10 * float(want), (tuple(r), float(want))
+
+
+def test_maps_of_terms_with_a_hot_gene(spark):
+    """Whatever the chunks, and with a threshold: the pairs that a plain program finds."""
+    rng = random.Random(8)
+    sets = {f"T{t:03d}": {"hot"} | {f"g{rng.randrange(60)}" for _ in range(rng.randrange(1, 12))} for t in range(120)}
+    sets |= {f"U{t}": set(sets[f"T{t:03d}"]) for t in range(10)}
+    df = spark.createDataFrame([(t, g) for t, gs in sets.items() for g in gs for _ in range(2)], "term string, gene string")
+    names = sorted(sets)
+    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for i, a in enumerate(names) for b in names[i + 1 :] if sets[a] & sets[b]}
+    for chunk in (7, 500):
+        got = annotate.enrichment_map(df, chunk=chunk).collect()
+        assert len(got) == len(want) and all(abs(r["jaccard"] - want[r["a"], r["b"]]) < 1e-12 and r["common"] == len(sets[r["a"]] & sets[r["b"]]) for r in got)
+    for least in (0.3, 0.5, 1.0):
+        got = {(r["a"], r["b"]) for r in annotate.enrichment_map(df, at_least=least, chunk=7).collect()}
+        assert got == {k for k, v in want.items() if v >= least - 1e-12}
