@@ -95,7 +95,7 @@ def count_pairs(train: DataFrame) -> DataFrame:
     summed where they are, so that a frequent pair is sent once a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in columns_of(batches, rows=20_000, size=16 << 20):
+        for b in columns_of(batches, rows=10_000, size=6 << 20):
             known = Numbered()
             ids, sizes, _ = known.read(b.column(0).to_pylist())
             y, sizes = b.column(1).to_numpy(zero_copy_only=False)[sizes > 0].astype(np.int64), sizes[sizes > 0]
