@@ -69,12 +69,10 @@ def phrase_counts(docs: DataFrame, max_n: int = 4, min_count: int = 30, text_col
     starts = whole.select("lang", "w", F.explode(F.sequence(F.lit(0), F.size("w") - 1)).alias("i"))
     left, word = F.size("w") - F.col("i"), lambda k: F.get("w", F.col("i") + k)
 
-    def counted(rows: DataFrame, phrase: F.Column, c: F.Column) -> DataFrame:
-        # one column is the key, as narrow rows are what this costs; no phrase holds a line end
-        sums = rows.select(F.concat("lang", F.lit("\n"), phrase).alias("key"), c.cast("long").alias("c")).groupBy("key").agg(F.sum("c").alias("f"))
-        two = sums.select("key", F.substring_index("key", "\n", -1).alias("phrase"), "f")
-        two = two.select(F.left("key", F.length("key") - F.length("phrase") - 1).alias("lang"), "phrase", "f")
-        return cut(two.where((F.col("f") >= min_count) | (F.col("phrase") == "")))
+    def counted(rows: DataFrame, phrase: F.Column, c: F.Column | None = None) -> DataFrame:
+        keyed = rows.select("lang", phrase.alias("phrase"), *([] if c is None else [c.cast("long").alias("c")]))
+        sums = keyed.groupBy("lang", "phrase").agg((F.count("*") if c is None else F.sum("c")).alias("f"))
+        return cut(sums.where((F.col("f") >= min_count) | (F.col("phrase") == "")))
 
     # a piece's first row stands for its words' number: no word is empty
     first = whole.select("lang", F.size("w").alias("n"), F.explode(F.concat(F.array(F.lit("")), "w")).alias("phrase"))
@@ -83,7 +81,7 @@ def phrase_counts(docs: DataFrame, max_n: int = 4, min_count: int = 30, text_col
         return out
     bits = membership(found.where("phrase <> ''").select(F.xxhash64("lang", "phrase").alias("h")))
     pair = (left >= 2) & may_hold(bits, F.xxhash64("lang", word(0))) & may_hold(bits, F.xxhash64("lang", word(1)))
-    found = counted(starts.where(pair), F.concat(word(0), F.lit(" "), word(1)), F.lit(1))
+    found = counted(starts.where(pair), F.concat(word(0), F.lit(" "), word(1)))
     out = out.unionByName(found)
     if max_n < 3:
         return cut(out)
@@ -94,7 +92,7 @@ def phrase_counts(docs: DataFrame, max_n: int = 4, min_count: int = 30, text_col
         run = F.when(may_hold(bits, F.xxhash64("lang", word(k), word(k + 1))), run).otherwise(k + 1)
     runs = starts.where(left >= 3).select("lang", "w", "i", F.least(run, left).alias("run")).where("run >= 3")
     longer = runs.select("lang", "w", "i", F.explode(F.sequence(F.lit(3), F.col("run"))).alias("k"))
-    return cut(out.unionByName(counted(longer, F.array_join(F.slice("w", F.col("i") + 1, F.col("k")), " "), F.lit(1))))
+    return cut(out.unionByName(counted(longer, F.array_join(F.slice("w", F.col("i") + 1, F.col("k")), " "))))
 
 
 def scored(counts: DataFrame) -> DataFrame:
