@@ -10,6 +10,7 @@ driver, as MLlib has them.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
@@ -213,14 +214,25 @@ def scores_of(model: Model, rows: DataFrame) -> F.Column:
     return F.col("prediction")
 
 
+def split_features(model) -> list[int] | None:
+    """The features that a tree model splits on; None for any other model."""
+    text = getattr(model, "toDebugString", None)
+    return None if not isinstance(text, str) else sorted({int(k) for k in re.findall(r"feature (\d+)", text)})
+
+
 def local_importance(rows: DataFrame, model: Model | Linear, iterations: int = 3, seed: int = 0) -> DataFrame:
     """(k, sample, value) of a fitted model: the mean change of each sample's score when feature k's values are dealt to
     other samples.
 
     For a linear model the change is the weight times the difference of the values, so nothing is scored again; any
-    other scores each sample once for each feature and iteration, where the sample is.
+    other scores each sample once for each feature and iteration, where the sample is. A tree model does so only for
+    the features that it splits on: others can't change a score, so theirs is 0.
     """
     weights, long = weights_of(model), long_rows(rows)
+    used, none = split_features(model), None
+    if weights is None and used is not None:
+        none = long.where(~F.col("k").isin(used)).select("k", "sample", F.lit(0.0).alias("value"))
+        long = long.where(F.col("k").isin(used))
     moved = None
     for i in range(iterations):
         one = shuffled(long, i, seed)
@@ -234,7 +246,8 @@ def local_importance(rows: DataFrame, model: Model | Linear, iterations: int = 3
     other = moved.select("sample", "k", "y").join(base, "sample")
     other = other.select("sample", "k", "score", array_to_vector(F.transform("v", lambda x, i: F.when(i == F.col("k"), F.col("y")).otherwise(x))).alias("features"))
     again = model.transform(other)
-    return again.groupBy("k", "sample").agg(F.avg(F.col("score") - scores_of(model, again)).alias("value"))
+    found = again.groupBy("k", "sample").agg(F.avg(F.col("score") - scores_of(model, again)).alias("value"))
+    return found if none is None else found.unionByName(none)
 
 
 def feature_importance(rows: DataFrame, model: Model | Linear, iterations: int = 3, seed: int = 0) -> DataFrame:

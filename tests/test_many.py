@@ -109,3 +109,20 @@ def test_subsets_are_scored_together_and_other_classifiers_one_by_one(spark, row
     slow = learn.rfe_evaluate(rows, ranks, [0.5, 1.0, 3.0, 9.0], OneByOne(**kw))
     assert [x[:2] for x in fast] == [x[:2] for x in slow] == [(1.0, 1), (3.0, 3), (9.0, 5)] and [x[2] for x in fast] == pytest.approx([x[2] for x in slow])
     assert len(learn.cross_scores(DecisionTreeClassifier(maxDepth=2), rows, 3, scoring="recall")) == 3
+
+
+def test_trees_score_again_only_what_they_split_on(spark, rows):
+    """The features that no tree splits on have exactly 0, and all have what scoring every feature gives."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    for clf in (DecisionTreeClassifier(maxDepth=2), RandomForestClassifier(numTrees=3, maxDepth=2, seed=1)):
+        model = clf.fit(rows)
+
+        class Hidden:  # no tree can be seen in it
+            transform = staticmethod(model.transform)
+
+        used = learn.split_features(model)
+        fast = {(r["k"], r["sample"]): r["value"] for r in learn.local_importance(rows, model, 2).collect()}
+        slow = {(r["k"], r["sample"]): r["value"] for r in learn.local_importance(rows, Hidden(), 2).collect()}
+        assert 0 < len(used) < 5 and set(fast) == set(slow) and all(abs(v - slow[k]) < 1e-12 for k, v in fast.items())
+        assert all(v == 0 for (k, _), v in fast.items() if k not in used)
