@@ -39,7 +39,7 @@ from .common import LOWER, WordHashes, columns_of, connected, cut, free_names, m
 WORDS_PER_SHINGLE = 5
 BITS = 8
 BINS = 1 << BITS
-CENTRES, FEW, BEST = 256, 32, 2
+CENTRES, FEW, BEST = 96, 32, 2
 #: Words whose hashes a task remembers. Python's workers keep their memory while the joins run, so it is kept small.
 HASHES = 60_000
 #: For each bin a random order of all bins, as ranks: where an empty bin looks for its value.
