@@ -6,7 +6,7 @@ from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 from quantloom.functions.storage import cut
-from quantloom.operators import learn, many
+from quantloom.operators import decoys, learn, many
 
 
 class OneByOne(LogisticRegression):
@@ -126,3 +126,22 @@ def test_trees_score_again_only_what_they_split_on(spark, rows):
         slow = {(r["k"], r["sample"]): r["value"] for r in learn.local_importance(rows, Hidden(), 2).collect()}
         assert 0 < len(used) < 5 and set(fast) == set(slow) and all(abs(v - slow[k]) < 1e-12 for k, v in fast.items())
         assert all(v == 0 for (k, _), v in fast.items() if k not in used)
+
+
+def test_shuffles_of_many_samples_take_room_in_proportion(spark):
+    """20,000 samples: an array of all of a feature's values in each row would take 10 GB."""
+    n = 20_000
+    df = spark.range(n, numPartitions=4).select(F.format_string("s%06d", "id").alias("sample"), (F.col("id") % 2).cast("double").alias("label"), array_to_vector(F.array(F.col("id").cast("double"), F.col("id") % 7 * 1.0)).alias("features"))
+    got = learn.shuffled(learn.long_rows(df), 2, 5).where("k = 0").orderBy("x").collect()
+    u = {i: {r["x"]: r["u"] for r in df.select(F.col("sample"), F.lit(0).alias("k"), F.substring("sample", 2, 6).cast("double").alias("x")).withColumn("u", learn.uniform("k", "sample", seed=5 + i, salt="shuffle")).collect()} for i in range(2)}
+    for i in range(2):
+        assert [r["y"][i] for r in got] == sorted(u[i], key=lambda x: (u[i][x], x))
+    assert learn.bootstrap_importance(df, 2, shuffles=2).count() == 4
+
+
+def test_decoys_of_many_samples_take_room_in_proportion(spark):
+    cells = spark.range(60_000, numPartitions=4).select((F.col("id") % 3).alias("row_id"), F.format_string("s%06d", "id").alias("sample"), F.col("id").cast("double").alias("value"))
+    got = decoys.decoy_shuffle(cells)
+    drawn = cells.where("row_id = 1").orderBy(F.md5(F.concat_ws("|", "row_id", "sample", F.lit(0))), "sample")
+    assert [r["value"] for r in got.where("row_id = 1").orderBy("sample").collect()] == [r["value"] for r in drawn.collect()]
+    assert got.count() == 60_000
