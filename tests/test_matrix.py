@@ -537,3 +537,16 @@ def test_maps_of_terms_with_a_hot_gene(spark):
     for least in (0.3, 0.5, 1.0):
         got = {(r["a"], r["b"]) for r in annotate.enrichment_map(df, at_least=least, chunk=7).collect()}
         assert got == {k for k, v in want.items() if v >= least - 1e-12}
+
+
+def test_blocks_of_long_vectors_hold_fewer_and_visits_carry_none(spark, monkeypatch):
+    monkeypatch.setattr(cluster, "NUMBERS", 60)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(20, 12))
+    index = cluster.Index(cluster.vectors(cells_of(spark, x)))
+    assert index.rows == 5
+    rows = index.placed.withColumn("reach", F.lit(math.pi))
+    assert index.visits(rows, "own").columns == index.visits(rows, "later").columns == ["row_id", "block"]
+    got = {(r["a"], r["b"]): r["distance"] for r in cluster.spearman(cells_of(spark, x)).collect()}
+    want = 1 - np.abs(np.corrcoef(np.argsort(np.argsort(x, 1), 1)))
+    assert len(got) == 190 and all(abs(want[k] - d) < 1e-9 for k, d in got.items())
