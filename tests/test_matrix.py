@@ -403,6 +403,18 @@ def test_score_distributions(spark):
         assert abs(r["q_value"] - (0.0 if a == b == 0 else b / (a + b))) < 1e-6
 
 
+def test_score_distributions_take_the_fewer_of_steps_and_knots(spark):
+    """No expression holds an entry a bin, and both ways give the trapezoids."""
+    df = spark.range(3000).select(F.col("id").alias("row_id"), F.pow(F.col("id") / 3000, F.lit(6.0)).alias("score"), (F.col("id") % 3).cast("int").alias("Decoy"))
+    assert decoys.automatic_bins(df) > 30
+    assert "aggregate(" not in decoys.qvalue_of_scores(df)._jdf.queryExecution().toString()
+    knots, values, v = np.linspace(0, 1, 9), np.random.default_rng(5).random(9), np.array([-0.3, 0.05, 0.62, 1.0])
+    for step in (0.3, 0.01):
+        n = np.ceil((1.0 - v) / step).astype(int)
+        want = [np.trapezoid(np.interp(a + step * np.arange(k), knots, values), dx=step) if k > 1 else 0.0 for a, k in zip(v, n, strict=True)]
+        assert np.allclose(decoys._stepped_area(v, n, knots, values, step), want)
+
+
 def learnable(spark, n=60, f=6):
     rng = np.random.default_rng(13)
     x = rng.normal(size=(f, n))
