@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from quantloom.functions.stats import t_pvalue
 from quantloom.matrix import Matrix
-from quantloom.operators import annotate, cluster, compare, decoys, impute, normalize, quantify, scaling
+from quantloom.operators import annotate, cluster, compare, decoys, impute, learn, normalize, quantify, scaling
 from quantloom.sources import diann, tables
 
 # A matrix of three peptides and samples.
@@ -415,6 +415,16 @@ def test_score_distributions_take_the_fewer_of_steps_and_knots(spark):
         assert np.allclose(decoys._stepped_area(v, n, knots, values, step), want)
 
 
+def test_vectors_without_a_row_for_each_missing_cell(spark):
+    """Missing cells, null values and samples without cells are zeros; a sample's values meet once."""
+    cells = spark.createDataFrame([(3, "a", 1.0), (1, "a", 2.0), (2, "b", None), (10, "b", 4.0), (5, "x", 9.0)], "row_id long, sample string, value double")
+    samples = spark.createDataFrame([("a", 1), ("b", 2), ("c", 2)], "sample string, group int")
+    rows = learn.to_ml(cells, samples)
+    assert {r["sample"]: (r["label"], list(r["features"].toArray())) for r in rows.collect()} == {"a": (0.0, [2.0, 0.0, 1.0, 0.0]), "b": (1.0, [0.0, 0.0, 0.0, 4.0]), "c": (1.0, [0.0] * 4)}
+    assert learn.to_ml(cells.where("sample = 'x'"), samples).isEmpty()
+    assert "LeftOuter, ((row_id" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def learnable(spark, n=60, f=6):
     rng = np.random.default_rng(13)
     x = rng.normal(size=(f, n))
