@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import Tables
 from .common import LOWER, WordHashes, columns_of, connected, cut, free_names, mix64, spread
 
 WORDS_PER_SHINGLE = 5
@@ -172,15 +173,19 @@ def near_links(docs: DataFrame, sketches: DataFrame, id_col: str, text_col: str,
     # joins on a bucket are plain ones, so that adaptive execution splits the partitions of large buckets; of buckets
     # with the same members one is kept
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("sk")).alias("x"), F.min("sk").alias("y"), F.max("sk").alias("z"))
-    sizes = sizes.where("size > 1").groupBy("size", "x", "y", "z").agg(F.min("bucket").alias("bucket")).select("bucket")
-    live = cut(rows.join(sizes, "bucket"))
+    sizes = sizes.where("size > 1").groupBy("size", "x", "y", "z").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
+    # a round's rows are a table, not a checkpoint: compressed, and removed as soon as the next is written
+    fixed, kept = Tables(docs.sparkSession), Tables(docs.sparkSession)
+    live = kept.keep(rows.join(sizes, "bucket"))
     if live.isEmpty():
+        kept.close()
         return None
     comps = cut(live.select("sk").distinct().withColumn("comp", F.col("sk")))
     mine = comps.join(nodes, "sk")
     some = spread(docs, id_col, text_col).toDF("__id", "__text").join(mine.select(F.col("id").alias("__wanted")).distinct(), F.col("__id").eqNullSafe(F.col("__wanted")), "left_semi")
-    sets = cut(_sets(some, "__text").dropDuplicates(["sk"]))
-    at = cut(live.join(mine.select("sk", "comp", "x.n", "x.d"), "sk"))  # a row for each bucket of each set
+    sets = fixed.keep(_sets(some, "__text").dropDuplicates(["sk"]))
+    at = kept.keep(live.join(mine.select("sk", "comp", "x.n", "x.d"), "sk"))  # a row for each bucket of each set
+    kept.forget(-1)
 
     turn, plain = 0, [F.col("sk").alias("k"), F.col("comp").alias("c"), "n", "d"]
     while True:
@@ -189,16 +194,23 @@ def near_links(docs: DataFrame, sketches: DataFrame, id_col: str, text_col: str,
             first = F.struct(F.xxhash64("sk", "bucket").alias("h"), star.alias("s"))
             split = at.groupBy("bucket").agg(F.array(F.min(first)["s"]).alias("stars"))
         else:
-            # each bucket's largest component, and how many rows the others have
-            parts = at.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
-            parts = parts.groupBy("bucket").agg(F.max(F.struct("m", "comp")).alias("most"), F.sum("m").alias("size"))
-            parts = parts.select("bucket", F.col("most.comp").alias("main"), "size", (F.col("size") - F.col("most.m")).alias("others")).where("others > 0")
-            at = cut(at.drop("main", "size", "others").join(parts, "bucket"))
+            if turn == 1:  # only the buckets in which components meet
+                mixed = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi")
+                at = kept.keep(at.join(mixed, "bucket", "left_semi"))
+            else:  # each bucket's largest component, and how many rows the others have
+                parts = at.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
+                parts = parts.groupBy("bucket").agg(F.max(F.struct("m", "comp")).alias("most"), F.sum("m").alias("size"))
+                parts = parts.select("bucket", F.col("most.comp").alias("main"), "size", (F.col("size") - F.col("most.m")).alias("others")).where("others > 0")
+                at = kept.keep(at.drop("main", "size", "others").join(parts, "bucket"))
+            kept.forget(-1)
             if at.isEmpty():
+                fixed.close()
+                kept.close()
                 return comps.withColumnRenamed("sk", "node")
             if turn > 1:  # the buckets that a set is in, so that a pair counts in the first of those that it shares
                 lists = at.groupBy("sk").agg(F.collect_list("bucket").alias("l"))
-                at = cut(at.join(lists, "sk"))
+                at = kept.keep(at.join(lists, "sk"))
+                kept.forget(-1)
             # the first of them by hash always is one, so that there is one
             many, of = (FEW, "size") if turn == 1 else (CENTRES, "others")
             drawn = F.pmod(F.xxhash64("sk", "bucket", F.lit(turn)), F.lit(1 << 20)) * F.col(of) < F.lit(many << 20)
@@ -215,15 +227,19 @@ def near_links(docs: DataFrame, sketches: DataFrame, id_col: str, text_col: str,
             apt = F.slice(F.array_sort(near), 1, BEST)
         two = held.select(F.struct(F.col("sk").alias("k"), F.col("comp").alias("c")).alias("m"), F.explode(F.transform(apt, lambda s: F.struct(s["k"].alias("k"), s["c"].alias("c")))).alias("s"))
         two = two.select(F.least("m", "s").alias("l"), F.greatest("m", "s").alias("g"))
-        pairs = cut(two.select(F.col("l.k").alias("a"), F.col("g.k").alias("b"), F.least("l.c", "g.c").alias("u"), F.greatest("l.c", "g.c").alias("v")).distinct())
+        pairs = kept.keep(two.select(F.col("l.k").alias("a"), F.col("g.k").alias("b"), F.least("l.c", "g.c").alias("u"), F.greatest("l.c", "g.c").alias("v")).distinct())
         # only links between components go on
-        found = cut(_confirm(pairs, sets, percent).distinct())
-        rest = (held if turn == 1 else held.where(~F.exists("stars", lambda x: x["k"] == F.col("sk")))).drop("stars", "l")
+        found = kept.keep(_confirm(pairs, sets, percent).distinct())
+        rest = at.drop("l")
+        if turn != 1:  # the centres have met all members of their buckets
+            centres = split.select(F.col("bucket").alias("of"), F.explode("stars.k").alias("k"))
+            rest = rest.join(centres, (F.col("bucket") == F.col("of")) & (F.col("sk") == F.col("k")), "left_anti")
         if not found.isEmpty():
             moved = connected(found.toDF("a", "b")).toDF("comp", "to")
             join = lambda df: df.join(moved, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to")  # noqa: B023, E731
             comps, rest = cut(join(comps)), join(rest)
-        at, turn = cut(rest), turn + 1
+        at, turn = kept.keep(rest), turn + 1
+        kept.forget(-1)
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:

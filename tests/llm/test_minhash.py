@@ -2,6 +2,7 @@ import random
 from collections import defaultdict
 
 from pyspark.sql import functions as F
+from quantloom.llm import minhash
 from quantloom.llm.minhash import drop_near_duplicates, near_groups
 from quantloom.llm.queries import op7_minhash_dedup
 
@@ -100,3 +101,21 @@ def test_query_matches_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text").collect()]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in op7_minhash_dedup(spark, d).collect()}
     assert got == brute(rows, 85)
+
+
+def test_rounds_leave_no_rows_behind(spark, monkeypatch):
+    """A round's rows, each with its set's digits, are tables that are removed, not checkpoints that stay."""
+    from pathlib import Path
+
+    from quantloom.functions.storage import shared_dir
+
+    kept, cut = [], minhash.cut
+    monkeypatch.setattr(minhash, "cut", lambda df: kept.append(df.columns) or cut(df))
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(["x" * (k + 1) if i == 7 * k else w for i, w in enumerate(words)]) for k in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    folder = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("tables-*"))
+    assert {r["component_id"] for r in minhash.near_groups(docs).collect()} == {0}
+    assert kept and not any("d" in columns for columns in kept)
+    assert set(folder.glob("tables-*")) == before
