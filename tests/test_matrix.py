@@ -257,6 +257,31 @@ def test_knn_against_brute_force(spark):
             assert abs(got[i, j] - sum(a * x[k, j] for a, (_, k) in zip(w, best, strict=True)) / sum(w)) < 1e-9
 
 
+def test_knn_of_copies_far_from_zero_copies_no_donors(spark):
+    """Values whose squares would hide their differences, rows without values, and copies that ask and give at once."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(25, 5)) * 1e-4 + 1e6
+    x[rng.random(x.shape) < 0.25] = np.nan
+    x[3] = np.nan
+    x = np.concatenate([x, x, x, x])
+    features = spark.createDataFrame([(i,) for i in range(len(x))], "row_id long")
+    out = impute.knn(impute.grid(cells_of(spark, x), features, samples_of(spark, 5)), 3, donors_per_block=16)
+    got = dense(out, x.shape)
+    for i, j in zip(*np.where(np.isnan(x)), strict=True):
+        d = [(math.sqrt(np.nansum((x[i] - x[k]) ** 2) * 5 / (~np.isnan(x[i] - x[k])).sum()), k) for k in range(len(x)) if not np.isnan(x[k, j]) and (~np.isnan(x[i] - x[k])).any()]
+        best = sorted(d)[:3]
+        zero = [x[k, j] for a, k in best if a == 0]
+        want = np.nanmean(x[:, j]) if not best else np.mean(zero) if zero else sum(x[k, j] / a for a, k in best) / sum(1 / a for a, _ in best)
+        assert abs(got[i, j] - want) < 2e-8
+    # a block of donors is read where it is met and not copied for each block of rows
+    ends = [impute.Nearest(np.arange(4), np.array([[0.0, np.nan]] * 4), 2) for _ in range(2)]
+    far, close = np.array([[9.0, 1.0], [8.0, 2.0]]), np.array([[1.0, 5.0], [-1.0, 6.0]])
+    for e, turns in zip(ends, ((far, close), (close, far)), strict=True):
+        for ids, y in ((np.array([7, 8]), y) if y is close else (np.array([5, 6]), y) for y in turns):
+            e.meet(ids, y)
+    assert all(e.donor.tolist() == [[7, 8]] * 4 and e.value.tolist() == [[5.0, 6.0]] * 4 for e in ends)
+
+
 def test_clusters_of_copies(spark):
     rng = np.random.default_rng(7)
     base = rng.normal(size=(4, 20))
