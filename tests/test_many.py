@@ -145,3 +145,17 @@ def test_decoys_of_many_samples_take_room_in_proportion(spark):
     drawn = cells.where("row_id = 1").orderBy(F.md5(F.concat_ws("|", "row_id", "sample", F.lit(0))), "sample")
     assert [r["value"] for r in got.where("row_id = 1").orderBy("sample").collect()] == [r["value"] for r in drawn.collect()]
     assert got.count() == 60_000
+
+
+def test_levels_of_an_elimination_begin_where_the_last_one_ended(spark, rows):
+    packed = many.packed(rows, F.array(F.lit(1.0)), F.array(F.lit(0.0))).cache()
+    width = len(rows.first()["features"])
+    fewer = [many.Fit(0, 0.01, 0.0, tuple(range(width - 1)))]
+    moments, models = many.moments_of(packed), many.fit_many(packed, [many.Fit(0, 0.01)])
+    found = {}
+    cold = jobs(spark, lambda: found.update(cold=many.fit_many(packed, fewer)))
+    warm = jobs(spark, lambda: found.update(warm=many.fit_many(packed, fewer, start=models, moments=moments)))
+    assert np.allclose(found["cold"], found["warm"], atol=1e-7) and found["warm"][0, width - 1] == 0
+    assert warm < cold
+    steps = jobs(spark, lambda: found.update(rfe=learn.bootstrap_rfe(rows, 2, 1, 1, classifier=LogisticRegression(regParam=0.01))))
+    assert steps <= 50 and found["rfe"].count() == 2 * width
