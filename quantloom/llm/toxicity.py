@@ -21,7 +21,7 @@ read. Where the rows for the curve are of one class only, or there are none, the
 
 The HOT most frequent entries of the model are broadcast. Where there are more, the words and pairs of texts that the
 broadcast part hasn't, and that a Bloom filter of BITS bits doesn't rule out, are joined with the rest. HOT and BITS
-move work between the two ways; a score changes by the rounding of what is broadcast, to 32 bits, at most. Counts and statistics cover all labelled rows; only the curve is
+move work between the two ways; the model is rounded to 32 bits in both. Counts and statistics cover all labelled rows; only the curve is
 fitted on at most FIT of them.
 
 Defined cases: null and empty texts, and texts without words, get the score of no evidence; a text of any length is
@@ -142,14 +142,17 @@ def build(train: DataFrame) -> tuple[DataFrame, float, float] | None:
 
     over = twice.groupBy(F.col("v").alias("w")).agg(*[F.sum(F.greatest(F.col(c) - 1, F.lit(0))).alias(f"x{c}") for c in "to"])
     stays = lambda c: F.when(F.col(c) > 0, 1 - F.coalesce(f"x{c}", F.lit(0)) / F.col(c)).otherwise(1.0)
-    words = words.join(over, "w", "left").select("w", "ns", "t", "o", *[(own(f"n{c}") + F.lit(rest[f"n{c}"]) * shared).alias(f"p{c}") for c in "to"], *[stays(c).alias(f"l{c}") for c in "to"])
-    words = cut(words.withColumns({"s": logs(F.col("pt"), F.col("po")), "g": logs(F.col("lt"), F.col("lo"))}))
+    # of counts, so that joins carry small numbers and not what follows from them
+    p = lambda c: own(f"n{c}") + F.lit(rest[f"n{c}"]) * shared
+    by_itself = logs(p("t"), p("o"))
+    words = words.join(over, "w", "left").select("w", *kinds, "t", "o", *[stays(c).alias(f"l{c}") for c in "to"])
+    words = cut(words.withColumns({"s": by_itself, "g": logs(F.col("lt"), F.col("lo"))}))
     first = words.where(F.col("w") == int(BORDER)).first()["g"]
 
     before = words.select(F.col("w").alias("v"), F.col("s").alias("sv"), F.col("g").alias("gv"), *[F.col(x + c).alias(f"{x}{c}v") for x, c in (("", "t"), ("", "o"), ("l", "t"), ("l", "o"))])
-    after = twice.withColumnsRenamed({"t": "n_t", "o": "n_o"}).join(words.select("w", "s", "pt", "po"), "w").join(before, "v")
-    chance = lambda c: F.when(F.col(f"{c}v") > 0, F.greatest(F.col(f"n_{c}") - 1, F.lit(0)) / F.col(f"{c}v")).otherwise(0.0) + F.col(f"l{c}v") * F.col(f"p{c}")
-    after = after.withColumn("b", logs(chance("t"), chance("o")))
+    after = twice.withColumnsRenamed({"t": "n_t", "o": "n_o"}).join(words.select("w", *kinds), "w").join(before, "v")
+    chance = lambda c: F.when(F.col(f"{c}v") > 0, F.greatest(F.col(f"n_{c}") - 1, F.lit(0)) / F.col(f"{c}v")).otherwise(0.0) + F.col(f"l{c}v") * p(c)
+    after = after.withColumns({"b": logs(chance("t"), chance("o")), "s": by_itself})
 
     @F.arrow_udf("long")
     def key(v: pa.Array, w: pa.Array) -> pa.Array:
@@ -159,7 +162,7 @@ def build(train: DataFrame) -> tuple[DataFrame, float, float] | None:
     inside = F.when((F.col("v") != edge) & (F.col("w") != edge), (F.col("sv") + F.col("b")) / 2)  # a border is no word to be toxic
     of_pairs = after.select(key(F.col("v"), F.col("w")).alias("key"), inside.alias("top"), (F.col("b") - F.col("gv") - F.col("s")).alias("more"), (F.col("n_t") + F.col("n_o")).alias("n"), F.lit(True).alias("pair"))
     of_words = words.where(F.col("w") != edge).select(F.col("w").alias("key"), F.col("s").alias("top"), (F.col("s") + F.col("g") - F.lit(unknown)).alias("more"), (F.col("t") + F.col("o")).alias("n"), F.lit(False).alias("pair"))
-    return cut(of_words.unionByName(of_pairs)), unknown, float(first)
+    return cut(of_words.unionByName(of_pairs).withColumns({c: F.col(c).cast("float") for c in ("top", "more")})), unknown, float(first)
 
 
 class Known:
@@ -256,22 +259,27 @@ def measure(docs: DataFrame, model: DataFrame, unknown: float, first: float, hot
             value, worst = value[place < WORST], np.bincount(owner[place < WORST], minlength=len(sizes))
             total += np.bincount(of[at[hit]], weights=pmore[hit], minlength=len(sizes))
             lost = np.concatenate([row[far], of[away]])
-            order = np.argsort(lost, kind="stable")
-            missing = np.concatenate([hashes[far].view(np.int64), keys[~hit][on]])[order]
+            missing = np.concatenate([hashes[far].view(np.int64), keys[~hit][on]])
+            order = np.lexsort((missing, lost))
+            lost, missing = lost[order], missing[order]
+            # a text asks once for each key, and says how often it has it
+            once = np.flatnonzero(np.append(True, (lost[1:] != lost[:-1]) | (missing[1:] != missing[:-1]))[: len(lost)])
+            times = np.diff(np.append(once, len(lost))).astype(np.int32)
+            lost, missing = lost[once], missing[once]
             offsets = np.concatenate([[0], np.cumsum(np.bincount(lost, minlength=len(sizes)))]).astype(np.int32)
             tops_at = np.concatenate([[0], np.cumsum(worst)]).astype(np.int32)
-            out = [pa.array(sizes), pa.array(distinct), pa.ListArray.from_arrays(pa.array(tops_at), pa.array(value)), pa.array(best), pa.array(total), pa.ListArray.from_arrays(pa.array(offsets), pa.array(missing))]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *out], [*keep, "_n", "_d", "_w", "_p", "_s", "_far"])
+            out = [pa.array(sizes), pa.array(distinct), pa.ListArray.from_arrays(pa.array(tops_at), pa.array(value)), pa.array(best), pa.array(total), pa.ListArray.from_arrays(pa.array(offsets), pa.array(missing)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(times))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *out], [*keep, "_n", "_d", "_w", "_p", "_s", "_far", "_times"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    seen = docs.select(*[F.col(f"`{c}`") for c in keep], "text").mapInArrow(read, f"{types}, _n long, _d long, _w array<double>, _p double, _s double, _far array<long>")
+    seen = docs.select(*[F.col(f"`{c}`") for c in keep], "text").mapInArrow(read, f"{types}, _n long, _d long, _w array<double>, _p double, _s double, _far array<long>, _times array<int>")
     if cold is not None:
         seen = cut(seen.withColumn("_row", F.monotonically_increasing_id()))
-        asked = seen.select("_row", F.explode("_far").alias("key")).groupBy("_row", "key").agg(F.count("*").alias("times"))
+        asked = seen.select("_row", F.explode(F.arrays_zip(F.col("_far").alias("key"), F.col("_times").alias("times"))).alias("a")).select("_row", "a.key", "a.times")
         # the words of one text at most come together, as in reading it
         tops = F.collect_list(F.when(~F.col("pair") & (F.col("top") > unknown), F.col("top") - F.lit(unknown))).alias("_w2")
         found = asked.join(cold, "key").groupBy("_row").agg(tops, F.max(F.when(F.col("pair"), F.col("top"))).alias("_p2"), F.sum(F.col("more") * F.col("times")).alias("_s2"))
-        seen = seen.drop("_far").join(found, "_row", "left")
+        seen = seen.drop("_far", "_times").join(found, "_row", "left")
         merged = F.slice(F.sort_array(F.concat("_w", F.coalesce("_w2", F.array().cast("array<double>"))), asc=False), 1, WORST)
         seen = seen.withColumns({"_w": merged, "_p": F.greatest("_p", "_p2"), "_s": F.col("_s") + F.coalesce("_s2", F.lit(0.0))})
     mean = lambda k: F.when(F.col("_d") > 0, F.aggregate(F.slice("_w", 1, k), F.lit(0.0), lambda a, v: a + v) / F.least("_d", F.lit(k))).otherwise(0.0)
