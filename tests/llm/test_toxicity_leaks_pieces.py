@@ -102,6 +102,14 @@ def kneser_ney(texts):
     return evidence
 
 
+def test_a_score_is_the_same_whether_the_model_is_broadcast_or_joined(spark):
+    given = spark.createDataFrame([("bad worse bad worse fine", 1), ("fine good fine good bad", 0), ("good fine bad", 0)], "text string, y int")
+    docs = spark.createDataFrame([(1, "bad worse bad worse bad"), (2, "fine good bad good"), (3, "")], "i long, text string")
+    model = build(given)
+    joined, broadcast = ({r.i: r.x for r in measure(docs, *model, hot).collect()} for hot in (0, 10**6))
+    assert all(math.isclose(a, b, abs_tol=1e-12) for i in broadcast for a, b in zip(joined[i], broadcast[i], strict=True))
+
+
 def test_evidence_equals_the_definition(spark):
     """Counts and evidences by the definition; how much of the model is broadcast changes none."""
     rng = random.Random(5)
