@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,21 @@ def remove_dir(spark: SparkSession, path: str) -> None:
     at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def lean(spark: SparkSession) -> Iterator[None]:
+    """Within it, what a query has shuffled is removed as soon as that query ends, and not when the driver happens to
+    collect its garbage, and Python gets batches of at most 1,000 rows. For queries whose results are kept, as by cut()."""
+    given = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+    before = {k: spark.conf.get(k, None) for k in given}
+    for k, v in given.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -19,10 +19,11 @@ A logistic curve, fitted on labelled rows that the counts don't include, makes a
 weight of LEAST or more, so the score grows with every one, that of the whole text among them. Nothing but the text is
 read. Where the rows for the curve are of one class only, or there are none, the curve is a fixed one.
 
-The HOT most frequent entries of the model are broadcast. Where there are more, the words and pairs of texts that the
-broadcast part hasn't, and that a Bloom filter of BITS bits doesn't rule out, are joined with the rest. HOT and BITS
-move work between the two ways; the model is rounded to 32 bits in both. Counts and statistics cover all labelled rows; only the curve is
-fitted on at most FIT of them.
+The HOT most frequent entries of the model, of the least frequent ones as many as fit, are broadcast. Where there are
+more, the words and pairs of texts that the broadcast part hasn't, and that a Bloom filter of BITS bits doesn't rule out,
+are joined with the rest. HOT and BITS move work between the two ways; the model is rounded to 32 bits in both. Pairs are
+counted by PARTS of the words that follow, one after the other: all texts are read for each, and disk holds the pairs of
+one part at a time. Counts and statistics cover all labelled rows; only the curve is fitted on at most FIT of them.
 
 Defined cases: null and empty texts, and texts without words, get the score of no evidence; a text of any length is
 read whole; rows are neither merged nor dropped, and equal texts score alike; with labelled training rows of one class
@@ -34,13 +35,15 @@ no label can name; other columns aren't read, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORDS, columns_of, cut, fold, free_names, if_small, mix64
+from ..functions.storage import Tables
+from .common import WORDS, columns_of, cut, fold, free_names, if_small, lean, mix64
 
 THRESHOLD, FIT, CURVE, WORST = 0.3, 50_000, 4, 3
 #: The least weights of the evidences: a text's likelihood ratio by the word counts for no less than it says.
@@ -48,6 +51,8 @@ LEAST = (1.0, 0.5, 0.25, 0.1, 1.0)
 HOT, BITS, PROBES = 1 << 21, 1 << 26, 3
 #: The word that stands for a text's border, and how many distinct words a task remembers.
 BORDER, CACHE = np.uint64(0), 200_000
+#: In how many parts pairs are counted.
+PARTS = 3
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -90,9 +95,9 @@ class Numbered(dict):
         return np.concatenate([np.empty(0, np.int32), *parts]), np.fromiter(map(len, parts), np.int64, len(parts)), np.array(distinct, np.int64)
 
 
-def count_pairs(train: DataFrame) -> DataFrame:
-    """(w, v, t, o): how often the word w follows v in toxic and in ordinary texts of `train` (text, y); batches are
-    summed where they are, so that a frequent pair is sent once a batch."""
+def count_pairs(train: DataFrame, part: int) -> DataFrame:
+    """(w, v, t, o): how often the word w, of that part of the words, follows v in toxic and in ordinary texts of `train`
+    (text, y); batches are summed where they are, so that a frequent pair is sent once a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in columns_of(batches, rows=10_000, size=6 << 20):
@@ -102,8 +107,9 @@ def count_pairs(train: DataFrame) -> DataFrame:
             h = np.concatenate([[BORDER], known.hashes()]).astype(np.uint64)
             # the border between two texts ends one and begins the next
             line = np.insert(ids.astype(np.int64) + 1, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), 0)
-            both, at, n = np.unique(line[:-1] * len(h) + line[1:], return_inverse=True, return_counts=True)
-            t = np.bincount(at, weights=np.repeat(y, sizes + 1), minlength=len(both)).astype(np.int64)
+            ours = ((h >> np.uint64(40)) % np.uint64(PARTS) == part)[line[1:]]
+            both, at, n = np.unique((line[:-1] * len(h) + line[1:])[ours], return_inverse=True, return_counts=True)
+            t = np.bincount(at, weights=np.repeat(y, sizes + 1)[ours], minlength=len(both)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(h[x].view(np.int64)) for x in (both % len(h), both // len(h))] + [pa.array(t), pa.array(n - t)], ["w", "v", "t", "o"])
 
     out = train.select("text", "y").mapInArrow(run, "w long, v long, t long, o long")
@@ -121,10 +127,23 @@ def build(train: DataFrame) -> tuple[DataFrame, float, float] | None:
     twice, with the log-likelihood ratio of an unknown word and what a text's first border adds; None where a class has
     no words. `top` is the mean log-likelihood ratio of the word or pair by itself, `more` what it adds to that of a
     text over as many unknown words."""
-    pairs = count_pairs(train)
+    tables = Tables(train.sparkSession)
+    try:
+        with lean(train.sparkSession):
+            return _build(train, tables)
+    finally:
+        tables.close()
+
+
+def _counts(pairs: DataFrame) -> DataFrame:
+    """(w, v, nt, no, ns, t, o): of count_pairs' rows each word, with null v, and each pair that a class has twice."""
     words = pairs.groupBy("w").agg(*[F.count_if(F.col(c) > 0).alias(f"n{c}") for c in "to"], F.count("*").alias("ns"), F.sum("t").alias("t"), F.sum("o").alias("o"))
     twice = pairs.where("t > 1 OR o > 1").select("w", "v", F.lit(0).alias("nt"), F.lit(0).alias("no"), F.lit(0).alias("ns"), "t", "o")
-    both = cut(words.withColumn("v", F.lit(None).cast("long")).unionByName(twice))
+    return words.withColumn("v", F.lit(None).cast("long")).unionByName(twice)
+
+
+def _build(train: DataFrame, tables: Tables) -> tuple[DataFrame, float, float] | None:
+    both = reduce(DataFrame.unionByName, [tables.keep(_counts(count_pairs(train, k))) for k in range(PARTS)])
     words, twice = both.where("v IS NULL").drop("v"), both.where("v IS NOT NULL").select("w", "v", "t", "o")
     kinds = ("nt", "no", "ns")
     few = [F.count_if(F.col(c) == k) for c in kinds for k in (1, 2, 3, 4)]
@@ -146,7 +165,7 @@ def build(train: DataFrame) -> tuple[DataFrame, float, float] | None:
     p = lambda c: own(f"n{c}") + F.lit(rest[f"n{c}"]) * shared
     by_itself = logs(p("t"), p("o"))
     words = words.join(over, "w", "left").select("w", *kinds, "t", "o", *[stays(c).alias(f"l{c}") for c in "to"])
-    words = cut(words.withColumns({"s": by_itself, "g": logs(F.col("lt"), F.col("lo"))}))
+    words = tables.keep(words.withColumns({"s": by_itself, "g": logs(F.col("lt"), F.col("lo"))}))
     first = words.where(F.col("w") == int(BORDER)).first()["g"]
 
     before = words.select(F.col("w").alias("v"), F.col("s").alias("sv"), F.col("g").alias("gv"), *[F.col(x + c).alias(f"{x}{c}v") for x, c in (("", "t"), ("", "o"), ("l", "t"), ("l", "o"))])
@@ -211,21 +230,34 @@ def bloom(keys: DataFrame) -> np.ndarray:
 
 def measure(docs: DataFrame, model: DataFrame, unknown: float, first: float, hot: int = HOT) -> DataFrame:
     """docs (..., text) with `x`, the evidences less those of unknown words, in place of text; all are 0 without words."""
+    tables = Tables(docs.sparkSession)
+    try:
+        with lean(docs.sparkSession):
+            return cut(_measure(docs, model, unknown, first, hot, tables))
+    finally:
+        tables.close()
+
+
+def _measure(docs: DataFrame, model: DataFrame, unknown: float, first: float, hot: int, tables: Tables) -> DataFrame:
     sc, keep = docs.sparkSession.sparkContext, [c for c in docs.columns if c != "text"]
     rank = F.floor(F.log2("n") * 8)
-    room, least = hot, None
+    room, here = hot, F.lit(True)
     for r in model.groupBy(rank.alias("n")).count().orderBy(F.desc("n")).collect():  # a few hundred rows
-        if (room := room - r["count"]) < 0:
+        if r["count"] > room:
+            # of equally frequent ones a share by their keys, which are hashes
+            share = F.pmod(F.col("key"), F.lit(1 << 20)) < room * (1 << 20) // r["count"]
+            here = (rank > r["n"]) | ((rank == r["n"]) & share)
             break
-        least = r["n"]
-    here = rank >= least if least is not None else F.lit(False)
-    cold = None if room >= 0 else model.where(~here).drop("n")
+        room -= r["count"]
+    else:
+        room = None
+    cold = None if room is None else model.where(~here).drop("n")
     given = sc.broadcast(Known(model.where(here).select("key", "top", "more").toArrow(), None if cold is None else bloom(cold)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, known = Numbered(), given.value
         columns = [np.empty(0, t) for t in (np.uint64, bool, np.float64, np.float64, bool)]
-        for b in columns_of(batches, rows=1000, size=4 << 20):
+        for b in columns_of(batches, rows=1000, size=1 << 20):
             if len(words) > CACHE:
                 words, columns = Numbered(), [c[:0] for c in columns]
             ids, sizes, distinct = words.read(b.column(b.num_columns - 1).to_pylist())
@@ -274,11 +306,11 @@ def measure(docs: DataFrame, model: DataFrame, unknown: float, first: float, hot
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     seen = docs.select(*[F.col(f"`{c}`") for c in keep], "text").mapInArrow(read, f"{types}, _n long, _d long, _w array<double>, _p double, _s double, _far array<long>, _times array<int>")
     if cold is not None:
-        seen = cut(seen.withColumn("_row", F.monotonically_increasing_id()))
+        seen = tables.keep(seen.withColumn("_row", F.monotonically_increasing_id()))
         asked = seen.select("_row", F.explode(F.arrays_zip(F.col("_far").alias("key"), F.col("_times").alias("times"))).alias("a")).select("_row", "a.key", "a.times")
         # the words of one text at most come together, as in reading it
         tops = F.collect_list(F.when(~F.col("pair") & (F.col("top") > unknown), F.col("top") - F.lit(unknown))).alias("_w2")
-        found = asked.join(cold, "key").groupBy("_row").agg(tops, F.max(F.when(F.col("pair"), F.col("top"))).alias("_p2"), F.sum(F.col("more") * F.col("times")).alias("_s2"))
+        found = tables.keep(asked.join(cold, "key").groupBy("_row").agg(tops, F.max(F.when(F.col("pair"), F.col("top"))).alias("_p2"), F.sum(F.col("more") * F.col("times")).alias("_s2")))
         seen = seen.drop("_far", "_times").join(found, "_row", "left")
         merged = F.slice(F.sort_array(F.concat("_w", F.coalesce("_w2", F.array().cast("array<double>"))), asc=False), 1, WORST)
         seen = seen.withColumns({"_w": merged, "_p": F.greatest("_p", "_p2"), "_s": F.col("_s") + F.coalesce("_s2", F.lit(0.0))})
@@ -335,7 +367,7 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
         n = chosen.agg(F.sum("y"), F.count("*")).first()
         constant = 0.0 if not n[0] or n[0] < n[1] else 1.0
         return rows.select("id", "a", "b", F.lit(constant).alias("score"))
-    seen = cut(measure(rows, *model, hot))
+    seen = measure(rows, *model, hot)
     known = seen.where(labelled & for_curve).join(given, "id").orderBy(F.xxhash64("id"), "id").limit(FIT).select("y", "x").toPandas()
     y, n = known["y"].to_numpy(float), WORST + 2
     # for too few labels a curve in which weak evidence of a word already counts

@@ -110,6 +110,58 @@ def test_a_score_is_the_same_whether_the_model_is_broadcast_or_joined(spark):
     assert all(math.isclose(a, b, abs_tol=1e-12) for i in broadcast for a, b in zip(joined[i], broadcast[i], strict=True))
 
 
+def on_disk(spark):
+    """The shuffle files of this session, and the tables in its shared folder."""
+    import glob
+
+    from quantloom.llm.common import shared_dir
+
+    local = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()
+    return {f for d in local for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}, set(glob.glob(f"{shared_dir(spark).removeprefix('file:')}/tables-*"))
+
+
+def test_neither_shuffles_nor_tables_stay_on_disk(spark):
+    rows, labels = planted(random.Random(3), 300)
+    y = dict(labels)
+    given = spark.createDataFrame([(r[1], y[r[0]]) for r in rows], "text string, y int").repartition(3)
+    docs = spark.createDataFrame([r[:2] for r in rows], "i long, text string")
+    names = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    before, kept = on_disk(spark), [spark.conf.get(k, None) for k in names]
+    got = measure(docs, *build(given), 100)
+    after = on_disk(spark)
+    assert not after[0] - before[0] and not after[1] - before[1]
+    assert got.count() == len(rows) and [spark.conf.get(k, None) for k in names] == kept
+
+
+def test_parts_hold_all_pairs_once(spark):
+    from quantloom.llm.toxicity import PARTS, count_pairs
+
+    rows, labels = planted(random.Random(4), 200)
+    y = dict(labels)
+    given = spark.createDataFrame([(r[1], y[r[0]]) for r in rows], "text string, y int").repartition(2)
+    parts = [{(r.w, r.v): (r.t, r.o) for r in count_pairs(given, k).collect()} for k in range(PARTS)]
+    want = Counter()
+    for _, text, *_ in rows:
+        line = ["", *text.split(), ""]
+        want.update(zip(line, line[1:], strict=False))
+    assert sum(map(len, parts)) == len(set().union(*parts)) == len(want)
+    assert sum(sum(n) for p in parts for n in p.values()) == want.total()
+    assert all(len(p) < 0.5 * len(want) for p in parts) and not {w for w, _ in parts[0]} & {w for w, _ in parts[1]}
+
+
+def test_the_broadcast_part_is_filled(spark, monkeypatch):
+    """Of equally frequent entries as many are broadcast as fit, not none."""
+    import quantloom.llm.toxicity as m
+
+    given = spark.createDataFrame([(" ".join(f"u{i}x{k}" for k in range(50)), i % 2) for i in range(40)], "text string, y int")
+    docs = spark.createDataFrame([(1, "u1x1 u1x2 u2x1 new"), (2, "")], "i long, text string")
+    sizes, real, model = [], m.Known.__init__, build(given)
+    monkeypatch.setattr(m.Known, "__init__", lambda self, part, rest: sizes.append(part.num_rows) or real(self, part, rest))
+    half, none = ({r.i: r.x for r in measure(docs, *model, hot).collect()} for hot in (1000, 0))
+    assert 800 < sizes[0] < 1200 and sizes[1] == 0
+    assert all(math.isclose(a, b, abs_tol=1e-9) for i in none for a, b in zip(half[i], none[i], strict=True))
+
+
 def test_evidence_equals_the_definition(spark):
     """Counts and evidences by the definition; how much of the model is broadcast changes none."""
     rng = random.Random(5)
