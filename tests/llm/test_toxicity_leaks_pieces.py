@@ -133,6 +133,23 @@ def test_neither_shuffles_nor_tables_stay_on_disk(spark):
     assert got.count() == len(rows) and [spark.conf.get(k, None) for k in names] == kept
 
 
+def test_python_reads_a_model_and_its_texts_in_small_batches(spark, monkeypatch):
+    """A worker holds a whole batch, so one of the usual 10,000 texts costs an executor's memory."""
+    import quantloom.llm.toxicity as m
+
+    given = spark.createDataFrame([("bad worse bad worse fine", 1), ("fine good fine good bad", 0)], "text string, y int")
+    model, real, most = build(given), m.columns_of, spark.sparkContext.accumulator(0)
+
+    def watched(batches, **kw):
+        for b in batches:
+            most.add(b.num_rows > 1000)
+            yield from real(iter([b]), **kw)
+
+    monkeypatch.setattr(m, "columns_of", watched)
+    docs = spark.range(3000).select(F.col("id").alias("i"), F.lit("fine bad").alias("text")).coalesce(1)
+    assert measure(docs, *model).count() == 3000 and most.value == 0
+
+
 def test_parts_hold_all_pairs_once(spark):
     from quantloom.llm.toxicity import PARTS, count_pairs
 
