@@ -57,6 +57,24 @@ def test_reports_whose_order_leaves_ties_equal_their_sql(spark, tmp_path, name):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
 
 
+@pytest.mark.parametrize("name", ["diann_qfilter", "diann_rt_median"])
+def test_reports_of_long_orders_and_lines_without_order_equal_their_sql(spark, tmp_path, name):
+    """An order's key counts a hundred times its line, so a line from 100 on may come after the next order's."""
+    import duckdb
+
+    e, con, d = importlib.import_module("__spark_entry__"), duckdb.connect(), "/root/testdata/sf0.001"
+    con.execute("SET threads = 1")
+    lines = "SELECT * REPLACE (CASE WHEN l_orderkey % 11 > 0 THEN l_orderkey END AS l_orderkey, l_linenumber * 5000 AS l_linenumber)"
+    con.execute(f"COPY ({lines} FROM '{d}/lineitem.parquet') TO '{tmp_path}/lineitem.parquet'")
+    con.execute(f"COPY (SELECT * FROM '{d}/part.parquet') TO '{tmp_path}/part.parquet'")
+    for t in ("lineitem", "part"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    want = con.execute(e.oracle_sql()[name])
+    names = [c[0] for c in want.description]
+    got = e.queries()[name](spark, str(tmp_path)).select(*[f"`{n}`" for n in names]).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want.fetchall()))
+
+
 def test_the_rest_works_without_the_text_folders(tmp_path):
     for x in ("__spark_entry__.py", "quantloom"):
         subprocess.run(["cp", "-r", str(ROOT / x), str(tmp_path)], check=True)
