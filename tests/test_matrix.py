@@ -282,6 +282,35 @@ def test_knn_of_copies_far_from_zero_copies_no_donors(spark):
     assert all(e.donor.tolist() == [[7, 8]] * 4 and e.value.tolist() == [[5.0, 6.0]] * 4 for e in ends)
 
 
+def test_knn_of_copies_meets_each_kind_of_row_once(spark):
+    """A donor stands for its copies: of equal distances the smallest rows count, whatever the donors' leaves and blocks."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 5)).round(1)  # many equal distances
+    x[rng.random(x.shape) < 0.15] = np.nan
+    x[::90] *= 1e25  # far off by themselves
+    x = x[~np.isnan(x).all(1)]
+    n = rng.integers(1, 4, len(x))
+    every = rng.permutation(n.sum())
+    ids = np.full((len(x), 3), -1)
+    for i, e in enumerate(np.split(every, np.cumsum(n)[:-1])):
+        ids[i, : n[i]] = sorted(e)
+    rows = np.flatnonzero(np.isnan(x).any(1))[:60]
+    e = impute.Nearest(ids[rows, 0], x[rows], 3)
+    for part in (slice(300, None), slice(0, 300)):
+        e.meet(ids[part], x[part], n[part])
+    got = {(r["row_id"], r["s"]): [(g["d"], g["donor"], g["x"]) for g in r["near"]] for r in e.found(pa.int64()).to_pylist()}
+    want = {}
+    for i, s in zip(*np.where(np.isnan(x[rows])), strict=True):
+        a = x[rows[i]]
+        both = ~np.isnan(a - x)
+        has = both.any(1) & ~np.isnan(x[:, s])
+        d = np.sqrt((np.where(both, a - x, 0) ** 2).sum(1) * 5 / np.maximum(both.sum(1), 1))
+        want[ids[rows[i], 0], s] = sorted((d[k], donor, x[k, s]) for k in np.flatnonzero(has) for donor in ids[k, : n[k]])[:3]
+    assert got == {k: v for k, v in want.items() if v}
+
+
 def test_clusters_of_copies(spark):
     rng = np.random.default_rng(7)
     base = rng.normal(size=(4, 20))
